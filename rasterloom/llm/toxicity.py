@@ -28,7 +28,7 @@ WINDOW = 16
 GRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 17
 #: Bound of the training sample: labelled documents of each class at most.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 3000
 PREDICT_AT = 0.7
 
 _EDGES = b".,;:!?\"'()[]{}*$%&#|<>-_=+/\\~`@^"
@@ -85,14 +85,15 @@ def _stretches(lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray,
     return starts, np.minimum(starts + width, np.repeat(ends, counts)), firsts
 
 
-def train(texts: list[bytes], labels: np.ndarray, dim: int = 8, warm: int = 25, epochs: int = 160, lr: float = 0.1, decay: float = 2e-4, seed: int = 7) -> Model:
-    """Full-batch Adam on vectors, class weights and biases together. The first `warm` rounds average
+def train(texts: list[bytes], labels: np.ndarray, dim: int = 8, warm: int = 20, epochs: int = 100, lr: float = 1.0, seed: int = 7) -> Model:
+    """Full-batch descent on vectors, class weights and biases together; each step is scaled by its
+    largest entry, so that rare subwords move less than common ones. The first `warm` rounds average
     whole texts; the others use each text's most toxic stretch at that time."""
     ids: dict[bytes, int] = {}
     rows, kept = [], []
     for text, label in zip(texts, labels):
         if words := (text or b"").split():
-            rows.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words)))
+            rows.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int32, len(words)))
             kept.append(label)
     y = np.array(kept, np.float64)
     rng = np.random.default_rng(seed)
@@ -102,7 +103,7 @@ def train(texts: list[bytes], labels: np.ndarray, dim: int = 8, warm: int = 25,
     bias = np.array([0.0, np.log(max(share, 1e-6) / max(1 - share, 1e-6))])
     if not 0 < share < 1:
         return Model(vectors * 0, weights, bias)
-    owner, bucket = subwords(list(ids))
+    owner, bucket = (x.astype(np.int32) for x in subwords(list(ids)))
     per_word = np.maximum(np.bincount(owner, minlength=len(ids)), 1)
     tokens = np.concatenate(rows)
     lengths = np.array([len(r) for r in rows])
@@ -111,7 +112,7 @@ def train(texts: list[bytes], labels: np.ndarray, dim: int = 8, warm: int = 25,
     whole = (ends - lengths, ends, np.arange(len(rows)))
     balance = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / len(y)
     params = [vectors, weights, bias]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    speed = [np.zeros_like(p) for p in params]
     for step in range(1, warm + epochs + 1):
         starts, stops, firsts = whole if step <= warm else pieces
         delta = weights[1] - weights[0]
@@ -131,11 +132,10 @@ def train(texts: list[bytes], labels: np.ndarray, dim: int = 8, warm: int = 25,
         g_word = np.bincount(tokens, np.cumsum(edge[:-1]), len(ids)) / per_word
         g_bucket = np.bincount(bucket, g_word[owner], BUCKETS).astype(np.float32)
         g_weight = g_bucket @ vectors
-        grads = [np.outer(g_bucket, delta) + decay / BUCKETS * vectors, np.stack([-g_weight, g_weight]), np.array([-error.sum(), error.sum()])]
-        for p, g, m, v in zip(params, grads, first, second):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            p -= lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        grads = [np.outer(g_bucket, delta), np.stack([-g_weight, g_weight]), np.array([-error.sum(), error.sum()])]
+        for p, g, v in zip(params, grads, speed):
+            v += 0.1 * (g - v)
+            p -= lr * (1 - step / (warm + epochs + 1)) * v / (np.abs(v).max() + 1e-12)
     return Model(*params)
 
 
