@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import mixing, quality_rules, resampling, toxicity
+from rasterloom.llm import jaccard, mixing, packing, quality_rules, resampling, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +24,17 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_toxicity, op7_mixing, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_toxicity, op7_mixing, op8_packing, op9_jaccard_join, op10_quality_classifier)}
 ORACLES: dict[str, str] = {}
