@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import jaccard, mixing, packing, quality_rules, resampling, toxicity
+from rasterloom.llm import jaccard, mixing, packing, quality_rules, resampling, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -36,5 +40,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_toxicity, op7_mixing, op8_packing, op9_jaccard_join, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_quality_rules, op5_toxicity, op7_mixing, op8_packing, op9_jaccard_join, op10_quality_classifier)}
 ORACLES: dict[str, str] = {}
