@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rasterloom.llm import jaccard, mixing, packing, quality_rules, resampling, secrets, toxicity
+from rasterloom.llm import additive, jaccard, mixing, packing, quality_rules, resampling, secrets, substring_dedup, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +16,14 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.passages(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -24,6 +33,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -37,8 +50,23 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-
-
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_quality_rules, op5_toxicity, op7_mixing, op8_packing, op9_jaccard_join, op10_quality_classifier)}
+    """The sample: documents that are not kept give no row."""
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).where("kept")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scan,
+        op2_nearest,
+        op3_suffix_dedup,
+        op4_quality_rules,
+        op5_toxicity,
+        op6_substring_dedup,
+        op7_mixing,
+        op8_packing,
+        op9_jaccard_join,
+        op10_quality_classifier,
+    )
+}
 ORACLES: dict[str, str] = {}
