@@ -21,3 +21,8 @@ def query(name: str, sql: str | None = None):
         return fn
 
     return keep
+
+
+def load() -> None:
+    """Import every module that registers queries."""
+    from rasterloom.queries import models, scalars  # noqa: F401
