@@ -9,7 +9,7 @@ leaves a block is a link count and a spanning forest, never the pairs.
 
 A text with fewer words than an n-gram is one n-gram; null texts and texts without words link to
 nothing; repeated rows are copies of each other; rows that share an id but not a text share their
-links; an empty table gives an empty result; other columns are ignored.
+links; rows without an id get no result; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.base import WordHashes, materialise, window_hashes
 from rasterloom.llm.graph import components
+from rasterloom.llm.recurring import bit_filter, passes
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Members of a part compared at once.
@@ -141,25 +142,32 @@ def verified(docs: DataFrame, parts: DataFrame, n: int = N, threshold: float = T
     sizes = parts.groupBy("component").agg(F.count("*").alias("members")).where("members > 1")
     blocks = F.ceil(F.col("members") / F.lit(block)).cast("int")
     placed = parts.join(sizes, "component").withColumn("blocks", blocks).drop("members")
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = materialise(placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+
+    # A bit filter of the parts' ids keeps other texts from being shuffled; what it lets through by
+    # chance goes in the join.
+    filter_, n_nodes = bit_filter(placed.select(F.xxhash64("node").alias("key")).distinct())
 
     def to_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            ok = [t is not None and text_key(t) == k for t, k in zip(batch["text"], batch["key"])]
-            batch = batch[ok]
+            batch = batch[passes(batch["hash"].to_numpy(), filter_.value)]
             sets = [np.unique(grams(t, hashes, n)).tobytes() for t in batch["text"]]
-            yield batch.assign(grams=sets)[["node", "copies", "component", "blocks", "own", "grams"]]
+            yield pd.DataFrame({"node": batch["node"], "key": [text_key(t) for t in batch["text"]], "grams": sets})
 
-    texts = docs.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text"))
+    texts = docs.where("doc_id is not null and text is not null").select(
+        F.col("doc_id").cast("long").alias("node"), F.xxhash64(F.col("doc_id").cast("long")).alias("hash"), F.col("text").cast("binary").alias("text")
+    )
     sets = (
-        texts.join(placed, "node")
-        .mapInPandas(to_grams, "node long, copies long, component long, blocks int, own int, grams binary")
+        texts.mapInPandas(to_grams, "node long, key binary, grams binary")
+        .dropDuplicates(["node", "key"])
+        .join(placed.hint("merge"), ["node", "key"])
+        .drop("key")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": F.col("own")})
     )
     # Small parts share groups of about four blocks' members; a pair of blocks is a group of its own.
-    groups = max(64, parts.count() // (4 * block))
+    groups = max(64, n_nodes // (4 * block))
     home = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(groups))).otherwise(
         F.xxhash64("component", "i", "j")
     )
@@ -207,8 +215,10 @@ def link(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
 
 def keep_one(docs: DataFrame, **kwargs) -> DataFrame:
     """The rows of `docs` that stay when one document of each class is kept, the one with the smallest
-    id; of rows with that same id one stays."""
+    id; of rows with that same id one stays. Rows without an id stay."""
     classes = link(docs.select("doc_id", "text"), **kwargs)
     losers = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    rest = docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
-    return rest.dropDuplicates(["doc_id"])
+    # The losers grow with the corpus: never a broadcast.
+    known = docs.where("doc_id is not null")
+    rest = known.join(losers.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    return rest.dropDuplicates(["doc_id"]).unionAll(docs.where("doc_id is null"))

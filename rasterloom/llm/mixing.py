@@ -136,7 +136,7 @@ def materialise_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> Da
     drawn = copies.withColumn("each", F.ceil(F.col("times") / F.col("rows")).cast("int")).where("each > 0")
     names = docs.columns
     return (
-        docs.join(drawn.select(F.col("doc_id").alias("__id"), "each"), F.col("doc_id").eqNullSafe(F.col("__id")))
+        docs.join(drawn.select(F.col("doc_id").alias("__id"), "each").hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")))
         .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("each"))))
         .select(*names)
     )

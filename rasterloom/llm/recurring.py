@@ -1,4 +1,4 @@
-"""Which keys occur in more than one document, as a bit filter of bounded size."""
+"""Sets of 64-bit keys as bit filters of bounded size, and which keys occur in several documents."""
 
 from __future__ import annotations
 
@@ -32,10 +32,15 @@ def passes(keys: np.ndarray, filter_: np.ndarray) -> np.ndarray:
 
 
 def recurring_filter(keyed: DataFrame) -> tuple[Broadcast, int]:
-    """(broadcast filter, number of recurring keys) of rows (key, doc_id). Keys are counted by Spark;
-    the driver joins chunks of bits, at most 64 MB in all."""
+    """(broadcast filter, number of recurring keys) of rows (key, doc_id), counted by Spark."""
     seen = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    keys = materialise(seen.where("low < high").select("key"))
+    return bit_filter(seen.where("low < high").select("key"))
+
+
+def bit_filter(keys: DataFrame) -> tuple[Broadcast, int]:
+    """(broadcast filter, number of keys) of distinct, well mixed keys. The driver joins chunks of bits,
+    at most 64 MB in all, whatever the number of keys."""
+    keys = materialise(keys)
     n = keys.count()
     bits = min(MOST_BITS, max(LEAST_BITS, (max(n, 1) * 16 - 1).bit_length()))
     mask = (1 << bits) - 1
@@ -53,4 +58,4 @@ def recurring_filter(keyed: DataFrame) -> tuple[Broadcast, int]:
     size = (1 << _CHUNK_BITS) // 8
     for r in chunked.groupBy("chunk").applyInPandas(build, "chunk long, bits binary").toLocalIterator():
         out[r["chunk"] * size : (r["chunk"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
-    return keyed.sparkSession.sparkContext.broadcast(out), n
+    return keys.sparkSession.sparkContext.broadcast(out), n
