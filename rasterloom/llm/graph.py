@@ -11,27 +11,32 @@ from rasterloom.llm.base import materialise
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for every node of edges (a, b).
 
-    Each round joins every node to the smallest of its neighbours and that one's choice, then contracts;
-    the number of nodes falls geometrically. Rounds are written to the shared folder."""
-    low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    live = materialise(edges.select(low, high).where("a <> b").distinct())
-    labels = None
+    Each round hashes the nodes anew, points every node to the neighbour with the smallest hash (or to
+    itself), follows pointers twice, and contracts. Hashing keeps long chains from shrinking by a step
+    a round: whatever the graph, a fixed share of its nodes goes each time. Rounds are written to the
+    shared folder."""
+    live = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    labels, turn = None, 0
     while not live.isEmpty():
+        turn += 1
+        order = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
         both = live.unionAll(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hop = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-        hop = materialise(hop.select("node", F.least("node", "m").alias("up")))
-        next_ = hop.select(F.col("node").alias("up"), F.col("up").alias("upper"))
-        parent = materialise(hop.join(next_, "up").select("node", F.col("upper").alias("up")))
-        side = lambda c: parent.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up"))
+        hop = both.groupBy(F.col("a").alias("node")).agg(F.min(order("b")).alias("m"))
+        up = materialise(hop.select("node", F.least(order("node"), "m")["n"].alias("up")))
+        for _ in range(2):
+            above = up.select(F.col("node").alias("up"), F.col("up").alias("upper"))
+            up = up.join(above, "up").select("node", F.col("upper").alias("up"))
+        up = materialise(up)
+        side = lambda c: up.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up"))  # noqa: B023, E731
         live = live.join(side("a"), "a").join(side("b"), "b")
         live = live.select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b"))
         live = materialise(live.where("a <> b").distinct())
         if labels is None:
-            labels = parent.select("node", F.col("up").alias("component"))
+            labels = up.select("node", F.col("up").alias("root"))
         else:
-            step = parent.select(F.col("node").alias("component"), "up")
-            labels = labels.join(step, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
-            labels = materialise(labels)
+            step = up.select(F.col("node").alias("root"), "up")
+            labels = materialise(labels.join(step, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
-    return labels
+    least = labels.groupBy("root").agg(F.min("node").alias("component"))
+    return labels.join(least, "root").select("node", "component")
