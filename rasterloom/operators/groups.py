@@ -20,24 +20,34 @@ from rasterloom.sources.tables import materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(key, node, label): smallest node of each component of edges (key, a, b), for nodes with an edge."""
-    ordered = edges.select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    live = materialise(ordered.where("a <> b").distinct())
-    labels = None
+    """(key, node, label): smallest node of each component of edges (key, a, b), for nodes with an edge.
+
+    Nodes point to the neighbour with the smallest hash, drawn anew each round, so that long monotone
+    chains contract as fast as anything else."""
+    live = materialise(edges.select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    labels, turn = None, 0
     while not live.isEmpty():
+        turn += 1
+        order = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
         both = live.unionAll(live.select("key", F.col("b").alias("a"), F.col("a").alias("b")))
-        up = materialise(both.groupBy("key", F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("up")))
-        again = up.select("key", F.col("node").alias("up"), F.col("up").alias("top"))
-        up = materialise(up.join(again, ["key", "up"]).select("key", "node", F.col("top").alias("up")))
-        end = lambda c: up.select("key", F.col("node").alias(c), F.col("up").alias(f"{c}2"))
+        hop = both.groupBy("key", F.col("a").alias("node")).agg(F.min(order("b")).alias("m"))
+        up = materialise(hop.select("key", "node", F.least(order("node"), "m")["n"].alias("up")))
+        for _ in range(2):
+            above = up.select("key", F.col("node").alias("up"), F.col("up").alias("upper"))
+            up = up.join(above, ["key", "up"]).select("key", "node", F.col("upper").alias("up"))
+        up = materialise(up)
+        end = lambda c: up.select("key", F.col("node").alias(c), F.col("up").alias(f"{c}2"))  # noqa: B023, E731
         live = live.join(end("a"), ["key", "a"]).join(end("b"), ["key", "b"])
         live = materialise(live.select("key", F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).where("a <> b").distinct())
         if labels is None:
-            labels = up.select("key", "node", F.col("up").alias("label"))
+            labels = up.select("key", "node", F.col("up").alias("root"))
         else:
-            step = up.select("key", F.col("node").alias("label"), "up")
-            labels = materialise(labels.join(step, ["key", "label"], "left").select("key", "node", F.coalesce("up", "label").alias("label")))
-    return labels if labels is not None else edges.select("key", F.col("a").alias("node"), F.col("a").alias("label")).limit(0)
+            step = up.select("key", F.col("node").alias("root"), "up")
+            labels = materialise(labels.join(step, ["key", "root"], "left").select("key", "node", F.coalesce("up", "root").alias("root")))
+    if labels is None:
+        return edges.select("key", F.col("a").alias("node"), F.col("a").alias("label")).limit(0)
+    least = labels.groupBy("key", "root").agg(F.min("node").alias("label"))
+    return labels.join(least, ["key", "root"]).select("key", "node", "label")
 
 
 def group_points(points: DataFrame, dist: float) -> DataFrame:
