@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import every module that registers queries."""
-    from rasterloom.queries import models, rasters, scalars, shapes  # noqa: F401
+    from rasterloom.queries import jobs, models, outlines, rasters, scalars, shapes  # noqa: F401

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions.color import pack_argb, rgb_to_hsv
@@ -99,3 +99,20 @@ def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LAYERS = ARGB + """, lay AS (SELECT frame_id AS doc_id, 0 AS z, x, y, 255 AS a, r, g, b FROM px
  UNION ALL SELECT frame_id, 1, x + 3, y + 2, a, r, g, b FROM ar)"""
+
+
+def poly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed x-monotone outlines (shape_id, ord, x, y) around the dark points: lower edge left to
+    right, then upper edge right to left."""
+    sp = dark(spark, sf_dir).groupBy("shape_id", "x").agg(F.min("y").alias("lo"), (F.max("y") + 1).alias("hi"))
+    low = sp.select("shape_id", F.lit(0).alias("side"), F.col("x").alias("k"), "x", F.col("lo").alias("y"))
+    high = sp.select("shape_id", F.lit(1).alias("side"), (-F.col("x")).alias("k"), "x", F.col("hi").alias("y"))
+    w = Window.partitionBy("shape_id").orderBy("side", "k")
+    return low.unionAll(high).select("shape_id", (F.row_number().over(w) - 1).alias("ord"), "x", "y")
+
+
+POLY = DARK + """, psp AS (SELECT shape_id, x, min(y) AS lo, max(y) + 1 AS hi FROM dark GROUP BY 1, 2),
+poly AS (SELECT shape_id, CAST(row_number() OVER (PARTITION BY shape_id ORDER BY side, k) - 1 AS INT) AS ord, x, y
+ FROM (SELECT shape_id, 0 AS side, x AS k, x, lo AS y FROM psp UNION ALL SELECT shape_id, 1, -x, x, hi FROM psp)),
+pn AS (SELECT shape_id, count(*) AS n FROM poly GROUP BY 1),
+ed AS (SELECT a.shape_id, a.ord, a.x, a.y, b.x AS nx, b.y AS ny FROM poly a JOIN pn USING (shape_id) JOIN poly b ON a.shape_id = b.shape_id AND b.ord = (a.ord + 1) % n)"""
