@@ -13,7 +13,7 @@ def natural_key(name: Column) -> Column:
     """Sort key under which digit runs compare as numbers and letters without case: every digit run is
     preceded by its length without leading zeros, in two digits, and followed by the number of zeros."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D)"), F.lit(1))
-    bare = lambda p: F.ltrim(F.lit("0"), p)
+    bare = lambda p: F.ltrim(p, F.lit("0"))
 
     def key(p: Column) -> Column:
         digits = F.concat(F.lit("0"), F.lpad(F.length(bare(p)).cast("string"), 2, "0"), bare(p), F.lpad(F.length(p).cast("string"), 2, "0"))
@@ -31,8 +31,8 @@ def parse_border(df: DataFrame, key: str, col: str) -> DataFrame:
     """`{10=[4, 5], 11=[4]}` as rows (key, x, y)."""
     column = F.explode(F.regexp_extract_all(F.col(col), F.lit(r"-?\d+=\[[^\]]*\]"), F.lit(0))).alias("c")
     x = F.split("c", "=")[0].cast("int").alias("x")
-    ys = F.explode(F.regexp_extract_all(F.split("c", "=")[1], F.lit(r"-?\d+"), F.lit(0)))
-    return df.select(F.col(key), column).select(key, x, ys.cast("int").alias("y"))
+    ys = F.transform(F.regexp_extract_all(F.split("c", "=")[1], F.lit(r"-?\d+"), F.lit(0)), lambda y: y.cast("int"))
+    return df.select(F.col(key), column).select(key, x, F.explode(ys).alias("y"))
 
 
 def encode_border(points: DataFrame, key: str) -> DataFrame:
@@ -87,12 +87,13 @@ def encode_color_map(colors: Column) -> Column:
 
 def encode_string_map(m: Column) -> Column:
     """`k:v;...`, both sides in URL-safe Base64 without padding."""
-    b64 = lambda s: F.rtrim(F.lit("="), F.translate(F.base64(s.cast("binary")), "+/", "-_"))
+    b64 = lambda s: F.rtrim(F.translate(F.base64(s.cast("binary")), "+/", "-_"), F.lit("="))
     return F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(b64(e["key"]), F.lit(":"), b64(e["value"]))), ";")
 
 
 def parse_string_map(text: Column) -> Column:
-    plain = lambda s: F.unbase64(F.translate(s, "-_", "+/")).cast("string")
+    whole = lambda s: F.rpad(s, (F.ceil(F.length(s) / 4) * 4).cast("int"), F.lit("="))
+    plain = lambda s: F.unbase64(whole(F.translate(s, "-_", "+/"))).cast("string")
     pair = lambda t: F.struct(plain(F.split(t, ":")[0]).alias("k"), plain(F.split(t, ":")[1]).alias("v"))
     return F.when(F.trim(text) == "", F.map_from_entries(F.array().cast("array<struct<k:string,v:string>>"))).otherwise(F.map_from_entries(F.transform(F.split(text, ";"), pair)))
 
