@@ -47,7 +47,7 @@ def labelled_samples(docs: DataFrame, bound: int = SAMPLE_DOCS) -> DataFrame:
         F.regexp_extract_all("body", F.lit(ASSIGN), F.lit(2)),
         F.regexp_extract_all("body", F.lit(ACCESS), F.lit(0)),
         F.regexp_extract_all("body", F.lit(HEX), F.lit(0)),
-        F.array(F.sha1("body"), F.rtrim(F.lit("="), F.base64(F.unhex(digest))), F.base64(F.unhex(F.sha2("body", 384)))),
+        F.array(F.sha1("body"), F.rtrim(F.base64(F.unhex(digest)), F.lit("=")), F.base64(F.unhex(F.sha2("body", 384)))),
         F.array(F.translate(F.upper(digest), "01289", "GQSXZ"), F.lower(F.base64(F.unhex(F.sha2("body", 512))))),
     )
     random = texts.select(F.explode(F.filter(found, lambda s: F.length(s) >= 12)).alias("sample"), F.lit(1).alias("label"))

@@ -1,6 +1,6 @@
 """Substring dedup by repeated-phrase automata.
 
-A window is 13 consecutive words. Each window names an anchor, its smallest 5-word hash, so equal
+A window is 13 consecutive words. Each window names an anchor, its smallest 4-word hash, so equal
 windows name equal anchors. Anchors that occur in several documents are found first and put in a bit
 filter of bounded size; stretches of text around such anchors are dealt by anchor to shards. A shard
 confirms the windows that recur, compiles them into an Aho-Corasick automaton over words, streams every
@@ -27,34 +27,59 @@ from pyspark.sql import functions as F
 from rasterloom.llm.base import WordHashes, sliding, window_hashes
 from rasterloom.llm.recurring import passes, recurring_filter
 
-WINDOW, ANCHOR = 13, 5
+WINDOW, ANCHOR = 13, 4
 #: Recurring anchors per shard; an automaton holds the windows of one shard.
 SHARD_KEYS = 4000
 
 
-def runs(words: list[bytes], hashes: WordHashes, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first window, last window) of every run of windows that share an anchor."""
-    grams = window_hashes(hashes.of(words), ANCHOR)
+def runs(lengths: np.ndarray, h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key, first window, last window) of every run of windows that share an anchor, over texts
+    laid end to end: their numbers of words and word hashes; windows are places in the whole."""
+    grams = window_hashes(h, ANCHOR)
     span = window - ANCHOR + 1
     if len(grams) < span:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        none = np.empty(0, np.int64)
+        return none, none.view(np.uint64), none, none
     low = sliding(np.minimum, grams, span)
     n = len(low)
     at = np.zeros(n, np.int64)
     for j in range(span - 1, -1, -1):  # the leftmost of equal hashes
-        hit = grams[j : j + n] == low
-        at[hit] = np.flatnonzero(hit) + j
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return low[first], first, np.append(first[1:], n) - 1
+        hit = np.flatnonzero(grams[j : j + n] == low)
+        at[hit] = hit + j
+    text = np.repeat(np.arange(len(lengths)), lengths)[:n]
+    inside = np.flatnonzero(np.arange(n) + window <= np.cumsum(lengths)[text])
+    if not len(inside):
+        return text[:0], low[:0], at[:0], at[:0]
+    a, t = at[inside], text[inside]
+    begin = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (t[1:] != t[:-1])]))
+    first, last = inside[begin], inside[np.append(begin[1:], len(inside)) - 1]
+    return t[begin], low[first], first, last
+
+
+def _portions(batch: pd.DataFrame, hashes: WordHashes, words: int = 30_000):
+    """(rows, words laid end to end, lengths, hashes) of consecutive texts of a batch, a portion of some
+    words at a time: numpy calls then cost little even where texts are short."""
+    rows, flat, lengths = [], [], []
+    for i, text in enumerate(batch["text"]):
+        own = text.split()
+        rows.append(i)
+        flat += own
+        lengths.append(len(own))
+        if len(flat) >= words:
+            yield np.array(rows), flat, np.array(lengths), hashes.of(flat)
+            rows, flat, lengths = [], [], []
+    if rows:
+        yield np.array(rows), flat, np.array(lengths), hashes.of(flat)
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            keys = [np.unique(runs(t.split(), hashes)[0]) for t in batch["text"]]
-            n = [len(k) for k in keys]
-            yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "doc_id": np.repeat(batch["doc_id"].to_numpy(), n)})
+            ids = batch["doc_id"].to_numpy()
+            for rows, _, lengths, h in _portions(batch, hashes):
+                text, key, _, _ = runs(lengths, h)
+                yield pd.DataFrame({"key": key.view(np.int64), "doc_id": ids[rows[text]]})
 
     return docs.mapInPandas(run, "key long, doc_id long")
 
@@ -66,27 +91,38 @@ def _stretches(docs: DataFrame, filter_, with_text: bool) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            out = []
-            for doc, mark, text in zip(batch["doc_id"], batch["mark"], batch["text"]):
-                words = text.split()
-                key, first, last = runs(words, hashes)
+            ids, marks = batch["doc_id"].to_numpy(), batch["mark"].to_numpy()
+            for rows, words, lengths, h in _portions(batch, hashes):
+                text, key, first, last = runs(lengths, h)
                 ok = passes(key, filter_.value)
-                for k, a, b in zip(key[ok].view(np.int64).tolist(), first[ok].tolist(), last[ok].tolist()):
-                    stretch = b" ".join(words[a : b + WINDOW])
-                    out.append((k, stretch, doc) if with_text else (xxhash.xxh3_128_digest(stretch), doc, mark, a))
-            yield pd.DataFrame(out, columns=["key", "stretch", "doc_id"] if with_text else ["digest", "doc_id", "mark", "at"])
+                text, key, first = text[ok], key[ok], first[ok]
+                found = [b" ".join(words[a:b]) for a, b in zip(first.tolist(), (last[ok] + WINDOW).tolist())]
+                row = rows[text]
+                if with_text:
+                    yield pd.DataFrame({"key": key.view(np.int64), "stretch": found, "doc_id": ids[row]})
+                else:
+                    at = first - (np.cumsum(lengths) - lengths)[text]
+                    yield pd.DataFrame({"digest": list(map(xxhash.xxh3_128_digest, found)), "doc_id": ids[row], "mark": marks[row], "at": at.astype(np.int32)})
 
     schema = "key long, stretch binary, doc_id long" if with_text else "digest binary, doc_id long, mark long, at int"
     return docs.mapInPandas(run, schema)
 
 
+class _Letters(dict):
+    """Word -> one character, surrogates left out."""
+
+    def __missing__(self, word: bytes) -> str:
+        n = len(self) + 1
+        letter = self[word] = chr(n if n < 0xD800 else n + 0x800)
+        return letter
+
+
 def locate(stretches: list[bytes], low: list[int], high: list[int], window: int = WINDOW) -> list[list[tuple[int, int]]]:
     """For each distinct stretch, with the smallest and largest document it occurs in, the windows that
-    some document repeats: (offset in words, first document)."""
-    letters: dict[bytes, str] = {}
-    coded = []
-    for s in stretches:  # a word becomes one character (surrogates left out), a window a string of 13
-        coded.append("".join([letters.setdefault(w, chr(len(letters) + (1 if len(letters) < 0xD7FF else 0x801))) for w in s.split(b" ")]))
+    some document repeats: (offset in words, first document). A word becomes one character, a window a
+    string of 13."""
+    letters = _Letters()
+    coded = ["".join(map(letters.__getitem__, s.split(b" "))) for s in stretches]
     first: dict[str, int] = {}
     last: dict[str, int] = {}
     for text, a, b in zip(coded, low, high):
