@@ -35,8 +35,9 @@ def _framed(points: DataFrame) -> DataFrame:
 
 def ink(pixels: DataFrame) -> DataFrame:
     """Ink-like points as shapes (shape_id = frame)."""
-    p = with_hsv(pixels)
-    return p.where(is_default_ink(F.col("h"), F.col("s"), F.col("v"))).select(F.col("frame_id").alias("shape_id"), "x", "y")
+    # The one-element array binds the colour, so that the many terms of the rule share one conversion.
+    bound = F.transform(F.array(F.struct("h", "s", "v")), lambda c: is_default_ink(c["h"], c["s"], c["v"]))
+    return with_hsv(pixels).where(F.get(bound, 0)).select(F.col("frame_id").alias("shape_id"), "x", "y")
 
 
 def object_outline(pixels: DataFrame, dist: float, pred: Column | None = None) -> DataFrame:
