@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.base import kth_largest, materialise, mixed
+from rasterloom.llm.base import kth_largest, materialise
 
 BUCKETS = 1 << 14
 #: Bound of the labelled sample behind the target model.
@@ -36,41 +36,58 @@ _RUNS = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
 def shape(word: str) -> str:
     """`Thing.` -> `Aa.`, `that***` -> `a***`, `ONE!!` -> `A!!`, `2024` -> `0`."""
 
+    if word.isalpha():
+        return _letters(word)
+
     def short(m: re.Match) -> str:
         run = m[0]
-        if run[0].isdigit():
-            return "0"
-        if not run[0].isalpha():
-            return run[:3]
-        return "a" if run.islower() else "A" if run.isupper() and len(run) > 1 else "Aa" if run.istitle() else "aA"
+        return "0" if run[0].isdigit() else _letters(run) if run[0].isalpha() else run[:3]
 
     return _RUNS.sub(short, word)[:12]
 
 
+def _letters(run: str) -> str:
+    return "a" if run.islower() else "A" if run.isupper() and len(run) > 1 else "Aa" if run.istitle() else "aA"
+
+
 class _Tokens(dict):
-    """Word -> (hash of the bare word, hash of its shape), for the words met lately."""
+    """Word -> row of two arrays, the hash of the bare word and that of its shape, for the words met
+    lately."""
+
+    def __init__(self, keep: int = 300_000):
+        super().__init__()
+        self.keep = keep
+        self.bare, self.form = np.zeros(keep, np.uint64), np.zeros(keep, np.uint64)
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self) > 200_000:
-            self.clear()
+    def __missing__(self, word: bytes) -> int:
+        row = self[word] = len(self)
         text = word.decode("utf-8", "replace")
-        bare = text.lower().strip(".,;:!?\"'()*$%&#|<>-")
-        value = self[word] = (xxhash.xxh64_intdigest(bare), xxhash.xxh64_intdigest(shape(text), seed=1))
-        return value
+        self.bare[row] = xxhash.xxh64_intdigest(text.lower().strip(".,;:!?\"'()*$%&#|<>-"))
+        self.form[row] = xxhash.xxh64_intdigest(shape(text), seed=1)
+        return row
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Both hashes of every word; long texts go in parts, so that the table never overflows."""
+        parts = []
+        for i in range(0, len(words), 50_000):
+            part = words[i : i + 50_000]
+            if len(self) + len(part) > self.keep:
+                self.clear()
+            rows = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
+            parts.append((self.bare[rows], self.form[rows]))
+        return parts[0] if len(parts) == 1 else tuple(map(np.concatenate, zip(*parts)))
 
 
 def ngram_buckets(text: bytes | None, tokens: _Tokens, buckets: int = BUCKETS) -> np.ndarray:
-    """Bucket of every n-gram of a text."""
+    """Bucket of every n-gram of a text; `buckets` is a power of two."""
     words = text.split() if text else []
     if not words:
         return np.empty(0, np.int64)
-    pairs = np.array(list(map(tokens.__getitem__, words)), np.uint64)
-    bare, form = pairs[:, 0], pairs[:, 1].copy()
+    bare, form = tokens.of(words)
     for lag in (1, 2):
         form[lag:] += (bare[lag:] == bare[:-lag]) * np.uint64(lag * 0x9E37)
-    form = mixed(form)
-    grams = [bare, form, mixed(bare[:-1] * np.uint64(3) + bare[1:]), mixed(form[:-1] * np.uint64(3) + form[1:])]
-    return (np.concatenate(grams) % np.uint64(buckets)).astype(np.int64)
+    grams = np.concatenate([bare, form, bare[:-1] * np.uint64(3) + bare[1:], form[:-1] * np.uint64(3) + form[1:]])
+    return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
 
 
 def target_ids(labels: DataFrame, bound: int = SAMPLE_TARGET) -> DataFrame:
