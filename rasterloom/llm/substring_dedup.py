@@ -85,13 +85,15 @@ def _anchors(docs: DataFrame) -> DataFrame:
 
 
 def _stretches(docs: DataFrame, filter_, with_text: bool) -> DataFrame:
-    """Stretches around anchors that may recur: their text with its document, or the digest of the text
-    with the place."""
+    """Stretches around anchors that may recur: their text with its smallest and largest document in
+    the batch, or the digest of the text with the place."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
             ids, marks = batch["doc_id"].to_numpy(), batch["mark"].to_numpy()
+            low: dict[tuple[int, bytes], int] = {}
+            high: dict[tuple[int, bytes], int] = {}
             for rows, words, lengths, h in _portions(batch, hashes):
                 text, key, first, last = runs(lengths, h)
                 ok = passes(key, filter_.value)
@@ -99,12 +101,19 @@ def _stretches(docs: DataFrame, filter_, with_text: bool) -> DataFrame:
                 found = [b" ".join(words[a:b]) for a, b in zip(first.tolist(), (last[ok] + WINDOW).tolist())]
                 row = rows[text]
                 if with_text:
-                    yield pd.DataFrame({"key": key.view(np.int64), "stretch": found, "doc_id": ids[row]})
+                    for pair, doc in zip(zip(key.view(np.int64).tolist(), found), ids[row].tolist()):
+                        if doc < low.setdefault(pair, doc):
+                            low[pair] = doc
+                        if doc > high.setdefault(pair, doc):
+                            high[pair] = doc
                 else:
                     at = first - (np.cumsum(lengths) - lengths)[text]
                     yield pd.DataFrame({"digest": list(map(xxhash.xxh3_128_digest, found)), "doc_id": ids[row], "mark": marks[row], "at": at.astype(np.int32)})
+            if low:
+                keys, texts = zip(*low)
+                yield pd.DataFrame({"key": keys, "stretch": texts, "low": list(low.values()), "high": [high[p] for p in low]})
 
-    schema = "key long, stretch binary, doc_id long" if with_text else "digest binary, doc_id long, mark long, at int"
+    schema = "key long, stretch binary, low long, high long" if with_text else "digest binary, doc_id long, mark long, at int"
     return docs.mapInPandas(run, schema)
 
 
@@ -146,17 +155,19 @@ def locate(stretches: list[bytes], low: list[int], high: list[int], window: int
 
 
 def _located(stretches: DataFrame, shards: int) -> DataFrame:
-    """digest, found: what `locate` says of every distinct stretch. Equal stretches fold before and
-    after the shuffle, so a passage of very many documents is one row here."""
-    distinct = stretches.groupBy("key", "stretch").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    """digest, offsets, firsts: what `locate` says of every distinct stretch. Equal stretches fold before
+    the shuffle, so a passage of very many documents is a few rows here, and one shuffle by shard serves
+    both the folding after it and the automata."""
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
+    dealt = stretches.select(shard, "key", "stretch", "low", "high").repartition("shard")
+    distinct = dealt.groupBy("shard", "key", "stretch").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         found = locate(list(part["stretch"]), part["low"].tolist(), part["high"].tolist())
         rows = [(xxhash.xxh3_128_digest(s), [a for a, _ in f], [d for _, d in f]) for s, f in zip(part["stretch"], found) if f]
         return pd.DataFrame(rows, columns=["digest", "offsets", "firsts"])
 
-    shard = F.pmod(F.xxhash64("key"), F.lit(shards))
-    return distinct.groupBy(shard).applyInPandas(run, "digest binary, offsets array<int>, firsts array<long>")
+    return distinct.groupBy("shard").applyInPandas(run, "digest binary, offsets array<int>, firsts array<long>")
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
