@@ -1,9 +1,12 @@
 """Mixing sources to target weights by a low-discrepancy schedule of equal-token blocks.
 
 Each source's documents, shuffled by a hash, are laid end to end and cut into blocks of equal token
-count. Slot n of the mix takes the golden-ratio point frac(n * phi); where it falls in the cumulative
-weights names the source, and the slot's rank among that source's slots names the block, starting over
-when the blocks are used up. Token counts are numbers of words.
+count: `BLOCK` words, or fewer where that is more than a small part of the source or of its target. Slot
+n of the mix takes the golden-ratio point frac(n * phi); where it falls in the cumulative numbers of slots
+that the sources need names the source, and the slot's rank among that source's slots names the block,
+starting over when the blocks are used up. Ranks that the schedule leaves out are added, and those past
+a source's need are not taken, so that every source meets its target within one block. Token counts are
+numbers of words.
 
 A null text has size 0; the null source is a source of its own, after all others; documents of size 0
 take part with nothing to take; repeated rows are documents of their own (same id, laid apart by their
@@ -19,8 +22,8 @@ from pyspark.sql import functions as F
 from rasterloom.llm.base import materialise, word_count
 
 GOLDEN = 0.6180339887498949
-#: Words in a block, and slots ranked together.
-BLOCK, CHUNK = 512, 1 << 15
+#: Most words in a block, least blocks in a source and in its target, and slots ranked together.
+BLOCK, PARTS, CHUNK = 512, 1000, 1 << 15
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3
 
@@ -42,6 +45,15 @@ def targets(sizes: list[int], weights: list[float], most: float = MOST_REPEATS)
     return out
 
 
+def cut(size: int, target: float, block: int = BLOCK) -> tuple[int, int, int]:
+    """(words in a block, number of blocks, number of slots that take `target` words) of a source; the last
+    block of a pass may hold fewer words, so whole passes are counted by the source's size."""
+    block = int(max(1, min(block, size // PARTS, target // PARTS)))
+    n_blocks = max(1, -(-size // block))
+    passes = int(target // size) if size else 0
+    return block, n_blocks, passes * n_blocks + min(n_blocks, round((target - passes * size) / block))
+
+
 def _prefix(df: DataFrame, by: list[str], order: str, col: str, out: str) -> DataFrame:
     """Exclusive running sum of `col`."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -97,24 +109,31 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOC
     sizes = [r["size"] for r in found]
     aims = targets(sizes, [weights[i % len(weights)] for i in range(len(found))])
     n_docs, total = sum(r["n"] for r in found), sum(sizes)
-    block = max(1, min(block, total // 2000))
-    rows = [(r["source"], i, r["size"], float(aims[i]), max(1, -(-r["size"] // block))) for i, r in enumerate(found)]
-    table = spark.createDataFrame(rows, f"source {sized.schema['source'].dataType.simpleString()}, source_no int, source_size long, target double, n_blocks long")
+    cuts = [cut(n, t, block) for n, t in zip(sizes, aims)]
+    rows = [(r["source"], i, r["size"], float(aims[i]), *cuts[i]) for i, r in enumerate(found)]
+    table = spark.createDataFrame(rows, f"source {sized.schema['source'].dataType.simpleString()}, source_no int, source_size long, target double, words long, n_blocks long, need long")
     numbered = sized.join(F.broadcast(table), sized["source"].eqNullSafe(table["source"])).drop("source")
     laid = lay_out(numbered, n_docs)
 
     # How often each block is used: rank r of a source takes block r mod its number of blocks.
-    used = schedule(spark, aims, -(-total // block)) if total else spark.createDataFrame([], "source_no int, rank long")
+    needs = [need for _, _, need in cuts]
+    used = schedule(spark, needs, sum(needs)) if total else spark.createDataFrame([], "source_no int, rank long")
+    have = {r["source_no"]: r["count"] for r in used.groupBy("source_no").count().collect()}
+    short = [(i, have.get(i, 0), need - 1) for i, need in enumerate(needs) if have.get(i, 0) < need]
+    added = spark.createDataFrame(short, "source_no int, first long, last long")
+    used = used.unionByName(added.select("source_no", F.explode(F.sequence("first", "last")).alias("rank")))
     facts = F.broadcast(table.drop("source"))
     uses = (
         used.join(facts, "source_no")
-        .where(F.col("rank") < MOST_REPEATS * F.col("n_blocks"))
+        .where("rank < need")
         .groupBy("source_no", F.pmod("rank", "n_blocks").alias("block"))
         .agg(F.count("*").alias("times"))
     )
-    first, last = F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}")
-    pieces = laid.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
-    overlap = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("at", F.col("block") * block)
+    first, last = F.expr("at div words"), F.expr("(at + size - 1) div words")
+    cut_up = laid.where("size > 0").join(facts.select("source_no", "words"), "source_no")
+    pieces = cut_up.withColumn("block", F.explode(F.sequence(first, last)))
+    begin = F.col("block") * F.col("words")
+    overlap = F.least(F.col("at") + F.col("size"), begin + F.col("words")) - F.greatest("at", begin)
     got = (
         pieces.join(uses, ["source_no", "block"])
         .groupBy("doc_id", "source_no", "at", "size")

@@ -344,6 +344,21 @@ def test_mixing_reaches_targets(spark):
     assert sorted((r.doc_id, r.taken) for r in mixing.mix(docs).collect()) == sorted((r.doc_id, r.taken) for r in got)
 
 
+def test_mixing_reaches_targets_of_tiny_sources(spark):
+    sizes = {"a": 2_000_000, "b": 1_000_000, "c": 100, "d": 150, "e": 300, "f": 520, "g": 700, "h": 1030, "i": 1}
+    rows = []
+    for source, n in sizes.items():
+        length = n // 50 or n
+        rows += [("w " * min(length, n - at), source) for at in range(0, n, length)]
+    docs = spark.createDataFrame([(i, t, "en", s, 0, *"rbktsz") for i, (t, s) in enumerate(rows)], SCHEMA)
+    got = mixing.mix(docs).groupBy("source_size").agg(F.max("target").alias("target"), F.sum("taken").alias("taken")).collect()
+    assert {r.source_size for r in got} == set(sizes.values())
+    for r in got:
+        assert abs(r.taken - r.target) <= 0.001 * r.target + 1, r
+    kept = Counter(r.source for r in mixing.materialise_mix(docs).select("source").collect())
+    assert all(kept[s] == 3 * sum(source == s for _, source in rows) for s in "cdefghi")
+
+
 def test_targets_share_the_excess():
     assert mixing.targets([10, 1000, 1000], [5.0, 2.0, 1.0]) == pytest.approx([30, 1320, 660])
     assert mixing.targets([], []) == [] and mixing.targets([0, 0], [5.0, 2.0]) == [0.0, 0.0]
