@@ -2,7 +2,7 @@
 
 Two first-order character models, one of random strings and one of ordinary identifiers, are counted
 from labelled samples; a long token whose log-likelihood ratio speaks for random is a span of kind
-`markov`, unless it overlaps a span of the fixed patterns. Positions are code points of the whole text,
+`markov`, unless a span of the fixed patterns holds it whole. Positions are code points of the whole text,
 ends exclusive.
 
 A null text is empty and holds nothing; repeated rows are scanned alike; an empty table gives an empty
@@ -133,8 +133,8 @@ def with_spans(docs: DataFrame, table: list[float], text_col: str = "text") -> D
 
     spans = gaps.select("row", "body", *[_placed(i, p, k).alias(f"s{i}") for i, (p, k) in enumerate(zip(patterns, (long_enough, yes, yes, random)))])
     based = spans.select("row", "body", "s3", F.sort_array(F.concat("s0", "s1", "s2")).alias("base"))
-    clear = lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-    return based.select("row", "body", "base", F.sort_array(F.concat("base", F.filter("s3", clear))).alias("all"))
+    adds = lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["stop"] <= b["stop"]))
+    return based.select("row", "body", "base", F.sort_array(F.concat("base", F.filter("s3", adds))).alias("all"))
 
 
 def _written(spans: str) -> Column:
