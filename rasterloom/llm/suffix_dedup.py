@@ -9,8 +9,8 @@ what their successive suffixes report.
 
 Matches inside one document do not count. Null texts hold no words; rows without an id are left out;
 repeated rows with the same id are one document; an empty table gives an empty result; other columns
-are ignored. Keys that more than `HELD` suffixes share are compared in pieces of that size, in suffix
-order across the pieces.
+are ignored. Both orders are sorted by range, so that the suffixes of one key spread over many tasks; the
+runs at the borders of the ranges are compared once more, next to each other.
 """
 
 from __future__ import annotations
@@ -22,14 +22,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.base import WordHashes, minimisers, window_hashes
+from rasterloom.llm.base import WordHashes, materialise, minimisers, window_hashes
 from rasterloom.llm.recurring import passes, recurring_filter
 
 PASSAGE, GRAM, SPREAD = 50, 8, 32
 #: Words after a position in its key, and words kept on both sides of it for the extension.
 KEY = PASSAGE - SPREAD + 1
 LEFT, RIGHT = SPREAD - 1, PASSAGE + 1
+#: Rows compared at a time.
 HELD = 100_000
+FOUND = "doc_id long, lo int, hi int, key long, at int, after binary, before binary"
 
 
 def suffixes(words: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,42 +104,61 @@ def _others(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def compare(rows: pd.DataFrame) -> pd.DataFrame:
-    """doc_id, lo, hi of the passages that rows, in (key, after) order, share with a neighbour."""
+    """doc_id, lo, hi of the passages that rows of an order by key share with a neighbour in it."""
     after, before = _words(rows["after"], RIGHT), _words(rows["before"], LEFT)
     key, doc, at = rows["key"].to_numpy(), rows["doc_id"].to_numpy(), rows["at"].to_numpy().astype(np.int64)
     lo, hi = np.full(len(rows), 1 << 40), np.full(len(rows), -1)
-    by_left = np.lexsort((np.unique(np.array(rows["before"], dtype=object), return_inverse=True)[1], key))
-    for order in (np.arange(len(rows)), by_left):
-        for other in _others(key[order], doc[order]):
-            i, j = order[other >= 0], order[other[other >= 0]]
-            right, left = _common(after, i, j), _common(before, i, j)
-            ok = right + left >= PASSAGE
-            i, right, left = i[ok], right[ok], left[ok]
-            lo[i], hi[i] = np.minimum(lo[i], at[i] - left), np.maximum(hi[i], at[i] + right)
+    for other in _others(key, doc):
+        i, j = np.flatnonzero(other >= 0), other[other >= 0]
+        right, left = _common(after, i, j), _common(before, i, j)
+        ok = right + left >= PASSAGE
+        i, right, left = i[ok], right[ok], left[ok]
+        lo[i], hi[i] = np.minimum(lo[i], at[i] - left), np.maximum(hi[i], at[i] + right)
     ok = hi > 0
-    return pd.DataFrame({"doc_id": doc[ok], "lo": lo[ok], "hi": hi[ok]})
+    return pd.DataFrame({"doc_id": doc[ok], "lo": lo[ok], "hi": hi[ok], "key": 0, "at": 0, "after": None, "before": None})
 
 
 def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Compares a sorted partition piece by piece, cutting between keys; a key with more than HELD rows
-    is cut inside, and the next piece starts with the last run of the one before."""
-    held = None
+    """Compares a sorted partition piece by piece. A piece starts with the last run (rows of one key and
+    document) of the one before and the row before that run. The first and the last run of the partition,
+    each with the row next to it, are given too, with hi = -1."""
+    held, first = None, True
+    border = lambda rows: rows.assign(lo=-1, hi=-1)
     for batch in batches:
         held = batch if held is None else pd.concat([held, batch], ignore_index=True)
         if len(held) < HELD:
             continue
-        key = held["key"].to_numpy()
-        cut = int(np.searchsorted(key, key[-1]))
-        if cut:
-            yield compare(held.iloc[:cut])
-            held = held.iloc[cut:].reset_index(drop=True)
-        else:
-            yield compare(held)
-            doc = held["doc_id"].to_numpy()
-            change = np.flatnonzero(doc[1:] != doc[:-1])
-            held = held.iloc[change[-1] if len(change) else len(held) - 1 :].reset_index(drop=True)
+        head, tail = _border_runs(held)
+        if tail == 0:
+            continue
+        yield compare(held)
+        if first:
+            yield border(held.iloc[: head + 1])
+            first = False
+        held = held.iloc[tail - 1 :].reset_index(drop=True)
     if held is not None and len(held):
         yield compare(held)
+        head, tail = _border_runs(held)
+        if first:
+            yield border(held.iloc[: head + 1])
+        yield border(held.iloc[max(tail - 1, 0) :])
+
+
+def _border_runs(rows: pd.DataFrame) -> tuple[int, int]:
+    """Where the first run stops and the last one starts."""
+    key, doc = rows["key"].to_numpy(), rows["doc_id"].to_numpy()
+    change = np.flatnonzero((key[1:] != key[:-1]) | (doc[1:] != doc[:-1])) + 1
+    return (int(change[0]), int(change[-1])) if len(change) else (len(rows), 0)
+
+
+def _spans(contexts: DataFrame, order: list[str]) -> DataFrame:
+    """doc_id, lo, hi of what suffixes share with their neighbours in an order, whole over all ranges: the
+    border runs are few rows a range, and are compared in one task."""
+    found = contexts.repartitionByRange(*order).sortWithinPartitions(*order)
+    found = materialise(found.mapInPandas(_neighbours, FOUND))
+    border = found.where("hi < 0").select(*contexts.columns).repartition(1).sortWithinPartitions(*order)
+    again = border.mapInPandas(_neighbours, FOUND)
+    return found.unionByName(again).where("hi >= 0").select("doc_id", "lo", "hi")
 
 
 def passages(docs: DataFrame) -> DataFrame:
@@ -147,9 +168,9 @@ def passages(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")
     )
     filter_, _ = recurring_filter(_keys(texts))
-    contexts = _contexts(texts, filter_)
-    found = contexts.repartition("key").sortWithinPartitions("key", "after", "doc_id", "at")
-    spans = found.mapInPandas(_neighbours, "doc_id long, lo int, hi int")
+    contexts = materialise(_contexts(texts, filter_))
+    by_right = _spans(contexts, ["key", "after", "before", "doc_id", "at"])
+    spans = by_right.unionByName(_spans(contexts, ["key", "before", "after", "doc_id", "at"]))
     each = spans.distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
     grow = lambda acc, s: F.when(
         (F.size(acc) > 0) & (F.element_at(acc, -1)["hi"] >= s["lo"]),

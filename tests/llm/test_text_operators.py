@@ -219,6 +219,35 @@ def test_suffix_pieces_keep_neighbours(spark, empty, monkeypatch):
     assert len(one.passage.split()) == one.stop - one.start
 
 
+def test_suffix_left_order_is_whole_under_a_hot_key(spark):
+    hashes = suffix_dedup.WordHashes()
+    kept = lambda t: suffix_dedup.suffixes(t.encode().split(), hashes)[1].tolist()
+    line = next(t for n in range(99) if (t := " ".join(f"b{n}x{i}" for i in range(30))) and min(kept("z " + t), default=0) >= 1)
+    inside = lambda t: kept(t) and min(kept(t)) >= 25 and {i - 25 for i in kept(t)} & {i - 1 for i in kept("z " + line)}
+    pair = next(t for n in range(9999) if inside(t := " ".join(f"o{n}x{i}" for i in range(25)) + " " + line))
+    n = 150_000
+    text = F.when(F.col("id").isin(0, n), pair).otherwise(F.concat(F.lit("u"), F.col("id"), F.lit(" " + line)))
+    docs = spark.range(n + 1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    got = {(r.doc_id, r.start, r.stop) for r in suffix_dedup.passages(docs).collect()}
+    assert got == {(0, 0, 55), (n, 0, 55)}
+
+
+def test_suffix_pieces_carry_their_border_runs(monkeypatch):
+    def row(doc, at):
+        words = lambda n, w: np.full(n, w, ">u4").tobytes()
+        return (7, doc, at, words(suffix_dedup.RIGHT, 1), words(suffix_dedup.LEFT, 2))
+
+    rows = [row(1, 100), *[row(2, 100 + i) for i in range(20)], row(3, 100)]
+    made = [suffix_dedup.pd.DataFrame([r], columns=["key", "doc_id", "at", "after", "before"]) for r in rows]
+    monkeypatch.setattr(suffix_dedup, "HELD", 3)
+    found = suffix_dedup.pd.concat(suffix_dedup._neighbours(iter(made)))
+    assert set(found[found.hi >= 0].doc_id) == {1, 2, 3} and len(found[(found.hi >= 0) & (found.doc_id == 2)].lo.unique()) == 20
+    parts = [suffix_dedup.pd.concat(suffix_dedup._neighbours(iter(made[a:b]))) for a, b in ((0, 1), (1, 9), (9, 21), (21, 22))]
+    border = suffix_dedup.pd.concat(parts).query("hi < 0").sort_values(["doc_id", "at"])
+    again = suffix_dedup.pd.concat(suffix_dedup._neighbours(iter([border])))
+    assert set(again[again.hi >= 0].doc_id) == {1, 2, 3}
+
+
 # -- Jaccard join
 
 
