@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import xxhash
@@ -18,10 +20,13 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none."""
+    """The folder that driver and executors share, as the session names it. Local sessions, as in tests,
+    get one; a cluster must name its own, as no executor sees another's folders."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"{tempfile.mkdtemp(prefix='spark-')}/shared"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
@@ -57,6 +62,99 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+
+#: Odd multiplier of the positional word hash, its inverse modulo 2^64, and bytes hashed at a time.
+_BASE = 0xD6E8FEB86659FD93
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_SPAN = 1 << 17
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """1, base, base^2, ... modulo 2^64, by doubling."""
+    out = np.ones(n, np.uint64)
+    have, step = 1, base
+    while have < n:
+        more = min(have, n - have)
+        out[have : have + more] = out[:more] * np.uint64(step)
+        have, step = have + more, step * step % (1 << 64)
+    return out
+
+
+def _letters() -> np.ndarray:
+    """A fixed random value for each byte; the space has 0."""
+    out = np.random.default_rng(17).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+    out[32] = 0
+    return out
+
+
+_LETTERS, _UP, _DOWN = _letters(), _powers(_BASE, _SPAN), _powers(_INVERSE, _SPAN)
+
+
+def word_hashes(blob: bytes, starts: np.ndarray) -> np.ndarray:
+    """64-bit hash of every word of a text whose words are joined by one space and start at `starts`: a
+    positional sum over its bytes, scrambled. Equal words have equal hashes wherever they stand."""
+    data = np.frombuffer(blob, np.uint8)
+    out, a = np.empty(len(starts), np.uint64), 0
+    while a < len(starts):
+        begin = int(starts[a])
+        b = max(a + 1, int(np.searchsorted(starts, begin + _SPAN, "right")) - 1)
+        if b == len(starts) - 1 and len(data) - begin <= _SPAN:
+            b += 1
+        end = len(data) if b == len(starts) else int(starts[b])
+        if end - begin > _SPAN:  # one word that is longer than a portion
+            out[a] = xxhash.xxh64_intdigest(data[begin:end].tobytes().rstrip())
+        else:
+            at = starts[a:b] - begin
+            values = _LETTERS[data[begin:end]] * _UP[: end - begin]
+            out[a:b] = mixed(np.add.reduceat(values, at) * _DOWN[at])
+        a = b
+    return out
+
+
+@dataclass
+class Portion:
+    """Texts laid end to end, all separators turned to spaces: their rows in the batch, numbers of words,
+    the words' first bytes, and the words' hashes."""
+
+    rows: np.ndarray
+    lengths: np.ndarray
+    blob: bytes
+    starts: np.ndarray
+    hashes: np.ndarray
+
+    def stretch(self, first: int, stop: int) -> bytes:
+        """Words first up to stop (exclusive), joined by one space."""
+        end = len(self.blob) if stop == len(self.starts) else int(self.starts[stop])
+        found = self.blob[self.starts[first] : end].rstrip(b" ")
+        return b" ".join(found.split()) if b"  " in found else found
+
+
+_TO_SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+
+
+def portions(texts: Iterable[bytes | None], size: int = 1 << 18) -> Iterator[Portion]:
+    """All texts (null: empty), some bytes at a time: numpy calls then cost little even where texts are
+    short. A text is never split between portions."""
+    parts, first, held = [], 0, 0
+
+    def laid() -> Portion:
+        blob = b" ".join(parts).translate(_TO_SPACES)
+        inside = np.concatenate([[False], np.frombuffer(blob, np.uint8) != 32])
+        starts = np.flatnonzero(inside[1:] & ~inside[:-1])
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+        lengths = np.diff(np.searchsorted(starts, ends), prepend=0)
+        return Portion(np.arange(first, first + len(parts)), lengths, blob, starts, word_hashes(blob, starts))
+
+    for text in texts:
+        parts.append(text or b"")
+        held += len(parts[-1]) + 1
+        if held >= size:
+            yield laid()
+            parts, first, held = [], first + len(parts), 0
+    if parts:
+        yield laid()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -85,14 +183,16 @@ def sliding(fn, x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def minimisers(h: np.ndarray, width: int) -> np.ndarray:
+def minimisers(h: np.ndarray, width: int, valid: np.ndarray | None = None) -> np.ndarray:
     """Positions that hold the smallest value of some window of `width` entries (all positions that
-    tie). Equal stretches of two texts choose equal positions; fewer entries than a window form one."""
-    if len(h) <= width:
-        return np.flatnonzero(h == h.min()) if len(h) else np.empty(0, np.int64)
+    tie), of windows where `valid` says so. Equal stretches of two texts choose equal positions."""
+    if len(h) < width:
+        return np.empty(0, np.int64)
     low = sliding(np.minimum, h, width)
+    if valid is not None:
+        low = np.where(valid, low, np.uint64(0))
     edge = np.zeros(width - 1, np.uint64)
-    return np.flatnonzero(sliding(np.maximum, np.concatenate([edge, low, edge]), width) == h)
+    return np.flatnonzero((sliding(np.maximum, np.concatenate([edge, low, edge]), width) == h) & (h != 0))
 
 
 def kth_largest(df: DataFrame, col: str, k: int, bins: int = 4096) -> float | None:

@@ -1,11 +1,13 @@
 """Substring dedup by repeated-phrase automata.
 
-A window is 13 consecutive words. Each window names an anchor, its smallest 4-word hash, so equal
+A window is 13 consecutive words. Each window names an anchor, its smallest 5-word hash, so equal
 windows name equal anchors. Anchors that occur in several documents are found first and put in a bit
-filter of bounded size; stretches of text around such anchors are dealt by anchor to shards. A shard
-confirms the windows that recur, compiles them into an Aho-Corasick automaton over words, streams every
-distinct stretch through it, and so learns of each window the first document. Every occurrence of a
-stretch then takes over what was located in it, and words under windows known from a smaller doc_id go.
+filter of bounded size; stretches of text around such anchors are dealt by anchor to shards. Anchors
+with very many occurrences are dealt window by window instead, by the window's own hash, so that no
+shard grows with one phrase. A shard confirms the passages that recur, compiles them into an
+Aho-Corasick automaton over words, streams every distinct stretch through it, and so learns of each
+window the first document. Every occurrence of a stretch then takes over what was located in it, and
+words under windows known from a smaller doc_id go.
 
 Null texts hold no words; texts under 13 words keep all; repeated rows with the same id do not remove
 each other, nor do rows without an id, which keep all their words; an empty table gives an empty
@@ -24,91 +26,84 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.base import WordHashes, sliding, window_hashes
-from rasterloom.llm.recurring import passes, recurring_filter
+from rasterloom.llm.base import mixed, portions, sliding, window_hashes
+from rasterloom.llm.recurring import Recurring, passes, recurring
 
-WINDOW, ANCHOR = 13, 4
-#: Recurring anchors per shard; an automaton holds the windows of one shard.
-SHARD_KEYS = 4000
+WINDOW, ANCHOR = 13, 5
+#: Occurrences from which an anchor is dealt by window, and stretches expected in a shard; an automaton
+#: holds the recurring passages of one shard.
+HOT, SHARD_ROWS = 20_000, 20_000
 
 
 def runs(lengths: np.ndarray, h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, key, first window, last window) of every run of windows that share an anchor, over texts
-    laid end to end: their numbers of words and word hashes; windows are places in the whole."""
-    grams = window_hashes(h, ANCHOR)
+    """(text, key, first window, last window) of every run of neighbouring windows with the same anchor,
+    at most as many as a window has anchors, over texts laid end to end: their numbers of words and word
+    hashes; windows are places in the whole."""
     span = window - ANCHOR + 1
-    if len(grams) < span:
-        none = np.empty(0, np.int64)
-        return none, none.view(np.uint64), none, none
-    low = sliding(np.minimum, grams, span)
-    n = len(low)
-    at = np.zeros(n, np.int64)
-    for j in range(span - 1, -1, -1):  # the leftmost of equal hashes
-        hit = np.flatnonzero(grams[j : j + n] == low)
-        at[hit] = hit + j
-    text = np.repeat(np.arange(len(lengths)), lengths)[:n]
-    inside = np.flatnonzero(np.arange(n) + window <= np.cumsum(lengths)[text])
+    low = sliding(np.minimum, window_hashes(h, ANCHOR), span) if len(h) >= window else np.empty(0, np.uint64)
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    inside = np.flatnonzero(text[: len(low)] == text[window - 1 :]) if len(low) else np.empty(0, np.int64)
     if not len(inside):
-        return text[:0], low[:0], at[:0], at[:0]
-    a, t = at[inside], text[inside]
-    begin = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (t[1:] != t[:-1])]))
+        return inside, low[inside], inside, inside
+    key = low[inside]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (inside[1:] != inside[:-1] + 1)])
+    begins = np.flatnonzero(new)
+    along = np.arange(len(inside)) - np.repeat(begins, np.diff(np.append(begins, len(inside))))
+    begin = np.flatnonzero(along % span == 0)
     first, last = inside[begin], inside[np.append(begin[1:], len(inside)) - 1]
-    return t[begin], low[first], first, last
-
-
-def _portions(batch: pd.DataFrame, hashes: WordHashes, words: int = 30_000):
-    """(rows, words laid end to end, lengths, hashes) of consecutive texts of a batch, a portion of some
-    words at a time: numpy calls then cost little even where texts are short."""
-    rows, flat, lengths = [], [], []
-    for i, text in enumerate(batch["text"]):
-        own = text.split()
-        rows.append(i)
-        flat += own
-        lengths.append(len(own))
-        if len(flat) >= words:
-            yield np.array(rows), flat, np.array(lengths), hashes.of(flat)
-            rows, flat, lengths = [], [], []
-    if rows:
-        yield np.array(rows), flat, np.array(lengths), hashes.of(flat)
+    return text[first], key[begin], first, last
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for batch in batches:
             ids = batch["doc_id"].to_numpy()
-            for rows, _, lengths, h in _portions(batch, hashes):
-                text, key, _, _ = runs(lengths, h)
-                yield pd.DataFrame({"key": key.view(np.int64), "doc_id": ids[rows[text]]})
+            for p in portions(batch["text"]):
+                text, key, _, _ = runs(p.lengths, p.hashes)
+                yield pd.DataFrame({"key": key.view(np.int64), "doc_id": ids[p.rows[text]]})
 
     return docs.mapInPandas(run, "key long, doc_id long")
 
 
-def _stretches(docs: DataFrame, filter_, with_text: bool) -> DataFrame:
+def _candidates(p, found: Recurring) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key, first window, last window) of the runs whose anchor may recur; runs of frequent anchors
+    fall apart into windows, each under its own hash."""
+    text, key, first, last = runs(p.lengths, p.hashes)
+    ok = passes(key, found.filter.value)
+    text, key, first, last = text[ok], key[ok], first[ok], last[ok]
+    hot = passes(key, found.hot_filter.value) if found.hot else np.zeros(len(key), bool)
+    if not hot.any():
+        return text, key, first, last
+    each = (last - first + 1)[hot]
+    windows = np.repeat(first[hot], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    own = window_hashes(p.hashes, WINDOW)[windows]
+    cool = ~hot
+    join = lambda a, b: np.concatenate([a, b])
+    return join(text[cool], np.repeat(text[hot], each)), join(key[cool], own), join(first[cool], windows), join(last[cool], windows)
+
+
+def _stretches(docs: DataFrame, found: Recurring, with_text: bool) -> DataFrame:
     """Stretches around anchors that may recur: their text with its smallest and largest document in
     the batch, or the digest of the text with the place."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for batch in batches:
             ids, marks = batch["doc_id"].to_numpy(), batch["mark"].to_numpy()
             low: dict[tuple[int, bytes], int] = {}
             high: dict[tuple[int, bytes], int] = {}
-            for rows, words, lengths, h in _portions(batch, hashes):
-                text, key, first, last = runs(lengths, h)
-                ok = passes(key, filter_.value)
-                text, key, first = text[ok], key[ok], first[ok]
-                found = [b" ".join(words[a:b]) for a, b in zip(first.tolist(), (last[ok] + WINDOW).tolist())]
-                row = rows[text]
+            for p in portions(batch["text"]):
+                text, key, first, last = _candidates(p, found)
+                texts = list(map(p.stretch, first.tolist(), (last + WINDOW).tolist()))
+                row = p.rows[text]
                 if with_text:
-                    for pair, doc in zip(zip(key.view(np.int64).tolist(), found), ids[row].tolist()):
+                    for pair, doc in zip(zip(key.view(np.int64).tolist(), texts), ids[row].tolist()):
                         if doc < low.setdefault(pair, doc):
                             low[pair] = doc
                         if doc > high.setdefault(pair, doc):
                             high[pair] = doc
                 else:
-                    at = first - (np.cumsum(lengths) - lengths)[text]
-                    yield pd.DataFrame({"digest": list(map(xxhash.xxh3_128_digest, found)), "doc_id": ids[row], "mark": marks[row], "at": at.astype(np.int32)})
+                    at = first - (np.cumsum(p.lengths) - p.lengths)[text]
+                    yield pd.DataFrame({"digest": list(map(xxhash.xxh3_128_digest, texts)), "doc_id": ids[row], "mark": marks[row], "at": at.astype(np.int32)})
             if low:
                 keys, texts = zip(*low)
                 yield pd.DataFrame({"key": keys, "stretch": texts, "low": list(low.values()), "high": [high[p] for p in low]})
@@ -117,41 +112,79 @@ def _stretches(docs: DataFrame, filter_, with_text: bool) -> DataFrame:
     return docs.mapInPandas(run, schema)
 
 
-class _Letters(dict):
-    """Word -> one character, surrogates left out."""
-
-    def __missing__(self, word: bytes) -> str:
-        n = len(self) + 1
-        letter = self[word] = chr(n if n < 0xD800 else n + 0x800)
-        return letter
-
-
-def locate(stretches: list[bytes], low: list[int], high: list[int], window: int = WINDOW) -> list[list[tuple[int, int]]]:
-    """For each distinct stretch, with the smallest and largest document it occurs in, the windows that
-    some document repeats: (offset in words, first document). A word becomes one character, a window a
-    string of 13."""
-    letters = _Letters()
-    coded = ["".join(map(letters.__getitem__, s.split(b" "))) for s in stretches]
-    first: dict[str, int] = {}
-    last: dict[str, int] = {}
-    for text, a, b in zip(coded, low, high):
-        for i in range(len(text) - window + 1):
-            w = text[i : i + window]
-            if (f := first.get(w)) is None:
-                first[w], last[w] = a, b
-            else:
-                if a < f:
-                    first[w] = a
-                if b > last[w]:
-                    last[w] = b
+class _Numbers(dict):
+    """Word -> its number."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def _spelled(numbers: np.ndarray, n_words: int) -> tuple[str, int]:
+    """(string, characters per word): each number as so many digits to the base 64, every digit from its
+    own alphabet, so that a match can only begin at a word and no number of words is too large."""
+    width = max(1, -(-(n_words - 1).bit_length() // 6))
+    places = np.arange(width)
+    digits = (numbers[:, None] >> (6 * places)) & 63
+    return (digits + 64 * places + 1).astype("<u4").tobytes().decode("utf-32-le"), width
+
+
+def confirmed(numbers: np.ndarray, lengths: np.ndarray, low: np.ndarray, high: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first document, recurs) of every window of stretches laid end to end. Windows are grouped by
+    hash and every member of a group is compared with its first, word by word."""
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    n = len(numbers) - window + 1
+    at = np.flatnonzero(text[:n] == text[window - 1 :]) if n > 0 else np.empty(0, np.int64)
+    if not len(at):
+        return at, at, np.empty(0, bool)
+    h = window_hashes(mixed(numbers.astype(np.uint64)), window)[at]
+    order = np.argsort(h, kind="stable")
+    group = np.cumsum(np.concatenate([[True], h[order][1:] != h[order][:-1]])) - 1
+    begin = np.flatnonzero(np.diff(group, prepend=-1))
+    head = at[order][begin][group]
+    if any((numbers[at[order] + j] != numbers[head + j]).any() for j in range(window)):
+        rows = numbers[at[:, None] + np.arange(window)]
+        group = np.unique(rows, axis=0, return_inverse=True)[1].ravel()
+        order = np.argsort(group, kind="stable")
+        group = group[order]
+        begin = np.flatnonzero(np.diff(group, prepend=-1))
+    owner = text[at]
+    first = np.empty(len(at), np.int64)
+    first[order] = np.minimum.reduceat(low[owner][order], begin)[group]
+    last = np.empty(len(at), np.int64)
+    last[order] = np.maximum.reduceat(high[owner][order], begin)[group]
+    return at, first, first < last
+
+
+def locate(stretches: list[bytes], low: np.ndarray, high: np.ndarray, window: int = WINDOW) -> list[tuple[list[int], list[int]]]:
+    """For each distinct stretch, with the smallest and largest document it occurs in, the windows that a
+    smaller document repeats: (offsets in words, first documents). The automaton's phrases are the passages
+    all of whose windows recur."""
+    known = _Numbers()
+    words = b" ".join(stretches).split(b" ") if stretches else []
+    numbers = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    lengths = np.fromiter((s.count(b" ") + 1 for s in stretches), np.int64, len(stretches))
+    at, first, recurs = confirmed(numbers, lengths, np.asarray(low), np.asarray(high), window)
+    at, first = at[recurs], first[recurs]
+    if not len(at):
+        return [([], []) for _ in stretches]
+    spelled, width = _spelled(numbers, len(known))
+    text = np.searchsorted(np.cumsum(lengths), at, "right")
+    begin = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1])]))
+    stops = np.append(begin[1:], len(at))
     automaton = ahocorasick.Automaton()
-    for w, a in first.items():
-        if a < last[w]:
-            automaton.add_word(w, a)
-    if not len(automaton):
-        return [[] for _ in stretches]
+    for a, b in zip(begin.tolist(), stops.tolist()):
+        automaton.add_word(spelled[at[a] * width : (at[b - 1] + window) * width], (int(at[b - 1] - at[a]) + window, a, b))
     automaton.make_automaton()
-    return [[(end - window + 1, a) for end, a in automaton.iter(text) if a < b] for text, b in zip(coded, high)]
+    firsts, out, where = first.tolist(), [], 0
+    for n, most in zip(lengths.tolist(), np.asarray(high).tolist()):
+        here: dict[int, int] = {}
+        for end, (size, a, b) in automaton.iter(spelled[where * width : (where + n) * width]):
+            start = (end + 1) // width - size
+            here.update((start + i - a, firsts[i]) for i in range(a, b) if firsts[i] < most)
+        out.append((list(here), list(here.values())))
+        where += n
+    return out
 
 
 def _located(stretches: DataFrame, shards: int) -> DataFrame:
@@ -163,8 +196,8 @@ def _located(stretches: DataFrame, shards: int) -> DataFrame:
     distinct = dealt.groupBy("shard", "key", "stretch").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        found = locate(list(part["stretch"]), part["low"].tolist(), part["high"].tolist())
-        rows = [(xxhash.xxh3_128_digest(s), [a for a, _ in f], [d for _, d in f]) for s, f in zip(part["stretch"], found) if f]
+        found = locate(list(part["stretch"]), part["low"].to_numpy(), part["high"].to_numpy())
+        rows = [(xxhash.xxh3_128_digest(s), *f) for s, f in zip(part["stretch"], found) if f[0]]
         return pd.DataFrame(rows, columns=["digest", "offsets", "firsts"])
 
     return distinct.groupBy("shard").applyInPandas(run, "digest binary, offsets array<int>, firsts array<long>")
@@ -175,12 +208,13 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     texts = docs.where("doc_id is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text")
     )
-    filter_, n = recurring_filter(_anchors(texts.drop("mark")))
-    located = _located(_stretches(texts, filter_, True), max(8, n // SHARD_KEYS))
+    found = recurring(_anchors(texts.drop("mark")), HOT)
+    rows = found.rows + found.hot * (WINDOW - ANCHOR + 1)
+    located = _located(_stretches(texts, found, True), max(8, rows // SHARD_ROWS))
     pairs = F.arrays_zip("offsets", "firsts")
     old = F.filter(pairs, lambda p: p["firsts"] < F.col("doc_id"))
     starts = F.transform(old, lambda p: p["offsets"] + F.col("at"))
-    hits = _stretches(texts, filter_, False).join(located, "digest").select("doc_id", "mark", starts.alias("starts"))
+    hits = _stretches(texts, found, False).join(located, "digest").select("doc_id", "mark", starts.alias("starts"))
     return hits.where(F.size("starts") > 0).groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
