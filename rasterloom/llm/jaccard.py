@@ -4,8 +4,10 @@ Copies (equal word sequences) fold into one representative first. Representative
 signature cut into bands, whose number and rows are chosen for a target recall at the threshold; band
 hashes are shuffled and each bucket points its members at its smallest, so buckets cost rows, not
 pairs. The connected parts of that graph hold every pair that shares a bucket. Inside a part the full
-n-gram sets decide: parts are compared block against block in numpy, whatever their size, and what
-leaves a block is a link count and a spanning forest, never the pairs.
+n-gram sets decide. A part is compared as one where that is no more work than its buckets one by one;
+else (long chains of texts) bucket by bucket, a pair counting in its first common band only, so that
+no more pairs are verified than share a bucket. Both ways compare block against block in numpy,
+whatever the size, and what leaves a block is a link count and a spanning forest, never the pairs.
 
 A text with fewer words than an n-gram is one n-gram; null texts and texts without words link to
 nothing; repeated rows are copies of each other; rows that share an id but not a text share their
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.base import WordHashes, materialise, window_hashes
+from rasterloom.llm.base import Portion, materialise, portions, window_hashes
 from rasterloom.llm.graph import components
 from rasterloom.llm.recurring import bit_filter, passes
 
@@ -43,14 +45,14 @@ def choose_bands(threshold: float, recall: float, most: int = 128) -> tuple[int,
     return best
 
 
-def grams(text: bytes | None, hashes: WordHashes, n: int = N) -> np.ndarray:
-    """Hashes of the n-grams of a text, repeats included."""
-    words = text.split() if text else []
-    return window_hashes(hashes.of(words), min(n, len(words))) if words else np.empty(0, np.uint64)
-
-
-def text_key(text: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(b" ".join(text.split()))
+def grams(p: Portion, n: int = N) -> Iterator[tuple[np.ndarray, bytes]]:
+    """(hashes of the n-grams, repeats included; words joined by one space) of every text of a portion."""
+    whole, at = window_hashes(p.hashes, n), 0
+    for words in p.lengths.tolist():
+        stop = at + words
+        own = whole[at : stop - n + 1] if words >= n else window_hashes(p.hashes[at:stop], words) if words else whole[:0]
+        yield own, p.stretch(at, stop) if words else b""
+        at = stop
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, n: int = N) -> DataFrame:
@@ -60,11 +62,9 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int = N) -> DataFrame:
     salts = rng.integers(0, 1 << 63, bands * rows, np.uint64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for batch in batches:
             keys, found = [], []
-            for text in batch["text"]:
-                g = grams(text, hashes, n)
+            for g, text in (pair for p in portions(batch["text"]) for pair in grams(p, n)):
                 if not len(g):
                     keys.append(None)
                     found.append(None)
@@ -76,7 +76,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int = N) -> DataFrame:
                 mixed = np.arange(bands, dtype=np.uint64) + np.uint64(1)
                 for j in range(rows):
                     mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + cut[:, j]
-                keys.append(text_key(text))
+                keys.append(xxhash.xxh3_128_digest(text))
                 found.append((mixed ^ (mixed >> np.uint64(32))).view(np.int64))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "key": keys, "bands": found})
 
@@ -111,7 +111,8 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _linked(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links and forest of one part, or of two blocks of one part (then only across them)."""
+    """Links and forest of one part or bucket, or of two blocks of one (then only across them). In a bucket
+    of band t, pairs that agree in an earlier band give no link: they were counted there."""
     sets = [np.frombuffer(b, np.uint64) for b in part["grams"]]
     sizes = np.array([len(s) for s in sets], np.float64)
     common = shared_counts(sets)
@@ -121,6 +122,10 @@ def _linked(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
     side = part["side"].to_numpy()
     if part["i"].iat[0] != part["j"].iat[0]:
         hit &= side[:, None] != side[None, :]
+    turn = part["turn"].iat[0]
+    if turn > 0:
+        for band in np.stack(part["bands"])[:, :turn].T:
+            hit &= band[:, None] != band[None, :]
     nodes = part["node"].to_numpy()
     links = hit @ part["copies"].to_numpy(np.float64)
     up = np.arange(len(nodes))
@@ -134,26 +139,41 @@ def _linked(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"node": nodes, "links": links.astype(np.int64), "up": nodes[up]})
 
 
+def comparisons(parts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """node, key, copies, part, turn, bands, blocks, own: where each node is to be compared. `parts` has
+    node, key, copies, bands and component. A component of at most `block` members, or whose members
+    squared are no more than its buckets' members squared, is one part (turn -1); of the others every
+    shared bucket is a part, under the number of its band."""
+    sizes = parts.groupBy("component").agg(F.count("*").alias("members")).where("members > 1")
+    large = sizes.where(F.col("members") > block)
+    by_band = parts.join(large.hint("merge"), "component").select("component", "members", "node", "key", "copies", "bands", F.posexplode("bands").alias("turn", "band"))
+    buckets = by_band.groupBy("component", "members", "turn", "band").agg(F.count("*").alias("n")).where("n > 1")
+    work = buckets.groupBy("component", "members").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+    sparse = materialise(work.where(F.col("pairs") < F.col("members") * F.col("members")).select("component"))
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int").alias("blocks")
+    none = F.lit(None).cast("array<bigint>").alias("bands")
+    whole = parts.join(sizes, "component").join(sparse.hint("merge"), "component", "left_anti")
+    whole = whole.select("node", "key", "copies", F.col("component").alias("part"), F.lit(-1).alias("turn"), none, blocks("members"))
+    cut = by_band.join(sparse.hint("merge"), "component", "left_semi").join(buckets.drop("members"), ["component", "turn", "band"])
+    cut = cut.select("node", "key", "copies", F.xxhash64("component", "turn", "band").alias("part"), "turn", "bands", blocks("n"))
+    return whole.unionByName(cut).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
 def verified(docs: DataFrame, parts: DataFrame, n: int = N, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """node, links, up: for each block pair of each part, what the full n-gram sets link.
 
-    `parts` has node, key, copies and component. A part of more than `block` members is dealt by hash
-    into blocks, and every two blocks meet in one group; smaller parts share groups of bounded size."""
-    sizes = parts.groupBy("component").agg(F.count("*").alias("members")).where("members > 1")
-    blocks = F.ceil(F.col("members") / F.lit(block)).cast("int")
-    placed = parts.join(sizes, "component").withColumn("blocks", blocks).drop("members")
-    placed = materialise(placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-
+    A part of more than `block` members is dealt by hash into blocks, and every two blocks meet in one
+    group; smaller parts share groups of bounded size."""
+    placed = materialise(comparisons(parts, block))
     # A bit filter of the parts' ids keeps other texts from being shuffled; what it lets through by
     # chance goes in the join.
     filter_, n_nodes = bit_filter(placed.select(F.xxhash64("node").alias("key")).distinct())
 
     def to_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for batch in batches:
             batch = batch[passes(batch["hash"].to_numpy(), filter_.value)]
-            sets = [np.unique(grams(t, hashes, n)).tobytes() for t in batch["text"]]
-            yield pd.DataFrame({"node": batch["node"], "key": [text_key(t) for t in batch["text"]], "grams": sets})
+            made = [(np.unique(g).tobytes(), xxhash.xxh3_128_digest(t)) for p in portions(batch["text"]) for g, t in grams(p, n)]
+            yield pd.DataFrame({"node": batch["node"], "key": [k for _, k in made], "grams": [g for g, _ in made]})
 
     texts = docs.where("doc_id is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("node"), F.xxhash64(F.col("doc_id").cast("long")).alias("hash"), F.col("text").cast("binary").alias("text")
@@ -168,12 +188,12 @@ def verified(docs: DataFrame, parts: DataFrame, n: int = N, threshold: float = T
     )
     # Small parts share groups of about four blocks' members; a pair of blocks is a group of its own.
     groups = max(64, n_nodes // (4 * block))
-    home = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(groups))).otherwise(
-        F.xxhash64("component", "i", "j")
+    home = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("part"), F.lit(groups))).otherwise(
+        F.xxhash64("part", "i", "j")
     )
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        out = [_linked(p, threshold) for _, p in group.groupby(["component", "i", "j"], sort=False) if len(p) > 1]
+        out = [_linked(p, threshold) for _, p in group.groupby(["part", "turn", "i", "j"], sort=False) if len(p) > 1]
         return pd.concat(out) if out else pd.DataFrame({"node": [], "links": [], "up": []}, dtype="int64")
 
     sets = sets.withColumn("home", home).drop("other", "own", "blocks")
@@ -192,7 +212,7 @@ def link(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     lows = banded.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
     edges = banded.join(lows, "band").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
     parts = components(edges)
-    parts = materialise(parts.join(reps.select("node", "key", "copies"), "node"))
+    parts = materialise(parts.join(reps, "node"))
     found = materialise(verified(docs, parts, n, threshold))
     labels = components(found.select(F.col("node").alias("a"), F.col("up").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
