@@ -45,24 +45,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, remembered for the words met lately (at most `keep`)."""
-
-    def __init__(self, keep: int = 300_000):
-        super().__init__()
-        self.keep = keep
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.keep:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-
 #: Odd multiplier of the positional word hash, its inverse modulo 2^64, and bytes hashed at a time.
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)

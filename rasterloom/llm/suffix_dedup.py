@@ -2,15 +2,21 @@
 
 Suffixes are kept only at minimiser positions, chosen by content, so that equal passages keep equal
 suffixes: every 50-word passage holds one of them within its first 32 words. Suffixes whose next 19
-words occur in several documents are sorted; each is compared with its nearest neighbours of other
-documents in suffix order, and in the order of the words before it; the match is extended to the
-right and to the left, and makes a repeated passage from 50 words on. Longer passages are the union of
-what their successive suffixes report.
+words occur in several documents are dealt by those words. Each task sorts its suffixes by the words
+after them, and once more by the words before them, and compares neighbours in both orders; the common
+lengths cut either order into intervals of suffixes that agree in d words to the right, or in 50 - d
+words to the left. Suffixes in the same interval of both orders, for some d, stand in the same 50-word
+passage, and the match is extended to the largest such d and 50 - d. Every pair of suffixes is covered
+by its intervals, not only neighbours. Longer passages are the union of what their successive suffixes
+report.
+
+Nineteen words with very many occurrences are not dealt to one task: their suffixes are matched by the
+hashes of the 50-word passages around them, a row for each passage, which Spark spreads evenly.
 
 Matches inside one document do not count. Null texts hold no words; rows without an id are left out;
 repeated rows with the same id are one document; an empty table gives an empty result; other columns
-are ignored. Both orders are sorted by range, so that the suffixes of one key spread over many tasks; the
-runs at the borders of the ranges are compared once more, next to each other.
+are ignored. A word stands for its 32-bit hash within a key (64 bits), passages of frequent keys for
+128 bits.
 """
 
 from __future__ import annotations
@@ -19,146 +25,164 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.base import WordHashes, materialise, minimisers, window_hashes
-from rasterloom.llm.recurring import passes, recurring_filter
+from rasterloom.llm.base import Portion, materialise, minimisers, mixed, portions, window_hashes
+from rasterloom.llm.recurring import Recurring, passes, recurring
 
 PASSAGE, GRAM, SPREAD = 50, 8, 32
 #: Words after a position in its key, and words kept on both sides of it for the extension.
 KEY = PASSAGE - SPREAD + 1
-LEFT, RIGHT = SPREAD - 1, PASSAGE + 1
-#: Rows compared at a time.
-HELD = 100_000
-FOUND = "doc_id long, lo int, hi int, key long, at int, after binary, before binary"
+LEFT, RIGHT = SPREAD - 1, PASSAGE
+#: Occurrences from which a key is matched by passage, and suffixes expected in a task.
+HOT, SHARD_ROWS = 20_000, 40_000
+CONTEXT = "key long, doc_id long, at int, after binary, before binary"
 
 
-def suffixes(words: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, kept positions, keys): the sparse suffix array's entries of one text."""
-    h = hashes.of(words)
-    at = minimisers(window_hashes(h, GRAM), SPREAD)
-    at = at[at + KEY <= len(h)]
-    return h, at, window_hashes(h, KEY)[at] if len(at) else np.empty(0, np.uint64)
+def suffixes(p: Portion) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, kept position, key) of the sparse suffix array's entries; positions are places in the whole."""
+    text = np.repeat(np.arange(len(p.lengths)), p.lengths)
+    grams, span = window_hashes(p.hashes, GRAM), GRAM + SPREAD - 1
+    whole = text[: max(len(text) - span + 1, 0)] == text[span - 1 :]
+    at = minimisers(grams, SPREAD, whole)
+    ends = np.cumsum(p.lengths)
+    at = at[at + KEY <= ends[text[at]]]
+    return text[at], at, window_hashes(p.hashes, KEY)[at]
 
 
 def _keys(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for batch in batches:
-            keys = [np.unique(suffixes(t.split(), hashes)[2]) for t in batch["text"]]
-            n = [len(k) for k in keys]
-            yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "doc_id": np.repeat(batch["doc_id"].to_numpy(), n)})
+            ids = batch["doc_id"].to_numpy()
+            for p in portions(batch["text"]):
+                text, _, key = suffixes(p)
+                yield pd.DataFrame({"key": key.view(np.int64), "doc_id": ids[p.rows[text]]})
 
     return docs.mapInPandas(run, "key long, doc_id long")
 
 
-def _contexts(docs: DataFrame, filter_) -> DataFrame:
+def _chosen(p: Portion, found: Recurring, hot: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes whose key may recur: the frequent ones or the others."""
+    text, at, key = suffixes(p)
+    ok = passes(key, found.filter.value)
+    if found.hot:
+        ok &= passes(key, found.hot_filter.value) == hot
+    return text[ok], at[ok], key[ok]
+
+
+def _contexts(docs: DataFrame, found: Recurring) -> DataFrame:
     """key, doc_id, at and the 32-bit word hashes after (`after`) and, backwards, before (`before`) each
     suffix that may recur; 0 stands for the end of the text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for batch in batches:
-            out = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                h, at, keys = suffixes(text.split(), hashes)
-                ok = passes(keys, filter_.value)
-                if not ok.any():
+            ids = batch["doc_id"].to_numpy()
+            for p in portions(batch["text"]):
+                text, at, key = _chosen(p, found, False)
+                if not len(at):
                     continue
-                at, keys = at[ok], keys[ok]
-                small = (h >> np.uint64(32)).astype(">u4") | np.uint32(1)
-                padded = np.concatenate([np.zeros(LEFT, ">u4"), small.astype(">u4"), np.zeros(RIGHT, ">u4")])
-                after = padded[at[:, None] + LEFT + np.arange(RIGHT)].astype(">u4")
-                before = padded[at[:, None] + LEFT - 1 - np.arange(LEFT)].astype(">u4")
-                out.append(pd.DataFrame({"key": keys.view(np.int64), "doc_id": doc, "at": at.astype(np.int32), "after": [a.tobytes() for a in after], "before": [b.tobytes() for b in before]}))
-            if out:
-                yield pd.concat(out)
+                ends = np.cumsum(p.lengths)[text][:, None]
+                begins = ends - p.lengths[text][:, None]
+                small = (p.hashes >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
-    return docs.mapInPandas(run, "key long, doc_id long, at int, after binary, before binary")
+                def around(places: np.ndarray) -> list[bytes]:
+                    inside = (places >= begins) & (places < ends)  # noqa: B023
+                    found_ = np.where(inside, small[np.clip(places, 0, len(small) - 1)], np.uint32(0))  # noqa: B023
+                    flat = found_.astype(">u4").tobytes()
+                    width = 4 * places.shape[1]
+                    return [flat[i : i + width] for i in range(0, len(flat), width)]
 
+                after, before = around(at[:, None] + np.arange(RIGHT)), around(at[:, None] - 1 - np.arange(LEFT))
+                own = (at - begins[:, 0]).astype(np.int32)
+                yield pd.DataFrame({"key": key.view(np.int64), "doc_id": ids[p.rows[text]], "at": own, "after": after, "before": before})
 
-def _words(column: pd.Series, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), ">u4").reshape(-1, width)
+    return docs.mapInPandas(run, CONTEXT)
 
 
-def _common(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of rows i and j."""
-    a = x[i]
-    differ = (a != x[j]) | (a == 0)
-    return np.where(differ.any(1), differ.argmax(1), x.shape[1])
+def _words(column: pd.Series, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), ">u4").reshape(-1, width)
 
 
-def _others(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every row of an order, the nearest row before and after it of another document under the same
-    key; -1 where there is none."""
-    n = len(key)
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
-    begins = np.flatnonzero(new)
-    run = np.cumsum(new) - 1
-    before = begins[run] - 1
-    after = np.append(begins[1:], n)[run]
-    before[(before >= 0) & (key[np.maximum(before, 0)] != key)] = -1
-    after[(after >= n) | (key[np.minimum(after, n - 1)] != key)] = -1
-    return before, after
+def _common(x: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of every row of an order with the row before it; the first has 0."""
+    out = np.zeros(len(order), np.int64)
+    for a in range(1, len(order), 8192):
+        one, two = x[order[a - 1 : a + 8191]], x[order[a : a + 8192]]
+        one = one[: len(two)]
+        differ = (one != two) | (one == 0)
+        out[a : a + len(two)] = np.where(differ.any(1), differ.argmax(1), x.shape[1])
+    return out
 
 
 def compare(rows: pd.DataFrame) -> pd.DataFrame:
-    """doc_id, lo, hi of the passages that rows of an order by key share with a neighbour in it."""
-    after, before = _words(rows["after"], RIGHT), _words(rows["before"], LEFT)
+    """doc_id, lo, hi of the passages that suffixes, whole keys of them, share with other documents."""
+    n = len(rows)
     key, doc, at = rows["key"].to_numpy(), rows["doc_id"].to_numpy(), rows["at"].to_numpy().astype(np.int64)
-    lo, hi = np.full(len(rows), 1 << 40), np.full(len(rows), -1)
-    for other in _others(key, doc):
-        i, j = np.flatnonzero(other >= 0), other[other >= 0]
-        right, left = _common(after, i, j), _common(before, i, j)
-        ok = right + left >= PASSAGE
-        i, right, left = i[ok], right[ok], left[ok]
-        lo[i], hi[i] = np.minimum(lo[i], at[i] - left), np.maximum(hi[i], at[i] + right)
-    ok = hi > 0
-    return pd.DataFrame({"doc_id": doc[ok], "lo": lo[ok], "hi": hi[ok], "key": 0, "at": 0, "after": None, "before": None})
-
-
-def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Compares a sorted partition piece by piece. A piece starts with the last run (rows of one key and
-    document) of the one before and the row before that run. The first and the last run of the partition,
-    each with the row next to it, are given too, with hi = -1."""
-    held, first = None, True
-    border = lambda rows: rows.assign(lo=-1, hi=-1)
-    for batch in batches:
-        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        if len(held) < HELD:
-            continue
-        head, tail = _border_runs(held)
-        if tail == 0:
-            continue
-        yield compare(held)
-        if first:
-            yield border(held.iloc[: head + 1])
-            first = False
-        held = held.iloc[tail - 1 :].reset_index(drop=True)
-    if held is not None and len(held):
-        yield compare(held)
-        head, tail = _border_runs(held)
-        if first:
-            yield border(held.iloc[: head + 1])
-        yield border(held.iloc[max(tail - 1, 0) :])
-
-
-def _border_runs(rows: pd.DataFrame) -> tuple[int, int]:
-    """Where the first run stops and the last one starts."""
-    key, doc = rows["key"].to_numpy(), rows["doc_id"].to_numpy()
-    change = np.flatnonzero((key[1:] != key[:-1]) | (doc[1:] != doc[:-1])) + 1
-    return (int(change[0]), int(change[-1])) if len(change) else (len(rows), 0)
-
-
-def _spans(contexts: DataFrame, order: list[str]) -> DataFrame:
-    """doc_id, lo, hi of what suffixes share with their neighbours in an order, whole over all ranges: the
-    border runs are few rows a range, and are compared in one task."""
-    found = contexts.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = materialise(found.mapInPandas(_neighbours, FOUND))
-    border = found.where("hi < 0").select(*contexts.columns).repartition(1).sortWithinPartitions(*order)
-    again = border.mapInPandas(_neighbours, FOUND)
-    return found.unionByName(again).where("hi >= 0").select("doc_id", "lo", "hi")
+    orders, shared = [], []
+    for column, width in (("after", RIGHT), ("before", LEFT)):
+        words = _words(rows[column], width)
+        order = np.argsort(np.frombuffer(words.tobytes(), f"S{4 * width}"), kind="stable")
+        order = order[np.argsort(key[order], kind="stable")]
+        common = _common(words, order)
+        common[1:][key[order][1:] != key[order][:-1]] = -1
+        common[:1] = -1
+        orders.append(order)
+        shared.append(common)
+    interval = np.empty((2, n), np.int64)
+    right, left = np.zeros(n, np.int64), np.full(n, -1)
+    for d in range(KEY, PASSAGE + 1):
+        for side, depth in ((0, d), (1, PASSAGE - d)):
+            interval[side, orders[side]] = np.cumsum(shared[side] < depth)
+        both = interval[0] * (n + 1) + interval[1]
+        order = np.argsort(both, kind="stable")
+        begin = np.flatnonzero(np.diff(both[order], prepend=-1))
+        low, high = np.minimum.reduceat(doc[order], begin), np.maximum.reduceat(doc[order], begin)
+        hit = order[np.repeat(low < high, np.diff(np.append(begin, n)))]
+        right[hit] = d
+        left[hit] = np.maximum(left[hit], PASSAGE - d)
+    ok = left >= 0
+    return pd.DataFrame({"doc_id": doc[ok], "lo": at[ok] - left[ok], "hi": at[ok] + right[ok]})
+
+
+def _dealt(contexts: DataFrame, shards: int) -> DataFrame:
+    """What suffixes of the same key share; shards are bounded, as frequent keys are not here."""
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
+    distinct = contexts.select(shard, "*").dropDuplicates(["shard", "key", "doc_id", "at", "after", "before"])
+    return distinct.groupBy("shard").applyInPandas(compare, "doc_id long, lo int, hi int")
+
+
+def _passage_hashes(docs: DataFrame, found: Recurring) -> DataFrame:
+    """one, two (128 bits of a passage's hash), doc_id, lo: every 50-word passage around the suffixes of
+    frequent keys."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids = batch["doc_id"].to_numpy()
+            for p in portions(batch["text"]):
+                text, at, _ = _chosen(p, found, True)
+                if not len(at):
+                    continue
+                ends = np.cumsum(p.lengths)
+                places = (at[:, None] - np.arange(SPREAD)).ravel()
+                text = np.repeat(text, SPREAD)
+                ok = (places >= (ends - p.lengths)[text]) & (places + PASSAGE <= ends[text])
+                places, first = np.unique(places[ok], return_index=True)
+                text = text[ok][first]
+                one, two = window_hashes(p.hashes, PASSAGE)[places], window_hashes(mixed(p.hashes), PASSAGE)[places]
+                lo = (places - (ends - p.lengths)[text]).astype(np.int32)
+                yield pd.DataFrame({"one": one.view(np.int64), "two": two.view(np.int64), "doc_id": ids[p.rows[text]], "lo": lo})
+
+    return docs.mapInPandas(run, "one long, two long, doc_id long, lo int")
+
+
+def _frequent(docs: DataFrame, found: Recurring) -> DataFrame:
+    """What the suffixes of frequent keys share. The join's left side may hold one passage very often; its
+    right side, a written table, holds it once, so adaptive execution can split it."""
+    hashed = _passage_hashes(docs, found)
+    twice = hashed.groupBy("one", "two").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    hits = hashed.join(materialise(twice.select("one", "two")).hint("merge"), ["one", "two"])
+    return hits.select("doc_id", "lo", (F.col("lo") + PASSAGE).alias("hi"))
 
 
 def passages(docs: DataFrame) -> DataFrame:
@@ -167,22 +191,17 @@ def passages(docs: DataFrame) -> DataFrame:
     texts = docs.where("doc_id is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")
     )
-    filter_, _ = recurring_filter(_keys(texts))
-    contexts = materialise(_contexts(texts, filter_))
-    by_right = _spans(contexts, ["key", "after", "before", "doc_id", "at"])
-    spans = by_right.unionByName(_spans(contexts, ["key", "before", "after", "doc_id", "at"]))
-    each = spans.distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
-    grow = lambda acc, s: F.when(
-        (F.size(acc) > 0) & (F.element_at(acc, -1)["hi"] >= s["lo"]),
-        F.concat(
-            F.slice(acc, 1, F.size(acc) - 1),
-            F.array(F.struct(F.element_at(acc, -1)["lo"].alias("lo"), F.greatest(F.element_at(acc, -1)["hi"], s["hi"]).alias("hi"))),
-        ),
-    ).otherwise(F.concat(acc, F.array(s)))
-    merged = F.aggregate("spans", F.array().cast("array<struct<lo:int,hi:int>>"), grow)
-    return each.select("doc_id", F.explode(merged).alias("s")).select(
-        "doc_id", F.col("s.lo").cast("long").alias("start"), F.col("s.hi").cast("long").alias("stop")
-    )
+    found = recurring(_keys(texts), HOT)
+    spans = _dealt(_contexts(texts, found), max(8, found.rows // SHARD_ROWS))
+    if found.hot:
+        spans = spans.unionByName(_frequent(texts, found))
+    # Islands of overlapping spans; a document's spans grow with its own length only.
+    before = Window.partitionBy("doc_id").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("doc_id").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0)
+    longest = spans.groupBy("doc_id", "lo").agg(F.max("hi").alias("hi"))
+    opened = longest.withColumn("new", F.coalesce(F.col("lo") > F.max("hi").over(before), F.lit(True)).cast("int"))
+    islands = opened.withColumn("island", F.sum("new").over(upto)).groupBy("doc_id", "island")
+    return islands.agg(F.min("lo").cast("long").alias("start"), F.max("hi").cast("long").alias("stop")).drop("island")
 
 
 def passage_texts(docs: DataFrame) -> DataFrame:
