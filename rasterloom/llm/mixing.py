@@ -9,21 +9,26 @@ a source's need are not taken, so that every source meets its target within one
 numbers of words.
 
 A null text has size 0; the null source is a source of its own, after all others; documents of size 0
-take part with nothing to take; repeated rows are documents of their own (same id, laid apart by their
-text); an empty table gives an empty result; other columns are ignored.
+take part with nothing to take; rows without an id, repeated rows and rows that share an id are documents
+of their own, laid by their hash of id and text; an empty table gives an empty result; other columns are
+ignored. The driver holds one row per source.
 """
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm.base import materialise, word_count
 
 GOLDEN = 0.6180339887498949
-#: Most words in a block, least blocks in a source and in its target, and slots ranked together.
-BLOCK, PARTS, CHUNK = 512, 1000, 1 << 15
+#: Most words in a block, least blocks in a source and in its target, slots ranked together, and cells
+#: of the unit interval in which a point looks for its source.
+BLOCK, PARTS, CHUNK, CELLS = 512, 1000, 1 << 15, 4096
+#: Documents of a source laid together, about.
+SLICE = 1024
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3
 
@@ -51,7 +56,7 @@ def cut(size: int, target: float, block: int = BLOCK) -> tuple[int, int, int]:
     block = int(max(1, min(block, size // PARTS, target // PARTS)))
     n_blocks = max(1, -(-size // block))
     passes = int(target // size) if size else 0
-    return block, n_blocks, passes * n_blocks + min(n_blocks, round((target - passes * size) / block))
+    return block, n_blocks, passes * n_blocks + min(n_blocks, math.floor((target - passes * size) / block + 0.5))
 
 
 def _prefix(df: DataFrame, by: list[str], order: str, col: str, out: str) -> DataFrame:
@@ -60,102 +65,149 @@ def _prefix(df: DataFrame, by: list[str], order: str, col: str, out: str) -> Dat
     return df.withColumn(out, F.coalesce(F.sum(col).over(w), F.lit(0)))
 
 
-def lay_out(docs: DataFrame, n_docs: int) -> DataFrame:
-    """doc_id, source_no, size and `at`, the words of the source laid before it in hash order.
+def _shuffled(prefix: str = "") -> Column:
+    """Place of a row in the shuffle of its source."""
+    return F.md5(F.concat_ws("|", F.coalesce(F.col(f"{prefix}doc_id").cast("string"), F.lit("")), F.coalesce(f"{prefix}text", F.lit(""))))
+
 
-    Sources are cut into slices of the hash, a few thousand documents each, so that neither a large
-    source nor the corpus passes through one task: sums per slice, then sums inside the slice."""
-    slices = max(1, n_docs // 4096)
-    cut = docs.withColumn("slice", F.pmod(F.shiftright("mixed", 8), F.lit(slices)))
+def lay_out(sized: DataFrame, n_docs: int) -> DataFrame:
+    """Adds `at`, the words of the source laid before a row in the order of `mixed`.
+
+    Sources are cut into slices by the first digits of the hash, some hundred documents each, so that
+    neither a large source nor the corpus passes through one task: sums per slice, then sums inside it."""
+    digits = max(0, math.ceil(math.log(max(n_docs / SLICE, 1), 16)))
+    sliced = sized.withColumn("slice", F.substring("mixed", 1, digits))
     keys = ["source_no", "slice"]
-    bases = _prefix(cut.groupBy(*keys).agg(F.sum("size").alias("sum")), ["source_no"], "slice", "sum", "base")
-    inside = Window.partitionBy(*keys).orderBy("mixed", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = cut.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    at = (F.col("base") + F.col("before")).alias("at")
-    return placed.join(bases.drop("sum"), keys).select("doc_id", "source_no", "size", at)
-
-
-def schedule(spark, shares: list[float], n_slots: int) -> DataFrame:
-    """source_no and rank (from 0) of every slot of the mix."""
-    ends = np.cumsum(shares) / max(sum(shares), 1e-300)
-    point = F.col("id") * F.lit(GOLDEN) - F.floor(F.col("id") * F.lit(GOLDEN))
-    source = F.lit(len(shares) - 1)
-    for i in range(len(shares) - 2, -1, -1):
-        source = F.when(point < float(ends[i]), i).otherwise(source)
-    slots = spark.range(1, n_slots + 1).select(
-        "id", F.expr(f"id div {CHUNK}").alias("chunk"), source.alias("source_no")
-    )
+    bases = _prefix(sliced.groupBy(*keys).agg(F.sum("size").alias("sum")), ["source_no"], "slice", "sum", "base")
+    inside = Window.partitionBy(*keys).orderBy("mixed", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sliced.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    return placed.join(bases.drop("sum"), keys).withColumn("at", F.col("base") + F.col("before")).drop("slice", "base", "before")
+
+
+def schedule(facts: DataFrame, n_slots: int) -> DataFrame:
+    """slot, source_no and rank (from 0) of every slot of the mix. `facts` has source_no and need.
+
+    The sources' ends in the unit interval are listed under the cells they reach into, so that a point
+    meets the few sources of its cell, however many there are."""
+    upto = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, 0)
+    ends = facts.where("need > 0").select("source_no", "need", F.sum("need").over(upto).alias("stop"))
+    ends = ends.select("source_no", ((F.col("stop") - F.col("need")) / F.lit(n_slots)).alias("low"), (F.col("stop") / F.lit(n_slots)).alias("high"))
+    cell = lambda x: F.floor(x * CELLS).cast("int")
+    reach = F.sequence(cell(F.col("low")), F.least(cell(F.col("high")), F.lit(CELLS - 1)))
+    listed = ends.withColumn("cell", F.explode(reach))
+    turn = F.col("slot") * F.lit(GOLDEN)
+    slots = facts.sparkSession.range(1, n_slots + 1).withColumnRenamed("id", "slot").withColumn("point", turn - F.floor(turn))
+    drawn = slots.withColumn("cell", cell(F.col("point"))).join(F.broadcast(listed), "cell").where("low <= point and point < high")
+    drawn = drawn.select("slot", F.expr(f"slot div {CHUNK}").alias("chunk"), "source_no")
     keys = ["chunk", "source_no"]
-    bases = _prefix(slots.groupBy(*keys).agg(F.count("*").alias("n")), ["source_no"], "chunk", "n", "base")
-    ranked = slots.withColumn("inside", F.row_number().over(Window.partitionBy(*keys).orderBy("id")) - 1)
-    return ranked.join(F.broadcast(bases.drop("n")) if n_slots < CHUNK * 64 else bases.drop("n"), keys).select(
-        "source_no", (F.col("base") + F.col("inside")).alias("rank")
-    )
+    bases = _prefix(drawn.groupBy(*keys).agg(F.count("*").alias("n")), ["source_no"], "chunk", "n", "base")
+    ranked = drawn.withColumn("inside", F.row_number().over(Window.partitionBy(*keys).orderBy("slot")) - 1)
+    return ranked.join(bases.drop("n"), keys).select("slot", "source_no", (F.col("base") + F.col("inside")).alias("rank"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every row."""
-    spark = docs.sparkSession
-    sized = docs.select(
-        "doc_id",
-        "source",
-        word_count(F.col("text")).alias("size"),
-        F.xxhash64("doc_id", "text").alias("mixed"),
-    )
-    sized = materialise(sized)
-    # One row per source: the number of sources, not that of documents, bounds this table.
+def taken_words(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK) -> DataFrame:
+    """The columns of `sized` (a written table: row, source, size, mixed) with source_size, target, `taken`
+    and `rest`, what goes beyond whole copies of the row: it is taken from the row's beginning."""
+    spark = sized.sparkSession
     found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in found]
     aims = targets(sizes, [weights[i % len(weights)] for i in range(len(found))])
-    n_docs, total = sum(r["n"] for r in found), sum(sizes)
     cuts = [cut(n, t, block) for n, t in zip(sizes, aims)]
     rows = [(r["source"], i, r["size"], float(aims[i]), *cuts[i]) for i, r in enumerate(found)]
     table = spark.createDataFrame(rows, f"source {sized.schema['source'].dataType.simpleString()}, source_no int, source_size long, target double, words long, n_blocks long, need long")
-    numbered = sized.join(F.broadcast(table), sized["source"].eqNullSafe(table["source"])).drop("source")
-    laid = lay_out(numbered, n_docs)
+    numbered = sized.join(F.broadcast(table), sized["source"].eqNullSafe(table["source"])).drop("source", "target", "words", "n_blocks", "need", "source_size")
+    laid = lay_out(numbered, sum(r["n"] for r in found))
 
     # How often each block is used: rank r of a source takes block r mod its number of blocks.
-    needs = [need for _, _, need in cuts]
-    used = schedule(spark, needs, sum(needs)) if total else spark.createDataFrame([], "source_no int, rank long")
-    have = {r["source_no"]: r["count"] for r in used.groupBy("source_no").count().collect()}
-    short = [(i, have.get(i, 0), need - 1) for i, need in enumerate(needs) if have.get(i, 0) < need]
-    added = spark.createDataFrame(short, "source_no int, first long, last long")
-    used = used.unionByName(added.select("source_no", F.explode(F.sequence("first", "last")).alias("rank")))
-    facts = F.broadcast(table.drop("source"))
+    facts = table.drop("source")
+    n_slots = sum(need for _, _, need in cuts)
+    ranks = schedule(facts, n_slots).select("source_no", "rank") if n_slots else spark.createDataFrame([], "source_no int, rank long")
+    drawn = F.coalesce("drawn", F.lit(0).cast("long"))
+    counts = facts.join(ranks.groupBy("source_no").agg(F.count("*").alias("drawn")), "source_no", "left").where(drawn < F.col("need"))
+    added = counts.select("source_no", F.explode(F.sequence(drawn, F.col("need") - 1)).alias("rank"))
     uses = (
-        used.join(facts, "source_no")
+        ranks.unionByName(added)
+        .join(F.broadcast(facts), "source_no")
         .where("rank < need")
         .groupBy("source_no", F.pmod("rank", "n_blocks").alias("block"))
         .agg(F.count("*").alias("times"))
     )
     first, last = F.expr("at div words"), F.expr("(at + size - 1) div words")
-    cut_up = laid.where("size > 0").join(facts.select("source_no", "words"), "source_no")
-    pieces = cut_up.withColumn("block", F.explode(F.sequence(first, last)))
+    cut_up = laid.where("size > 0").join(F.broadcast(facts.select("source_no", "words")), "source_no")
+    pieces = cut_up.select("source_no", "at", "size", "words", F.explode(F.sequence(first, last)).alias("block"))
     begin = F.col("block") * F.col("words")
     overlap = F.least(F.col("at") + F.col("size"), begin + F.col("words")) - F.greatest("at", begin)
-    got = (
-        pieces.join(uses, ["source_no", "block"])
-        .groupBy("doc_id", "source_no", "at", "size")
-        .agg(F.sum(overlap * F.col("times")).alias("taken"))
-    )
-    return (
-        laid.join(got, ["doc_id", "source_no", "at", "size"], "left")
-        .join(facts, "source_no")
-        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
-    )
+    # Rows that hold a word are told apart by their place.
+    got = pieces.join(uses, ["source_no", "block"]).groupBy("source_no", "at", "size").agg(F.sum(overlap * F.col("times")).alias("taken"))
+    taken = F.coalesce("taken", F.lit(0).cast("long"))
+    rest = F.when(F.col("size") > 0, taken % F.col("size")).otherwise(0)
+    return laid.join(got, ["source_no", "at", "size"], "left").join(F.broadcast(facts), "source_no").withColumns({"taken": taken, "rest": rest})
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every row."""
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _shuffled().alias("mixed"))
+    return taken_words(materialise(sized), weights, block).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def materialise_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """The mixed corpus: every document as often as the mix takes it, rounded to whole copies."""
-    taken = mix(docs, weights).select("doc_id", "size", "taken")
-    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    # Repeated rows share an id, not a place; their copies are pooled.
-    copies = taken.groupBy("doc_id").agg(F.sum(times).alias("times"), F.count("*").alias("rows"))
-    drawn = copies.withColumn("each", F.ceil(F.col("times") / F.col("rows")).cast("int")).where("each > 0")
-    names = docs.columns
-    return (
-        docs.join(drawn.select(F.col("doc_id").alias("__id"), "each").hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")))
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("each"))))
-        .select(*names)
-    )
+    """The mixed corpus: every row as often as the mix takes it whole, and the first words of a row that
+    is taken in part; n_chars, where there is one, follows the new text. Rows are numbered and written, so
+    that rows without an id and repeated rows find their own share again."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    numbered = materialise(docs.select(row, F.monotonically_increasing_id().alias("n")))
+    sized = numbered.select("n", "row.source", word_count(F.col("row.text")).alias("size"), _shuffled("row.").alias("mixed"))
+    taken = taken_words(materialise(sized), weights).where("taken > 0").select("n", "size", "taken", "rest")
+    drawn = numbered.join(taken.hint("merge"), "n")
+    copies = F.expr("array_repeat(false, int(taken div size))")
+    each = drawn.withColumn("part", F.explode(F.when(F.col("rest") > 0, F.concat(copies, F.array(F.lit(True)))).otherwise(copies)))
+    words = F.array_remove(F.split("row.text", r"[\x20\x09-\x0D]+"), "")
+    text = F.when(F.col("part"), F.array_join(F.slice(words, F.lit(1), F.col("rest").cast("int")), " ")).otherwise(F.col("row.text"))
+    done = each.select("row", "part", text.alias("text"))
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(F.col("part"), F.length("text").cast(kind)).otherwise(F.col("row.n_chars"))
+    return done.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+#: The same rows in DuckDB: a source's need is met by whole passes over its blocks and by its first blocks.
+ORACLE_SQL = rf"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS mixed
+  FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, (ARRAY[{", ".join(map(str, WEIGHTS))}])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)}] AS weight,
+         sum(source_size) OVER () AS total
+  FROM sources
+), levels AS (
+  SELECT *, {MOST_REPEATS} * source_size AS most,
+         (total - coalesce(sum({MOST_REPEATS} * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+           / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit
+  FROM weighed WINDOW o AS (ORDER BY source_size / weight, source)
+), aimed AS (
+  SELECT *, CASE WHEN unit * weight > most THEN CAST(most AS DOUBLE)
+                 ELSE max(unit) FILTER (unit * weight <= most) OVER () * weight END AS target
+  FROM levels
+), blocks AS (
+  SELECT source, source_size, CAST(target AS DOUBLE) AS target,
+         CAST(greatest(1, least({BLOCK}, source_size // {PARTS}, floor(target / {PARTS}))) AS BIGINT) AS words,
+         CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS passes
+  FROM aimed
+), needs AS (
+  SELECT *, greatest(1, (source_size + words - 1) // words) AS n_blocks FROM blocks
+), cuts AS (
+  SELECT *, passes * n_blocks + least(n_blocks, CAST(floor((target - passes * source_size) / words + 0.5) AS BIGINT)) AS need FROM needs
+), laid AS (
+  SELECT s.*, c.* EXCLUDE (source),
+         coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY mixed ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+  FROM sized s JOIN cuts c ON s.source IS NOT DISTINCT FROM c.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(size * (need // n_blocks) + greatest(0, least(size, (need % n_blocks) * words - place)) AS BIGINT) AS taken
+FROM laid
+"""

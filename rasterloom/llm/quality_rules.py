@@ -145,3 +145,44 @@ def judge(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str =
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & compile_rules(rules)).alias("kept"),
     )
+
+
+def _sql_condition(rule: Rule) -> str:
+    parts = [f"{rule.metric} >= {rule.low}" if rule.low is not None else "", f"{rule.metric} <= {rule.high}" if rule.high is not None else ""]
+    return " AND ".join(p for p in parts if p)
+
+
+#: The same rows in DuckDB; repeated windows are compared as texts.
+ORACLE_SQL = rf"""
+WITH bodies AS (
+  SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS body FROM documents
+), split AS (
+  SELECT *, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM bodies
+), windows AS (
+  SELECT n, i, array_to_string(words[i : i + {REPEAT_WINDOW - 1}], ' ') AS w
+  FROM (SELECT n, words, unnest(range(1, len(words) - {REPEAT_WINDOW - 2})) AS i FROM split)
+), repeated AS (
+  SELECT n, i FROM windows QUALIFY count(*) OVER (PARTITION BY n, w) > 1
+), covered AS (
+  SELECT n, sum(least({REPEAT_WINDOW}, coalesce(step, {REPEAT_WINDOW}))) AS n_repeat_words
+  FROM (SELECT n, lead(i) OVER (PARTITION BY n ORDER BY i) - i AS step FROM repeated) GROUP BY n
+), counted AS (
+  SELECT doc_id, len(words) AS n_words, length(regexp_replace(body, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         len(regexp_extract_all(body, '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         coalesce(c.n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines, len(regexp_extract_all(body, '!')) AS n_shouts,
+         len(list_filter(words, lambda x: lower(x) IN ({", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))}))) AS n_stop_words
+  FROM split LEFT JOIN covered c USING (n)
+), measured AS (
+  SELECT *, coalesce(word_chars / nullif(n_words, 0), 0) AS mean_word_chars, coalesce(n_symbols / nullif(n_words, 0), 0) AS symbol_ratio,
+         coalesce(n_shouts / nullif(n_words, 0), 0) AS shout_ratio, coalesce(n_stop_words / nullif(n_words, 0), 0) AS stop_word_ratio,
+         coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeat_ratio, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_ratio,
+         n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed
+  FROM counted
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND {" AND ".join(map(_sql_condition, RULES))} AS kept
+FROM measured
+"""

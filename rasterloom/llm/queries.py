@@ -69,4 +69,4 @@ QUERIES = {
         op10_quality_classifier,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_quality_rules": quality_rules.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL}
