@@ -5,12 +5,17 @@ A scan is (frame_id, x, y, value) with darkness in 0..1.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from rasterloom.functions import numeric as N
 from rasterloom.functions.numeric import ratio_similarity
-from rasterloom.operators.pixels import bilinear_sample
-from rasterloom.operators.points import chamfer_distance
 
 KEY = ["frame_id", "x", "y"]
 #: Registration grid, margin and reach of the border probe (fixed values).
@@ -27,10 +32,12 @@ def histogram(scan: DataFrame, floor: float = 0.0) -> DataFrame:
 
 def otsu(scan: DataFrame, floor: float) -> DataFrame:
     """Threshold per frame with the best variance between classes; the floor for an empty frame."""
-    import math
+    return _otsu_of(histogram(scan, floor), scan.select("frame_id").distinct(), floor)
+
 
+def _otsu_of(h: DataFrame, frames: DataFrame, floor: float) -> DataFrame:
+    """The same from histograms (frame_id, bin, n) of what lies above the floor."""
     low = max(1, math.ceil(floor * 255))
-    h = histogram(scan, floor)
     total = h.groupBy("frame_id").agg(F.sum("n").alias("count"), F.sum(F.col("bin") * F.col("n")).alias("moment"))
     w = Window.partitionBy("frame_id").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     run = h.where(F.col("bin") >= low).withColumns({"bn": F.sum("n").over(w), "bm": F.sum(F.col("bin") * F.col("n")).over(w)})
@@ -38,8 +45,8 @@ def otsu(scan: DataFrame, floor: float) -> DataFrame:
     d = F.col("bm") / F.col("bn") - (F.col("moment") - F.col("bm")) / F.col("fn")
     v = F.col("bn").cast("double") * F.col("fn") * d * d
     best = both.groupBy("frame_id").agg(F.min(F.struct((-F.round(v, 6)).alias("v"), "bin")).alias("b"))
-    frames = scan.select("frame_id").distinct().join(total, "frame_id", "left").join(best, "frame_id", "left")
-    return frames.select("frame_id", F.when(F.col("count").isNull(), F.lit(floor)).otherwise(F.coalesce("b.bin", F.lit(low)) / 255).alias("threshold"))
+    both = frames.join(total, "frame_id", "left").join(best, "frame_id", "left")
+    return both.select("frame_id", F.when(F.col("count").isNull(), F.lit(floor)).otherwise(F.coalesce("b.bin", F.lit(low)) / 255).alias("threshold"))
 
 
 def visible_bounds(scan: DataFrame, threshold: float) -> DataFrame:
@@ -47,18 +54,204 @@ def visible_bounds(scan: DataFrame, threshold: float) -> DataFrame:
     return seen.groupBy("frame_id").agg(*[f(c).alias(f"{c}_{n}") for c in "xy" for n, f in (("min", F.min), ("max", F.max))])
 
 
-def register(scan: DataFrame, size: int = GRID, margin: int = MARGIN) -> DataFrame:
-    """Scans drawn to one square grid: visible bounds scaled uniformly and centred, bilinear."""
+def raster(scan: DataFrame) -> DataFrame:
+    """(frame_id, width, height, values): one row per frame with its darkness from (0, 0), row by row; cells
+    that the scan leaves out are 0. A row is as large as its image."""
+    size = scan.groupBy("frame_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    lines = scan.groupBy("frame_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", "value"))).alias("cells"))
+    every = size.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).join(lines, ["frame_id", "y"], "left")
+    # The zeros before a line's first cell and after each of its cells.
+    xs = F.transform("cells", lambda c: c["x"])
+    nexts = F.concat(F.slice(xs, F.lit(2), F.size("cells")), F.array("width"))
+    filled = F.zip_with("cells", nexts, lambda c, x: F.concat(F.array(c["value"]), F.array_repeat(F.lit(0.0), x - c["x"] - 1)))
+    line = F.concat(F.array_repeat(F.lit(0.0), F.get(xs, F.lit(0))), F.flatten(filled))
+    full = F.when(F.col("cells").isNull(), F.array_repeat(F.lit(0.0), F.col("width"))).otherwise(line)
+    stacked = every.select("frame_id", "width", "height", "y", full.alias("line")).groupBy("frame_id", "width", "height")
+    ordered = stacked.agg(F.array_sort(F.collect_list(F.struct("y", "line"))).alias("lines"))
+    return ordered.select("frame_id", "width", "height", F.flatten(F.transform("lines", lambda r: r["line"])).alias("values"))
+
+
+def _bounds(scan: DataFrame) -> DataFrame:
+    """Bounds per frame of what is dark enough against the frame's peak, as width and height too."""
     peak = scan.groupBy("frame_id").agg(F.max("value").alias("peak"))
-    seen = scan.join(peak, "frame_id").where(F.col("value") > F.greatest(F.lit(NOISE), F.col("peak") * PEAK_SHARE))
+    seen = scan.join(peak, "frame_id").where(F.col("value") >= F.greatest(F.lit(NOISE), F.col("peak") * PEAK_SHARE))
     b = seen.groupBy("frame_id").agg(*[f(c).alias(f"{c}_{n}") for c in "xy" for n, f in (("min", F.min), ("max", F.max))])
-    span = F.greatest(F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min"), F.lit(1))
-    b = b.withColumn("scale", F.lit(float(size - 2 * margin - 1)) / span)
-    cells = b.withColumn("cid", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))))
-    u = (F.col("cid") % size - (size - 1) / 2) / F.col("scale") + (F.col("x_min") + F.col("x_max")) / 2
-    v = (F.expr(f"cid div {size}") - (size - 1) / 2) / F.col("scale") + (F.col("y_min") + F.col("y_max")) / 2
-    drawn = bilinear_sample(scan, cells.select("frame_id", "cid", u.alias("u"), v.alias("v")))
-    return drawn.select("frame_id", (F.col("cid") % size).cast("int").alias("x"), F.expr(f"cast(cid div {size} as int)").alias("y"), "value")
+    return b.withColumns({"b_width": F.col("x_max") - F.col("x_min") + 1, "b_height": F.col("y_max") - F.col("y_min") + 1})
+
+
+def _with_mask(rasters: DataFrame, drawing: DataFrame) -> DataFrame:
+    """Adds `mask`, row-major booleans of a drawing's points (shape_id, x, y) inside the image."""
+    inside = drawing.select(F.col("shape_id").alias("frame_id"), "x", "y").join(rasters.select("frame_id", "width", "height"), "frame_id")
+    inside = inside.where((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < F.col("width")) & (F.col("y") < F.col("height")))
+    at = inside.groupBy("frame_id").agg(F.collect_set(F.col("y") * F.col("width") + F.col("x")).alias("at"))
+    return rasters.join(at, "frame_id").withColumn("mask", _marked("at", F.size("values"))).drop("at")
+
+
+def register_rasters(scan: DataFrame, size: int = GRID, margin: int = MARGIN, drawing: DataFrame | None = None) -> DataFrame:
+    """(frame_id, width, height, values, scale): scans drawn to one square grid, visible bounds scaled
+    uniformly and centred, bilinear between pixel centres, 0 outside the image. Frames without anything
+    visible are left out. With a drawing (points), its bounds count, and `core` marks the cells that have
+    one of its points among their four corners."""
+    r = raster(scan)
+    if drawing is None:
+        r = r.join(_bounds(scan), "frame_id")
+    else:
+        b = drawing.groupBy(F.col("shape_id").alias("frame_id")).agg(*[f(c).alias(f"{c}_{n}") for c in "xy" for n, f in (("min", F.min), ("max", F.max))])
+        r = _with_mask(r, drawing).join(b.withColumns({"b_width": F.col("x_max") - F.col("x_min") + 1, "b_height": F.col("y_max") - F.col("y_min") + 1}), "frame_id")
+    r = r.withColumn("scale", F.lit(float(size - 2 * margin)) / F.greatest("b_width", "b_height"))
+    start = lambda low, extent: F.col(low) - 0.5 + (0.5 - (F.lit(float(size)) - F.col(extent) * F.col("scale")) * 0.5) / F.col("scale")
+    r = r.withColumns({"u0": start("x_min", "b_width"), "v0": start("y_min", "b_height")})
+    n = F.lit(size)
+    drawn = _resampled("values", "width", "u0", "v0", "scale", n)
+    core = [] if drawing is None else [_resampled_mask("mask", "width", "u0", "v0", "scale", n).alias("core")]
+    return r.select("frame_id", n.alias("width"), n.alias("height"), drawn.alias("values"), "scale", *core)
+
+
+def register(scan: DataFrame, size: int = GRID, margin: int = MARGIN) -> DataFrame:
+    """The registered scans as cells (frame_id, x, y, value)."""
+    return cells_of(register_rasters(scan, size, margin))
+
+
+def cells_of(rasters: DataFrame, col: str = "values") -> DataFrame:
+    each = rasters.select("frame_id", "width", F.posexplode(col).alias("i", "value"))
+    return each.select("frame_id", (F.col("i") % F.col("width")).alias("x"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), "value")
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _resampled(values: pd.Series, width: pd.Series, u0: pd.Series, v0: pd.Series, scale: pd.Series, size: pd.Series) -> pd.Series:
+    """Row-major images drawn to size x size cells, cell (i, j) at (u0 + i / scale, v0 + j / scale): bilinear
+    between neighbours, 0 outside."""
+
+    def one(flat: np.ndarray, w: int, u: float, v: float, step: float, n: int) -> np.ndarray:
+        image, along = np.asarray(flat, np.float64).reshape(-1, w), np.arange(n) / step
+
+        def axis(at: np.ndarray, extent: int):
+            inside = (at >= 0) & (at <= extent - 1)
+            low = np.clip(np.floor(at), 0, extent - 1).astype(int)
+            return inside, low, np.minimum(low + 1, extent - 1), at - low
+
+        in_x, x0, x1, tx = axis(u + along, w)
+        in_y, y0, y1, ty = axis(v + along, len(image))
+        rows = image[:, x0] + (image[:, x1] - image[:, x0]) * tx
+        drawn = rows[y0] + (rows[y1] - rows[y0]) * ty[:, None]
+        return np.where(in_y[:, None] & in_x, drawn, 0.0).ravel()
+
+    return pd.Series([one(*r) for r in zip(values, width, u0, v0, scale, size)])
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _marked(at: pd.Series, size: pd.Series) -> pd.Series:
+    """Booleans, true at the given places."""
+
+    def one(places: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(n, bool)
+        out[np.asarray(places, np.int64)] = True
+        return out
+
+    return pd.Series([one(a, n) for a, n in zip(at, size)])
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _resampled_mask(mask: pd.Series, width: pd.Series, u0: pd.Series, v0: pd.Series, scale: pd.Series, size: pd.Series) -> pd.Series:
+    """Cells of the grid with a true corner among the four image cells around them."""
+
+    def one(flat: np.ndarray, w: int, u: float, v: float, step: float, n: int) -> np.ndarray:
+        image = np.pad(np.asarray(flat, bool).reshape(-1, w), 1)
+        near = image[:-1, :-1] | image[1:, :-1] | image[:-1, 1:] | image[1:, 1:]
+        x, y = (np.floor(a + np.arange(n) / step).astype(int) + 1 for a in (u, v))
+        inside = lambda at, extent: (at >= 0) & (at < extent)
+        ok = inside(y, len(near))[:, None] & inside(x, near.shape[1])
+        return (near[np.clip(y, 0, len(near) - 1)][:, np.clip(x, 0, near.shape[1] - 1)] & ok).ravel()
+
+    return pd.Series([one(*r) for r in zip(mask, width, u0, v0, scale, size)])
+
+
+def _field(mask: np.ndarray) -> np.ndarray:
+    """Chamfer distance (3 a step, 4 a diagonal) of every cell of a mask to the nearest true cell: a pass
+    down and a pass up; along a row, steps are a running minimum."""
+    far, w = 1_000_000, mask.shape[1]
+    d = np.where(mask, 0, far).astype(np.int64)
+    slope = 3 * np.arange(w)
+    for rows, step in ((range(len(d)), -1), (range(len(d) - 1, -1, -1), 1)):
+        for y in rows:
+            row = d[y]
+            if 0 <= y + step < len(d):
+                near = d[y + step]
+                row = np.minimum(row, near + 3)
+                row[1:] = np.minimum(row[1:], near[:-1] + 4)
+                row[:-1] = np.minimum(row[:-1], near[1:] + 4)
+            row = np.minimum.accumulate(row - slope) + slope
+            d[y] = (np.minimum.accumulate((row + slope)[::-1])[::-1]) - slope
+    return np.minimum(d, far).astype(np.int32)
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _chamfer_field(mask: pd.Series, width: pd.Series) -> pd.Series:
+    """Distance of every cell of row-major masks to the nearest true cell."""
+    return pd.Series([_field(np.asarray(m, bool).reshape(-1, int(w))).ravel() for m, w in zip(mask, width)])
+
+
+@F.pandas_udf(T.DoubleType())
+def _mean_distance(core: pd.Series, distance: pd.Series) -> pd.Series:
+    """Mean, in steps, of the distances at the core's cells."""
+    return pd.Series([np.asarray(d)[np.asarray(c, bool)].mean() / 3 for c, d in zip(core, distance)])
+
+
+_MEASURES = T.StructType([
+    T.StructField("distance", T.ArrayType(T.IntegerType())), T.StructField("area", T.LongType()), T.StructField("edges", T.LongType()),
+    T.StructField("opacity", T.DoubleType()), T.StructField("deviation", T.DoubleType()), T.StructField("rings", T.ArrayType(T.DoubleType())),
+])
+
+
+def _measured(reach: int):
+    """Function of (values, core, width): distance from the core, its area, outer edges, mean and deviation
+    of darkness, and the mean darkness of each ring 1..reach around it (NaN: no cell)."""
+
+    def one(values: np.ndarray, core: np.ndarray, w: int):
+        v, mask = np.asarray(values, np.float64).reshape(-1, w), np.asarray(core, bool).reshape(-1, w)
+        inside, far = v[mask], _field(mask)
+        shared = (mask[:, 1:] & mask[:, :-1]).sum() + (mask[1:] & mask[:-1]).sum()
+        ring = np.where(mask, 0, np.minimum(np.floor(far / 3 + 0.5), reach + 1)).astype(np.int64).ravel()
+        n, dark = np.bincount(ring, minlength=reach + 2), np.bincount(ring, v.ravel(), reach + 2)
+        with np.errstate(invalid="ignore"):
+            means = (dark / n)[1 : reach + 1]
+        some = len(inside) > 0
+        return far.ravel(), int(mask.sum()), int(4 * mask.sum() - 2 * shared), float(inside.mean()) if some else None, float(inside.std()) if some else None, means
+
+    @F.pandas_udf(_MEASURES)
+    def run(values: pd.Series, core: pd.Series, width: pd.Series) -> pd.DataFrame:
+        rows = [one(v, c, int(w)) for v, c, w in zip(values, core, width)]
+        return pd.DataFrame(rows, columns=_MEASURES.fieldNames())
+
+    return run
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _bins(values: pd.Series) -> pd.Series:
+    """Numbers of values from the noise on in 256 bins."""
+    return pd.Series([np.bincount(np.floor(np.clip(v[v >= NOISE], 0, 1) * 255 + 0.5).astype(np.int64), minlength=256) for v in map(np.asarray, values)])
+
+
+def appearances(rasters: DataFrame, reach: int = PROBE) -> DataFrame:
+    """Adds to rasters: core (array of booleans, by threshold if not there), distance (chamfer distance from the core),
+    area, thickness, opacity, pressure, profile (relative darkness by ring 0..reach around the core, made
+    monotone from outside) and border (its score). Frames with under four core cells are left out."""
+    if "core" not in rasters.columns:
+        binned = rasters.select("frame_id", F.posexplode(_bins(F.col("values"))).alias("bin", "n")).where("n > 0")
+        limits = _otsu_of(binned, rasters.select("frame_id"), NOISE).select("frame_id", F.greatest("threshold", F.lit(NOISE)).alias("threshold"))
+        rasters = rasters.join(limits, "frame_id").withColumn("core", F.transform("values", lambda v: v >= F.col("threshold"))).drop("threshold")
+    g = rasters.withColumn("m", _measured(reach)("values", "core", "width")).select("*", "m.*").drop("m").where("area >= 4")
+    relative = F.transform("rings", lambda r: F.when(~F.isnan(r), N.clamp01(r / F.col("opacity"))))
+    g = g.withColumn("relative", relative)
+    weight = F.array(*[F.lit(1.0 - k / reach) for k in range(reach)])
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + F.coalesce(v, F.lit(0.0)))
+    score = F.try_divide(total(F.zip_with("relative", weight, lambda r, w: r * w)), total(F.zip_with("relative", weight, lambda r, w: F.when(r.isNotNull(), w))))
+    outward = lambda k: F.array_max(F.concat(F.array(F.lit(0.0)), F.slice("relative", F.lit(k), F.lit(max(reach - k, 0)))))
+    profile = F.array(F.lit(0.0), *[outward(k) for k in range(1, reach)], F.lit(0.0))
+    return g.withColumns({
+        "thickness": 2.0 * F.col("area") / F.col("edges"), "pressure": N.clamp01(F.col("deviation") / F.greatest("opacity", F.lit(1e-9))),
+        "border": N.clamp01(F.coalesce(score, F.lit(0.0))), "profile": profile,
+    }).drop("relative", "rings", "deviation")
 
 
 def core_of(scan: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -77,52 +270,59 @@ def measure(scan: DataFrame, core: DataFrame) -> DataFrame:
     return g.join(inner, "shape_id", "left").select("shape_id", "area", e.alias("edges"), (2 * F.col("area") / e).alias("thickness"), "opacity", "pressure")
 
 
-def border_profile(scan: DataFrame, core: DataFrame, reach: int = PROBE) -> DataFrame:
-    """Mean darkness by ring 1..reach around the core over the core's mean, made monotone from outside."""
-    cells = scan.select(F.col("frame_id").alias("shape_id"), "x", "y", "value")
-    d = chamfer_distance(cells, core, reach).where("distance > 0").withColumn("ring", F.ceil(F.col("distance") / 3).cast("int"))
-    ring = d.join(cells, ["shape_id", "x", "y"]).groupBy("shape_id", "ring").agg(F.avg("value").alias("mean"))
-    inside = cells.join(core, ["shape_id", "x", "y"], "left_semi").groupBy("shape_id").agg(F.avg("value").alias("base"))
-    w = Window.partitionBy("shape_id").orderBy(F.desc("ring")).rowsBetween(Window.unboundedPreceding, 0)
-    share = ring.join(inside, "shape_id").withColumn("share", F.coalesce(F.try_divide(F.col("mean"), F.col("base")), F.lit(0.0)))
-    return share.select("shape_id", "ring", F.max("share").over(w).alias("share"))
+_LOOKS = ("thickness", "border", "opacity", "pressure")
 
 
-def border_score(profile: DataFrame) -> DataFrame:
-    """Rings weighted by nearness."""
-    weight = 1 / F.col("ring")
-    return profile.groupBy("shape_id").agg((F.sum(F.col("share") * weight) / F.sum(weight)).alias("border"))
+def _pairs(a: DataFrame, b: DataFrame, *more: str) -> DataFrame:
+    named = lambda d, n: d.select("frame_id", *[F.col(c).alias(f"{n}_{c}") for c in ("area", *_LOOKS, *more)])
+    return named(a, "a").join(named(b, "b"), "frame_id")
 
 
-def shape_similarity(a: DataFrame, b: DataFrame, reach: int, decay: float = 0.12) -> DataFrame:
-    """exp of minus the mean chamfer distance, both ways, of two cores of one shape id; points with
-    nothing within reach count as reach."""
-    def mean(p, q, name):
-        d = chamfer_distance(p, q, reach)
-        return d.groupBy("shape_id").agg(F.avg(F.coalesce(F.col("distance") / 3, F.lit(float(reach)))).alias(name))
+def shape_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(frame_id, similarity) of two tables of appearances on one grid: exp of minus the mean distance of
+    each core from the other, both ways, over a tolerance that grows with the strokes' thickness."""
+    p = _pairs(a, b, "core", "distance")
+    far = (_mean_distance("a_core", "b_distance") + _mean_distance("b_core", "a_distance")) / 2
+    tolerance = F.greatest(F.lit(1.5), (F.col("a_thickness") + F.col("b_thickness")) * 0.75)
+    measured = p.select("frame_id", far.alias("far"), tolerance.alias("tolerance"))
+    return measured.select("frame_id", N.clamp01(F.exp(-F.col("far") / F.col("tolerance"))).alias("similarity"))
 
-    both = mean(a, b, "ab").join(mean(b, a, "ba"), "shape_id")
-    return both.select("shape_id", F.exp(-decay * (F.col("ab") + F.col("ba")) / 2).alias("similarity"))
 
+#: Shares of thickness, border and darkness in the likeness of two drawings; darkness is opacity and pressure.
+LOOK_WEIGHTS = {"thickness": 1.0, "border": 1.5, "opacity": 1.0}
+OPACITY_SHARE, LEAST_SIMILARITY = 0.65, 0.18
 
-def appearance_similarity(a: DataFrame, b: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Weighted mean of the ratio similarity of the named measures of two rows per shape."""
-    both = a.join(b.select("shape_id", *[F.col(k).alias(f"other_{k}") for k in weights]), "shape_id")
-    total = sum(weights.values())
-    score = sum((ratio_similarity(F.col(k).cast("double"), F.col(f"other_{k}").cast("double")) * (w / total) for k, w in weights.items()), F.lit(0.0))
-    return both.select("shape_id", score.alias("similarity"))
 
+def appearance_similarity(a: DataFrame, b: DataFrame, weights: dict[str, float] = LOOK_WEIGHTS) -> DataFrame:
+    """(frame_id, similarity): weighted mean of the ratio similarities of thickness, border and darkness."""
+    if not sum(weights.values()) > 0:
+        raise ValueError("one weight must be positive")
+    like = {k: ratio_similarity(F.col(f"a_{k}"), F.col(f"b_{k}")) for k in _LOOKS}
+    like["opacity"] = like["opacity"] * OPACITY_SHARE + like["pressure"] * (1 - OPACITY_SHARE)
+    score = sum((like[k] * w for k, w in weights.items()), F.lit(0.0)) / sum(weights.values())
+    return _pairs(a, b).select("frame_id", N.clamp01(score).alias("similarity"))
 
-def compare(a: DataFrame, b: DataFrame, least: float = 0.0, size: int = GRID, margin: int = MARGIN) -> DataFrame:
-    """Registers two scans per frame and compares their shapes and looks; an error below `least`."""
-    from rasterloom.sources.tables import materialise
 
-    ra, rb = materialise(register(a, size, margin)), materialise(register(b, size, margin))
-    ca, cb = materialise(core_of(ra, otsu(ra, NOISE))), materialise(core_of(rb, otsu(rb, NOISE)))
-    looks = appearance_similarity(measure(ra, ca), measure(rb, cb), {"thickness": 1.0, "opacity": 1.0})
-    both = shape_similarity(ca, cb, PROBE).withColumnRenamed("similarity", "shape").join(looks.withColumnRenamed("similarity", "appearance"), "shape_id")
-    ok = F.when(F.col("shape") >= least, F.col("shape")).otherwise(F.raise_error(F.lit("the scans are too different")))
-    return both.select("shape_id", ok.alias("shape"), "appearance")
+def transfer_profile(a: DataFrame, b: DataFrame) -> DataFrame:
+    """What turns the looks of a into those of b: bounded ratios, and the difference of the borders."""
+    scale = lambda k: N.safe_ratio(F.col(f"b_{k}"), F.col(f"a_{k}")).alias(f"{k}_scale")
+    return _pairs(a, b).select("frame_id", *map(scale, _LOOKS), (F.col("b_border") - F.col("a_border")).alias("border_delta"))
+
+
+def compare_appearances(a: DataFrame, b: DataFrame, least: float | None = LEAST_SIMILARITY) -> DataFrame:
+    """frame_id, shape, appearance, overall and the transfer profile of two tables of appearances; an
+    error where the shapes are less alike than `least` (None: never)."""
+    shape, look = shape_similarity(a, b).withColumnRenamed("similarity", "shape"), appearance_similarity(a, b).withColumnRenamed("similarity", "appearance")
+    both = shape.join(look, "frame_id").join(transfer_profile(a, b), "frame_id")
+    if least is not None:
+        checked = F.when(F.col("shape") >= least, F.col("shape")).otherwise(F.raise_error(F.lit("the scans do not show the same drawing")))
+        both = both.withColumn("shape", checked)
+    return both.withColumn("overall", F.col("shape") * F.col("appearance"))
+
+
+def compare(a: DataFrame, b: DataFrame, least: float | None = LEAST_SIMILARITY, size: int = GRID, margin: int = MARGIN) -> DataFrame:
+    """Registers two scans per frame and compares their shapes and looks."""
+    return compare_appearances(appearances(register_rasters(a, size, margin)), appearances(register_rasters(b, size, margin)), least)
 
 
 def source_stats(scan: DataFrame, core: DataFrame) -> DataFrame:
@@ -148,19 +348,111 @@ def match_tones(source: DataFrame, target: DataFrame) -> DataFrame:
     return source.withColumn("bin", b).join(table, ["frame_id", "bin"]).select(*KEY, (F.col("to") / 255).alias("value"))
 
 
-def generate(pencil: DataFrame, ink: DataFrame) -> DataFrame:
-    """The pencil's core, closed and rendered in the ink's tones, with a halo that falls off as the
-    ink's border profile does: (frame_id, x, y, value)."""
-    from rasterloom.operators.points import chamfer_close
+@dataclass(frozen=True)
+class RenderSettings:
+    """How far thickness, border, opacity and pressure move from the pencil's to the ink's, 0 to 4 each."""
+
+    thickness: float = 1.0
+    border: float = 1.0
+    opacity: float = 1.0
+    pressure: float = 1.0
+
+    def __post_init__(self):
+        if not all(0 <= v <= 4 for v in (self.thickness, self.border, self.opacity, self.pressure)):
+            raise ValueError("weights lie between 0 and 4")
+
+
+def _source(scan: DataFrame, scales: DataFrame, drawing: DataFrame | None) -> DataFrame:
+    """Rasters with core, scale to the registration grid, and the core's sorted 256-bin values and mean."""
+    r = raster(scan).join(scales.select("frame_id", "scale"), "frame_id")
+    if drawing is None:
+        limits = otsu(scan, NOISE).select("frame_id", F.greatest("threshold", F.lit(NOISE)).alias("threshold"))
+        r = r.join(limits, "frame_id").withColumn("core", F.transform("values", lambda v: v >= F.col("threshold"))).drop("threshold")
+    else:
+        r = _with_mask(r, drawing).withColumnRenamed("mask", "core")
+    inside = F.array_compact(F.zip_with("values", "core", lambda v, c: F.when(c, v)))
+    r = r.withColumn("inside", inside).where(F.size("inside") >= 4)
+    bins = F.array_sort(F.transform("inside", lambda v: F.floor(N.clamp01(v) * 255 + 0.5).cast("int")))
+    return r.withColumns({"bins": bins, "count": F.size("inside"), "mean": F.aggregate("inside", F.lit(0.0), lambda acc, v: acc + v) / F.size("inside")}).drop("inside")
+
+
+def _quantile(bins: Column, share: Column | float) -> Column:
+    """The sorted bins' value at a share, as darkness."""
+    p = F.lit(share) if isinstance(share, float) else share
+    return F.get(bins, (F.greatest(F.lit(1), F.ceil(N.clamp01(p) * F.size(bins))) - 1).cast("int")) / 255
+
+
+def _closed(df: DataFrame, mask: str, radius: int | Column) -> DataFrame:
+    """`mask` closed by chamfer distance."""
+    radius = F.lit(radius) if isinstance(radius, int) else radius
+    wide = df.withColumn("__d", _chamfer_field(F.col(mask), F.col("width"))).withColumn("__wide", F.transform("__d", lambda d: d <= 3 * radius))
+    back = wide.withColumn("__b", _chamfer_field(F.transform("__wide", lambda v: ~v), F.col("width")))
+    return back.withColumn(mask, F.zip_with("__wide", "__b", lambda v, d: v & (d > 3 * radius))).drop("__d", "__wide", "__b")
+
+
+def _by_thickness(r: DataFrame, weight: float) -> DataFrame:
+    """Adds `target`: the core grown or shrunk by half the difference of the thicknesses."""
+    r = r.withColumn("grow", (F.col("b_thickness") - F.col("a_thickness")) * 0.5 * weight / F.col("scale"))
+    r = r.withColumns({"to": _chamfer_field(F.col("core"), F.col("width")), "back": _chamfer_field(F.transform("core", lambda c: ~c), F.col("width"))})
+    wider, thinner = F.zip_with("core", "to", lambda c, d: c | (d / 3 <= F.col("grow"))), F.zip_with("core", "back", lambda c, d: c & (d / 3 > -F.col("grow")))
+    return r.withColumn("target", F.when(F.col("grow") >= 0, wider).otherwise(thinner)).drop("to", "back", "grow")
+
+
+def _by_centre_line(r: DataFrame, weight: float) -> DataFrame:
+    """Adds `target`: what lies within half the wanted thickness of the closed core's centre line; the
+    closing bridges gaps of three quarters of the stroke, six pixels at most."""
+    from rasterloom.operators.points import thin
+
+    thick = F.col("a_thickness") / F.col("scale")
+    radius = F.greatest(F.lit(1), F.least(F.lit(6), F.ceil(thick * 0.75))).cast("int")
+    solid = _closed(r.select("frame_id", "width", F.col("core").alias("solid"), radius.alias("radius")), "solid", F.col("radius"))
+    line = thin(cells_of(solid, "solid").where("value").select(F.col("frame_id").alias("shape_id"), "x", "y"))
+    wanted = F.greatest(F.lit(0.75), F.col("a_thickness") + (F.col("b_thickness") - F.col("a_thickness")) * weight)
+    reach = F.greatest(F.lit(0.5), wanted * 0.5 / F.col("scale"))
+    far = _with_mask(r, line).withColumn("to", _chamfer_field(F.col("mask"), F.col("width"))).drop("mask")
+    return far.withColumn("reach", reach).withColumn("target", F.transform("to", lambda d: d / 3 <= F.col("reach"))).drop("to", "reach")
+
+
+def generate(pencil: DataFrame, ink: DataFrame, settings: RenderSettings = RenderSettings(), looks: tuple[DataFrame, DataFrame] | None = None, drawings: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """The pencil drawing in the ink's manner: (frame_id, x, y, gray), 255 white.
+
+    Without drawings the pencil's core grows or shrinks by half the difference of the two thicknesses,
+    measured on the registration grid; with them (points of both, the cores), strokes are drawn anew around
+    their centre line. The result is closed by one pixel. Inside, tones go by equal share of the cores'
+    histograms and are scaled to the ink's black point; outside, the halo follows the ink's border profile.
+    `looks` are the appearances of both, if they are known."""
     from rasterloom.sources.tables import materialise
 
-    core = materialise(chamfer_close(core_of(pencil, otsu(pencil, NOISE)), 1))
-    inked = core_of(ink, otsu(ink, NOISE)).select(F.col("shape_id").alias("frame_id"), "x", "y")
-    drawn = pencil.join(core.select(F.col("shape_id").alias("frame_id"), "x", "y"), KEY, "left_semi")
-    toned = match_tones(drawn, ink.join(inked, KEY, "left_semi"))
-    base = toned.groupBy("frame_id").agg(F.avg("value").alias("base"))
-    profile = border_profile(ink, inked.withColumnRenamed("frame_id", "shape_id")).select(F.col("shape_id").alias("frame_id"), "ring", "share")
-    cells = pencil.select(F.col("frame_id").alias("shape_id"), "x", "y")
-    ring = chamfer_distance(cells, core, PROBE).where("distance > 0").select(F.col("shape_id").alias("frame_id"), "x", "y", F.ceil(F.col("distance") / 3).cast("int").alias("ring"))
-    halo = ring.join(profile, ["frame_id", "ring"]).join(base, "frame_id").select(*KEY, (F.col("share") * F.col("base")).alias("value"))
-    return toned.unionAll(halo)
+    own, other = drawings or (None, None)
+    a, b = looks or tuple(appearances(register_rasters(s, drawing=d)) for s, d in ((pencil, own), (ink, other)))
+    looks_ = _pairs(a, b).join(b.select("frame_id", "profile"), "frame_id").select("frame_id", "a_thickness", "b_thickness", "profile")
+    s = _source(pencil, a, own)
+    i = _source(ink, b, other).select("frame_id", F.col("bins").alias("i_bins"), F.col("mean").alias("i_mean"))
+    r = materialise(s.join(i, "frame_id").join(looks_, "frame_id"))
+    shaped = _by_thickness(r, settings.thickness) if drawings is None else _by_centre_line(r, settings.thickness)
+    r = _closed(shaped, "target", 1)
+    r = r.withColumn("far", _chamfer_field(F.col("target"), F.col("width")))
+    lerp = lambda x, y, t: x + (y - x) * t
+    black = {n: lerp(_quantile(F.col("bins"), 0.9), _quantile(F.col("i_bins"), 0.9), t) for n, t in (("now", settings.pressure), ("wanted", settings.opacity))}
+    share_of = lambda k: F.size(F.filter("bins", lambda v: v <= k)) / F.col("count")
+    tones = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: _quantile(F.col("i_bins"), share_of(k)))
+    r = r.withColumns({
+        "boost": black["wanted"] / F.greatest(black["now"], F.lit(1e-8)),
+        "middle": _quantile(F.col("bins"), 0.5),
+        "floor": N.clamp01(lerp(_quantile(F.col("bins"), 0.5), _quantile(F.col("i_bins"), 0.5), settings.opacity)),
+        "body": N.clamp01(lerp(F.col("mean"), F.col("i_mean"), settings.opacity)),
+        "tones": tones,
+    })
+    r = materialise(r.drop("bins", "i_bins"))
+    facts = ("width", "boost", "middle", "floor", "body", "scale")
+    each = r.select("frame_id", *facts, F.posexplode(F.arrays_zip("values", "core", "target", "far")).alias("i", "c"))
+    each = each.join(r.select("frame_id", "tones", "profile"), "frame_id")
+    tone = F.when(F.col("c.core"), F.col("c.values")).otherwise(F.col("middle"))
+    inked = F.get("tones", F.floor(N.clamp01(tone) * 255 + 0.5).cast("int"))
+    drawn = F.greatest(F.col("floor"), N.clamp01(lerp(tone, inked, settings.pressure) * F.col("boost")))
+    d = F.col("c.far") / 3 * F.col("scale")
+    low = F.floor(d).cast("int")
+    ring = F.when(d < 0.5, 0.0).when(d <= 1, F.get("profile", F.lit(1))).when(d >= PROBE, 0.0).otherwise(lerp(F.get("profile", low), F.get("profile", F.least(low + 1, F.lit(PROBE))), d - low))
+    halo = F.col("body") * N.clamp01(ring * settings.border)
+    gray = F.floor(255 * (1 - F.when(F.col("c.target"), drawn).otherwise(halo)) + 0.5).cast("int")
+    return each.select("frame_id", (F.col("i") % F.col("width")).alias("x"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), gray.alias("gray"))

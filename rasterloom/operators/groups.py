@@ -161,11 +161,12 @@ def magic_wand(pixels: DataFrame, seeds: DataFrame, tolerance: int, contiguous:
     return groups.join(wanted, ["shape_id", "label"], "left_semi").select(POINT)
 
 
-def nearest_group(groups: DataFrame, target: DataFrame, reach: int) -> DataFrame:
-    """Label of the group with the least distance to a target set, per shape."""
-    d2 = F.pow(F.col("x") - F.col("tx"), F.lit(2)) + F.pow(F.col("y") - F.col("ty"), F.lit(2))
-    pairs = _near(groups.select(*POINT, "label"), target.select(POINT), reach).where(d2 <= reach * reach)
-    return pairs.groupBy("shape_id").agg(F.min(F.struct(d2.alias("d"), "label")).alias("m")).select("shape_id", F.col("m.label").alias("label"), F.sqrt("m.d").alias("distance"))
+def nearest_group(groups: DataFrame, target: DataFrame) -> DataFrame:
+    """Label of the group with the least distance to a target set, per shape, ties to the smaller label."""
+    from rasterloom.operators.points import _nearest_points
+
+    near = groups.select(*POINT, "label").join(_nearest_points(groups, target), POINT)
+    return near.groupBy("shape_id").agg(F.min(F.struct(F.col("m.d").alias("d"), "label")).alias("b")).select("shape_id", F.col("b.label").alias("label"), F.sqrt("b.d").alias("distance"))
 
 
 def group_anchors(groups: DataFrame) -> DataFrame:
@@ -173,3 +174,36 @@ def group_anchors(groups: DataFrame) -> DataFrame:
     from rasterloom.operators.points import centroid
 
     return centroid(largest_group(groups)).select("shape_id", F.col("near_x").alias("x"), F.col("near_y").alias("y"))
+
+
+def mini_anchors(pixels: DataFrame, frames: DataFrame, dist: float, condition, preds: int = 1, accept_empty: bool = True) -> DataFrame:
+    """(frame_id, which, x, y): for every one of several predicates, the anchor of the largest group that
+    meets it on each frame's mini image, in image coordinates. `condition(mini)` gives the mini image's rows
+    and the list of predicates on them. A frame without a match is left out, or is an error."""
+    from rasterloom.operators.points import centroid
+    from rasterloom.operators.pixels import mini_image, mini_sizes, mini_to_image
+
+    rows, tests = condition(mini_image(pixels, frames))
+    if len(tests) != preds:
+        raise ValueError("as many predicates are wanted as are announced")
+    # Distances scale with the image; frames are of one size, else the smallest scale holds for all.
+    scale = mini_sizes(frames).agg(F.min(F.greatest(F.col("width") / F.col("w"), F.col("height") / F.col("h")))).first()[0] or 1.0
+    near = max(1.0, dist * scale)
+    # A pixel may meet several predicates: each has a grouping of its own.
+    each = rows.select("frame_id", "x", "y", F.explode(F.array(*[F.when(t, i) for i, t in enumerate(tests)])).alias("which")).where("which is not null")
+    keyed = each.select((F.col("frame_id") * preds + F.col("which")).alias("shape_id"), "x", "y")
+    at = centroid(largest_group(group_points(keyed, near))).select(F.expr(f"shape_id div {preds}").alias("frame_id"), (F.col("shape_id") % preds).cast("int").alias("which"), F.col("near_x").alias("x"), F.col("near_y").alias("y"))
+    full = mini_to_image(at.select((F.col("frame_id") * preds + F.col("which")).alias("key"), "frame_id", "x", "y"), frames, "key")
+    found = full.select("frame_id", (F.col("key") % preds).cast("int").alias("which"), "x", "y")
+    if accept_empty:
+        return found
+    wanted = frames.select("frame_id", F.explode(F.sequence(F.lit(0), F.lit(preds - 1))).alias("which"))
+    missing = F.raise_error(F.concat(F.lit("no pixel meets predicate "), F.col("which").cast("string"), F.lit(" in frame "), F.col("frame_id").cast("string")))
+    both = wanted.join(found, ["frame_id", "which"], "left")
+    return both.select("frame_id", "which", F.when(F.col("x").isNull(), missing.cast("int")).otherwise(F.col("x")).alias("x"), "y")
+
+
+def mini_anchor_then_local(pixels: DataFrame, frames: DataFrame, dist: float, condition, pred: Column) -> DataFrame:
+    """The full-size group around the anchor of the mini image's largest group."""
+    at = mini_anchors(pixels, frames, dist, condition)
+    return local_group(pixels, at.select(F.col("frame_id").alias("shape_id"), "x", "y"), dist, pred)

@@ -80,6 +80,17 @@ def composite(backdrop: Column, source: Column, mode: str | Column) -> Column:
     return F.when(channel(source, 24) == 0, backdrop).when(channel(backdrop, 24) == 0, source).otherwise(packed)
 
 
+def composite_modes(pairs: DataFrame, backdrop: str, source: str, modes: tuple[str, ...]) -> DataFrame:
+    """One column per mode, in lower case, of two columns of packed colours. Colours are unpacked in a
+    projection of their own, so all modes share them and the arithmetic stays in generated code."""
+    names = [m.lower() for m in modes]
+    apart = pairs.select("*", unpack_argb(F.col(backdrop)).alias("__b"), unpack_argb(F.col(source)).alias("__s"))
+    mixed = apart.select("*", *[composite_channels(F.col("__b"), F.col("__s"), m).alias(f"__{n}") for m, n in zip(modes, names)])
+    b, s = F.col("__b.a"), F.col("__s.a")
+    done = [F.when(s == 0, F.col(backdrop)).when(b == 0, F.col(source)).otherwise(pack(F.col(f"__{n}"))).alias(n) for n in names]
+    return mixed.select(*pairs.columns, *done)
+
+
 def place(layer_pixels: DataFrame, layers: DataFrame, width: int, height: int) -> DataFrame:
     """Visible layer pixels shifted by their layer's offset, clipped to the canvas, opacity applied.
 

@@ -19,8 +19,9 @@ OUTPUTS = ("thickness", "opacity")
 EPOCHS, RATE, RIDGE, FIRST_GUESS = 1400, 0.0125, 0.0004, 0.15
 #: Reach of the match in samples and in arc share.
 MATCH_SAMPLES, MATCH_ARC = 12, 0.025
-#: Weights of the match score.
-SCORE_WEIGHTS = {"place": 1.0, "orientation": 0.6, "derivative": 0.2, "radius": 0.5, "arc": 2.0}
+#: Weights of the match score, what a match that does not return loses, and the least confidence (fixed values).
+SCORE_WEIGHTS = {"place": 1.0, "orientation": 0.6, "derivative": 0.45, "radius": 0.3, "arc": 0.4}
+MISMATCH, LEAST_CONFIDENCE = 0.35, 0.1
 
 
 def local_frame(contour: DataFrame, size: int = 256) -> DataFrame:
@@ -71,9 +72,9 @@ def measure(features: DataFrame, points: DataFrame, scan: DataFrame, r: int = 2)
     return raw.drop("w10", "w01", "thickness", "opacity").join(smooth, ["shape_id", "ord"])
 
 
-def anchors(features: DataFrame, points: DataFrame, reach: int = 6, blend: float = 0.82) -> DataFrame:
+def anchors(features: DataFrame, points: DataFrame, blend: float = 0.82) -> DataFrame:
     """Vertices pulled towards their nearest members: a blend of the two places."""
-    near = nearest(points, features.select("shape_id", F.col("x").alias("qx"), F.col("y").alias("qy")), reach)
+    near = nearest(points, features.select("shape_id", F.col("x").alias("qx"), F.col("y").alias("qy")))
     near = near.select("shape_id", F.col("qx").alias("x"), F.col("qy").alias("y"), F.col("x").alias("mx"), F.col("y").alias("my"))
     both = features.select("shape_id", "ord", "x", "y").join(near, ["shape_id", "x", "y"], "left")
     pull = lambda c: (F.col(c) + (F.coalesce(f"m{c}", c) - F.col(c)) * blend).alias(c)
@@ -102,43 +103,65 @@ def nearest_by_location(a: DataFrame, b: DataFrame) -> DataFrame:
     return near.where("side = 0").select("shape_id", "ord", F.least(d("lo"), d("hi")).alias("m")).select("shape_id", "ord", F.col("m.ord").alias("other"), F.col("m.d").alias("distance"))
 
 
-def match_score(a: Column, b: Column, scale: Column) -> Column:
-    """Weighted sum of the differences of two feature structs; smaller is better."""
+def comparable(features: DataFrame) -> DataFrame:
+    """Adds the place inside the contour's bounds (u, v in 0..1, 0.5 where the bounds are flat) and the
+    radius as a share of their diagonal."""
+    b = features.groupBy("shape_id").agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo_", F.min), ("hi_", F.max))])
+    at = lambda c: F.when(F.col(f"hi_{c}") == F.col(f"lo_{c}"), 0.5).otherwise((F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}")))
+    diagonal = F.greatest(F.lit(1.0), F.hypot(F.col("hi_x") - F.col("lo_x"), F.col("hi_y") - F.col("lo_y")))
+    wide = features.join(b, "shape_id").withColumns({"u": at("x"), "v": at("y"), "share": F.col("radius") / diagonal})
+    return wide.drop("lo_x", "lo_y", "hi_x", "hi_y")
+
+
+def match_score(a: Column, b: Column) -> Column:
+    """Weighted sum of the differences of two comparable feature structs; smaller is better. Tangents are
+    compared as directions, over half a turn; the difference of derivatives counts up to 1."""
+    turn = F.abs(F.atan2(a["ty"], a["tx"]) - F.atan2(b["ty"], b["tx"]))
+    arc = F.abs(a["location"] - b["location"])
     parts = {
-        "place": F.sqrt(F.pow((a["x"] - b["x"]).cast("double"), F.lit(2.0)) + F.pow((a["y"] - b["y"]).cast("double"), F.lit(2.0))) / scale,
-        "orientation": N.orientation_distance(a["orientation"], b["orientation"]),
-        "derivative": F.abs(a["derivative"] - b["derivative"]),
-        "radius": F.abs(a["radius"] - b["radius"]) / scale,
-        "arc": N.circular_distance(a["location"], b["location"]),
+        "place": F.hypot(a["u"] - b["u"], a["v"] - b["v"]),
+        "orientation": F.least(turn, 2 * np.pi - turn) / np.pi,
+        "derivative": F.least(F.lit(1.0), F.abs(a["derivative"] - b["derivative"])),
+        "radius": F.abs(a["share"] - b["share"]),
+        "arc": F.least(arc, 1 - arc),
     }
     return sum((parts[k] * w for k, w in SCORE_WEIGHTS.items()), F.lit(0.0))
 
 
+_FIELDS = ("ord", "u", "v", "tx", "ty", "derivative", "share", "location")
+
+
+def _one_way(p: DataFrame, q: DataFrame) -> DataFrame:
+    """(shape_id, ord, other, score) of the best of q for each sample of p."""
+    from rasterloom.sources.tables import materialise
+
+    n = q.groupBy("shape_id").agg(F.count("*").alias("n"))
+    left = p.select("shape_id", "ord", F.struct(*_FIELDS).alias("a"))
+    right = q.select("shape_id", F.col("ord").alias("to"), F.struct(*_FIELDS).alias("b"))
+    start = nearest_by_location(p, q).select("shape_id", "ord", "other").join(n, "shape_id")
+    near = start.withColumn("d", F.explode(F.sequence(F.lit(-MATCH_SAMPLES), F.lit(MATCH_SAMPLES))))
+    near = near.withColumn("to", F.pmod(F.col("other") + F.col("d"), F.col("n")).cast("int")).select("shape_id", "ord", "d", "to")
+    arc = F.abs(F.col("a.location") - F.col("b.location"))
+    pairs = near.join(left, ["shape_id", "ord"]).join(right, ["shape_id", "to"]).where(F.least(arc, 1 - arc) <= MATCH_ARC)
+    score = F.round(match_score(F.col("a"), F.col("b")), 12)
+    best = lambda rows, tie: rows.groupBy("shape_id", "ord").agg(F.min(F.struct(score.alias("s"), tie, "to")).alias("m")).select("shape_id", "ord", F.col("m.to").alias("other"), F.col("m.s").alias("score"))
+    local = materialise(best(pairs, "d"))
+    # Samples without a partner nearby meet all samples of their shape.
+    rest = left.join(local, ["shape_id", "ord"], "left_anti").join(right, "shape_id")
+    return local.unionByName(best(rest, F.col("to").alias("d")))
+
+
 def best_match(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(shape_id, ord, other, score, confidence): least score among the samples of b within 12 places
-    and 0.025 of the perimeter of the nearest by location; the nearest itself where none is. Confidence
-    falls with the score, and by half where the match back does not return within two places."""
-    n = b.groupBy("shape_id").agg(F.count("*").alias("n"), F.greatest(F.max("radius"), F.lit(1.0)).alias("scale"))
-    fields = ("ord", "x", "y", "orientation", "derivative", "radius", "location")
-
-    def one_way(p: DataFrame, q: DataFrame) -> DataFrame:
-        start = nearest_by_location(p, q).select("shape_id", "ord", "other").join(n, "shape_id")
-        d = F.explode(F.sequence(F.lit(-MATCH_SAMPLES), F.lit(MATCH_SAMPLES)))
-        near = start.withColumn("d", d).withColumn("to", F.pmod(F.col("other") + F.col("d"), F.col("n")).cast("int"))
-        left = p.select("shape_id", "ord", F.struct(*fields).alias("a"))
-        right = q.select("shape_id", F.col("ord").alias("to"), F.struct(*fields).alias("b"))
-        pairs = near.join(left, ["shape_id", "ord"]).join(right, ["shape_id", "to"])
-        pairs = pairs.where((F.col("d") == 0) | (N.circular_distance(F.col("a.location"), F.col("b.location")) <= MATCH_ARC))
-        s = F.round(match_score(F.col("a"), F.col("b"), F.col("scale")), 9)
-        return pairs.groupBy("shape_id", "ord").agg(F.min(F.struct(s.alias("s"), F.abs("d").alias("d"), "to")).alias("m")).select("shape_id", "ord", F.col("m.to").alias("other"), F.col("m.s").alias("score"))
-
-    there = one_way(a, b)
-    back = one_way(b, a).select("shape_id", F.col("ord").alias("other"), F.col("other").alias("returned"))
-    both = there.join(back, ["shape_id", "other"], "left").join(n, "shape_id")
-    off = F.abs(F.col("returned") - F.col("ord"))
-    ok = F.coalesce(F.least(off, F.col("n") - off) <= 2, F.lit(False))
-    conf = F.greatest(F.exp(-F.col("score")) * F.when(ok, 1.0).otherwise(0.5), F.lit(0.05))
-    return both.select("shape_id", "ord", "other", "score", conf.alias("confidence"))
+    """(shape_id, ord, other, score, location, confidence): least score among the samples of b within 12
+    places of the nearest by location and 0.025 of the perimeter; among all of them where none is so near.
+    Location is the mean of both. Confidence falls with the score, and where the match back is another."""
+    a, b = comparable(a), comparable(b)
+    there = _one_way(a, b)
+    back = _one_way(b, a).select("shape_id", F.col("ord").alias("other"), F.col("other").alias("returned"))
+    at = lambda d, key, name: d.select("shape_id", F.col("ord").alias(key), F.col("location").alias(name))
+    both = there.join(back, ["shape_id", "other"]).join(at(a, "ord", "la"), ["shape_id", "ord"]).join(at(b, "other", "lb"), ["shape_id", "other"])
+    sure = F.when(F.col("returned") == F.col("ord"), 1.0).otherwise(1 - MISMATCH) / (1 + F.col("score"))
+    return both.select("shape_id", "ord", "other", "score", ((F.col("la") + F.col("lb")) / 2).alias("location"), N.bound(sure, LEAST_CONFIDENCE, 1.0).alias("confidence"))
 
 
 def naive_match(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -175,19 +198,26 @@ def _moments(rows: DataFrame, size: int, output: str) -> tuple[np.ndarray, np.nd
 
 
 def init_weights(gram: np.ndarray, xy: np.ndarray, total: float) -> np.ndarray:
-    """Weighted mean as bias and a share of covariance over variance per feature (bias last)."""
+    """Weighted mean as bias (last) and a share of covariance over the feature's square mean."""
     w = np.zeros(len(xy))
     if total <= 0:
         return w
-    mean_y, means = xy[-1] / total, gram[-1] / total
+    w[-1] = xy[-1] / total
     for i in range(len(xy) - 1):
-        var = gram[i, i] / total - means[i] ** 2
-        if var > 1e-12:
-            w[i] = FIRST_GUESS * (xy[i] / total - means[i] * mean_y) / var
-    w[-1] = mean_y
+        square = gram[i, i] / total
+        if square >= 1e-9:
+            w[i] = FIRST_GUESS * (xy[i] - gram[i, -1] * w[-1]) / total / square
     return w
 
 
+def first_weights(rows: DataFrame, inputs: tuple[str, ...], output: str, cross: bool = False) -> DataFrame:
+    """(term, weight): the first guess for every input, and `bias`."""
+    full = vectorize(rows, inputs, cross)
+    names = list(inputs) + ([f"{a}*{b}" for i, a in enumerate(inputs) for b in inputs[i:]] if cross else []) + ["bias"]
+    w = init_weights(*_moments(full, len(names), output))
+    return rows.sparkSession.createDataFrame([(t, float(v)) for t, v in zip(names, w)], "term string, weight double")
+
+
 def fit(rows: DataFrame, inputs: tuple[str, ...], output: str, cross: bool = False, epochs: int = EPOCHS, rate: float = RATE, ridge: float = RIDGE) -> np.ndarray:
     """Weighted ridge regression by gradient steps. The steps depend on the data through its moments
     alone, so one aggregate feeds all of them."""
@@ -215,7 +245,12 @@ def rmse(rows: DataFrame, output: str) -> DataFrame:
     return rows.agg(F.sqrt(F.sum(F.col("confidence") * d) / F.sum("confidence")).alias("rmse"))
 
 
-def session(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two contours of each shape, framed, described and matched: (shape_id, ord, other, ..., confidence)."""
+def session(a: DataFrame, b: DataFrame, inputs: tuple[str, ...] = INPUTS) -> tuple[DataFrame, DataFrame]:
+    """Two contours of each shape, framed, described and matched, and the first weights by which the
+    inputs of a tell how far b's radius lies from a's: (matches, weights)."""
     fa, fb = build_features(local_frame(a)), build_features(local_frame(b))
-    return best_match(fa, fb)
+    matches = best_match(fa, fb)
+    there = fb.select("shape_id", F.col("ord").alias("other"), F.col("radius").alias("other_radius"))
+    pairs = fa.join(matches.select("shape_id", "ord", "other", "confidence"), ["shape_id", "ord"]).join(there, ["shape_id", "other"])
+    rows, _ = standardize(pairs.withColumn("target", F.col("other_radius") - F.col("radius")), inputs)
+    return matches, first_weights(rows, inputs, "target")

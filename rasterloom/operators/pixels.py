@@ -147,10 +147,10 @@ def mini_image(pixels: DataFrame, frames: DataFrame) -> DataFrame:
     return fetch(cells.withColumns({"sx": _centre(F.col("x"), F.col("width"), F.col("w")), "sy": _centre(F.col("y"), F.col("height"), F.col("h"))}), pixels)
 
 
-def mini_to_image(points: DataFrame, frames: DataFrame) -> DataFrame:
-    """Mini-image points (frame_id, x, y) in image coordinates."""
+def mini_to_image(points: DataFrame, frames: DataFrame, *carry: str) -> DataFrame:
+    """Mini-image points (frame_id, x, y) in image coordinates, with the columns to carry."""
     both = points.join(mini_sizes(frames), "frame_id")
-    return both.select("frame_id", _centre(F.col("x"), F.col("width"), F.col("w")).alias("x"), _centre(F.col("y"), F.col("height"), F.col("h")).alias("y"))
+    return both.select("frame_id", *carry, _centre(F.col("x"), F.col("width"), F.col("w")).alias("x"), _centre(F.col("y"), F.col("height"), F.col("h")).alias("y"))
 
 
 def fit_plan(frames: DataFrame, width: int, height: int) -> DataFrame:
@@ -235,34 +235,68 @@ def place_specimen(regions: DataFrame, specimen: tuple[int, int], most_tiles: in
     return regions.withColumns({"how": how, "tiles": (cols * rows).cast("int"), "factor": F.when(how == "scale", ratio).otherwise(F.lit(1.0))})
 
 
+#: What a newly covered cell earns, and what cells of the region cost under a tile's edge and around its
+#: corners (fixed values).
+NEW_CELL, EDGE_CELL, CORNER_CELL, CORNER_REACH = 4096, 256, 8192, 2
+
+
 def adaptive_tiles(cells: DataFrame, width: int, height: int) -> DataFrame:
     """Greedy cover of each region (region_id, x, y) by width x height tiles: (region_id, tile, x, y).
 
-    Each step takes, among the places whose first row or column touches an uncovered cell, the tile
-    that covers most new cells; ties to least overlap beyond the region, then to smaller y and x. A
-    sequential rule inside a region, so one pandas group per region."""
+    Every step covers the first cell, by row and column, that is still bare. A tile over it may start where
+    it is centred on the cell, on the cell's unbroken row or column, or on the region, or where one of its
+    edges meets one of these. It earns newly covered cells and pays for cells of the region under its edges
+    and around its corners, where seams show, and for its distance from the centre of the cell's row and
+    column; the first of equal tiles is taken. The order of steps decides, so a region is one pandas group;
+    the group holds its bounding box."""
     import pandas as pd
 
     def cover(region: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        x0, y0 = region["x"].min(), region["y"].min()
-        w, h = region["x"].max() - x0 + 1, region["y"].max() - y0 + 1
-        inside = np.zeros((h + 2 * height, w + 2 * width), np.int64)
-        inside[region["y"] - y0 + height, region["x"] - x0 + width] = 1
-        left, out = inside.copy(), []
-
-        def windows(a):
-            s = np.pad(a.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-            return s[height:, width:] - s[:-height, width:] - s[height:, :-width] + s[:-height, :-width]
-
-        whole = windows(inside)
-        while left.any():
-            gain = windows(left)
-            best = gain * (width * height + 1) + whole
-            ty, tx = np.unravel_index(best.argmax(), best.shape)
-            left[ty : ty + height, tx : tx + width] = 0
-            out.append((region["region_id"].iat[0], len(out), int(tx - width + x0), int(ty - height + y0)))
+        x0, y0 = int(region["x"].min()), int(region["y"].min())
+        inside = np.zeros((int(region["y"].max()) - y0 + 1, int(region["x"].max()) - x0 + 1), bool)
+        inside[region["y"] - y0, region["x"] - x0] = True
+        bare, out = inside.copy(), []
+        sums = np.pad(inside.cumsum(0, dtype=np.int64).cumsum(1), ((1, 0), (1, 0)))
+        high, wide = inside.shape
+
+        def count(x: int, y: int, w: int, h: int) -> int:
+            """Cells of the region in a rectangle."""
+            a, b = np.clip((x, x + w), 0, wide)
+            c, d = np.clip((y, y + h), 0, high)
+            return int(sums[d, b] - sums[c, b] - sums[d, a] + sums[c, a])
+
+        def unbroken(line: np.ndarray, at: int) -> tuple[int, int]:
+            """First and last place of the run of cells around one."""
+            gaps = np.flatnonzero(~line)
+            i = int(np.searchsorted(gaps, at))
+            return (int(gaps[i - 1]) + 1 if i else 0), (int(gaps[i]) - 1 if i < len(gaps) else len(line) - 1)
+
+        def starts(at: int, run: tuple[int, int], extent: int, size: int) -> list[int]:
+            centred = lambda a, b: (a + b - size + 1) // 2
+            tried = [
+                centred(*run), centred(0, extent - 1), at - size // 2, run[0], run[1] - size + 1,
+                0, extent - size, at, at - size + 1,
+            ]
+            return [s for s in dict.fromkeys(tried) if s <= at < s + size]
+
+        r = 2 * CORNER_REACH + 1
+        for y in range(high):
+            while (left := np.flatnonzero(bare[y])).size:
+                x = int(left[0])
+                across, down = unbroken(inside[y], x), unbroken(inside[:, x], y)
+                ideal = (across[0] + across[1] - width + 1) // 2, (down[0] + down[1] - height + 1) // 2
+
+                def worth(tx: int, ty: int) -> int:
+                    new = int(bare[max(ty, 0) : ty + height, max(tx, 0) : tx + width].sum())  # noqa: B023
+                    edge = count(tx, ty, width, height) - count(tx + 1, ty + 1, max(width - 2, 0), max(height - 2, 0))
+                    corners = sum(count(cx - CORNER_REACH, cy - CORNER_REACH, r, r) for cx in (tx, tx + width - 1) for cy in (ty, ty + height - 1))
+                    return new * NEW_CELL - edge * EDGE_CELL - corners * CORNER_CELL - abs(tx - ideal[0]) - abs(ty - ideal[1])  # noqa: B023
+
+                tx, ty = max(((a, b) for a in starts(x, across, wide, width) for b in starts(y, down, high, height)), key=lambda p: worth(*p))
+                bare[max(ty, 0) : ty + height, max(tx, 0) : tx + width] = False
+                out.append((region["region_id"].iat[0], len(out), tx + x0, ty + y0))
         return pd.DataFrame(out, columns=["region_id", "tile", "x", "y"])
 
     return cells.groupBy("region_id").applyInPandas(cover, "region_id long, tile int, x int, y int")

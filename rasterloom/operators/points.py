@@ -143,6 +143,20 @@ def erode(points: DataFrame, r: int) -> DataFrame:
     return from_runs(fit).groupBy(*POINT).count().where(F.col("count") == 2 * r + 1).drop("count")
 
 
+def erode_by(points: DataFrame, radii: DataFrame) -> DataFrame:
+    """Disk erosion with a radius per shape (shape_id, r): a cell stays when no cell outside the set is
+    within r; shapes without a radius, or with 0, stay as they are."""
+    reach = points.select(POINT).distinct().join(radii, "shape_id", "left").withColumn("r", F.coalesce("r", F.lit(0)))
+    runs = to_runs(reach.select(POINT)).join(radii, "shape_id", "left").withColumn("r", F.coalesce("r", F.lit(0)))
+    offsets = runs.withColumn("dx", F.explode(F.sequence(-F.col("r"), F.col("r"))))
+    half = F.floor(F.sqrt((F.col("r") * F.col("r") - F.col("dx") * F.col("dx")).cast("double"))).cast("int")
+    fit = offsets.withColumn("half", half).where("y_hi - y_lo >= 2 * half").select(
+        "shape_id", "r", (F.col("x") - F.col("dx")).alias("x"), (F.col("y_lo") + F.col("half")).alias("y_lo"), (F.col("y_hi") - F.col("half")).alias("y_hi")
+    )
+    cells = fit.select("shape_id", "r", "x", F.explode(F.sequence("y_lo", "y_hi")).alias("y"))
+    return cells.groupBy(*POINT, "r").count().where("count = 2 * r + 1").select(POINT)
+
+
 def close(points: DataFrame, r: int) -> DataFrame:
     return erode(dilate(points, r), r)
 
@@ -168,11 +182,45 @@ def chamfer(dx: Column, dy: Column) -> Column:
     return F.lit(4) * F.least(a, b) + F.lit(3) * (F.greatest(a, b) - F.least(a, b))
 
 
-def chamfer_distance(cells: DataFrame, mask: DataFrame, limit: int) -> DataFrame:
-    """Distance of every cell to the nearest mask point, steps costing 3 and diagonals 4; `limit` (in
-    steps) bounds the search, cells with nothing nearer get null."""
+def edge_of(points: DataFrame) -> DataFrame:
+    """Points with a neighbour (of four) outside the set: what is nearest to a place outside it."""
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1))])
+    lent = points.select(POINT).distinct().withColumn("s", F.explode(steps)).select("shape_id", (F.col("x") + F.col("s.i")).alias("x"), (F.col("y") + F.col("s.j")).alias("y"))
+    inner = lent.groupBy(*POINT).count().where("count = 4").select(POINT)
+    return points.select(POINT).distinct().join(inner, POINT, "left_anti")
+
+
+def _closest(cells: DataFrame, to: DataFrame, cost: Column, sure, pick: Column, start: int = 8) -> DataFrame:
+    """(shape_id, x, y, m): the least `pick` of the points `to` for every cell, exact at any distance; shapes
+    without a point are left out. A cell first looks around it in a grid of side `start`; `sure` tells from
+    the cost and the side whether nothing beyond can be nearer. Cells without a sure answer, and only
+    they, look again in a grid twice as coarse, so near cells, most of them, stay cheap. Points inside the
+    set are kept for the cells that are members, the edge for the others."""
+    from rasterloom.sources.tables import materialise
+
+    known = to.select(POINT).distinct()
+    asked = cells.select(POINT).distinct().join(known.select("shape_id").distinct(), "shape_id", "left_semi")
+    members = asked.join(known, POINT, "left_semi").select(*POINT, F.col("x").alias("tx"), F.col("y").alias("ty"))
+    found = members.groupBy(*POINT).agg(F.min(pick).alias("m"))
+    rest, edge, side = materialise(asked.join(known, POINT, "left_anti")), materialise(edge_of(known)), start
+    while not rest.isEmpty():
+        near = _near(rest, edge, side).groupBy(*POINT).agg(F.min(pick).alias("m"), F.min(cost).alias("cost"))
+        answered = materialise(near.where(sure(F.col("cost"), side)).select(*POINT, "m"))
+        found = found.unionAll(answered)
+        rest = materialise(rest.join(answered, POINT, "left_anti"))
+        side *= 2
+    return found
+
+
+def chamfer_distance(cells: DataFrame, mask: DataFrame, limit: int | None = None) -> DataFrame:
+    """Distance of every cell to the nearest mask point, steps costing 3 and diagonals 4; null where the
+    shape has no mask point, or none within `limit` steps if that is given."""
+    d = chamfer(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))
+    if limit is None:
+        found = _closest(cells, mask, d, lambda c, side: c <= 3 * side, d).select(*POINT, F.col("m").alias("distance"))
+        return cells.select(POINT).join(found, POINT, "left")
     pairs = _near(cells.select(POINT), mask.select(POINT), limit)
-    found = pairs.groupBy(*POINT).agg(F.min(chamfer(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))).alias("distance"))
+    found = pairs.groupBy(*POINT).agg(F.min(d).alias("distance"))
     return cells.select(POINT).join(found.where(F.col("distance") <= 3 * limit), POINT, "left")
 
 
@@ -184,11 +232,19 @@ def chamfer_close(mask: DataFrame, r: int) -> DataFrame:
     return chamfer_distance(wide, outside, r).where("distance IS NULL").select(POINT)
 
 
-def min_distance(a: DataFrame, b: DataFrame, reach: int) -> DataFrame:
-    """Least Euclidean distance between two point sets of one shape id within `reach`; null beyond."""
-    pairs = _near(a.select(POINT), b.select(POINT), reach)
-    d = F.sqrt((F.pow(F.col("x") - F.col("tx"), F.lit(2)) + F.pow(F.col("y") - F.col("ty"), F.lit(2))).cast("double"))
-    found = pairs.groupBy("shape_id").agg(F.min(d).alias("distance")).where(F.col("distance") <= reach)
+def _squared() -> Column:
+    return F.pow((F.col("x") - F.col("tx")).cast("double"), F.lit(2.0)) + F.pow((F.col("y") - F.col("ty")).cast("double"), F.lit(2.0))
+
+
+def _nearest_points(cells: DataFrame, to: DataFrame) -> DataFrame:
+    """(shape_id, x, y, m) with m = (squared distance, x, y) of the nearest point."""
+    pick = F.struct(_squared().alias("d"), "tx", "ty")
+    return _closest(cells, to, _squared(), lambda c, side: c <= side * side, pick)
+
+
+def min_distance(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Least Euclidean distance between two point sets of one shape id; null where b has no such shape."""
+    found = _nearest_points(a, b).groupBy("shape_id").agg(F.sqrt(F.min("m.d")).alias("distance"))
     return a.select("shape_id").distinct().join(found, "shape_id", "left")
 
 
@@ -201,17 +257,34 @@ def min_distance_1d(a: DataFrame, b: DataFrame, col: str = "value") -> DataFrame
     return near.groupBy("key").agg(F.min("d").alias("distance"))
 
 
-def nearest(points: DataFrame, queries: DataFrame, reach: int) -> DataFrame:
-    """For each query (shape_id, qx, qy), the nearest point within reach (ties to smaller x, then y)."""
-    q = queries.select("shape_id", F.col("qx").alias("x"), F.col("qy").alias("y")).distinct()
-    d = F.pow(F.col("x") - F.col("tx"), F.lit(2)) + F.pow(F.col("y") - F.col("ty"), F.lit(2))
-    best = _near(q, points.select(POINT), reach).where(d <= reach * reach).groupBy(*POINT).agg(F.min(F.struct(d.alias("d"), "tx", "ty")).alias("b"))
-    return best.select("shape_id", F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("b.tx").alias("x"), F.col("b.ty").alias("y"), F.sqrt("b.d").alias("distance"))
+def nearest(points: DataFrame, queries: DataFrame) -> DataFrame:
+    """For each query (shape_id, qx, qy), the nearest point at any distance (ties to smaller x, then y);
+    queries of shapes without points give no row."""
+    best = _nearest_points(queries.select("shape_id", F.col("qx").alias("x"), F.col("qy").alias("y")), points)
+    return best.select("shape_id", F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("m.tx").alias("x"), F.col("m.ty").alias("y"), F.sqrt("m.d").alias("distance"))
+
+
+def nearest_on_line(points: DataFrame, queries: DataFrame, along: str) -> DataFrame:
+    """For each query, the nearest point in its own column (`along` y) or row (`along` x), ties to the
+    smaller place; no row where that line is empty. One sorted pass per line."""
+    other = "x" if along == "y" else "y"
+    pos = lambda d, x, y, side: d.select("shape_id", F.col(x).alias("x"), F.col(y).alias("y"), F.lit(side).alias("side"))
+    both = pos(points, "x", "y", 0).unionAll(pos(queries, "qx", "qy", 1)).distinct()
+    w = Window.partitionBy("shape_id", other).orderBy(along, "side")
+    at = F.when(F.col("side") == 0, F.col(along))
+    low = F.last(at, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    high = F.first(at, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    near = both.withColumns({"low": low, "high": high}).where("side = 1 and (low is not null or high is not null)")
+    found = F.when(F.col("high").isNull() | (F.col(along) - F.col("low") <= F.col("high") - F.col(along)), F.col("low")).otherwise(F.col("high"))
+    named = {along: found, other: F.col(other)}
+    return near.select("shape_id", F.col("x").alias("qx"), F.col("y").alias("qy"), named["x"].alias("x"), named["y"].alias("y"), F.abs(found - F.col(along)).alias("distance"))
 
 
 def within_distance(points: DataFrame, queries: DataFrame, d: int) -> DataFrame:
-    """Queries with some point within d."""
-    return nearest(points, queries, d).select("shape_id", "qx", "qy")
+    """Queries with some point within d: one look at the neighbouring cells of a grid of side d."""
+    q = queries.select("shape_id", F.col("qx").alias("x"), F.col("qy").alias("y")).distinct()
+    hit = _near(q, points.select(POINT), max(1, d)).where(_squared() <= d * d)
+    return hit.select("shape_id", F.col("x").alias("qx"), F.col("y").alias("qy")).distinct()
 
 
 def probe(points: DataFrame, starts: DataFrame, dx: int, dy: int) -> DataFrame:
@@ -250,6 +323,96 @@ def shape_summary(points: DataFrame) -> DataFrame:
     return g.drop("mid_x", "mid_y").join(row, "shape_id", "left")
 
 
+def _lagrange(nodes: list[tuple[float, float]], at: float, degree: int = 3) -> float:
+    """Value at `at` of the polynomial through the nearest nodes, in turn from both sides, itself excluded."""
+    sides = [sorted((abs(x - at), x, y) for x, y in nodes if x != at and (x < at) == left) for left in (True, False)]
+    ranked = sorted((k, d, x, y) for side in sides for k, (d, x, y) in enumerate(side))[: degree + 1]
+    total = 0.0
+    for _, _, x, y in ranked:
+        term = y
+        for _, _, other, _ in ranked:
+            if other != x:
+                term *= (at - other) / (x - other)
+        total += term
+    return total
+
+
+def _strands(columns: dict[float, list[float]]) -> list[dict[float, float]]:
+    """Rows of a border dealt to strands, column by column: each goes on with the strand whose last row is
+    nearest. A second strand opens within ten columns of the first one where a column has two rows."""
+    first, strands = min(columns), {}
+    for x in sorted(columns):
+        for y in columns[x]:
+            if abs(first - x) <= 10 and len(strands) == 1 and len(columns[x]) >= 2:
+                strands[columns[x][0]] = {x: y}
+            if strands:
+                key = min(sorted(strands), key=lambda k: abs(strands[k][max(strands[k])] - y))
+            else:
+                key = y
+            strands.setdefault(key, {})[x] = y
+    return [strands[k] for k in sorted(strands)]
+
+
+def interpolate_border(points: DataFrame, precision: float = 1.0) -> DataFrame:
+    """(shape_id, x, y) in doubles: the border's points and, at every `precision` between the ends of a
+    strand, interpolated ones where the column misses or has no row within 5 of the last interpolated
+    value. Where a whole column has a group of rows (gaps up to 3) within 3 of that value, only the group's
+    nearest row stays. Strands under four steps are left alone. The order of columns decides, so a shape
+    is one pandas group: a border holds a few rows per column."""
+    import numpy as np
+    import pandas as pd
+
+    def fill(part: pd.DataFrame) -> pd.DataFrame:
+        columns: dict[float, list[float]] = {}
+        digits = max(0, round(-np.log10(precision))) if precision < 1 else 0
+        for x, y in sorted(zip(part["x"].tolist(), part["y"].tolist())):
+            at = round(round(x / precision) * precision, digits + 6)
+            if y not in columns.setdefault(at, []):
+                columns[at].append(y)
+        added = []
+        for strand in _strands(columns):
+            low, high = min(strand), max(strand)
+            if len(strand) <= 1 or (high - low) / precision < 4:
+                continue
+            nodes, last = sorted(strand.items()), None
+            for i in range(int(np.ceil((high - low) / precision - 1e-9))):
+                x = round(low + i * precision, digits + 6)
+                if x in columns:
+                    if last is None:
+                        continue
+                    rows = sorted(columns[x])
+                    if x == int(x):
+                        cuts = [0, *[k for k in range(1, len(rows)) if rows[k] - rows[k - 1] > 3], len(rows)]
+                        groups = [rows[a:b] for a, b in zip(cuts, cuts[1:])]
+                        near = next((g for g in groups if any(abs(v - last) <= 3 for v in g)), None)
+                        if near:
+                            best = min(near, key=lambda v: abs(v - last))
+                            columns[x] = [v for v in columns[x] if v not in near or v == best]
+                            continue
+                    if any(abs(v - last) <= 5 for v in rows):
+                        continue
+                last = _lagrange(nodes, x)
+                added.append((x, last))
+        rows = [(x, y) for x, ys in columns.items() for y in ys] + added
+        return pd.DataFrame({"shape_id": part["shape_id"].iat[0], "x": [float(x) for x, _ in rows], "y": [float(y) for _, y in rows]})
+
+    cast = points.select("shape_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return cast.groupBy("shape_id").applyInPandas(fill, "shape_id long, x double, y double")
+
+
+def fill_border(points: DataFrame) -> DataFrame:
+    """The border interpolated at whole columns, in whole numbers towards zero."""
+    whole = lambda c: F.round(c, 6).cast("int").alias(c)
+    return interpolate_border(points).select("shape_id", whole("x"), whole("y")).distinct()
+
+
+def rescale_points(points: DataFrame, ratio: float) -> DataFrame:
+    """Points of a display `ratio` times smaller than the image, at image size: gaps that the scaling opens
+    are interpolated first."""
+    whole = lambda c: F.round(F.col(c) * ratio, 4).cast("int").alias(c)
+    return interpolate_border(points, 1 / ratio).select("shape_id", whole("x"), whole("y")).distinct()
+
+
 def path_intersection(path: DataFrame, slope: float, forward: bool = True) -> DataFrame:
     """Where a line of the given slope from the path's end meets the path last; the far end if nowhere.
     The path has one y per x."""

@@ -35,9 +35,7 @@ def _framed(points: DataFrame) -> DataFrame:
 
 def ink(pixels: DataFrame) -> DataFrame:
     """Ink-like points as shapes (shape_id = frame)."""
-    # The one-element array binds the colour, so that the many terms of the rule share one conversion.
-    bound = F.transform(F.array(F.struct("h", "s", "v")), lambda c: is_default_ink(c["h"], c["s"], c["v"]))
-    return with_hsv(pixels).where(F.get(bound, 0)).select(F.col("frame_id").alias("shape_id"), "x", "y")
+    return with_hsv(pixels).where(_is_ink()).select(F.col("frame_id").alias("shape_id"), "x", "y")
 
 
 def object_outline(pixels: DataFrame, dist: float, pred: Column | None = None) -> DataFrame:
@@ -61,13 +59,13 @@ def part_combine(base: DataFrame, pixels: DataFrame, borders: DataFrame) -> Data
 
 
 def paint_crop(pixels: DataFrame, background: DataFrame, rect: tuple[int, int, int, int], dist: float = 2.0) -> DataFrame:
-    """The ink object inside a crop, contracted by a third of its outline's width, on the background."""
+    """The ink object inside a crop, contracted by a third of its own outline's width, on the background."""
     x, y, w, h = rect
     part = pixels.where(F.col("x").between(x, x + w - 1) & F.col("y").between(y, y + h - 1))
     contour = materialise(object_outline(part, dist))
-    third = K.outline_width(K.draw_lines(K.edges(contour).select("shape_id", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("nx").alias("x1"), F.col("ny").alias("y1"))), contour)
-    r = third.agg(F.max("width")).first()[0] or 0.0
-    inside = _framed(T.erode(K.rasterize(contour), max(0, int(r / 3))))
+    outline = K.draw_lines(K.edges(contour).select("shape_id", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("nx").alias("x1"), F.col("ny").alias("y1")))
+    third = K.outline_width(outline, contour).select("shape_id", F.floor(F.coalesce("width", F.lit(0.0)) / 3).cast("int").alias("r"))
+    inside = _framed(T.erode_by(K.rasterize(contour), third))
     return X.replace_pixels(background, pixels, inside)
 
 
@@ -90,25 +88,55 @@ def ink_xerox(pixels: DataFrame, color: int, dist: float = 2.0) -> DataFrame:
     return L.paint_coverage(white, L.stamp_points(K.boundary(body), brush), brush)
 
 
-def paint_fill(pixels: DataFrame, painted: DataFrame, color: tuple[float, float, float], specimen: DataFrame, slack: float = 20.0) -> DataFrame:
-    """Inner parts found by colour in the painted frames, grown by one, multiplied with the part's mean
-    colour, minus the specimen's difference from its own mean, tiled from the part's corner.
+def paint_fill(pixels: DataFrame, painted: DataFrame, frames: DataFrame, colors: list[tuple[float, float, float]], specimen: DataFrame, size: tuple[int, int], grow: int = 1) -> DataFrame:
+    """Fills the inner parts of drawn frames as they are painted elsewhere.
+
+    For each colour, the largest group of that colour on the painted frame's mini image gives a seed; the
+    part is what is no ink around the seed in the drawn frame. Grown by `grow`, it is multiplied with the
+    mean colour of its painted pixels; the specimen's difference from its own mean, tiled over the part
+    adaptively, is subtracted. `frames` has frame_id, width and height; `specimen` (x, y, r, g, b) is a
+    table of `size` cells at most, and a part keeps its colour where the specimen has no cell."""
+    n = len(colors)
+
+    def tests(rows: DataFrame):
+        return with_hsv(rows), [_near_color(c) for c in colors]
+
+    seeds = materialise(G.mini_anchors(painted, frames, 1.0, tests, n))
+    bare = with_hsv(pixels).withColumn("dark", _is_ink()).where("not dark")
+    every = bare.withColumn("which", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select((F.col("frame_id") * n + F.col("which")).alias("frame_id"), "x", "y")
+    keyed = seeds.select((F.col("frame_id") * n + F.col("which")).alias("shape_id"), "x", "y")
+    part = materialise(G.local_group(every, keyed, 1.0, F.lit(True)))
+    split = lambda d: d.withColumns({"frame_id": F.expr(f"shape_id div {n}"), "which": (F.col("shape_id") % n).cast("int")})
+    own = with_hsv(painted).join(split(part).drop("shape_id"), KEY)
+    mean = own.groupBy("frame_id", "which").agg(*[F.floor(F.avg(c) + 0.5).cast("int").alias(f"m{c}") for c in "rgb"])
+    grown = split(T.dilate(part, grow)).join(mean, ["frame_id", "which"])
+    fill = grown.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("which", pack_argb(F.lit(255), F.col("mr"), F.col("mg"), F.col("mb")).alias("argb")))).alias("fills"))
 
-    `specimen` is (x, y, r, g, b), a small table."""
-    target = with_hsv(painted).where(FI.color_window(F.col("h"), F.col("s"), F.col("v"), color, slack))
-    mean = target.groupBy("frame_id").agg(*[F.floor(F.avg(c) + 0.5).cast("int").alias(f"m{c}") for c in "rgb"])
-    part = T.dilate(target.select(F.col("frame_id").alias("shape_id"), "x", "y"), 1)
-    corner = part.groupBy("shape_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"))
-    size = specimen.agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h")).first()
     noise = CM.paint_specimen(specimen.select(F.lit(0).alias("frame_id"), "x", "y", "r", "g", "b"))
     noise = noise.select(F.col("x").alias("tx"), F.col("y").alias("ty"), pack_argb(F.lit(255), F.col("r"), F.col("g"), F.col("b")).alias("noise"))
-    cells = part.join(corner, "shape_id").select(F.col("shape_id").alias("frame_id"), "x", "y", ((F.col("x") - F.col("x0")) % size["w"]).alias("tx"), ((F.col("y") - F.col("y0")) % size["h"]).alias("ty"))
-    tiled = cells.join(noise, ["tx", "ty"], "left").join(mean, "frame_id")
-    fill = pack_argb(F.lit(255), F.col("mr"), F.col("mg"), F.col("mb"))
-    both = pixels.join(tiled.select(*KEY, fill.alias("fill"), "noise"), KEY, "left")
-    multiplied = L.composite(F.col("argb"), F.col("fill"), "MULTIPLY")
-    out = F.when(F.col("fill").isNull(), F.col("argb")).when(F.col("noise").isNull(), multiplied).otherwise(L.composite(multiplied, F.col("noise"), "SUBTRACT"))
-    return both.select(*KEY, out.alias("argb"))
+    w, h = size
+    tiles = X.adaptive_tiles(part.withColumnRenamed("shape_id", "region_id"), w, h).withColumnRenamed("region_id", "shape_id")
+    spread = tiles.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(w * h - 1)))).withColumns({"tx": F.col("i") % w, "ty": F.expr(f"cast(i div {w} as int)")})
+    laid = spread.join(noise, ["tx", "ty"]).select("shape_id", "tile", (F.col("x") + F.col("tx")).alias("x"), (F.col("y") + F.col("ty")).alias("y"), "noise")
+    top = split(laid.join(part, POINT, "left_semi")).groupBy(*KEY).agg(F.max_by("noise", F.struct("which", "tile")).alias("noise"))
+    both = pixels.join(fill, KEY, "left").join(top, KEY, "left")
+    multiplied = F.aggregate(F.coalesce("fills", F.array().cast("array<struct<which:int,argb:int>>")), F.col("argb"), lambda acc, f: L.composite(acc, f["argb"], "MULTIPLY"))
+    done = both.select(*KEY, multiplied.alias("argb"), "noise")
+    return done.select(*KEY, F.when(F.col("noise").isNull(), F.col("argb")).otherwise(L.composite(F.col("argb"), F.col("noise"), "SUBTRACT")).alias("argb"))
+
+
+def _near_color(color: tuple[float, float, float]) -> Column:
+    """Hue and saturation within one, value within three, of a colour's whole parts."""
+    import math
+
+    within = lambda c, v, d: F.col(c).between(math.floor(v) - d, math.ceil(v) + d)
+    return within("h", color[0], 1) & within("s", color[1], 1) & within("v", color[2], 3)
+
+
+def _is_ink() -> Column:
+    """The ink rule; a one-element array binds the colour, so that its many terms share one conversion."""
+    bound = F.transform(F.array(F.struct("h", "s", "v")), lambda c: is_default_ink(c["h"], c["s"], c["v"]))
+    return F.get(bound, 0)
 
 
 def paint_merge_fill(base: DataFrame, pixels: DataFrame, sample: DataFrame, dist: float = 2.0) -> DataFrame:
@@ -117,16 +145,25 @@ def paint_merge_fill(base: DataFrame, pixels: DataFrame, sample: DataFrame, dist
     regions = CM.sample_regions(with_hsv(sample), 2)
     painted = FI.in_hue_region(with_hsv(pixels), regions).select(F.col("frame_id").alias("shape_id"), "x", "y")
     contour = materialise(object_outline(pixels, dist))
-    inside = K.in_contour(painted, contour).where("inside").select(POINT)
-    closed = materialise(T.close(inside, 1))
+    inside = materialise(K.in_contour(painted, contour).where("inside").select(POINT))
+    # Of the painted groups, the one nearest to the border is the object's fill.
+    groups = materialise(G.group_points(inside, dist))
+    fill_ = groups.join(G.nearest_group(groups, contour.select(POINT)).select("shape_id", "label"), ["shape_id", "label"], "left_semi").select(POINT)
+    closed = materialise(T.close(fill_, 1))
     moved = T.to_base(closed, ink(pixels), ink(base))
     fill = sample.withColumn("u", unpack_argb(F.col("argb"))).groupBy("frame_id").agg(*[F.floor(F.avg(f"u.{c}") + 0.5).cast("int").alias(c) for c in "rgb"])
     new = _framed(moved).join(fill, "frame_id").select(*KEY, pack_argb(F.lit(255), F.col("r"), F.col("g"), F.col("b")).alias("new"))
     return base.join(new, KEY, "left").select(*KEY, F.coalesce("new", "argb").alias("argb"))
 
 
-def auto_ink(pencil: DataFrame, inked: DataFrame, size: int = 64, margin: int = 6) -> tuple[DataFrame, DataFrame]:
-    """Compares two scans of darkness per frame, and renders the pencil in the ink's manner:
-    (comparison, rendered scan)."""
-    a, b = materialise(CO.register(pencil, size, margin)), materialise(CO.register(inked, size, margin))
-    return CO.compare(pencil, inked, 0.0, size, margin), CO.generate(a, b)
+def auto_ink(pencil: DataFrame, inked: DataFrame, dist: float = 2.0, least: float | None = CO.LEAST_SIMILARITY, settings: CO.RenderSettings = CO.RenderSettings()) -> tuple[DataFrame, DataFrame]:
+    """Compares the largest groups of dark cells of two scans per frame, and renders the pencil's in the
+    ink's manner: (comparison, rendered grays). Each scan is registered once."""
+    drawings = [_largest_dark(s, dist) for s in (pencil, inked)]
+    looks = [materialise(CO.appearances(CO.register_rasters(s, drawing=d))) for s, d in zip((pencil, inked), drawings)]
+    return CO.compare_appearances(*looks, least), CO.generate(pencil, inked, settings, looks=tuple(looks), drawings=tuple(drawings))
+
+
+def _largest_dark(scan: DataFrame, dist: float) -> DataFrame:
+    """The largest group (shape_id, x, y) of each scan's cells at or above its threshold."""
+    return materialise(G.largest_group(G.group_points(CO.core_of(scan, CO.otsu(scan, CO.NOISE)), dist)))

@@ -10,6 +10,7 @@ from rasterloom import views
 from rasterloom.functions.color import pack_argb
 from rasterloom.operators import compare as CO
 from rasterloom.operators import contours as K
+from rasterloom.operators import groups as GR
 from rasterloom.operators import model as M
 from rasterloom.operators import points as T
 from rasterloom.operators import sets as S
@@ -93,6 +94,37 @@ def _(spark, sf):
     return text.load_border(spark, path)
 
 
+def _sparse_border(spark, sf):
+    """Top and bottom of every third column of the dark points."""
+    ends = T.spans(views.dark(spark, sf).where("x % 3 = 0"))
+    return ends.select("shape_id", "x", F.explode(F.array("y_lo", "y_hi")).alias("y")).distinct()
+
+
+@query("snk1_border_files_filled")
+def _(spark, sf):
+    path = _path(spark, "borders")
+    text.write_border(_sparse_border(spark, sf), path)
+    return text.load_border(spark, path, fill=True)
+
+
+@query("pts30_interpolate_border")
+def _(spark, sf):
+    return T.interpolate_border(_sparse_border(spark, sf)).withColumn("y", F.round("y", 9))
+
+
+@query("pts31_rescale_points")
+def _(spark, sf):
+    return T.rescale_points(_sparse_border(spark, sf), 2.0)
+
+
+@query("src1_read_frames", f"WITH {views.PX} SELECT dense_rank() OVER (ORDER BY frame_id) AS frame_id, CAST(cx AS INT) AS x, CAST(cy AS INT) AS y, CAST(-16777216 + coalesce(r, 0) * 65536 + coalesce(g, 0) * 256 + coalesce(b, 0) AS INT) AS argb FROM (SELECT DISTINCT frame_id FROM px), range(64) s(cx), range(48) t(cy) LEFT JOIN px p ON p.frame_id = px.frame_id AND p.x = cx AND p.y = cy".replace("FROM (SELECT DISTINCT frame_id FROM px), range(64) s(cx), range(48) t(cy) LEFT JOIN px p ON p.frame_id = px.frame_id AND p.x = cx AND p.y = cy", "FROM (SELECT * FROM (SELECT DISTINCT frame_id FROM px), range(64) s(cx), range(48) t(cy)) LEFT JOIN (SELECT frame_id, x AS cx, y AS cy, r, g, b FROM px) USING (frame_id, cx, cy)"))
+def _(spark, sf):
+    """Frames written as bitmap files and read back; frame_id is the place of the file's name."""
+    path = _path(spark, "images")
+    images.write_bitmaps(_frames(spark, sf), path, 64, 48)
+    return images.read_frames(spark, path)[1]
+
+
 @query("snk2_write_frames", f"WITH {views.ARGB} SELECT frame_id, x, y, {ARGB_SQL} AS argb FROM ar")
 def _(spark, sf):
     path = _path(spark, "frames")
@@ -133,19 +165,28 @@ def _core(spark, sf):
     return g, CO.core_of(g, CO.otsu(g, 0.05))
 
 
-@query("cmpr3_register")
-def _(spark, sf):
-    return CO.register(views.gray(spark, sf), 24, 3)
+_REG = f"""{G}, pk AS (SELECT frame_id, greatest(0.012, max(value) * 0.22) AS low FROM gray GROUP BY 1),
+bd AS (SELECT frame_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM gray JOIN pk USING (frame_id) WHERE value >= low GROUP BY 1),
+sc AS (SELECT *, 216.0::DOUBLE / greatest(x1 - x0 + 1, y1 - y0 + 1) AS scale FROM bd),
+gr AS (SELECT frame_id, i % 256 AS gx, i // 256 AS gy, x0 + ((i % 256) - (256 - (x1 - x0 + 1) * scale) * 0.5 + 0.5) / scale - 0.5 AS u, y0 + ((i // 256) - (256 - (y1 - y0 + 1) * scale) * 0.5 + 0.5) / scale - 0.5 AS v, scale FROM sc, range(65536) t(i)),
+va AS (SELECT frame_id, list(value ORDER BY y * 8 + x) AS w FROM gray GROUP BY 1),
+co AS (SELECT gr.*, w, CAST(floor(u) AS INT) AS fx, CAST(floor(v) AS INT) AS fy FROM gr JOIN va USING (frame_id) WHERE u >= 0 AND v >= 0 AND u <= 7 AND v <= 7),
+bl AS (SELECT frame_id, scale, gx, gy, (1 - u + fx) * (1 - v + fy) * w[fy * 8 + fx + 1] + (u - fx) * (1 - v + fy) * w[fy * 8 + least(fx + 1, 7) + 1] + (1 - u + fx) * (v - fy) * w[least(fy + 1, 7) * 8 + fx + 1] + (u - fx) * (v - fy) * w[least(fy + 1, 7) * 8 + least(fx + 1, 7) + 1] AS value FROM co)
+SELECT frame_id, round(any_value(scale), 6) AS scale, round(sum(value), 3) AS total, round(sum(value * gx), 2) AS by_x, round(sum(value * gy), 2) AS by_y FROM bl GROUP BY 1"""
 
 
-@query("cmpr4_measure", f"{G}, {_OTSU}, co AS (SELECT gray.* FROM gray JOIN ot USING (frame_id) WHERE value >= threshold), nb AS (SELECT a.frame_id, count(*) AS inner_ FROM co a JOIN co b ON a.frame_id = b.frame_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1 GROUP BY 1) SELECT frame_id AS shape_id, count(*) AS area, 4 * count(*) - coalesce(any_value(inner_), 0) AS edges, round(2.0 * count(*) / (4 * count(*) - coalesce(any_value(inner_), 0)), 6) AS thickness, round(avg(value), 6) AS opacity, round(stddev_pop(value), 6) AS pressure FROM co LEFT JOIN nb USING (frame_id) GROUP BY 1")
+@query("cmpr3_register", _REG)
 def _(spark, sf):
-    return CO.measure(*_core(spark, sf)).withColumns({k: F.round(k, 6) for k in ("thickness", "opacity", "pressure")})
+    """All frames on the full grid; per frame the scale, the darkness and its moments."""
+    r = CO.register_rasters(views.gray(spark, sf))
+    moment = lambda f: F.round(F.sum(c("value") * f), 2)
+    sums = CO.cells_of(r).groupBy("frame_id").agg(F.round(F.sum("value"), 3).alias("total"), moment(c("x")).alias("by_x"), moment(c("y")).alias("by_y"))
+    return r.select("frame_id", F.round("scale", 6).alias("scale")).join(sums, "frame_id")
 
 
-@query("cmpr5_border_profile")
+@query("cmpr4_measure", f"{G}, {_OTSU}, co AS (SELECT gray.* FROM gray JOIN ot USING (frame_id) WHERE value >= threshold), nb AS (SELECT a.frame_id, count(*) AS inner_ FROM co a JOIN co b ON a.frame_id = b.frame_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1 GROUP BY 1) SELECT frame_id AS shape_id, count(*) AS area, 4 * count(*) - coalesce(any_value(inner_), 0) AS edges, round(2.0 * count(*) / (4 * count(*) - coalesce(any_value(inner_), 0)), 6) AS thickness, round(avg(value), 6) AS opacity, round(stddev_pop(value), 6) AS pressure FROM co LEFT JOIN nb USING (frame_id) GROUP BY 1")
 def _(spark, sf):
-    return CO.border_score(CO.border_profile(*_core(spark, sf), reach=4))
+    return CO.measure(*_core(spark, sf)).withColumns({k: F.round(k, 6) for k in ("thickness", "opacity", "pressure")})
 
 
 def _halves(spark, sf):
@@ -154,23 +195,35 @@ def _halves(spark, sf):
     return half(0), half(1)
 
 
+def _looks(spark, sf):
+    return tuple(tables.materialise(CO.appearances(CO.register_rasters(h))) for h in _halves(spark, sf))
+
+
+@query("cmpr5_border_profile")
+def _(spark, sf):
+    rounded = F.transform("profile", lambda v: F.round(v, 9))
+    return CO.appearances(CO.register_rasters(views.gray(spark, sf))).select("frame_id", F.round("border", 9).alias("border"), rounded.alias("profile"))
+
+
 @query("cmpr6_shape_similarity")
 def _(spark, sf):
-    a, b = _halves(spark, sf)
-    return CO.shape_similarity(CO.core_of(a, CO.otsu(a, 0.05)), CO.core_of(b, CO.otsu(b, 0.05)), 6)
+    return CO.shape_similarity(*_looks(spark, sf))
 
 
 @query("cmpr7_appearance_similarity")
 def _(spark, sf):
-    a, b = _halves(spark, sf)
-    m = lambda s: CO.measure(s, CO.core_of(s, CO.otsu(s, 0.05)))
-    return CO.appearance_similarity(m(a), m(b), {"thickness": 2.0, "opacity": 1.0, "pressure": 1.0})
+    return CO.appearance_similarity(*_looks(spark, sf))
+
+
+@query("cmpr7_transfer_profile")
+def _(spark, sf):
+    return CO.transfer_profile(*_looks(spark, sf))
 
 
 @query("cmpr8_compare")
 def _(spark, sf):
-    a, b = _halves(spark, sf)
-    return CO.compare(a, b, 0.0, 20, 2)
+    """Different frames are compared here, so no pair is an error."""
+    return CO.compare(*_halves(spark, sf), least=None)
 
 
 @query("cmpr9_source_stats", f"{G}, {_OTSU}, co AS (SELECT gray.* FROM gray JOIN ot USING (frame_id) WHERE value >= threshold), hh AS (SELECT frame_id, CAST(floor(value * 255 + 0.5) AS INT) AS bin, count(*) AS n FROM co GROUP BY 1, 2), cu AS (SELECT *, sum(n) OVER (PARTITION BY frame_id ORDER BY bin) / CAST(sum(n) OVER (PARTITION BY frame_id) AS DOUBLE) AS cum FROM hh), qq AS (SELECT frame_id, min(CASE WHEN cum >= 0.25 THEN bin END) / 255.0::DOUBLE AS q25, min(CASE WHEN cum >= 0.5 THEN bin END) / 255.0::DOUBLE AS q50, min(CASE WHEN cum >= 0.75 THEN bin END) / 255.0::DOUBLE AS q75 FROM cu GROUP BY 1) SELECT frame_id, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation, any_value(q25) AS q25, any_value(q50) AS q50, any_value(q75) AS q75 FROM co JOIN qq USING (frame_id) GROUP BY 1")
@@ -226,6 +279,16 @@ def _(spark, sf):
     return M.best_match(*_two(spark, sf))
 
 
+@query("mod7_match_score")
+def _(spark, sf):
+    """Every vertex against the one a place further on."""
+    f = M.comparable(M.build_features(views.poly(spark, sf)))
+    n = f.groupBy("shape_id").agg(F.count("*").alias("n"))
+    a = f.join(n, "shape_id").select("shape_id", "ord", F.pmod(c("ord") + 1, c("n")).cast("int").alias("to"), F.struct(*M._FIELDS).alias("a"))
+    b = f.select("shape_id", c("ord").alias("to"), F.struct(*M._FIELDS).alias("b"))
+    return a.join(b, ["shape_id", "to"]).select("shape_id", "ord", F.round(M.match_score(c("a"), c("b")), 9).alias("score"))
+
+
 @query("mod9_naive_match")
 def _(spark, sf):
     return M.naive_match(*_two(spark, sf))
@@ -234,7 +297,7 @@ def _(spark, sf):
 @query("mod15_session")
 def _(spark, sf):
     p = views.poly(spark, sf)
-    return M.session(p, K.translate(p, 2, 1))
+    return M.session(p, K.translate(p, 2, 1))[0]
 
 
 def _samples(spark, sf):
@@ -249,17 +312,45 @@ def _(spark, sf):
     return v.select("frame_id", "x", "y", F.round(F.get("features", 3), 6).alias("crossed"), F.size("features").alias("n"))
 
 
-@query("mod12_fit_predict")
+_SAMPLES_SQL = f"""WITH {views.PX}, s AS (SELECT *, r / 255.0::DOUBLE AS r1, g / 255.0::DOUBLE AS g1, b / 255.0::DOUBLE AS b1, r * 0.01::DOUBLE + g * 0.02::DOUBLE - x * 0.05::DOUBLE AS target, (y + 1) / 48.0::DOUBLE AS confidence FROM px),
+z AS (SELECT frame_id, x, y, target, confidence, (r1 - avg(r1) OVER ()) / stddev_pop(r1) OVER () AS r1, (g1 - avg(g1) OVER ()) / stddev_pop(g1) OVER () AS g1, (b1 - avg(b1) OVER ()) / stddev_pop(b1) OVER () AS b1 FROM s),
+me AS (SELECT sum(confidence * target) / sum(confidence) AS bias FROM z),
+w0 AS (SELECT any_value(bias) AS bias, """ + ", ".join(f"0.15 * sum(confidence * {k} * (target - bias)) / sum(confidence * {k} * {k}) AS w_{k}" for k in ("r1", "g1", "b1")) + " FROM z, me)"
+
+
+@query("mod11_init_weights", f"{_SAMPLES_SQL} SELECT term, round(CASE term WHEN 'r1' THEN w_r1 WHEN 'g1' THEN w_g1 WHEN 'b1' THEN w_b1 ELSE bias END, 9) AS weight FROM w0, (VALUES ('r1'), ('g1'), ('b1'), ('bias')) t(term)")
+def _(spark, sf):
+    s, _ = M.standardize(_samples(spark, sf), ("r1", "g1", "b1"))
+    return M.first_weights(s, ("r1", "g1", "b1"), "target").withColumn("weight", F.round("weight", 9))
+
+
+@query("mod13_predict", f"{_SAMPLES_SQL} SELECT frame_id, x, y, round(least(greatest(0.25 * r1 - 0.5 * g1 + 1.0 * b1 + 2.0, 0.5), 3.5), 9) AS predicted FROM z")
+def _(spark, sf):
+    """Given weights, bounded on both sides."""
+    s, _ = M.standardize(_samples(spark, sf), ("r1", "g1", "b1"))
+    return M.predict(s, ("r1", "g1", "b1"), [0.25, -0.5, 1.0, 2.0], 0.5, 3.5).select("frame_id", "x", "y", F.round("predicted", 9).alias("predicted"))
+
+
+def _fit_sql() -> str:
+    """Weighted ridge regression by the normal equations in the steps' recurrence: 1400 steps over moments."""
+    names = ("r1", "g1", "b1", "one")
+    full = f"{_SAMPLES_SQL.replace('WITH', 'WITH RECURSIVE', 1)}, zz AS (SELECT *, 1.0::DOUBLE AS one FROM z), mo AS (SELECT sum(confidence) AS c, " + ", ".join(f"sum(confidence * {a} * {b}) AS g_{a}_{b}" for a in names for b in names) + ", " + ", ".join(f"sum(confidence * {a} * target) AS y_{a}" for a in names) + " FROM zz)"
+    step = ", ".join(f"w_{a} - 0.0125 * ((" + " + ".join(f"g_{a}_{b} * w_{b}" for b in names) + f" - y_{a}) / c" + (f" + 0.0004 * w_{a}" if a != "one" else "") + ")" for a in names)
+    return f"{full}, it(k, w_r1, w_g1, w_b1, w_one) AS (SELECT 0, w_r1, w_g1, w_b1, bias FROM w0 UNION ALL SELECT k + 1, {step} FROM it, mo WHERE k < 1400), fi AS (SELECT * FROM it WHERE k = 1400)"
+
+
+@query("mod12_fit_predict", f"{_fit_sql()} SELECT frame_id, x, y, round(least(greatest(w_r1 * r1 + w_g1 * g1 + w_b1 * b1 + w_one, -10.0), 10.0), 6) AS predicted FROM zz, fi")
 def _(spark, sf):
     s, _ = M.standardize(_samples(spark, sf), ("r1", "g1", "b1"))
     w = M.fit(s, ("r1", "g1", "b1"), "target")
-    return M.predict(s, ("r1", "g1", "b1"), w, -10.0, 10.0).select("frame_id", "x", "y", F.round("predicted", 9).alias("predicted"))
+    return M.predict(s, ("r1", "g1", "b1"), w, -10.0, 10.0).select("frame_id", "x", "y", F.round("predicted", 6).alias("predicted"))
 
 
-@query("mod14_rmse")
+@query("mod14_rmse", f"{_fit_sql()} SELECT round(sqrt(sum(confidence * pow(least(greatest(w_r1 * r1 + w_g1 * g1 + w_b1 * b1 + w_one, -10.0), 10.0) - target, 2)) / sum(confidence)), 6) AS rmse FROM zz, fi")
 def _(spark, sf):
     s, _ = M.standardize(_samples(spark, sf), ("r1", "g1", "b1"))
-    return M.rmse(M.predict(s, ("r1", "g1", "b1"), M.fit(s, ("r1", "g1", "b1"), "target"), -10.0, 10.0), "target")
+    found = M.rmse(M.predict(s, ("r1", "g1", "b1"), M.fit(s, ("r1", "g1", "b1"), "target"), -10.0, 10.0), "target")
+    return found.select(F.round("rmse", 6).alias("rmse"))
 
 
 # -- jobs
@@ -304,7 +395,11 @@ def _(spark, sf):
 def _(spark, sf):
     p = _frames(spark, sf)
     first = views.px(spark, sf).where("frame_id = 0 AND x < 6 AND y < 6").select("x", "y", "r", "g", "b")
-    return J.paint_fill(p, p, (200.0, 60.0, 60.0), first)
+    frames = p.select("frame_id").distinct().select("frame_id", F.lit(64).alias("width"), F.lit(48).alias("height"))
+    # The painted frames carry two colours on top of the drawn ones.
+    spot = lambda x0, color: F.when(c("x").between(x0, x0 + 9) & c("y").between(10, 30), color)
+    painted = p.withColumn("argb", F.coalesce(spot(8, -3394765), spot(40, -13408513), c("argb")))
+    return J.paint_fill(p, painted, frames, [(0.0, 75.0, 80.0), (225.0, 80.0, 100.0)], first, (6, 6))
 
 
 @query("job7_paint_merge_fill")
@@ -313,7 +408,20 @@ def _(spark, sf):
     return J.paint_merge_fill(p, p, p.where("x < 8 AND y < 8"), 3.0)
 
 
+@query("grp7_mini_anchors")
+def _(spark, sf):
+    p = views.hsv(spark, sf).select("frame_id", "x", "y", F.struct("h", "s", "v").alias("argb"))
+    frames = p.select("frame_id").distinct().select("frame_id", F.lit(64).alias("width"), F.lit(48).alias("height"))
+    tests = lambda m: (m, [c("argb.v") <= 50, c("argb.s") <= 15])
+    return GR.mini_anchors(p, frames, 2.0, tests, 2)
+
+
+@query("job8_auto_ink_comparison")
+def _(spark, sf):
+    return J.auto_ink(*_halves(spark, sf), least=None)[0]
+
+
 @query("job8_auto_ink")
 def _(spark, sf):
     a, b = _halves(spark, sf)
-    return J.auto_ink(a, b, 20, 2)[1]
+    return J.auto_ink(a, b, least=None)[1]

@@ -104,7 +104,8 @@ query("pix17_tile_or_scale", f"WITH {views.DARK}, s AS (SELECT shape_id AS regio
 
 # -- layers
 Y = f"WITH {views.LAYERS}"
-_RND = "((({0}) + 128 + ((({0}) + 128) // 256)) // 256)"
+#: To the nearest 255th; no half occurs, as 255 is odd.
+_RND = "((({0}) + 127) // 255)"
 
 
 def _blend_sql(mode, b, s):
@@ -139,7 +140,7 @@ def _pairs(spark, sf):
 
 @query("cmp1_composite", f"{Y}{_PAIR} SELECT doc_id, x, y, " + ", ".join(f"{_comp_sql(m)} AS {m.lower()}" for m in L.MODES) + " FROM pr")
 def _(spark, sf):
-    return _pairs(spark, sf).select("doc_id", "x", "y", *[L.composite(c("low"), c("argb"), m).alias(m.lower()) for m in L.MODES])
+    return L.composite_modes(_pairs(spark, sf), "low", "argb", L.MODES).select("doc_id", "x", "y", *[m.lower() for m in L.MODES])
 
 
 def _layer_table(p, opacity=1.0, clipped=False, blend="MULTIPLY", visible=True):
@@ -163,7 +164,7 @@ def _(spark, sf):
     return L.flatten(L.place(p, _layer_table(p), 64, 48))
 
 
-_D255 = "((({0}) + (({0}) // 256) + 1) // 256)"
+_D255 = "(({0}) // 255)"
 _FADE = _D255.format("h.a * 102 + 127")
 
 

@@ -69,19 +69,21 @@ one("pts14_dilate", f"{_DIL.format(2)} SELECT * FROM dl", lambda a: T.dilate(a,
 one("pts15_erode", f"{_DIL.format(2)}{_ERO.format('dl')} SELECT * FROM er", lambda a: T.erode(T.dilate(a, 2), 2))
 one("pts16_close_open", f"{_DIL.format(3)}{_ERO.format('dl')}, e2 AS (SELECT shape_id, x - dx AS x, y - dy AS y FROM er, (SELECT * FROM disk WHERE dx * dx + dy * dy <= 1) GROUP BY 1, 2, 3 HAVING count(*) = 5) SELECT DISTINCT shape_id, x + dx AS x, y + dy AS y FROM e2, (SELECT * FROM disk WHERE dx * dx + dy * dy <= 1)", lambda a: T.open_(T.close(a, 3), 1))
 _CH = "4 * least(abs(a.x - d.x), abs(a.y - d.y)) + 3 * abs(abs(a.x - d.x) - abs(a.y - d.y))"
-one("pts17_chamfer_distance", f"{_CELLS.format(2)}, di AS (SELECT a.shape_id, a.x, a.y, min({_CH}) AS d FROM cells a JOIN dark d ON a.shape_id = d.shape_id AND abs(a.x - d.x) <= 4 AND abs(a.y - d.y) <= 4 GROUP BY 1, 2, 3) SELECT cells.*, CASE WHEN d <= 12 THEN d END AS distance FROM cells LEFT JOIN di USING (shape_id, x, y)", lambda a: T.chamfer_distance(S.bbox_cells(a, 2), a, 4))
+one("pts17_chamfer_distance", f"{_CELLS.format(2)}, di AS (SELECT a.shape_id, a.x, a.y, min({_CH}) AS d FROM cells a JOIN dark d ON a.shape_id = d.shape_id GROUP BY 1, 2, 3) SELECT cells.*, d AS distance FROM cells LEFT JOIN di USING (shape_id, x, y)", lambda a: T.chamfer_distance(S.bbox_cells(a, 2), a))
 one("pts18_chamfer_close", f"{_CELLS.format(6)}, wd AS (SELECT DISTINCT a.* FROM cells a JOIN dark d ON a.shape_id = d.shape_id AND abs(a.x - d.x) <= 2 AND abs(a.y - d.y) <= 2 AND {_CH} <= 6), ou AS (SELECT * FROM cells EXCEPT SELECT * FROM wd) SELECT a.* FROM wd a ANTI JOIN ou d ON a.shape_id = d.shape_id AND abs(a.x - d.x) <= 2 AND abs(a.y - d.y) <= 2 AND {_CH} <= 6", lambda a: T.chamfer_close(a, 2))
 query("pts19_thin")(lambda spark, sf: T.thin(T.dilate(_a(spark, sf), 2)))
-one("pts20_min_distance", " SELECT a.shape_id, CASE WHEN min(sqrt(pow(a.x - d.x, 2) + pow(a.y - d.y, 2))) <= 8 THEN min(sqrt(pow(a.x - d.x, 2) + pow(a.y - d.y, 2))) END AS distance FROM dark a JOIN dark d ON a.shape_id = d.shape_id AND a.x < 30 AND d.x > 33 GROUP BY 1", lambda a: T.min_distance(a.where("x < 30"), a.where("x > 33"), 8))
-_NQ = ", q AS (SELECT shape_id, qx, qy FROM (SELECT DISTINCT shape_id FROM dark), (VALUES (10, 10), (30, 20), (50, 40)) t(qx, qy)), p AS (SELECT q.*, x, y, pow(x - qx, 2) + pow(y - qy, 2) AS d FROM q JOIN dark USING (shape_id) WHERE pow(x - qx, 2) + pow(y - qy, 2) <= 64)"
+one("pts20_min_distance", " SELECT a.shape_id, min(sqrt(pow(a.x - d.x, 2) + pow(a.y - d.y, 2))) AS distance FROM dark a JOIN dark d ON a.shape_id = d.shape_id AND a.x < 30 AND d.x > 45 GROUP BY 1", lambda a: T.min_distance(a.where("x < 30"), a.where("x > 45")))
+_NQ = ", q AS (SELECT shape_id, qx, qy FROM (SELECT DISTINCT shape_id FROM dark), (VALUES (10, 10), (30, 20), (50, 40), (150, -90)) t(qx, qy)), p AS (SELECT q.*, x, y, pow(x - qx, 2) + pow(y - qy, 2) AS d FROM q JOIN dark USING (shape_id))"
 
 
 def _queries(a):
-    at = F.array(*[F.struct(F.lit(x).alias("qx"), F.lit(y).alias("qy")) for x, y in ((10, 10), (30, 20), (50, 40))])
+    at = F.array(*[F.struct(F.lit(x).alias("qx"), F.lit(y).alias("qy")) for x, y in ((10, 10), (30, 20), (50, 40), (150, -90))])
     return a.select("shape_id").distinct().select("shape_id", F.explode(at).alias("q")).select("shape_id", "q.*")
 
 
-one("pts21_nearest", f"{_NQ} SELECT shape_id, qx, qy, arg_min(x, (d, x, y)) AS x, arg_min(y, (d, x, y)) AS y, sqrt(min(d)) AS distance FROM p GROUP BY 1, 2, 3", lambda a: T.nearest(a, _queries(a), 8))
+one("pts21_nearest", f"{_NQ} SELECT shape_id, qx, qy, arg_min(x, (d, x, y)) AS x, arg_min(y, (d, x, y)) AS y, sqrt(min(d)) AS distance FROM p GROUP BY 1, 2, 3", lambda a: T.nearest(a, _queries(a)))
+one("pts21_nearest_same_x", f"{_NQ} SELECT shape_id, qx, qy, x, arg_min(y, (abs(y - qy), y)) AS y, min(abs(y - qy)) AS distance FROM p WHERE x = qx GROUP BY 1, 2, 3, 4", lambda a: T.nearest_on_line(a, _queries(a), "y"))
+one("pts21_nearest_same_y", f"{_NQ} SELECT shape_id, qx, qy, arg_min(x, (abs(x - qx), x)) AS x, y, min(abs(x - qx)) AS distance FROM p WHERE y = qy GROUP BY 1, 2, 3, 5", lambda a: T.nearest_on_line(a, _queries(a), "x"))
 one("pts22_probe", ", w AS (SELECT *, y - row_number() OVER (PARTITION BY shape_id, x ORDER BY y) AS g FROM dark) SELECT shape_id, x, y, x AS end_x, max(y) OVER (PARTITION BY shape_id, x, g) AS end_y FROM w", lambda a: T.probe(a, a, 0, 1))
 one("pts23_within_distance", f"{_NQ} SELECT DISTINCT shape_id, qx, qy FROM p WHERE d <= 9", lambda a: T.within_distance(a, _queries(a), 3))
 one("pts24_sizes", " SELECT shape_id, count(*) AS n, count(DISTINCT x) AS n_x, count(DISTINCT y) AS n_y FROM dark GROUP BY 1", T.sizes)
@@ -140,7 +142,7 @@ one("grp6_largest_group", f"{_reach('SELECT * FROM dark', 4)}{_BIG} SELECT lb.sh
 one("grp7_group_anchors", f"{_reach('SELECT * FROM dark', 4)}{_BIG}, l AS (SELECT lb.shape_id, x, y FROM lb JOIN bg USING (shape_id, label)), m AS (SELECT shape_id, avg(x) AS cx, avg(y) AS cy FROM l GROUP BY 1) SELECT shape_id, arg_min(x, (round(pow(x - cx, 2) + pow(y - cy, 2), 9), x, y)) AS x, arg_min(y, (round(pow(x - cx, 2) + pow(y - cy, 2), 9), x, y)) AS y FROM l JOIN m USING (shape_id) GROUP BY 1", lambda a: G.group_anchors(G.group_points(a, 2.0)))
 one("grp8_anchor_then_local", f"{_reach('SELECT * FROM dark', 4)}{_BIG} SELECT lb.shape_id, x, y FROM lb JOIN bg USING (shape_id, label)", lambda a: G.derive_group(a, G.group_anchors(G.group_points(a, 2.0)), 2.0))
 one("grp9_group_by_grid", f"{_reach('SELECT DISTINCT shape_id, x // 3 AS x, y // 3 AS y FROM dark', 2.25)} SELECT dark.shape_id, dark.x, dark.y, label FROM dark JOIN lb ON dark.shape_id = lb.shape_id AND dark.x // 3 = lb.x AND dark.y // 3 = lb.y", lambda a: G.group_by_grid(a, 3))
-one("grp11_nearest_group", f"{_reach('SELECT * FROM dark WHERE x < 30', 4)} SELECT lb.shape_id, arg_min(label, (pow(lb.x - d.x, 2) + pow(lb.y - d.y, 2), label)) AS label, sqrt(min(pow(lb.x - d.x, 2) + pow(lb.y - d.y, 2))) AS distance FROM lb JOIN dark d ON lb.shape_id = d.shape_id AND d.x > 33 AND pow(lb.x - d.x, 2) + pow(lb.y - d.y, 2) <= 64 GROUP BY 1", lambda a: G.nearest_group(G.group_points(a.where("x < 30"), 2.0), a.where("x > 33"), 8))
+one("grp11_nearest_group", f"{_reach('SELECT * FROM dark WHERE x < 30', 4)} SELECT lb.shape_id, arg_min(label, (pow(lb.x - d.x, 2) + pow(lb.y - d.y, 2), label)) AS label, sqrt(min(pow(lb.x - d.x, 2) + pow(lb.y - d.y, 2))) AS distance FROM lb JOIN dark d ON lb.shape_id = d.shape_id AND d.x > 45 GROUP BY 1", lambda a: G.nearest_group(G.group_points(a.where("x < 30"), 2.0), a.where("x > 45")))
 
 _VOID = ", dd AS (SELECT DISTINCT shape_id, x + dx AS x, y + dy AS y FROM dark, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1), (2, 0), (0, 2)) t(dx, dy)), b2 AS (SELECT shape_id, min(x) - 1 AS x0, max(x) + 1 AS x1, min(y) - 1 AS y0, max(y) + 1 AS y1 FROM dd GROUP BY 1)"
 

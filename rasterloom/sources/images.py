@@ -11,23 +11,30 @@ from rasterloom.sources.text import natural_order
 
 def read_frames(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(frames, pixels) of an image file or folder, decoded by Spark's image source; frame_id is the
-    position in natural name order."""
+    position in natural name order. A file that cannot be decoded is an error."""
     images = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
+    broken = F.raise_error(F.concat(F.lit("not a readable image: "), F.col("origin")))
+    images = images.withColumn("width", F.when(F.col("width") > 0, F.col("width")).otherwise(broken.cast("int")))
     names = images.select("origin", F.element_at(F.split("origin", "/"), -1).alias("name"))
     ids = natural_order(names, "name").select("origin", F.col("position").cast("long").alias("frame_id"))
-    framed = images.join(F.broadcast(ids), "origin")
+    # As many rows as files on both sides: no broadcast.
+    framed = images.join(ids.hint("merge"), "origin")
     frames = framed.select("frame_id", F.col("origin").alias("path"), "width", "height", (F.col("nChannels") == 4).alias("has_alpha"))
     return frames, decode(framed)
 
 
 def decode(framed: DataFrame) -> DataFrame:
-    """Rows (frame_id, x, y, argb) of packed blue-green-red(-alpha) bytes."""
-    one = framed.select("frame_id", "width", "nChannels", "data", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("i"))
-    byte = lambda k: F.conv(F.hex(F.expr(f"substring(data, i * nChannels + {k + 1}, 1)")), 16, 10).cast("int")
-    a = F.when(F.col("nChannels") == 4, byte(3)).otherwise(255)
-    gray = F.col("nChannels") == 1
-    g, r = F.when(gray, byte(0)).otherwise(byte(1)), F.when(gray, byte(0)).otherwise(byte(2))
-    return one.select("frame_id", (F.col("i") % F.col("width")).alias("x"), F.expr("cast(i div width as int)").alias("y"), pack_argb(a, r, g, byte(0)).alias("argb"))
+    """Rows (frame_id, x, y, argb) of packed blue-green-red(-alpha) bytes. The buffer is cut into lines first,
+    so that a pixel row refers to its own line and not to the whole image."""
+    step = F.col("width") * F.col("nChannels")
+    lines = framed.select("frame_id", "width", "nChannels", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda y: F.substring("data", y * step + 1, step))).alias("y", "line"))
+    one = lines.select("*", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
+    pixel = one.withColumn("v", F.conv(F.hex(F.substring("line", F.col("x") * F.col("nChannels") + 1, F.col("nChannels"))), 16, 10).cast("long"))
+    n = F.col("nChannels")
+    byte = lambda k: F.expr(f"cast(shiftright(v, 8 * greatest(nChannels - 1 - {k}, 0)) & 255 as int)")
+    a = F.when(n == 4, byte(3)).otherwise(255)
+    g, r = F.when(n == 1, byte(0)).otherwise(byte(1)), F.when(n == 1, byte(0)).otherwise(byte(2))
+    return pixel.select("frame_id", "x", "y", pack_argb(a, r, g, byte(0)).alias("argb"))
 
 
 def frames_from_pixels(packed: DataFrame, column_major: bool = False) -> DataFrame:
@@ -44,3 +51,30 @@ def match_frames(left: DataFrame, right: DataFrame, col: str = "name") -> DataFr
     both = a.join(b, "position", "full")
     ok = F.when(F.col("left").isNull() | F.col("right").isNull(), F.raise_error(F.lit("the folders hold different numbers of frames"))).otherwise(F.col("left"))
     return both.select("position", ok.alias("left"), "right")
+
+
+def write_bitmaps(pixels: DataFrame, path: str, width: int, height: int) -> None:
+    """One 24-bit bitmap file per frame, `frame <id>.bmp`, black where a pixel is missing. Frames are encoded
+    in the tasks and streamed one by one to the file system by the driver: for samples, not for corpora."""
+    import numpy as np
+    import pandas as pd
+
+    def encode(part: pd.DataFrame) -> pd.DataFrame:
+        line = -(-width * 3 // 4) * 4
+        body = np.zeros((height, line), np.uint8)
+        argb = part["argb"].to_numpy().astype(np.int64)
+        for k in range(3):
+            body[height - 1 - part["y"].to_numpy(), part["x"].to_numpy() * 3 + k] = (argb >> (8 * k)) & 255
+        number = lambda v, n: int(v).to_bytes(n, "little")
+        size = line * height
+        head = b"BM" + number(54 + size, 4) + number(0, 4) + number(54, 4) + number(40, 4) + number(width, 4) + number(height, 4) + number(1, 2) + number(24, 2) + number(0, 4) + number(size, 4) + number(0, 16)
+        return pd.DataFrame({"name": [f"frame {part['frame_id'].iat[0]}.bmp"], "data": [head + body.tobytes()]})
+
+    spark = pixels.sparkSession
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for r in pixels.groupBy("frame_id").applyInPandas(encode, "name string, data binary").toLocalIterator():
+        out = system.create(jvm.org.apache.hadoop.fs.Path(folder, r["name"]))
+        out.write(r["data"])
+        out.close()

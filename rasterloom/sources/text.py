@@ -23,8 +23,18 @@ def natural_key(name: Column) -> Column:
 
 
 def natural_order(df: DataFrame, col: str) -> DataFrame:
-    """Adds `position` from 1; names form one list, so the window has no partition: a few file names."""
-    return df.withColumn("position", F.row_number().over(Window.orderBy(natural_key(F.col(col)), F.length(col), col)))
+    """Adds `position` from 1. Names are sorted by range; the numbers of rows of the ranges before a name's
+    own, one row a range, turn its place there into its position."""
+    from rasterloom.sources.tables import materialise
+
+    order = [F.col("__key"), F.length(col), F.col(col)]
+    keyed = df.withColumn("__key", natural_key(F.col(col)))
+    ranged = materialise(keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()))
+    inside = Window.partitionBy("__part").orderBy(*order)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ranged.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    placed = ranged.withColumn("__at", F.row_number().over(inside)).join(bases, "__part")
+    return placed.select(*df.columns, (F.col("__base") + F.col("__at")).cast("int").alias("position"))
 
 
 def parse_border(df: DataFrame, key: str, col: str) -> DataFrame:
@@ -103,5 +113,9 @@ def write_border(points: DataFrame, path: str) -> None:
     encode_border(points, "shape_id").select("shape_id", "border").write.mode("overwrite").partitionBy("shape_id").text(path)
 
 
-def load_border(spark, path: str) -> DataFrame:
-    return parse_border(spark.read.text(path), "shape_id", "value").select(F.col("shape_id").cast("long").alias("shape_id"), "x", "y")
+def load_border(spark, path: str, fill: bool = False) -> DataFrame:
+    """Borders written before; with `fill`, gaps between their columns are interpolated."""
+    from rasterloom.operators.points import fill_border
+
+    read = parse_border(spark.read.text(path), "shape_id", "value").select(F.col("shape_id").cast("long").alias("shape_id"), "x", "y")
+    return fill_border(read) if fill else read
