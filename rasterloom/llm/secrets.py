@@ -3,7 +3,8 @@
 Two first-order character models, one of random strings and one of ordinary identifiers, are counted
 from labelled samples; a long token whose log-likelihood ratio speaks for random is a span of kind
 `markov`, unless a span of the fixed patterns holds it whole. Positions are code points of the whole text,
-ends exclusive.
+ends exclusive. Places, and the reach of spans before a place, are running sums and maxima taken block by
+block, so that a very long text full of matches costs little more than its length.
 
 A null text is empty and holds nothing; repeated rows are scanned alike; an empty table gives an empty
 result; columns of the input never clash with those made here.
@@ -27,7 +28,9 @@ KINDS = ("assign", "access", "hex", "markov")
 #: Characters of tokens lie between + and z.
 LOW, WIDE, ALPHABET = 43, 80, 66
 #: Expected number of documents that give labelled samples.
-SAMPLE_DOCS = 4000
+SAMPLE_DOCS = 1000
+#: Entries of an array that are summed up together.
+RUN = 128
 SMOOTHING = 0.5
 #: A token is random from this log-likelihood ratio per character pair on, and in total.
 PER_PAIR, TOTAL = 0.6, 12.0
@@ -40,7 +43,7 @@ def labelled_samples(docs: DataFrame, bound: int = SAMPLE_DOCS) -> DataFrame:
     Ordinary: the texts' words, plain and joined as identifiers, paths and file names are."""
     n = docs.count()
     part = min(1.0, bound / max(n, 1))
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < int(part * (1 << 20)))
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 40)) < max(1, int(part * (1 << 40))))
     texts = chosen.select(F.coalesce("text", F.lit("")).alias("body"))
     digest = F.sha2("body", 256)
     found = F.concat(
@@ -68,13 +71,14 @@ def labelled_samples(docs: DataFrame, bound: int = SAMPLE_DOCS) -> DataFrame:
 
 def fit(samples: DataFrame, smoothing: float = SMOOTHING) -> list[float]:
     """log p(next | char, random) - log p(next | char, ordinary) for every pair of characters. The driver
-    receives one count per pair and label."""
-    clean = samples.where(F.col("sample").rlike(r"^[A-Za-z0-9+/_.=-]{2,}$"))
-    pairs = clean.select("label", F.split("sample", "").alias("c")).select(
+    receives one count per pair and label. Equal samples are counted before they fall into pairs."""
+    clean = samples.where(F.col("sample").rlike(r"^[A-Za-z0-9+/_.=-]{2,}$")).groupBy("label", "sample").count()
+    pairs = clean.select("label", "count", F.split("sample", "").alias("c")).select(
         "label",
+        "count",
         F.explode(F.transform(F.sequence(F.lit(0), F.size("c") - 2), lambda i: F.concat(F.get("c", i), F.get("c", i + 1)))).alias("pair"),
     )
-    counts = {(r["label"], r["pair"]): r["count"] for r in pairs.groupBy("label", "pair").count().collect()}
+    counts = {(r["label"], r["pair"]): r["n"] for r in pairs.groupBy("label", "pair").agg(F.sum("count").alias("n")).collect()}
     totals: dict[tuple[int, str], int] = {}
     for (label, pair), n in counts.items():
         totals[label, pair[0]] = totals.get((label, pair[0]), 0) + n
@@ -98,21 +102,26 @@ def _ratio(token: Column, table: Column) -> Column:
     return F.get(F.transform(F.array(F.split(token, "")), total), 0)
 
 
-def _placed(kind: int, pattern: str, keep) -> Column:
-    """Spans (start, kind, stop) of the matches in `m<kind>` that `keep` accepts. The text between the
-    matches, by the same pattern, gives their places by adding lengths."""
-    state = lambda pos, spans: F.struct(pos.alias("pos"), spans.alias("spans"))
-    none = F.array().cast("array<struct<start:int,kind:int,stop:int>>")
+def _later(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
 
-    def step(acc: Column, i: Column) -> Column:
-        match = F.get(f"m{kind}", i)
-        start = acc["pos"] + F.length(F.get(f"gap{kind}", i))
-        stop = start + F.length(match)
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"))
-        return state(stop, F.when(keep(match), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]))
 
-    spans = F.aggregate(F.sequence(F.lit(0), F.size(f"m{kind}") - 1), state(F.lit(0), none), step)["spans"]
-    return F.when(F.size(f"m{kind}") > 0, spans).otherwise(none)
+def _running(values: Column, op) -> Column:
+    """Every prefix of an array of ints put through `op` (sum or greatest): within blocks of RUN entries,
+    and over the blocks, so that no array is built entry by entry at its full length."""
+    ints = lambda: F.array().cast("array<int>")
+    state = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
+
+    def scan(items: Column, base: Column) -> Column:
+        step = lambda acc, v: state(op(acc["at"], v), F.concat(acc["out"], F.array(op(acc["at"], v))))
+        return F.aggregate(items, state(base, ints()), step, lambda acc: acc["out"])
+
+    last = F.floor((F.size(values) - 1) / RUN).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(values, b * RUN + 1, F.lit(RUN)))
+    totals = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), op))
+    bases = F.concat(F.array(F.lit(0)), scan(totals, F.lit(0)))
+    each = F.zip_with(blocks, bases, lambda x, base: F.when(x.isNotNull(), scan(x, base)).otherwise(ints()))
+    return F.when(F.size(values) > 0, F.flatten(each)).otherwise(ints())
 
 
 def with_spans(docs: DataFrame, table: list[float], text_col: str = "text") -> DataFrame:
@@ -120,21 +129,34 @@ def with_spans(docs: DataFrame, table: list[float], text_col: str = "text") -> D
     model = F.split(F.lit(",".join(map(str, table))), ",").cast("array<double>")
     body = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     patterns = (ASSIGN, ACCESS, HEX, TOKEN)
+    kinds = range(len(patterns))
     found = body.select("row", "body", *[F.regexp_extract_all("body", F.lit(p), F.lit(0)).alias(f"m{i}") for i, p in enumerate(patterns)])
-    gaps = found.select("*", *[
-        F.when(F.size(f"m{i}") > 0, F.split("body", p)).otherwise(F.array().cast("array<string>")).alias(f"gap{i}") for i, p in enumerate(patterns)
-    ])
-    long_enough = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 12
-    yes = lambda m: F.lit(True)
+    # The text between the matches, by the same pattern, gives their places by adding lengths.
+    gaps = lambda i: F.when(F.size(f"m{i}") > 0, F.split("body", patterns[i])).otherwise(F.array().cast("array<string>"))
+    both = lambda g, m: F.length(g) + F.coalesce(F.length(m), F.lit(0))
+    sized = found.select("*", *[F.zip_with(gaps(i), F.col(f"m{i}"), both).alias(f"w{i}") for i in kinds])
+    ended = sized.select("row", "body", *[f"m{i}" for i in kinds], *[_running(F.col(f"w{i}"), lambda a, b: a + b).alias(f"e{i}") for i in kinds])
 
     def random(m: Column) -> Column:
         ratio = _ratio(m, model)
         return ratio >= F.greatest(F.lit(TOTAL), (F.length(m) - 1) * PER_PAIR)
 
-    spans = gaps.select("row", "body", *[_placed(i, p, k).alias(f"s{i}") for i, (p, k) in enumerate(zip(patterns, (long_enough, yes, yes, random)))])
-    based = spans.select("row", "body", "s3", F.sort_array(F.concat("s0", "s1", "s2")).alias("base"))
-    adds = lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["stop"] <= b["stop"]))
-    return based.select("row", "body", "base", F.sort_array(F.concat("base", F.filter("s3", adds))).alias("all"))
+    yes = lambda m: F.lit(True)
+    keep = (lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 12, yes, yes, random)
+
+    def spans(i: int) -> Column:
+        span = lambda m, stop: F.when(
+            m.isNotNull() & keep[i](m), F.struct((stop - F.length(m)).alias("start"), F.lit(i).alias("kind"), stop.alias("stop"))
+        )
+        return F.array_compact(F.zip_with(f"m{i}", f"e{i}", span))
+
+    placed = ended.select("row", "body", *[spans(i).alias(f"s{i}") for i in kinds])
+    based = placed.select("row", "body", F.sort_array(F.concat("s0", "s1", "s2")).alias("base"), F.sort_array(F.concat("s0", "s1", "s2", "s3")).alias("merged"))
+    # A span of the models stays unless one of the patterns' that starts no later reaches its end.
+    own = F.transform("merged", lambda s: F.when(s["kind"] < 3, s["stop"]).otherwise(0))
+    reached = based.select("row", "body", "base", "merged", _running(own, _later).alias("reach"))
+    adds = F.zip_with("merged", "reach", lambda s, r: F.when((s["kind"] < 3) | (r < s["stop"]), s))
+    return reached.select("row", "body", "base", F.array_compact(adds).alias("all"))
 
 
 def _written(spans: str) -> Column:
@@ -159,18 +181,22 @@ def redact(docs: DataFrame, table: list[float] | None = None, mask: str = "[SECR
     """The rows of `docs` with every span of their texts masked, overlapping spans by one mask; n_chars,
     where there is one, follows the new text."""
     table = table or fit(labelled_samples(docs))
-    state = lambda pos, out: F.struct(pos.alias("pos"), out.alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["pos"]
-        kept = F.substring("body", acc["pos"] + 1, F.greatest(s["start"] - acc["pos"], F.lit(0)))
-        out = F.when(fresh, F.concat(acc["out"], kept, F.lit(mask))).otherwise(acc["out"])
-        return state(F.greatest(acc["pos"], s["stop"]), out)
-
-    rest = lambda acc: F.concat(acc["out"], F.substring("body", acc["pos"] + 1, F.length("body")))
-    masked = F.aggregate("all", state(F.lit(0), F.lit("")), step, rest)
+    spans = with_spans(docs, table)
+    reached = spans.select("row", "body", "all", _running(F.transform("all", lambda s: s["stop"]), _later).alias("reach"))
+    before = F.concat(F.array(F.lit(0)), F.col("reach"))
+
+    def masked_by(part) -> Column:
+        """Each text before a span that begins beyond all earlier ones, with its mask; then the rest."""
+        fresh = lambda s, r: F.when(s.isNull(), part(r, F.length("body"))).when(s["start"] >= r, F.concat(part(r, s["start"]), F.lit(mask))).otherwise("")
+        return F.array_join(F.zip_with("all", before, fresh), "")
+
+    # Cutting a text by place walks it from its start, so where spans are many its letters are laid out.
+    few = masked_by(lambda a, b: F.substring("body", a + 1, b - a))
+    letters = reached.select("*", F.when(F.size("all") > RUN, F.split("body", "")).alias("letters"))
+    many = masked_by(lambda a, b: F.array_join(F.slice("letters", a + 1, b - a), ""))
+    masked = F.when(F.size("all") > RUN, many).otherwise(few)
     text = F.when(F.size("all") > 0, masked).otherwise(F.col("row.text"))
-    done = with_spans(docs, table).select("row", text.alias("new_text"), (F.size("all") > 0).alias("hit"))
+    done = letters.select("row", text.alias("new_text"), (F.size("all") > 0).alias("hit"))
     new = {"text": F.col("new_text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
