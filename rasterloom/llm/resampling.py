@@ -7,8 +7,11 @@ and bigrams the models count those of word shapes (case, digits, punctuation, re
 words say little.
 
 Nulls count as empty texts: log weight 0. Repeated rows get equal weights and, sharing the id, equal
-noise; ties at the k-th key go by doc_id and so all rows of one id stay or go together. An empty table
-gives an empty result; without target labels nothing can be told apart and every row is kept.
+noise; a row without an id draws its noise by its text. Rows that tie with the k-th key all stay, so
+repeated rows stay or go together. An empty table gives an empty result; without target labels nothing
+can be told apart and every row is kept; other columns are carried along or ignored. Log weights are
+sums over a text's n-grams, as in the published method, so long texts stand far from the limit and the
+noise decides among the near ones; a `temperature` over 1 evens the draw out.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.base import kth_largest, materialise
@@ -123,19 +126,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     return share(target) - share(raw)
 
 
-def weigh(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """doc_id and log_weight of every row."""
+def log_weight(docs: DataFrame, ratios: np.ndarray) -> Column:
+    """The log weight of the text of a row of `docs`, as a column."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokens, r = _Tokens(), shared.value
         for batch in batches:
-            out = [float(r[ngram_buckets(t, tokens)].sum()) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "log_weight": np.array(out, np.float64)})
+            yield pd.Series([float(r[ngram_buckets(t, tokens)].sum()) for t in batch], dtype="float64")
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInPandas(run, f"doc_id {kind}, log_weight double")
+    return run(F.col("text").cast("binary"))
 
 
 def keep_share(labels: DataFrame) -> float:
@@ -147,14 +148,27 @@ def keep_share(labels: DataFrame) -> float:
     return min(1.0, p + 2 * (p * (1 - p) / n) ** 0.5)
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = SEED) -> DataFrame:
-    """doc_id, log_weight, key and kept of every row; kept marks the Gumbel top k, k = share of rows."""
-    uniform = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    keyed = weigh(docs, fit(docs, labels)).withColumn("key", F.col("log_weight") - F.log(-F.log(uniform)))
-    keyed = materialise(keyed)
+def draw(docs: DataFrame, labels: DataFrame, carry: list[str], share: float | None = None, seed: int = SEED, temperature: float = 1.0) -> DataFrame:
+    """row (a struct of the columns to carry), log_weight, key and kept of every row; kept marks the
+    Gumbel top k, k = share of rows. Rows are written once with their keys, so none is looked up again."""
+    noise = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed)))
+    uniform = (F.pmod(noise, F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
+    weighed = docs.select(row, log_weight(docs, fit(docs, labels)).alias("log_weight"), (-F.log(-F.log(uniform))).alias("gumbel"))
+    keyed = materialise(weighed.select("row", "log_weight", (F.col("log_weight") / temperature + F.col("gumbel")).alias("key")))
     n = keyed.count()
     k = round(n * (keep_share(labels) if share is None else share))
     if k >= n:
         return keyed.withColumn("kept", F.lit(True))
     limit = kth_largest(keyed, "key", k)
     return keyed.withColumn("kept", F.col("key") >= limit if limit is not None else F.lit(False))
+
+
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = SEED, temperature: float = 1.0) -> DataFrame:
+    """doc_id, log_weight, key and kept of every row."""
+    return draw(docs, labels, ["doc_id"], share, seed, temperature).select("row.doc_id", "log_weight", "key", "kept")
+
+
+def keep_sample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = SEED) -> DataFrame:
+    """The rows of `docs` in the sample."""
+    return draw(docs, labels, docs.columns, share, seed).where("kept").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
