@@ -2,8 +2,13 @@
 mask secrets, mix the sources to their weights, pack into sequences.
 
 Every stage is a function of (spark, docs, sf_dir); its result is written and reread as the next one's
-input. All but the last return the columns of `documents`. Nulls, empty texts, repeated rows, empty
-tables and further columns are treated as each operator's module says.
+input. All but the last return the columns of `documents`, further ones included.
+
+Rows without an id pass every stage by themselves: the classifier weighs them by their text, they link to
+nothing and stay, and they are scanned, mixed and packed as any row. Null and empty texts have weight 0,
+link to nothing, hold no secret and have no word to take, so the mix leaves them out. Repeated rows are
+kept or rejected together, then one of them stays. An empty table gives an empty result. Names of
+further columns never clash with those made inside.
 """
 
 from __future__ import annotations
@@ -16,9 +21,7 @@ from rasterloom.llm.base import materialise
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling keeps."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    kept = resampling.resample(docs, labels).where("kept").select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    return resampling.keep_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +35,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, one of each source in part."""
     return mixing.materialise_mix(docs)
 
 
