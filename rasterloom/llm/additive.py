@@ -1,15 +1,18 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is coded as a sum of full-dimensional codewords, one from each residual codebook, found by beam
-search; its norm and that of what the code leaves over are stored beside it. A query scores codes by
-table look-up of its inner products with all codewords. Vectors whose score, with a margin for the
-stored remainder, may reach the query's best are scored again exactly, in double precision.
-
-Codebooks are learnt in numpy from a bounded sample; every vector is coded, and a query meets all codes
-in blocks, so that no bucket or list caps what can be found. Vectors that are null, zero, of another
-length than most, or hold null or non-finite components take no part. Rows that share an id count once,
-by their smallest vector; ties in the score go to the smaller id; an empty table gives an empty result;
-other columns are ignored.
+search; its norm and that of what the code leaves over are stored beside it. Codes, without the vectors,
+are kept in cells named by their first codewords; a query visits the cells whose codewords promise the
+largest inner products, as many as a sample of queries, searched exactly, needs for the wanted recall. It
+scores the codes there by table look-up of its inner products with all codewords. What may, with a margin
+for the stored remainder, be among the query's best is scored again from the original vectors, in
+double precision.
+
+Codebooks are learnt in numpy from a bounded sample. Equal vectors are searched once, under their smallest
+ids, of which k + 1 are kept; every other vector is coded and every cell is searched whole, in blocks.
+Vectors that are null, zero, of another length than most, or hold null or non-finite components take no
+part. Rows that share an id count once, by their smallest vector; ties in the score go to the smaller
+id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,12 +27,16 @@ from pyspark.sql import functions as F
 from rasterloom.llm.base import materialise
 
 BOOKS, WORDS, BEAM = 8, 256, 4
-#: Bound of the training sample.
-SAMPLE = 8192
+#: Bound of the training sample, and of the queries that are searched exactly to choose the probes.
+SAMPLE, TRIALS = 8192, 64
+#: Share of true neighbours that the visited cells should hold, over the trial queries.
+RECALL = 0.98
+#: Least vectors per cell, on average, and most codewords in a cell's name.
+CELL_ROWS, CELL_BOOKS = 64, 2
 #: Margin of the exact second look, in standard deviations of what the code leaves over.
 MARGIN = 2.5
 #: Rows and queries of a block.
-ROW_BLOCK, QUERY_BLOCK = 8192, 65_536
+ROW_BLOCK, QUERY_BLOCK = 8192, 8192
 
 
 def usable(v: Column) -> Column:
@@ -87,20 +94,27 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
     return codes[np.arange(n), last], rest[np.arange(n), last]
 
 
+def cell_books(n: int) -> int:
+    """How many first codewords name a cell, so that cells keep CELL_ROWS vectors on average."""
+    return max(b for b in range(CELL_BOOKS + 1) if b == 0 or WORDS**b * CELL_ROWS <= n)
+
+
+def cell_order(queries: np.ndarray, books: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """For every query, the places of all cells (rows of codewords) by falling inner product."""
+    score = np.zeros((len(queries), len(cells)), np.float32)
+    for m in range(cells.shape[1]):
+        score += (queries @ books[m].T)[:, cells[:, m]]
+    return np.argsort(-score, 1, kind="stable")
+
+
 def search_block(queries: pd.DataFrame, rows: pd.DataFrame, books: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest of this block's rows to each query of this block."""
+    """Per query of this block, the codes of this block that may be among the k best here: approximate
+    score and how high the true one may be."""
     q = np.stack(queries["vector"]).astype(np.float32)
-    x = np.stack(rows["vector"]).astype(np.float32)
-    ids, qids = rows["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
-    order = np.argsort(ids, kind="stable")
-    x, ids = x[order], ids[order]
-    codes = np.stack([np.frombuffer(c, np.uint8) for c in rows["code"]])[order]
-    # Stored norms: of the vector and of what its code leaves over, and the code's own as their link.
-    norm, left = rows["norm"].to_numpy()[order], rows["left"].to_numpy()[order]
-    coded = np.maximum(rows["coded"].to_numpy()[order], 1e-12)
-    scale = (norm / coded).astype(np.float32)
-    spread = (MARGIN * left / np.sqrt(x.shape[1])).astype(np.float32)
-    exact = np.ascontiguousarray(x.T.astype(np.float64))
+    ids, qids = rows["vec"].to_numpy(), queries["query"].to_numpy()
+    codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
+    scale = (rows["norm"].to_numpy() / np.maximum(rows["coded"].to_numpy(), 1e-12)).astype(np.float32)
+    spread = (MARGIN * rows["left"].to_numpy() / np.sqrt(q.shape[1])).astype(np.float32)
     out = []
     for a in range(0, len(q), 128):
         part = q[a : a + 128]
@@ -109,55 +123,90 @@ def search_block(queries: pd.DataFrame, rows: pd.DataFrame, books: np.ndarray, k
         for m in range(len(books)):
             approx += tables[m][codes[:, m]]
         approx *= scale[:, None]
-        lengths = np.sqrt((part**2).sum(1))
-        high = approx + spread[:, None] * lengths
-        own = np.searchsorted(ids, qids[a : a + 128])
-        own_ok = (own < len(ids)) & (ids[np.minimum(own, len(ids) - 1)] == qids[a : a + 128])
-        high[own[own_ok], np.flatnonzero(own_ok)] = -np.inf
-        approx[own[own_ok], np.flatnonzero(own_ok)] = -np.inf
-        kk = min(k, len(ids)) - 1
-        limit = -np.partition(-approx, kk, 0)[kk]
-        limit = np.where(np.isfinite(limit), limit, -np.inf)
-        r, c = np.nonzero((high >= limit) & np.isfinite(high))
-        score = np.zeros(len(r))
-        qd = part.astype(np.float64).T
-        for d in range(x.shape[1]):  # one fixed order of addition, so equal vectors tie exactly
-            score += exact[d][r] * qd[d][c]
-        best = np.lexsort((ids[r], -score, c))
-        r, c, score = r[best], c[best], score[best]
-        rank = np.arange(len(c)) - np.searchsorted(c, c)
-        keep = rank < k
-        out.append(pd.DataFrame({"query_id": qids[a : a + 128][c[keep]], "vec_id": ids[r[keep]], "score": score[keep]}))
+        high = approx + spread[:, None] * np.sqrt((part**2).sum(1))
+        limit = -np.partition(-approx, min(k, len(ids)) - 1, 0)[min(k, len(ids)) - 1]
+        r, c = np.nonzero(high >= limit)
+        out.append(pd.DataFrame({"query": qids[a : a + 128][c], "vec": ids[r], "approx": approx[r, c], "high": high[r, c]}))
     return pd.concat(out)
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows by inner product to each row that `is_query`
-    marks, other than itself."""
-    v = F.col(vector_col)
-    picked = rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vector"), is_query.alias("asks"))
-    valid = picked.where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
+def _folded(rows: DataFrame, is_query: Column, k: int, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame, int] | None:
+    """(distinct vectors: vec, vector, ids; queries: query_id, vec; number of distinct vectors). `vec` is the
+    smallest id of a vector, `ids` its k + 1 smallest."""
+    picked = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    valid = picked.where(F.col("id").isNotNull() & usable(F.col("vector")))
     sized = valid.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    empty = "query_id long, rank int, vec_id long, score double"
     if sized is None:
-        return rows.sparkSession.createDataFrame([], empty)
-    dim, total = sized["dim"], sized["count"]
-    valid = valid.where(F.size("vector") == dim)
-    valid = valid.groupBy("vec_id").agg(F.min("vector").alias("vector"), F.first("asks").alias("asks"))
-    sample = valid.select("vector", F.xxhash64("vec_id").alias("h"))
-    share = min(1.0, SAMPLE / total)
-    sample = sample.where(F.pmod("h", F.lit(1 << 20)) < max(1, int(share * (1 << 20)))).orderBy("h").limit(2 * SAMPLE)
+        return None
+    valid = valid.where(F.size("vector") == sized["dim"])
+    # Zeros of either sign are one value.
+    valid = valid.withColumn("vector", F.transform("vector", lambda x: x + 0))
+    single = valid.groupBy("id").agg(F.min("vector").alias("vector"), F.max("asks").alias("asks"))
+    single = materialise(single.withColumn("mark", F.sha2(F.to_json(F.struct("vector")), 256)))
+    order = Window.partitionBy("mark").orderBy("id")
+    first = single.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+    each = first.groupBy("mark").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.min_by("vector", "id").alias("vector"))
+    vectors = materialise(each.select("mark", F.get("ids", F.lit(0)).alias("vec"), "vector", "ids"))
+    queries = single.where("asks").select(F.col("id").alias("query_id"), "mark").join(vectors.select("mark", "vec").hint("merge"), "mark")
+    return vectors.drop("mark"), queries.select("query_id", "vec"), vectors.count()
+
+
+def probes(coded: DataFrame, asking: DataFrame, books: np.ndarray, cells: np.ndarray, k: int, recall: float = RECALL) -> int:
+    """Number of cells a query visits: over trial queries, the least that hold the wanted share of their
+    exact k nearest vectors. One pass over all vectors; the driver gets TRIALS * k rows."""
+    if len(cells) < 2:
+        return 1
+    trial = asking.orderBy(F.xxhash64("vec"), "vec").limit(TRIALS).select("vec", "vector").collect()
+    own = np.array([r["vec"] for r in trial])
+    q = np.array([r["vector"] for r in trial], np.float64)
+    shared = coded.sparkSession.sparkContext.broadcast((own, q))
+    width = cells.shape[1]
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, q = shared.value
+        for batch in batches:
+            score = np.stack(batch["vector"]).astype(np.float64) @ q.T
+            score[batch["vec"].to_numpy()[:, None] == own] = -np.inf
+            top = np.argpartition(-score, min(k, len(score)) - 1, 0)[:k]
+            names = [c[:width] for c in batch["code"]]
+            yield pd.DataFrame({
+                "trial": np.tile(np.arange(len(own)), len(top)), "cell": [names[i] for i in top.ravel()],
+                "score": np.take_along_axis(score, top, 0).ravel(),
+            })
+
+    found = coded.select("vec", "vector", "code").mapInPandas(best, "trial int, cell binary, score double")
+    order = Window.partitionBy("trial").orderBy(F.desc("score"))
+    kept = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("trial", "cell").collect()
+    place = {bytes(c): i for i, c in enumerate(cells.tolist())}
+    turn = np.argsort(cell_order(q.astype(np.float32), books, cells), 1)
+    needed = sorted(int(turn[r["trial"], place[bytes(r["cell"])]]) for r in kept)
+    return needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)] + 1 if needed else 1
+
+
+def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest rows by inner product to each row that `is_query`
+    marks, other than itself."""
+    spark = rows.sparkSession
+    folded = _folded(rows, is_query, k, id_col, vector_col)
+    if folded is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    vectors, queries, total = folded
+    sample = vectors.select("vector", F.xxhash64("vec").alias("h"))
+    wide = 1 << 40
+    sample = sample.where(F.pmod("h", F.lit(wide)) < max(1, int(min(1.0, SAMPLE / total) * wide))).orderBy("h").limit(2 * SAMPLE)
     x = np.array([r["vector"] for r in sample.collect()], np.float32)
     if not len(x):
-        x = np.array([r["vector"] for r in valid.limit(WORDS).collect()], np.float32)
-    books = rows.sparkSession.sparkContext.broadcast(learn(x))
+        x = np.array([r["vector"] for r in vectors.limit(WORDS).collect()], np.float32)
+    books = learn(x)
+    shared = spark.sparkContext.broadcast(books)
+    width = cell_books(total)
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i in range(0, len(batch), 1024):
                 part = batch.iloc[i : i + 1024].copy()
                 x = np.stack(part["vector"]).astype(np.float32)
-                codes, rest = encode(x, books.value)
+                codes, rest = encode(x, shared.value)
                 yield part.assign(
                     code=[c.tobytes() for c in codes],
                     norm=np.sqrt((x**2).sum(1)),
@@ -165,22 +214,57 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
                     coded=np.sqrt(((x - rest) ** 2).sum(1)),
                 )
 
-    kind = valid.schema["vector"].dataType.simpleString()
-    schema = f"vec_id long, vector {kind}, asks boolean, code binary, norm float, left float, coded float"
-    coded = materialise(valid.select("vec_id", "vector", "asks").mapInPandas(code, schema))
-    row_blocks = -(-total // ROW_BLOCK)
-    query_blocks = max(1, -(-coded.where("asks").count() // QUERY_BLOCK))
-    block = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = coded.where("asks").select("vec_id", "vector", block(query_blocks, 1).alias("qb"), every(row_blocks).alias("rb"))
-    right = coded.drop("asks").withColumn("rb", block(row_blocks, 2)).withColumn("qb", every(query_blocks))
+    kind = vectors.schema["vector"].dataType.simpleString()
+    coded = materialise(vectors.select("vec", "vector").mapInPandas(code, f"vec long, vector {kind}, code binary, norm float, left float, coded float"))
+    named = coded.withColumn("cell", F.substring("code", 1, width))
+    # One row per cell, at most WORDS ** CELL_BOOKS.
+    sizes = {bytes(r["cell"]): r["count"] for r in named.groupBy("cell").count().collect()}
+    names = sorted(sizes)
+    cells = np.array([list(c) for c in names], np.int64).reshape(len(names), width)
+    asking = materialise(queries.select("vec").distinct().join(coded.select("vec", "vector"), "vec"))
+    n_probes = probes(coded, asking, books, cells, k, recall)
+    row_blocks = [-(-sizes[c] // ROW_BLOCK) for c in names]
+    plan = spark.sparkContext.broadcast((cells, np.array(row_blocks)))
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells, blocks = plan.value
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                part = batch.iloc[i : i + 256]
+                at = cell_order(np.stack(part["vector"]).astype(np.float32), shared.value, cells)[:, :n_probes]
+                pairs = [(q, int(c), b) for q, row in zip(part["vec"], at) for c in row for b in range(blocks[c])]
+                yield pd.DataFrame(pairs, columns=["query", "cell_no", "rb"])
+
+    visits = materialise(asking.mapInPandas(visit, "query long, cell_no int, rb int"))
+    # Queries of a much visited cell are dealt in blocks, and its codes copied to each.
+    crowds = visits.where("rb = 0").groupBy("cell_no").agg(F.ceil(F.count("*") / F.lit(QUERY_BLOCK)).cast("int").alias("q_blocks"))
+    numbers = spark.createDataFrame([(bytearray(c), i, row_blocks[i]) for i, c in enumerate(names)], "cell binary, cell_no int, r_blocks int")
+    facts = F.broadcast(numbers.join(crowds, "cell_no"))
+    block = lambda c, n, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.col(n)).cast("int")
+    left = visits.join(facts.select("cell_no", "q_blocks"), "cell_no").withColumn("qb", block("query", "q_blocks", 1))
+    left = left.join(asking.select(F.col("vec").alias("query"), "vector"), "query").select("query", "vector", "cell_no", "rb", "qb")
+    right = named.drop("vector").join(facts, "cell").withColumn("rb", block("vec", "r_blocks", 2))
+    right = right.withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1))).select("vec", "code", "norm", "left", "coded", "cell_no", "rb", "qb")
+    keys = ["cell_no", "rb", "qb"]
 
     def meet(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(rows):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        return search_block(queries, rows, books.value, k)
+            return pd.DataFrame({"query": [], "vec": [], "approx": [], "high": []}).astype({"query": "int64", "vec": "int64"})
+        return search_block(queries, rows, shared.value, k + 1)
 
-    found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(meet, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query long, vec long, approx float, high float")
+    best = Window.partitionBy("query").orderBy(F.desc("approx"))
+    found = materialise(found)
+    limits = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).groupBy("query").agg(F.min("approx").alias("limit"))
+    again = found.join(limits, "query").where("high >= limit").select("query", "vec")
+    again = again.join(coded.select("vec", F.col("vector").alias("x")), "vec").join(asking.select(F.col("vec").alias("query"), F.col("vector").alias("q")), "query")
+    # One fixed order of addition, so equal vectors tie exactly.
+    product = F.zip_with("q", "x", lambda a, b: a.cast("double") * b.cast("double"))
+    scored = again.select("query", "vec", F.aggregate(product, F.lit(0.0), lambda acc, v: acc + v).alias("score"))
+    ids = scored.join(vectors.select("vec", "ids"), "vec").select("query", "score", F.explode("ids").alias("vec_id"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    top = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+    lists = top.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("near"))
+    own = queries.join(lists.withColumnRenamed("query", "vec").hint("merge"), "vec")
+    others = F.slice(F.filter("near", lambda r: r["vec_id"] != F.col("query_id")), 1, k)
+    return own.select("query_id", F.posexplode(others).alias("at", "r")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "r.vec_id", "r.score")
