@@ -7,7 +7,7 @@ classes; a text's score is that of its most toxic stretch, in training as in sco
 in a very long text count as they do in a short one.
 
 Nulls and empty texts hold no word and get the score of the bias alone; repeated rows are scored
-alike; rows of `labels` with a null label, or whose document is missing, are not learnt from; without
+alike, and learnt from once per id, by the smallest text; rows of `labels` with a null label, or whose document is missing, are not learnt from; without
 labels of both classes every score is the share of toxic labels (0 without any). Other columns of
 the input are ignored.
 """
@@ -35,9 +35,9 @@ _EDGES = b".,;:!?\"'()[]{}*$%&#|<>-_=+/\\~`@^"
 
 
 def subwords(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the word, bucket) of every subword of the words, all computed at once."""
-    marked = [b"<" + (w.strip(_EDGES) or w) + b">" for w in words]
-    blob = np.frombuffer(b"".join(marked), np.uint8)
+    """(index of the word, bucket) of every subword of the words, all computed at once, by code points."""
+    marked = [f"<{(w.strip(_EDGES) or w).decode('utf-8', 'replace')}>" for w in words]
+    blob = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4")
     lengths = np.fromiter(map(len, marked), np.int64, len(marked))
     owner = np.repeat(np.arange(len(marked)), lengths)
     letters = blob.astype(np.uint64) + np.uint64(0x51ED27)
@@ -49,7 +49,7 @@ def subwords(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np
         found.append(h[inside])
     # The whole word: a sum of its letters scrambled by their place.
     place = np.arange(len(blob)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    letter = (letters + (place.astype(np.uint64) << np.uint64(8))) * np.uint64(0x9E3779B97F4A7C15)
+    letter = (letters + (place.astype(np.uint64) << np.uint64(24))) * np.uint64(0x9E3779B97F4A7C15)
     letter ^= letter >> np.uint64(31)
     letter *= np.uint64(0xBF58476D1CE4E5B9)
     starts = np.cumsum(lengths) - lengths
@@ -146,8 +146,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXI
     ids = learnable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda cls, n: ids.where(F.col("toxic") == cls).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = pick(1, n_toxic).unionAll(pick(0, n_clean))
-    texts = docs.select("doc_id", F.lower("text").cast("binary").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")
+    # One text per id, the smallest, before anything reaches the driver.
+    texts = docs.select("doc_id", F.lower("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 def _fold(doc_id):
@@ -155,7 +156,7 @@ def _fold(doc_id):
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = training_rows(docs, labels).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    rows = training_rows(docs, labels).toPandas().sort_values("doc_id")
     return train(list(rows["text"]), rows["toxic"].to_numpy(np.float64))
 
 
