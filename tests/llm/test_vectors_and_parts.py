@@ -51,6 +51,33 @@ def test_recall_ties_and_scores(spark, vectors):
     assert got[500] == want[500]  # exact copies: ties go to the smaller ids
 
 
+@pytest.mark.parametrize("cell_rows", [64, 4])
+def test_recall_on_the_test_table(spark, cell_rows, monkeypatch):
+    """Against brute force over the whole table: in one cell, and in cells of few vectors."""
+    monkeypatch.setattr(additive, "CELL_ROWS", cell_rows)
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = table.select("vec_id", "embedding").collect()
+    x, ids = np.array([r.embedding for r in rows], np.float64), np.array([r.vec_id for r in rows])
+    hits = total = 0
+    got = {}
+    for r in additive.nearest(table, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for i in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[i]
+        score[i] = -np.inf
+        best = ids[np.lexsort((ids, -score))[:20]]
+        hits, total = hits + len(got[ids[i]] & set(best.tolist())), total + 20
+    assert len(got) == (ids % 20 == 0).sum() and hits >= 0.93 * total, hits / total
+
+
+def test_doubles_are_scored_as_doubles(spark):
+    rows = [(i, [1.0 + i * 1e-12, 1e300 if i == 7 else 0.5]) for i in range(45)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in additive.nearest(docs.where("vec_id <> 7"), F.col("vec_id") % 20 == 0).where("query_id = 40").orderBy("rank").collect()]
+    want = brute({i: v for i, v in rows if i != 7})[40]
+    assert got == want
+
+
 def test_small_and_empty_tables(spark):
     make = lambda n: spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(n)], "vec_id long, embedding array<float>")
     assert additive.nearest(make(0), F.col("vec_id") % 20 == 0).count() == 0
