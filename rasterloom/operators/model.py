@@ -72,13 +72,27 @@ def measure(features: DataFrame, points: DataFrame, scan: DataFrame, r: int = 2)
     return raw.drop("w10", "w01", "thickness", "opacity").join(smooth, ["shape_id", "ord"])
 
 
-def anchors(features: DataFrame, points: DataFrame, blend: float = 0.82) -> DataFrame:
-    """Vertices pulled towards their nearest members: a blend of the two places."""
-    near = nearest(points, features.select("shape_id", F.col("x").alias("qx"), F.col("y").alias("qy")))
-    near = near.select("shape_id", F.col("qx").alias("x"), F.col("qy").alias("y"), F.col("x").alias("mx"), F.col("y").alias("my"))
-    both = features.select("shape_id", "ord", "x", "y").join(near, ["shape_id", "x", "y"], "left")
-    pull = lambda c: (F.col(c) + (F.coalesce(f"m{c}", c) - F.col(c)) * blend).alias(c)
-    return both.select("shape_id", "ord", pull("x"), pull("y"))
+#: Reach of the averages of contour points and of nearest members, and how far an anchor goes to the latter.
+CONTOUR_RADIUS, ANCHOR_RADIUS, ANCHOR_BLEND = 3, 6, 0.82
+
+
+def anchors(features: DataFrame, points: DataFrame) -> DataFrame:
+    """(shape_id, ord, x, y): where a vertex lies on the drawing. The contour is averaged along the loop, every
+    averaged vertex takes its nearest member of the point set, and these are averaged along the loop again;
+    the anchor lies between the nearest member and that average, nearer to the latter. Whole numbers are
+    rounded half up at every step. Shapes without points have no anchors."""
+    half_up = lambda c: F.floor(F.col(c) + 0.5).cast("int").alias(c)
+
+    def averaged(rows: DataFrame, r: int) -> DataFrame:
+        both = loop_average(rows, "x", r).join(loop_average(rows, "y", r), ["shape_id", "ord"])
+        return both.select("shape_id", "ord", half_up("x"), half_up("y"))
+
+    smooth = averaged(features, CONTOUR_RADIUS).withColumnsRenamed({"x": "qx", "y": "qy"})
+    found = nearest(points, smooth.select("shape_id", "qx", "qy")).drop("distance")
+    near = smooth.join(found, ["shape_id", "qx", "qy"]).select("shape_id", "ord", "x", "y")
+    mean = averaged(near, ANCHOR_RADIUS).withColumnsRenamed({"x": "mx", "y": "my"})
+    pull = lambda c: F.floor(F.col(c) + (F.col(f"m{c}") - F.col(c)) * ANCHOR_BLEND + 0.5).cast("int").alias(c)
+    return near.join(mean, ["shape_id", "ord"]).select("shape_id", "ord", pull("x"), pull("y"))
 
 
 def map_averages(features: DataFrame, cols: tuple[str, ...]) -> DataFrame:

@@ -179,6 +179,28 @@ def test_matches_scan_all_samples_where_none_is_near(spark):
         assert got == plain_match(a, b)
 
 
+def test_anchors_average_along_the_loop(spark):
+    import math
+
+    ring = [(round(20 * math.cos(t / 30 * math.tau)), round(14 * math.sin(t / 30 * math.tau))) for t in range(30)]
+    rng = random.Random(2)
+    members = sorted({(x + rng.randrange(-2, 3), y + rng.randrange(-2, 3)) for x, y in ring})
+    contour = spark.createDataFrame([(1, i, x, y) for i, (x, y) in enumerate(ring)], "shape_id long, ord int, x int, y int")
+    up = lambda v: math.floor(v + 0.5)
+
+    def average(pts, i, r):
+        w = [(r + 1 - abs(d), pts[(i + d) % len(pts)]) for d in range(-r, r + 1)]
+        return tuple(up(sum(k * p[c] for k, p in w) / sum(k for k, _ in w)) for c in (0, 1))
+
+    smooth = [average(ring, i, 3) for i in range(30)]
+    near = [min(members, key=lambda m: ((m[0] - x) ** 2 + (m[1] - y) ** 2, m)) for x, y in smooth]
+    want = {}
+    for i in range(30):
+        mean = average(near, i, 6)
+        want[i] = tuple(up(near[i][c] + (mean[c] - near[i][c]) * 0.82) for c in (0, 1))
+    assert {r.ord: (r.x, r.y) for r in M.anchors(contour, shape(spark, members)).collect()} == want
+
+
 def test_images_are_read_in_natural_order_and_broken_ones_are_errors(spark, tmp_path):
     from pyspark.sql import Row
 
