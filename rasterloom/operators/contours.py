@@ -213,14 +213,26 @@ def contract(contour: DataFrame, r: int) -> DataFrame:
     return trace(erode(rasterize(contour), r))
 
 
-def outer_edge(contour: DataFrame, bins: int = 720, inner: bool = False) -> DataFrame:
+#: Rays of an outline: so many a unit of its perimeter, between these bounds (fixed values).
+RAYS_PER_STEP, LEAST_RAYS, MOST_RAYS = 1.5, 720, 131_072
+
+
+def ray_counts(contour: DataFrame) -> DataFrame:
+    """(shape_id, bins): rays around each shape, by its perimeter."""
+    n = F.ceil(F.col("perimeter") * RAYS_PER_STEP)
+    return measures(contour).select("shape_id", F.least(F.lit(MOST_RAYS), F.greatest(F.lit(LEAST_RAYS), n)).cast("int").alias("bins"))
+
+
+def outer_edge(contour: DataFrame, bins: int | DataFrame | None = None, inner: bool = False) -> DataFrame:
     """(shape_id, bin, radius): farthest (or nearest) hit of the ray from the centroid at the middle of
-    each angular bin. An edge meets only the rays in its own span of angles."""
-    step = N.TAU / bins
+    each angular bin. An edge meets only the rays in its own span of angles. `bins` is a number for all, a
+    table (shape_id, bins), or by the perimeter."""
+    counts = bins if isinstance(bins, DataFrame) else ray_counts(contour) if bins is None else contour.select("shape_id").distinct().withColumn("bins", F.lit(bins))
+    step = N.TAU / F.col("bins")
     a = attributes(contour).select("shape_id", "ord", "cx", "cy")
-    e = edges(contour).join(a, ["shape_id", "ord"])
+    e = edges(contour).join(a, ["shape_id", "ord"]).join(counts, "shape_id")
     rel = {"ax": F.col("x") - F.col("cx"), "ay": F.col("y") - F.col("cy"), "bx": F.col("nx") - F.col("cx"), "by": F.col("ny") - F.col("cy")}
-    e = e.select("shape_id", *[v.alias(k) for k, v in rel.items()])
+    e = e.select("shape_id", "bins", *[v.alias(k) for k, v in rel.items()])
     t0 = F.atan2("ay", "ax")
     turn = F.atan2(F.col("ax") * F.col("by") - F.col("ay") * F.col("bx"), F.col("ax") * F.col("bx") + F.col("ay") * F.col("by"))
     lo, hi = F.least(t0, t0 + turn), F.greatest(t0, t0 + turn)
@@ -229,15 +241,17 @@ def outer_edge(contour: DataFrame, bins: int = 720, inner: bool = False) -> Data
     dx, dy = F.cos(ang), F.sin(ang)
     ex, ey = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     r = F.try_divide(F.col("ax") * ey - F.col("ay") * ex, dx * ey - dy * ex)
-    hit = ray.select("shape_id", F.pmod("b", F.lit(bins)).cast("int").alias("bin"), r.alias("radius")).where("radius >= 0")
+    hit = ray.select("shape_id", F.pmod("b", "bins").cast("int").alias("bin"), r.alias("radius")).where("radius >= 0")
     return hit.groupBy("shape_id", "bin").agg((F.min if inner else F.max)("radius").alias("radius"))
 
 
-def halfway(a: DataFrame, b: DataFrame, bins: int = 360) -> DataFrame:
-    """Midway between two outlines of a shape, ray by ray from the first one's centroid."""
-    centre = a.groupBy("shape_id").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
-    r = outer_edge(a, bins).join(outer_edge(b, bins).withColumnRenamed("radius", "other"), ["shape_id", "bin"]).join(centre, "shape_id")
-    mid, ang = (F.col("radius") + F.col("other")) / 2, (F.col("bin") + 0.5) * (N.TAU / bins)
+def halfway(a: DataFrame, b: DataFrame, bins: int | None = None) -> DataFrame:
+    """Midway between two outlines of a shape, ray by ray from the first one's centroid; as many rays as the
+    first one's perimeter asks for, if no number is given."""
+    counts = ray_counts(a) if bins is None else a.select("shape_id").distinct().withColumn("bins", F.lit(bins))
+    centre = a.groupBy("shape_id").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")).join(counts, "shape_id")
+    r = outer_edge(a, counts).join(outer_edge(b, counts).withColumnRenamed("radius", "other"), ["shape_id", "bin"]).join(centre, "shape_id")
+    mid, ang = (F.col("radius") + F.col("other")) / 2, (F.col("bin") + 0.5) * (N.TAU / F.col("bins"))
     whole = lambda v: F.floor(v + 0.5).cast("int")
     return r.select("shape_id", F.col("bin").alias("ord"), whole(F.col("cx") + F.cos(ang) * mid).alias("x"), whole(F.col("cy") + F.sin(ang) * mid).alias("y"))
 

@@ -79,8 +79,8 @@ ras AS (SELECT shape_id, x, CAST(unnest(range(CAST(ceil(c_at - 0.5) AS INT), CAS
 one("ctr13_rasterize", K.rasterize, f"{_RAS} SELECT * FROM ras")
 one("ctr14_expand", lambda d: K.expand(d, 2))
 one("ctr14_contract", lambda d: K.contract(d, 1))
-one("ctr15_outer_edge", lambda d: r6(K.outer_edge(d, 180), "radius"))
-one("ctr16_halfway", lambda d: K.halfway(d, K.translate(d, 4, 0), 180))
+one("ctr15_outer_edge", lambda d: r6(K.outer_edge(d), "radius"))
+one("ctr16_halfway", lambda d: K.halfway(d, K.translate(d, 4, 0)))
 one("ctr17_curvatures", lambda d: r6(K.curvatures(d), "curvature"), ", pv AS (SELECT ed.*, p.x AS px, p.y AS py FROM ed JOIN pn USING (shape_id) JOIN poly p ON p.shape_id = ed.shape_id AND p.ord = (ed.ord + n - 1) % n), dn AS (SELECT *, sqrt(pow(x - px, 2) + pow(y - py, 2)) * sqrt(pow(nx - x, 2) + pow(ny - y, 2)) * sqrt(pow(nx - px, 2) + pow(ny - py, 2)) AS den FROM pv) SELECT shape_id, ord, round(CASE WHEN den > 0 THEN 2.0 * ((x - px) * (ny - py) - (y - py) * (nx - px)) / den ELSE 0 END, 6) + 0.0 AS curvature, nx - 2 * x + px AS ddx, ny - 2 * y + py AS ddy FROM dn")
 one("ctr18_span_curvature", lambda d: r6(K.span_curvature(T.spans(d)), "second"), "SELECT shape_id, x, round(second, 6) + 0.0 AS second FROM (SELECT shape_id, x, 2.0 * ((lead(y_lo) OVER w - y_lo) / CAST(lead(x) OVER w - x AS DOUBLE) - (y_lo - lag(y_lo) OVER w) / CAST(x - lag(x) OVER w AS DOUBLE)) / (lead(x) OVER w - lag(x) OVER w) AS second FROM (SELECT shape_id, x, min(y) AS y_lo FROM dark GROUP BY 1, 2) WINDOW w AS (PARTITION BY shape_id ORDER BY x)) WHERE second IS NOT NULL", view=views.dark)
 one("ctr19_resample", lambda d: r6(K.resample(d, 24), "x", "y"))

@@ -179,6 +179,24 @@ def test_matches_scan_all_samples_where_none_is_near(spark):
         assert got == plain_match(a, b)
 
 
+def test_outer_edge_grows_its_rays_with_the_perimeter(spark):
+    import math
+
+    ring = [(round(400 * math.cos(t / 500 * math.tau)), round(400 * math.sin(t / 500 * math.tau))) for t in range(500)]
+    contour = spark.createDataFrame([(1, i, x, y) for i, (x, y) in enumerate(ring)] + [(2, i, x, y) for i, (x, y) in enumerate([(0, 0), (9, 0), (9, 9), (0, 9)])], "shape_id long, ord int, x int, y int")
+    length = sum(math.dist(a, b) for a, b in zip(ring, ring[1:] + ring[:1]))
+    got = {1: {}, 2: {}}
+    for r in K.outer_edge(contour).collect():
+        got[r.shape_id][r.bin] = r.radius
+    assert len(got[1]) == math.ceil(1.5 * length) and len(got[2]) == 720
+    assert all(abs(v - 400) < 2 for v in got[1].values())
+    for b, v in got[2].items():
+        t = (b + 0.5) * math.tau / 720
+        assert v == pytest.approx(4.5 / max(abs(math.cos(t)), abs(math.sin(t))))
+    mid = K.halfway(contour, contour).where("shape_id = 2").collect()
+    assert len(mid) == 720 and {max(abs(r.x - 4.5), abs(r.y - 4.5)) for r in mid} <= {4.5, 3.5, 5.5}
+
+
 def test_anchors_average_along_the_loop(spark):
     import math
 
