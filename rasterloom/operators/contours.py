@@ -410,14 +410,33 @@ def fill_missing_columns(points: DataFrame, contour: DataFrame, thickness: int)
     return points.select(POINT).unionAll(band).distinct()
 
 
-def smooth_outline(points: DataFrame, contour: DataFrame, thickness: int, hole: int = 16) -> DataFrame:
-    """Fill columns, close, open, and fill small holes."""
+def thickness_of(points: DataFrame, contour: DataFrame) -> DataFrame:
+    """(shape_id, thickness): a shape's cells over its contour's length, rounded half up, at least 1."""
+    n = points.select(POINT).distinct().groupBy("shape_id").agg(F.count("*").alias("n"))
+    share = F.floor(F.try_divide(F.col("n").cast("double"), F.col("perimeter")) + 0.5)
+    return n.join(measures(contour), "shape_id").select("shape_id", F.greatest(F.lit(1), F.coalesce(share, F.lit(1))).cast("int").alias("thickness"))
+
+
+def smooth_outline(points: DataFrame, contour: DataFrame) -> DataFrame:
+    """Adds the inward band that an outline of each shape's own thickness should have, closes and opens by
+    half of it, and fills holes of up to four times its square, 16 cells at least. Where opening, or closing,
+    leaves nothing of a shape, the step before it stands."""
     from rasterloom.operators.groups import fill_small_holes
-    from rasterloom.operators.points import close, open_
+    from rasterloom.operators.points import dilate_by, erode_by
     from rasterloom.sources.tables import materialise
 
-    r = max(1, thickness // 3)
-    return fill_small_holes(materialise(open_(close(fill_missing_columns(points, contour, thickness), r), 1)), hole)
+    t = materialise(thickness_of(points, contour))
+    radii = t.select("shape_id", F.greatest(F.lit(1), F.expr("thickness div 2")).cast("int").alias("r"))
+    line = draw_lines(edges(contour).select("shape_id", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("nx").alias("x1"), F.col("ny").alias("y1")))
+    band = dilate_by(line, t.withColumnRenamed("thickness", "r")).join(rasterize(contour), POINT, "left_semi")
+    band = band.join(t, "shape_id", "left_semi").select(POINT)
+    stroke_ = materialise(points.select(POINT).unionAll(band).distinct())
+    closed = materialise(erode_by(dilate_by(stroke_, radii), radii))
+    opened = materialise(dilate_by(erode_by(closed, radii), radii))
+    kept = opened.unionAll(closed.join(opened.select("shape_id").distinct(), "shape_id", "left_anti"))
+    kept = kept.unionAll(stroke_.join(closed.select("shape_id").distinct(), "shape_id", "left_anti"))
+    area = t.select("shape_id", F.greatest(F.lit(16), F.col("thickness") * F.col("thickness") * 4).alias("area"))
+    return fill_small_holes(materialise(kept), area)
 
 
 def stroke(contour: DataFrame, spacing: float) -> DataFrame:

@@ -138,10 +138,12 @@ def remove_holes(points: DataFrame) -> DataFrame:
     return subtract_points(fill_enclosed(points), largest_group(void))
 
 
-def fill_small_holes(points: DataFrame, max_area: int) -> DataFrame:
-    """Adds closed 8-connected voids of at most max_area cells."""
+def fill_small_holes(points: DataFrame, max_area: int | DataFrame) -> DataFrame:
+    """Adds closed 8-connected voids of at most max_area cells, a number or one per shape (shape_id, area)."""
     void = materialise(_voids(points, diagonals=True))
-    small = void.groupBy("shape_id", "label").count().where(F.col("count") <= max_area)
+    sized = void.groupBy("shape_id", "label").count()
+    limit = max_area if isinstance(max_area, DataFrame) else points.select("shape_id").distinct().withColumn("area", F.lit(max_area))
+    small = sized.join(limit, "shape_id").where("count <= area")
     added = void.join(small, ["shape_id", "label"], "left_semi").select(POINT)
     return points.select(POINT).unionAll(added).distinct()
 

@@ -143,14 +143,25 @@ def erode(points: DataFrame, r: int) -> DataFrame:
     return from_runs(fit).groupBy(*POINT).count().where(F.col("count") == 2 * r + 1).drop("count")
 
 
+def _spread(points: DataFrame, radii: DataFrame) -> DataFrame:
+    """Column runs with their shape's radius r (0 if it has none), once for every column offset dx of a disk of
+    that radius, with the disk's `half` height there."""
+    runs = to_runs(points.select(POINT)).join(radii.select("shape_id", "r"), "shape_id", "left").withColumn("r", F.coalesce("r", F.lit(0)))
+    offsets = runs.withColumn("dx", F.explode(F.sequence(-F.col("r"), F.col("r"))))
+    half = F.floor(F.sqrt((F.col("r") * F.col("r") - F.col("dx") * F.col("dx")).cast("double"))).cast("int")
+    return offsets.withColumn("half", half)
+
+
+def dilate_by(points: DataFrame, radii: DataFrame) -> DataFrame:
+    """Disk dilation with a radius per shape (shape_id, r); shapes without one stay as they are."""
+    grown = _spread(points, radii).select("shape_id", (F.col("x") + F.col("dx")).alias("x"), (F.col("y_lo") - F.col("half")).alias("y_lo"), (F.col("y_hi") + F.col("half")).alias("y_hi"))
+    return from_runs(merge_runs(grown))
+
+
 def erode_by(points: DataFrame, radii: DataFrame) -> DataFrame:
     """Disk erosion with a radius per shape (shape_id, r): a cell stays when no cell outside the set is
     within r; shapes without a radius, or with 0, stay as they are."""
-    reach = points.select(POINT).distinct().join(radii, "shape_id", "left").withColumn("r", F.coalesce("r", F.lit(0)))
-    runs = to_runs(reach.select(POINT)).join(radii, "shape_id", "left").withColumn("r", F.coalesce("r", F.lit(0)))
-    offsets = runs.withColumn("dx", F.explode(F.sequence(-F.col("r"), F.col("r"))))
-    half = F.floor(F.sqrt((F.col("r") * F.col("r") - F.col("dx") * F.col("dx")).cast("double"))).cast("int")
-    fit = offsets.withColumn("half", half).where("y_hi - y_lo >= 2 * half").select(
+    fit = _spread(points, radii).where("y_hi - y_lo >= 2 * half").select(
         "shape_id", "r", (F.col("x") - F.col("dx")).alias("x"), (F.col("y_lo") + F.col("half")).alias("y_lo"), (F.col("y_hi") - F.col("half")).alias("y_hi")
     )
     cells = fit.select("shape_id", "r", "x", F.explode(F.sequence("y_lo", "y_hi")).alias("y"))

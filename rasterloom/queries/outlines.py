@@ -90,7 +90,7 @@ one("ctr20_sort_by_angle", K.sort_by_angle, f", {_AT} SELECT shape_id, CAST(row_
 one("ctr21_walk_side", lambda d: K.walk_side(d, upper=False, ascending=False), "SELECT shape_id, CAST(row_number() OVER (PARTITION BY shape_id ORDER BY x DESC) - 1 AS INT) AS step, x, min(y) AS y FROM dark GROUP BY shape_id, x", view=views.dark)
 one("ctr21_walk_rows", K.walk_rows, ", o AS (SELECT *, dense_rank() OVER (PARTITION BY shape_id ORDER BY y) % 2 = 0 AS odd FROM dark), w AS (SELECT shape_id, CAST(row_number() OVER w - 1 AS INT) AS step, x, y, lead(x) OVER w AS to_x, lead(y) OVER w AS to_y FROM o WINDOW w AS (PARTITION BY shape_id ORDER BY y, CASE WHEN odd THEN -x ELSE x END)) SELECT * FROM w WHERE to_x IS NOT NULL", view=views.dark)
 one("pts25_fill_missing_columns", lambda d: K.fill_missing_columns(d.select("shape_id", "x", "y"), d, 2))
-one("pts26_smooth_outline", lambda d: K.smooth_outline(d.select("shape_id", "x", "y"), d, 3))
+one("pts26_smooth_outline", lambda d: K.smooth_outline(d.select("shape_id", "x", "y"), d))
 one("pts27_smooth_path", lambda d: r6(K.smooth_path(d, 3), "x", "y"), ", tp AS (SELECT CAST(d AS INT) AS d, exp(-2.0 * d * d / 9) AS w FROM range(-3, 4) t(d)) SELECT ed.shape_id, CAST((ed.ord + d + n) % n AS INT) AS ord, round(sum(x * w) / sum(w), 6) AS x, round(sum(y * w) / sum(w), 6) AS y FROM ed JOIN pn USING (shape_id), tp GROUP BY 1, 2")
 one("pts28_outline_width", lambda d: r6(K.outline_width(K.draw_lines(K.edges(d).select("shape_id", c("x").alias("x0"), c("y").alias("y0"), c("nx").alias("x1"), c("ny").alias("y1"))), d), "width"))
 _BRUSH = L.Brush(-16776961, 3)

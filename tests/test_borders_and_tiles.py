@@ -138,6 +138,25 @@ def test_erosion_by_a_radius_per_shape(spark):
     assert got[1] == got[3] == disk and got[2] == cells_of(T.erode(shape(spark, disk), 3), "x", "y")
 
 
+def test_outlines_are_smoothed_by_their_own_thickness(spark):
+    """Rings of two widths with notches and pinholes come back whole, at most one layer wider."""
+    def ring(r, w):
+        return {(x, y) for x in range(-r, r + 1) for y in range(-r, r + 1) if (r - w) ** 2 < x * x + y * y <= r * r}
+
+    thick, thin = ring(40, 9), ring(40, 3)
+    broken = {1: (thick - {(36, 0), (0, 35), (1, 35)}), 2: thin - {(-39, 0)}}
+    points = spark.createDataFrame([(i, x, y) for i, cells in broken.items() for x, y in cells], POINTS)
+    contour = K.trace(shape(spark, thick, 1).unionAll(shape(spark, thin, 2))).cache()
+    widths = {r.shape_id: r.thickness for r in K.thickness_of(points, contour).collect()}
+    assert widths[1] >= 2 * widths[2] >= 4
+    got = {1: set(), 2: set()}
+    for r in K.smooth_outline(points, contour).collect():
+        got[r.shape_id].add((r.x, r.y))
+    for i, whole in ((1, thick), (2, thin)):
+        assert len(whole - got[i]) < 0.02 * len(whole) and len(got[i] - whole) < 0.3 * len(whole)
+        assert (thick if i == 1 else thin) - broken[i] <= got[i]
+
+
 def plain_match(a, b):
     """(other, score, confidence) per sample, all pairs in plain Python."""
     import math
