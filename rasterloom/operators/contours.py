@@ -37,9 +37,7 @@ def boundary(points: DataFrame) -> DataFrame:
 def _loop(cells: set, start: tuple[int, int]) -> list[tuple[int, int]]:
     """Walk along boundary cells, each time turning two steps back and taking the first cell found."""
     at, heading, seen, path = start, 0, set(), []
-    for _ in range(max(64, 4 * len(cells))):
-        if (*at, heading) in seen:
-            break
+    while (*at, heading) not in seen:  # eight states a cell at most
         seen.add((*at, heading))
         path.append(at)
         for turn in range(8):
