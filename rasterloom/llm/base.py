@@ -171,10 +171,12 @@ def minimisers(h: np.ndarray, width: int, valid: np.ndarray | None = None) -> np
     if len(h) < width:
         return np.empty(0, np.int64)
     low = sliding(np.minimum, h, width)
-    if valid is not None:
-        low = np.where(valid, low, np.uint64(0))
+    valid = np.ones(len(low), bool) if valid is None else valid
     edge = np.zeros(width - 1, np.uint64)
-    return np.flatnonzero((sliding(np.maximum, np.concatenate([edge, low, edge]), width) == h) & (h != 0))
+    # The largest of the smallest values of the windows around a position, and whether any of them counts.
+    most = sliding(np.maximum, np.concatenate([edge, np.where(valid, low, edge.dtype.type(0)), edge]), width)
+    covered = sliding(np.maximum, np.concatenate([edge > 0, valid, edge > 0]), width)
+    return np.flatnonzero((most == h) & covered)
 
 
 def kth_largest(df: DataFrame, col: str, k: int, bins: int = 4096) -> float | None:

@@ -175,7 +175,7 @@ def materialise_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> Da
 #: The same rows in DuckDB: a source's need is met by whole passes over its blocks and by its first blocks.
 ORACLE_SQL = rf"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS size,
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
          md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS mixed
   FROM documents
 ), sources AS (
