@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -62,21 +63,22 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-def _letters() -> np.ndarray:
+@functools.cache
+def _letters(seed: int) -> np.ndarray:
     """A fixed random value for each byte; the space has 0."""
-    out = np.random.default_rng(17).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+    out = np.random.default_rng(seed).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
     out[32] = 0
     return out
 
 
-_LETTERS, _UP, _DOWN = _letters(), _powers(_BASE, _SPAN), _powers(_INVERSE, _SPAN)
+_SEED, _UP, _DOWN = 17, _powers(_BASE, _SPAN), _powers(_INVERSE, _SPAN)
 
 
-def word_hashes(blob: bytes, starts: np.ndarray) -> np.ndarray:
+def word_hashes(blob: bytes, starts: np.ndarray, seed: int = _SEED) -> np.ndarray:
     """64-bit hash of every word of a text whose words are joined by one space and start at `starts`: a
     positional sum over its bytes, scrambled. Equal words have equal hashes wherever they stand."""
     data = np.frombuffer(blob, np.uint8)
-    out, a = np.empty(len(starts), np.uint64), 0
+    letters, out, a = _letters(seed), np.empty(len(starts), np.uint64), 0
     while a < len(starts):
         begin = int(starts[a])
         b = max(a + 1, int(np.searchsorted(starts, begin + _SPAN, "right")) - 1)
@@ -84,10 +86,10 @@ def word_hashes(blob: bytes, starts: np.ndarray) -> np.ndarray:
             b += 1
         end = len(data) if b == len(starts) else int(starts[b])
         if end - begin > _SPAN:  # one word that is longer than a portion
-            out[a] = xxhash.xxh64_intdigest(data[begin:end].tobytes().rstrip())
+            out[a] = xxhash.xxh64_intdigest(data[begin:end].tobytes().rstrip(), seed - _SEED)
         else:
             at = starts[a:b] - begin
-            values = _LETTERS[data[begin:end]] * _UP[: end - begin]
+            values = letters[data[begin:end]] * _UP[: end - begin]
             out[a:b] = mixed(np.add.reduceat(values, at) * _DOWN[at])
         a = b
     return out

@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import additive, jaccard, mixing, packing, quality_rules, resampling, secrets, substring_dedup, suffix_dedup, toxicity
+from rasterloom.llm import (
+    additive,
+    collocations,
+    jaccard,
+    lexical,
+    mixing,
+    packing,
+    quality_rules,
+    resampling,
+    secrets,
+    substring_dedup,
+    suffix_dedup,
+    toxicity,
+    urls,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +68,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).where("kept")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -67,6 +93,15 @@ QUERIES = {
         op8_packing,
         op9_jaccard_join,
         op10_quality_classifier,
+        op11_collocations,
+        op12_lexical_search,
+        op13_url_filter,
     )
 }
-ORACLES: dict[str, str] = {"op4_quality_rules": quality_rules.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op4_quality_rules": quality_rules.ORACLE_SQL,
+    "op7_mixing": mixing.ORACLE_SQL,
+    "op11_collocations": collocations.ORACLE_SQL,
+    "op12_lexical_search": lexical.ORACLE_SQL,
+    "op13_url_filter": urls.ORACLE_SQL,
+}
