@@ -413,21 +413,116 @@ def _by_centre_line(r: DataFrame, weight: float) -> DataFrame:
     return far.withColumn("reach", reach).withColumn("target", F.transform("to", lambda d: d / 3 <= F.col("reach"))).drop("to", "reach")
 
 
+#: How far to each side of a vertex its direction is taken, between these bounds and by so many vertices a
+#: contour; how far outside a vertex its sides are probed; how far inward a cell may lie (fixed values).
+LEAST_WINDOW, MOST_WINDOW, VERTICES_PER_STEP, SIDE_PROBE, INWARD_SLACK = 2, 10, 300, 1.5, 0.25
+
+
+def contour_frames(contour: DataFrame, core: DataFrame) -> DataFrame:
+    """Contours with, at every vertex, tangent (tx, ty), outward normal (ox, oy), `step`, the mean distance of
+    the vertices around, and `location`, the share of the perimeter before it.
+
+    Of the two normals the one whose side is not of the core (shape_id, x, y) is outward; where both sides
+    are alike, the one away from the contour's centre."""
+    from rasterloom.operators import contours as K
+
+    sized = contour.join(contour.groupBy("shape_id").agg(F.count("*").cast("int").alias("n")), "shape_id")
+    window = N.bound((F.col("n") / VERTICES_PER_STEP).cast("int"), LEAST_WINDOW, MOST_WINDOW)
+    sized = sized.withColumn("window", window)
+    at = contour.select("shape_id", F.col("ord").alias("to"), F.col("x").alias("vx"), F.col("y").alias("vy"))
+    for name, way in (("p", -1), ("q", 1)):
+        sized = sized.withColumn("to", F.pmod(F.col("ord") + way * F.col("window"), F.col("n")).cast("int")).join(at, ["shape_id", "to"]).withColumnsRenamed({"vx": f"{name}x", "vy": f"{name}y"}).drop("to")
+    dx, dy = (F.col("qx") - F.col("px")).cast("double"), (F.col("qy") - F.col("py")).cast("double")
+    length = F.hypot(dx, dy)
+    flat = length <= 1e-8
+    sized = sized.withColumns({"tx": F.when(flat, 1.0).otherwise(dx / length), "ty": F.when(flat, 0.0).otherwise(dy / length), "length": F.when(flat, 1.0).otherwise(length)})
+    cell = lambda c: F.floor(c + 0.5).cast("int")
+    marked = core.select("shape_id", F.col("x").alias("sx"), F.col("y").alias("sy"), F.lit(True).alias("in")).distinct()
+    for name, side in (("first", 1), ("second", -1)):
+        probes = {"sx": cell(F.col("x") - F.col("ty") * side * SIDE_PROBE), "sy": cell(F.col("y") + F.col("tx") * side * SIDE_PROBE)}
+        sized = sized.withColumns(probes).join(marked, ["shape_id", "sx", "sy"], "left").withColumnRenamed("in", name).drop("sx", "sy")
+    facts = K.attributes(contour).join(K.measures(contour).select("shape_id", "perimeter"), "shape_id")
+    facts = facts.select("shape_id", "ord", "cx", "cy", F.coalesce(F.try_divide("arc", "perimeter"), F.lit(0.0)).alias("location"))
+    sized = sized.join(facts, ["shape_id", "ord"])
+    away = -F.col("ty") * (F.col("x") - F.col("cx")) + F.col("tx") * (F.col("y") - F.col("cy")) >= 0
+    first, second = F.coalesce("first", F.lit(False)), F.coalesce("second", F.lit(False))
+    turn = F.when(first != second, F.when(first, -1.0).otherwise(1.0)).otherwise(F.when(away, 1.0).otherwise(-1.0))
+    return sized.select(
+        "shape_id", "ord", "x", "y", "tx", "ty", (-F.col("ty") * turn).alias("ox"), (F.col("tx") * turn).alias("oy"),
+        (F.col("length") / F.greatest(F.lit(1.0), F.col("window") * 2.0)).alias("step"), "location",
+    )
+
+
+def warp_halo(target: DataFrame, ink: DataFrame, strength: float = 1.0, reach: float = PROBE) -> DataFrame:
+    """(frame_id, x, y, halo): what the ink's surroundings look like around another drawing.
+
+    `target` has rows (frame_id, x, y, core, far) of the drawing's image, far its distance from the core in
+    units of the registration grid, and `ink` those of the ink's image with its darkness `value`. A cell
+    outside the core, within reach, goes with its nearest contour vertex; its offset is told along that
+    vertex's outward normal and tangent. The ink's vertex at the same share of its contour, with the offset
+    turned into its own directions, normals by the drawings' extents and tangents by the distances of
+    vertices, names the place that is read, between cells, if it is outside the ink's core and within reach
+    too. Cells inside the contour, and drawings that leave no contour, have no halo."""
+    from rasterloom.operators import contours as K
+    from rasterloom.operators.pixels import bilinear_sample
+    from rasterloom.operators.points import nearest
+    from rasterloom.sources.tables import materialise
+
+    def described(image: DataFrame) -> tuple[DataFrame, DataFrame]:
+        core = materialise(image.where("core").select(F.col("frame_id").alias("shape_id"), "x", "y"))
+        bounds = core.groupBy("shape_id").agg(*[(F.max(c) - F.min(c) + 1.0).alias(n) for c, n in (("x", "wide"), ("y", "high"))])
+        contour = materialise(K.trace(core))
+        return contour, materialise(contour_frames(contour, core).join(bounds, "shape_id"))
+
+    contour, frames = described(target)
+    i_contour, i_frames = described(ink)
+    cells = target.where(~F.col("core") & (F.col("far") <= reach)).select(F.col("frame_id").alias("shape_id"), F.col("x").alias("qx"), F.col("y").alias("qy"))
+    near = nearest(contour.select("shape_id", "x", "y"), materialise(cells)).select("shape_id", "qx", "qy", "x", "y")
+    # A cell that the contour passes more than once counts as its last vertex.
+    own = contour.groupBy("shape_id", "x", "y").agg(F.max("ord").alias("ord"))
+    at = near.join(own, ["shape_id", "x", "y"]).drop("x", "y").join(frames, ["shape_id", "ord"])
+    dx, dy = F.col("qx") - F.col("x"), F.col("qy") - F.col("y")
+    at = at.withColumns({"out": dx * F.col("ox") + dy * F.col("oy"), "on": dx * F.col("tx") + dy * F.col("ty")}).where(F.col("out") >= -INWARD_SLACK)
+    unit = lambda p: F.hypot(F.col(f"{p}ox") / F.col(f"{p}wide"), F.col(f"{p}oy") / F.col(f"{p}high"))
+    at = materialise(at.select("shape_id", "qx", "qy", "location", "on", "step", F.greatest(F.lit(0.0), "out").alias("out"), unit("").alias("unit")))
+    shares = K.at_arc(i_contour, at.select("shape_id", F.col("location").alias("share")).distinct()).select("shape_id", F.col("share").alias("location"), "ord")
+    there = i_frames.select("shape_id", "ord", *[F.col(c).alias(f"i_{c}") for c in ("x", "y", "tx", "ty", "ox", "oy", "step", "wide", "high")])
+    both = at.join(shares, ["shape_id", "location"]).join(there, ["shape_id", "ord"])
+    out = F.col("out") * F.col("unit") / F.greatest(unit("i_"), F.lit(1e-9))
+    on = F.col("on") * F.col("i_step") / F.greatest("step", F.lit(1e-9))
+    place = {c: F.col(f"i_{c}") + F.col(f"i_o{c}") * out + F.col(f"i_t{c}") * on for c in "xy"}
+    both = both.select(F.col("shape_id").alias("frame_id"), "qx", "qy", place["x"].alias("u"), place["y"].alias("v"))
+    whole = lambda c: F.floor(F.col(c) + 0.5).cast("int")
+    outside = ink.where(~F.col("core") & (F.col("far") <= reach)).select("frame_id", "x", "y")
+    both = materialise(both.withColumns({"x": whole("u"), "y": whole("v")}).join(outside, KEY, "left_semi"))
+    read = bilinear_sample(ink.select(*KEY, "value"), both.select("frame_id", F.struct("qx", "qy").alias("cid"), "u", "v"))
+    return read.select("frame_id", F.col("cid.qx").alias("x"), F.col("cid.qy").alias("y"), N.clamp01(F.col("value") * strength).alias("halo"))
+
+
+def _told_cells(rasters: DataFrame) -> DataFrame:
+    """Cells (frame_id, x, y, core, far, value) of rasters; far is in units of the registration grid."""
+    cols = [c for c in ("values", "core", "far") if c in rasters.columns]
+    each = rasters.select("frame_id", "width", "scale", F.posexplode(F.arrays_zip(*cols)).alias("i", "c"))
+    value = [F.col("c.values").alias("value")] if "values" in cols else []
+    return each.select("frame_id", (F.col("i") % F.col("width")).alias("x"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), "c.core", (F.col("c.far") / 3 * F.col("scale")).alias("far"), *value)
+
+
 def generate(pencil: DataFrame, ink: DataFrame, settings: RenderSettings = RenderSettings(), looks: tuple[DataFrame, DataFrame] | None = None, drawings: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The pencil drawing in the ink's manner: (frame_id, x, y, gray), 255 white.
 
     Without drawings the pencil's core grows or shrinks by half the difference of the two thicknesses,
     measured on the registration grid; with them (points of both, the cores), strokes are drawn anew around
     their centre line. The result is closed by one pixel. Inside, tones go by equal share of the cores'
-    histograms and are scaled to the ink's black point; outside, the halo follows the ink's border profile.
-    `looks` are the appearances of both, if they are known."""
+    histograms and are scaled to the ink's black point; outside, the halo follows the ink's border profile,
+    or, with drawings, is what lies around the ink at the same share of its contour (`warp_halo`). `looks` are the appearances of both, if they are known."""
     from rasterloom.sources.tables import materialise
 
     own, other = drawings or (None, None)
     a, b = looks or tuple(appearances(register_rasters(s, drawing=d)) for s, d in ((pencil, own), (ink, other)))
     looks_ = _pairs(a, b).join(b.select("frame_id", "profile"), "frame_id").select("frame_id", "a_thickness", "b_thickness", "profile")
     s = _source(pencil, a, own)
-    i = _source(ink, b, other).select("frame_id", F.col("bins").alias("i_bins"), F.col("mean").alias("i_mean"))
+    whole_ink = _source(ink, b, other)
+    i = whole_ink.select("frame_id", F.col("bins").alias("i_bins"), F.col("mean").alias("i_mean"))
     r = materialise(s.join(i, "frame_id").join(looks_, "frame_id"))
     shaped = _by_thickness(r, settings.thickness) if drawings is None else _by_centre_line(r, settings.thickness)
     r = _closed(shaped, "target", 1)
@@ -454,5 +549,11 @@ def generate(pencil: DataFrame, ink: DataFrame, settings: RenderSettings = Rende
     low = F.floor(d).cast("int")
     ring = F.when(d < 0.5, 0.0).when(d <= 1, F.get("profile", F.lit(1))).when(d >= PROBE, 0.0).otherwise(lerp(F.get("profile", low), F.get("profile", F.least(low + 1, F.lit(PROBE))), d - low))
     halo = F.col("body") * N.clamp01(ring * settings.border)
+    if drawings is not None:
+        fields = whole_ink.select("frame_id", "width", "scale", "values", "core", _chamfer_field(F.col("core"), F.col("width")).alias("far"))
+        target = r.select("frame_id", "width", "scale", F.col("target").alias("core"), "far")
+        warped = warp_halo(_told_cells(target), _told_cells(fields), settings.border)
+        each = each.withColumns({"x": (F.col("i") % F.col("width")), "y": F.floor(F.col("i") / F.col("width")).cast("int")}).join(warped, KEY, "left")
+        halo = F.coalesce("halo", F.lit(0.0))
     gray = F.floor(255 * (1 - F.when(F.col("c.target"), drawn).otherwise(halo)) + 0.5).cast("int")
     return each.select("frame_id", (F.col("i") % F.col("width")).alias("x"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), gray.alias("gray"))

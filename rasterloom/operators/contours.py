@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import numeric as N
-from rasterloom.operators.points import COLUMN, dilate, erode
+from rasterloom.operators.points import COLUMN, dilate, erode, erode_by
 from rasterloom.operators.sets import POINT
 
 #: The eight directions in turning order, and the fewest cells of a traced component (fixed values).
@@ -148,10 +148,15 @@ def at_arc(contour: DataFrame, queries: DataFrame) -> DataFrame:
     a = attributes(contour).select("shape_id", "ord", "arc")
     e = edges(contour).join(a, ["shape_id", "ord"]).withColumn("len", F.sqrt((F.pow(F.col("nx") - F.col("x"), F.lit(2)) + F.pow(F.col("ny") - F.col("y"), F.lit(2))).cast("double")))
     total = e.groupBy("shape_id").agg(F.max(F.col("arc") + F.col("len")).alias("total"))
-    want = queries.join(total, "shape_id").withColumn("want", N.wrap(F.col("share")) * F.col("total"))
-    hit = want.join(e, "shape_id").where((F.col("arc") <= F.col("want")) & ((F.col("want") < F.col("arc") + F.col("len"))))
-    t = (F.col("want") - F.col("arc")) / F.col("len")
-    return hit.select("shape_id", "share", "ord", (F.col("x") + (F.col("nx") - F.col("x")) * t).alias("x"), (F.col("y") + (F.col("ny") - F.col("y")) * t).alias("y"))
+    want = queries.join(total, "shape_id").select("shape_id", (N.wrap(F.col("share")) * F.col("total")).alias("pos"), "share")
+    # One sorted pass over vertices and places: a place takes the last vertex up to it.
+    vertex = F.struct("ord", "x", "y", "nx", "ny", "arc", "len").alias("vertex")
+    known = e.select("shape_id", F.col("arc").alias("pos"), F.lit(None).cast("double").alias("share"), vertex)
+    asked = want.select("shape_id", "pos", F.col("share").cast("double"), F.lit(None).cast(known.schema["vertex"].dataType).alias("vertex"))
+    w = Window.partitionBy("shape_id").orderBy("pos", F.asc_nulls_last("vertex")).rowsBetween(Window.unboundedPreceding, 0)
+    hit = known.unionAll(asked).withColumn("v", F.last("vertex", True).over(w)).where("share is not null")
+    t = F.coalesce(F.try_divide(F.col("pos") - F.col("v.arc"), F.col("v.len")), F.lit(0.0))
+    return hit.select("shape_id", "share", "v.ord", (F.col("v.x") + (F.col("v.nx") - F.col("v.x")) * t).alias("x"), (F.col("v.y") + (F.col("v.ny") - F.col("v.y")) * t).alias("y"))
 
 
 def nearest_vertex(contour: DataFrame, queries: DataFrame) -> DataFrame:
@@ -211,6 +216,11 @@ def contract(contour: DataFrame, r: int) -> DataFrame:
     return trace(erode(rasterize(contour), r))
 
 
+def contract_by(contour: DataFrame, radii: DataFrame) -> DataFrame:
+    """Contours contracted by a radius per shape (shape_id, r)."""
+    return trace(erode_by(rasterize(contour), radii))
+
+
 #: Rays of an outline: so many a unit of its perimeter, between these bounds (fixed values).
 RAYS_PER_STEP, LEAST_RAYS, MOST_RAYS = 1.5, 720, 131_072
 
@@ -334,10 +344,38 @@ def draw_lines(lines: DataFrame) -> DataFrame:
     return at.select("shape_id", f("x0", "x1").alias("x"), f("y0", "y1").alias("y")).distinct()
 
 
+_EDGE = ("d", "x", "y", "tx", "ty", "label", "other")
+
+
+def spanning_edges(edges: DataFrame) -> DataFrame:
+    """The edges (shape_id, label, other, d, x, y, tx, ty) of each shape's spanning trees with the least d, ties
+    to the smaller ends: the ones that taking edges by rising d keeps, where they join separate parts.
+
+    Every part takes its first edge, what is joined becomes a part, and so on; parts at least halve each
+    round, and only edges between parts are kept."""
+    from rasterloom.operators.groups import components
+    from rasterloom.sources.tables import materialise
+
+    edge = F.struct(*_EDGE)
+    open_ = materialise(edges.select("shape_id", F.col("label").alias("a"), F.col("other").alias("b"), edge.alias("e")))
+    kept = edges.select("shape_id", *_EDGE).limit(0)
+    while not open_.isEmpty():
+        ends = open_.select("shape_id", F.col("a").alias("part"), "a", "b", "e").unionAll(open_.select("shape_id", F.col("b").alias("part"), "a", "b", "e"))
+        first = ends.groupBy("shape_id", "part").agg(F.min(F.struct("e", "a", "b")).alias("m"))
+        chosen = materialise(first.select("shape_id", "m.e", "m.a", "m.b").distinct())
+        kept = kept.unionAll(chosen.select("shape_id", "e.*"))
+        part = materialise(components(chosen.select(F.col("shape_id").alias("key"), "a", "b")))
+        side = lambda c: part.select(F.col("key").alias("shape_id"), F.col("node").alias(c), F.col("label").alias(f"{c}_part"))  # noqa: B023, E731
+        # Every part with an edge has chosen one.
+        joined = open_.join(side("a"), ["shape_id", "a"]).join(side("b"), ["shape_id", "b"])
+        open_ = materialise(joined.where("a_part <> b_part").select("shape_id", F.col("a_part").alias("a"), F.col("b_part").alias("b"), "e"))
+    return kept
+
+
 def bridge(points: DataFrame, max_gap: int) -> DataFrame:
     """Joins components closer than max_gap with drawn segments, nearest first, only where they join two
     still separate parts. Pairs come from a grid join over boundary cells and are reduced to one per
-    pair of components before the tree of a shape is built."""
+    pair of components, of which a spanning tree is left."""
     from rasterloom.operators.groups import group_connected
     from rasterloom.operators.points import _near
     from rasterloom.sources.tables import materialise
@@ -350,23 +388,7 @@ def bridge(points: DataFrame, max_gap: int) -> DataFrame:
     near = _near(rim, to, max_gap).join(labels, ["shape_id", "tx", "ty"]).where((F.col("label") < F.col("other")) & (d <= max_gap * max_gap))
     best = near.groupBy("shape_id", "label", "other").agg(F.min(F.struct(d.alias("d"), "x", "y", "tx", "ty")).alias("b")).select("shape_id", "label", "other", "b.*")
 
-    def tree(part: pd.DataFrame) -> pd.DataFrame:
-        up: dict[int, int] = {}
-
-        def root(v: int) -> int:
-            while up.get(v, v) != v:
-                v = up[v]
-            return v
-
-        keep = []
-        for r in part.sort_values(["d", "x", "y", "tx", "ty"]).itertuples():
-            a, b = root(r.label), root(r.other)
-            if a != b:
-                up[max(a, b)] = min(a, b)
-                keep.append((r.shape_id, r.x, r.y, r.tx, r.ty))
-        return pd.DataFrame(keep, columns=["shape_id", "x0", "y0", "x1", "y1"])
-
-    lines = best.groupBy("shape_id").applyInPandas(tree, "shape_id long, x0 int, y0 int, x1 int, y1 int")
+    lines = spanning_edges(best).select("shape_id", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("tx").alias("x1"), F.col("ty").alias("y1"))
     return points.select(POINT).unionAll(draw_lines(lines)).distinct()
 
 
@@ -420,7 +442,7 @@ def smooth_outline(points: DataFrame, contour: DataFrame) -> DataFrame:
     half of it, and fills holes of up to four times its square, 16 cells at least. Where opening, or closing,
     leaves nothing of a shape, the step before it stands."""
     from rasterloom.operators.groups import fill_small_holes
-    from rasterloom.operators.points import dilate_by, erode_by
+    from rasterloom.operators.points import dilate_by
     from rasterloom.sources.tables import materialise
 
     t = materialise(thickness_of(points, contour))

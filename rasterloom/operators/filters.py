@@ -65,13 +65,29 @@ def build_hue_regions(lines: DataFrame, hue_min: int, hue_max: int, lower: bool
     return hues.select("hue", "s", low.alias("v_lo"), high.alias("v_hi"))
 
 
+def _value_bits(cells: DataFrame, hues: int) -> DataFrame:
+    """Rows (hue, s, low, high) of cells (hue, s, v_lo, v_hi): one for each hue and saturation, its values as
+    bits of two numbers. Whatever the size of the table, at most `hues` x 101 rows are left."""
+    each = cells.where(F.col("hue").between(0, hues - 1) & F.col("s").between(0, 100))
+    bounded = each.select("hue", "s", F.greatest("v_lo", F.lit(0)).alias("lo"), F.least("v_hi", F.lit(100)).alias("hi")).where("lo <= hi")
+    values = bounded.distinct().select("hue", "s", F.explode(F.sequence("lo", "hi")).alias("v"))
+    bit = lambda low: F.bit_or(F.when((F.col("v") < 63) == F.lit(low), F.expr("shiftleft(1L, v % 63)")).otherwise(F.lit(0).cast("long")))
+    return values.groupBy("hue", "s").agg(bit(True).alias("low"), bit(False).alias("high"))
+
+
+def _in_cells(pixels: DataFrame, h: Column, s: Column, v: Column, cells: DataFrame, hues: int) -> DataFrame:
+    """Pixels whose value is among those of their hue's and saturation's cell."""
+    key = pixels.withColumns({"__h": h, "__s": s, "__v": v})
+    bits = F.broadcast(_value_bits(cells, hues).select(F.col("hue").alias("__h"), F.col("s").alias("__s"), "low", "high"))
+    both = key.where(F.col("__v").between(0, 100)).join(bits, ["__h", "__s"])
+    hit = F.expr("(shiftrightunsigned(if(__v < 63, low, high), __v % 63) & 1) = 1")
+    return both.where(hit).select(*[F.col(f"`{c}`") for c in pixels.columns])
+
+
 def in_hue_region(pixels: DataFrame, regions: DataFrame) -> DataFrame:
-    """Pixels (with h, s, v) inside a region; a region table has at most 361 x 101 rows, so it is
-    broadcast. Hue is floored, saturation and value truncated."""
-    key = pixels.withColumns({"__h": F.floor("h").cast("int"), "__s": F.col("s").cast("int"), "__v": F.col("v").cast("int")})
-    r = regions.select(F.col("hue").alias("__rh"), F.col("s").alias("__rs"), "v_lo", "v_hi")
-    on = (F.col("__h") == F.col("__rh")) & (F.col("__s") == F.col("__rs")) & F.col("__v").between(F.col("v_lo"), F.col("v_hi"))
-    return key.join(F.broadcast(r), on, "left_semi").drop("__h", "__s", "__v")
+    """Pixels (with h, s, v) inside a region of a table (hue, s, v_lo, v_hi), which is folded to 361 x 101
+    cells at most before it is broadcast. Hue is floored, saturation and value truncated."""
+    return _in_cells(pixels, F.floor("h").cast("int"), F.col("s").cast("int"), F.col("v").cast("int"), regions, 361)
 
 
 def expand_regions(regions: DataFrame, dx: int, dy: int) -> DataFrame:
@@ -98,11 +114,8 @@ def require_rows(df: DataFrame, message: str) -> DataFrame:
 
 def match_ink_bands(pixels: DataFrame, bands: DataFrame, padding: int = 1) -> DataFrame:
     """Pixels whose value lies in the band of their cell, with padding."""
-    key = pixels.withColumns({"__h": F.floor("h").cast("int") % 360, "__s": F.floor("s").cast("int")})
-    v = F.floor("v").cast("int")
-    b = F.broadcast(bands.select(F.col("hue").alias("__bh"), F.col("sat").alias("__bs"), "v_min", "v_max"))
-    on = (F.col("__h") == F.col("__bh")) & (F.col("__s") == F.col("__bs")) & v.between(F.col("v_min") - padding, F.col("v_max") + padding)
-    return key.join(b, on, "left_semi").drop("__h", "__s")
+    cells = bands.select("hue", F.col("sat").alias("s"), (F.col("v_min") - padding).alias("v_lo"), (F.col("v_max") + padding).alias("v_hi"))
+    return _in_cells(pixels, F.floor("h").cast("int") % 360, F.floor("s").cast("int"), F.floor("v").cast("int"), cells, 360)
 
 
 def color_window(h: Column, s: Column, v: Column, target: tuple, slack: float = 1.0) -> Column:

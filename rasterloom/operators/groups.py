@@ -50,12 +50,17 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.join(least, ["key", "root"]).select("key", "node", "label")
 
 
-def group_points(points: DataFrame, dist: float) -> DataFrame:
-    """Adds `label` = smallest (x, y) code of the point's group."""
-    cell = max(1, math.ceil(dist))
+def group_points(points: DataFrame, dist: float | DataFrame) -> DataFrame:
+    """Adds `label` = smallest (x, y) code of the point's group; `dist` is a number or one per shape
+    (shape_id, dist)."""
     p = materialise(points.select(POINT).distinct())
     d2 = F.pow(F.col("x") - F.col("tx"), F.lit(2)) + F.pow(F.col("y") - F.col("ty"), F.lit(2))
-    pairs = _near(p, p, cell).where((d2 <= dist * dist) & (F.struct("x", "y") < F.struct("tx", "ty")))
+    if isinstance(dist, DataFrame):
+        sided = p.join(dist.select("shape_id", "dist"), "shape_id")
+        pairs = _near(sided, sided, F.greatest(F.lit(1), F.ceil("dist"))).where(d2 <= F.col("dist") * F.col("dist"))
+    else:
+        pairs = _near(p, p, max(1, math.ceil(dist))).where(d2 <= dist * dist)
+    pairs = pairs.where(F.struct("x", "y") < F.struct("tx", "ty"))
     edges = pairs.select(F.col("shape_id").alias("key"), encode_xy(F.col("x"), F.col("y")).alias("a"), encode_xy(F.col("tx"), F.col("ty")).alias("b"))
     labels = components(edges).select(F.col("key").alias("shape_id"), F.col("node").alias("code"), "label")
     coded = p.withColumn("code", encode_xy(F.col("x"), F.col("y")))
@@ -188,9 +193,10 @@ def mini_anchors(pixels: DataFrame, frames: DataFrame, dist: float, condition, p
     rows, tests = condition(mini_image(pixels, frames))
     if len(tests) != preds:
         raise ValueError("as many predicates are wanted as are announced")
-    # Distances scale with the image; frames are of one size, else the smallest scale holds for all.
-    scale = mini_sizes(frames).agg(F.min(F.greatest(F.col("width") / F.col("w"), F.col("height") / F.col("h")))).first()[0] or 1.0
-    near = max(1.0, dist * scale)
+    # Distances scale with the image, each frame by its own size.
+    scale = F.greatest(F.col("width") / F.col("w"), F.col("height") / F.col("h"))
+    near = mini_sizes(frames).select("frame_id", F.greatest(F.lit(1.0), scale * dist).alias("dist"))
+    near = near.withColumn("which", F.explode(F.sequence(F.lit(0), F.lit(preds - 1)))).select((F.col("frame_id") * preds + F.col("which")).alias("shape_id"), "dist")
     # A pixel may meet several predicates: each has a grouping of its own.
     each = rows.select("frame_id", "x", "y", F.explode(F.array(*[F.when(t, i) for i, t in enumerate(tests)])).alias("which")).where("which is not null")
     keyed = each.select((F.col("frame_id") * preds + F.col("which")).alias("shape_id"), "x", "y")

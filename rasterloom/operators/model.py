@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import numeric as N
 from rasterloom.operators import contours as K
-from rasterloom.operators.points import nearest, probe
+from rasterloom.operators.points import AXES, extents, nearest
 
 INPUTS = ("location", "orientation", "derivative", "radius")
-OUTPUTS = ("thickness", "opacity")
+#: Measures with the bounds of their values and the strength of a predicted change (fixed values).
+OUTPUTS = {"thickness": (0.5, 64.0, 1.10), "border_blend": (0.0, 1.0, 1.85), "opacity": (0.0, 1.0, 1.20), "blotch": (-64.0, 64.0, 0.18)}
 #: Training constants (fixed values): rounds, rate, ridge, and the first guess's share of cov / var.
 EPOCHS, RATE, RIDGE, FIRST_GUESS = 1400, 0.0125, 0.0004, 0.15
 #: Reach of the match in samples and in arc share.
@@ -30,20 +31,42 @@ def local_frame(contour: DataFrame, size: int = 256) -> DataFrame:
     return contour.join(b, "shape_id").select("shape_id", "ord", (F.col("x") - F.col("mx") + size // 2).alias("x"), (F.col("y") - F.col("my") + size // 2).alias("y"))
 
 
-def build_features(contour: DataFrame) -> DataFrame:
-    """Location, tangent, orientation, curvature and radius at every vertex."""
+def sample_vertices(contour: DataFrame, n: int | None = None, stride: int = 1) -> DataFrame:
+    """(shape_id, sample, ord): every stride-th vertex, or n vertices (all, if there are fewer) at equal
+    arcs. A sample whose vertex is taken moves on to the next free one, round the end of the loop if need be."""
+    if n is None:
+        return contour.where(F.col("ord") % stride == 0).select("shape_id", F.expr(f"ord div {stride}").cast("int").alias("sample"), "ord")
+    size = contour.groupBy("shape_id").agg(F.count("*").cast("int").alias("size"))
+    wanted = size.withColumn("n", F.least(F.lit(max(1, n)), F.col("size")))
+    each = wanted.withColumn("sample", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("share", F.col("sample") / F.col("n"))
+    at = K.at_arc(contour, each.select("shape_id", "share")).select("shape_id", "share", "ord").distinct()
+    # Samples ask for vertices in rising order, so one pushed on takes the one after the last taken.
+    w = Window.partitionBy("shape_id").orderBy("sample")
+    each = each.join(at, ["shape_id", "share"]).withColumn("ord", F.max(F.col("ord") - F.col("sample")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("sample"))
+    placed = each.where("ord < size").select("shape_id", "sample", "ord")
+    free = contour.select("shape_id", "ord").join(placed, ["shape_id", "ord"], "left_anti")
+    free = free.withColumn("turn", F.row_number().over(Window.partitionBy("shape_id").orderBy("ord")) - 1)
+    round_ = each.where("ord >= size").select("shape_id", "sample", (F.col("ord") - F.col("size")).alias("turn"))
+    moved = round_.join(free, ["shape_id", "turn"]).select("shape_id", "sample", "ord")
+    return placed.unionByName(moved).select("shape_id", F.col("sample").cast("int").alias("sample"), F.col("ord").cast("int").alias("ord"))
+
+
+def build_features(contour: DataFrame, n: int | None = None, stride: int = 1) -> DataFrame:
+    """Location, tangent, inward normal, orientation, curvature and radius at every vertex, at every stride-th
+    or at n of equal arcs; of these, `sample` tells the order."""
     p = K.with_previous(contour)
     tx, ty = (F.col("nx") - F.col("px")).cast("double"), (F.col("ny") - F.col("py")).cast("double")
     unit = N.vec_normalize(N.point(tx, ty))
     base = p.select("shape_id", "ord", "x", "y", unit.alias("t"), F.pmod(F.atan2(ty, tx), F.lit(np.pi)).alias("orientation"))
     a = K.attributes(contour).select("shape_id", "ord", "arc", "radius")
-    m = K.measures(contour).select("shape_id", "perimeter")
+    m = K.measures(contour).select("shape_id", "perimeter", F.when(F.col("area") < 0, -1.0).otherwise(1.0).alias("turn"))
     k = K.curvatures(contour).select("shape_id", "ord", F.col("curvature").alias("derivative"))
     full = base.join(a, ["shape_id", "ord"]).join(k, ["shape_id", "ord"]).join(m, "shape_id")
-    return full.select(
+    full = full.select(
         "shape_id", "ord", (F.col("arc") / F.col("perimeter")).alias("location"), "x", "y", F.col("t.x").alias("tx"), F.col("t.y").alias("ty"),
-        (-F.col("t.y")).alias("normal_x"), F.col("t.x").alias("normal_y"), "orientation", "derivative", "radius",
+        (-F.col("t.y") * F.col("turn")).alias("normal_x"), (F.col("t.x") * F.col("turn")).alias("normal_y"), "orientation", "derivative", "radius",
     )
+    return full if n is None and stride == 1 else full.join(sample_vertices(contour, n, stride), ["shape_id", "ord"])
 
 
 def loop_average(features: DataFrame, col: str, r: int) -> DataFrame:
@@ -55,21 +78,122 @@ def loop_average(features: DataFrame, col: str, r: int) -> DataFrame:
     return to.groupBy("shape_id", "ord").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias(col))
 
 
-def measure(features: DataFrame, points: DataFrame, scan: DataFrame, r: int = 2) -> DataFrame:
-    """Adds thickness (up-and-down plus left-and-right probes of the point set, the shorter one) and
-    opacity (darkness at the vertex), both averaged over the loop."""
-    at = features.select("shape_id", "x", "y").distinct()
-    runs = None
-    for dx, dy in ((1, 0), (0, 1)):
-        ahead = probe(points, at, dx, dy).select("shape_id", "x", "y", (F.abs(F.col("end_x") - F.col("x")) + F.abs(F.col("end_y") - F.col("y"))).alias("fwd"))
-        behind = probe(points, at, -dx, -dy).select("shape_id", "x", "y", (F.abs(F.col("end_x") - F.col("x")) + F.abs(F.col("end_y") - F.col("y"))).alias("bwd"))
-        one = ahead.join(behind, ["shape_id", "x", "y"]).select("shape_id", "x", "y", (F.lit(0.5) + (F.col("fwd") + F.col("bwd")) * 0.82).alias(f"w{dx}{dy}"))
-        runs = one if runs is None else runs.join(one, ["shape_id", "x", "y"])
-    dark = scan.select(F.col("frame_id").alias("shape_id"), "x", "y", F.col("value").alias("opacity"))
-    raw = features.join(runs, ["shape_id", "x", "y"], "left").join(dark, ["shape_id", "x", "y"], "left")
-    raw = raw.withColumns({"thickness": F.coalesce(F.least("w10", "w01"), F.lit(0.5)), "opacity": F.coalesce("opacity", F.lit(0.0))})
-    smooth = loop_average(raw, "thickness", r).join(loop_average(raw, "opacity", r), ["shape_id", "ord"])
-    return raw.drop("w10", "w01", "thickness", "opacity").join(smooth, ["shape_id", "ord"])
+#: Radii of averaged measures, of the opacity disk, of the border scan and of the local contour mean; the
+#: share of two probes that is thickness; what an edge and an opacity must pass to blend; weights of the end
+#: stop's parts and the thicknesses within which it is compact; the bound of blotches (fixed values).
+MEASURE_RADIUS, OPACITY_RADIUS, BORDER_SCAN, BLOTCH_RADIUS = 4, 2, 15, 4
+PROBE_SHARE, LEAST_EDGE, LEAST_OPACITY, MOST_BLOTCH = 0.82, 1e-6, 0.02, 16.0
+COMPACT, UNEVEN, COMPACT_THICKNESSES = 0.55, 0.45, 2.75
+_LENGTHS = [float(np.hypot(dx, dy)) for dx, dy in AXES]
+
+
+def _whole(c: Column) -> Column:
+    return F.floor(c + 0.5).cast("int")
+
+
+def _axis(dx: Column, dy: Column) -> Column:
+    """The line of the one of eight directions that has the signs of a unit vector's parts; parts of no size
+    count as 0."""
+    sx, sy = (F.signum(F.round(c, 9)).cast("int") for c in (dx, dy))
+    return F.when(sy == 0, 0).when(sx == 0, 1).when(sx == sy, 2).otherwise(3)
+
+
+def _darkness(cells: DataFrame, scan: DataFrame) -> DataFrame:
+    """Cells (shape_id, x, y, ...) with the scan's darkness there as `dark`, 0 outside."""
+    values = scan.select(F.col("frame_id").alias("shape_id"), "x", "y", F.col("value").alias("dark"))
+    return cells.join(values, ["shape_id", "x", "y"], "left").withColumn("dark", F.coalesce("dark", F.lit(0.0)))
+
+
+def measure(features: DataFrame, points: DataFrame, scan: DataFrame, ink: bool = False, r: int = MEASURE_RADIUS) -> DataFrame:
+    """Adds anchor_x, anchor_y, thickness, opacity, border_blend, blotch and end_stop to the features of all
+    vertices; `scan` (frame_id, x, y, value) tells darkness.
+
+    A pencil's vertex is measured at its smoothed anchor; thickness and opacity are means over the anchors of
+    r vertices either way, weights r + 1 - |d|, seen along its own normal. An ink's vertex is measured at the
+    nearest cell of the drawing, without averages, and only ink has a border blend.
+    - thickness: 0.5 and 0.82 of the unbroken cells along the normal, both ways from the drawing's cell at
+      the anchor;
+    - opacity: mean darkness of a disk at the anchor and of the next cells inward;
+    - border_blend: mean darkness of 15 steps along the normal, near ones weighing more, as a share of the
+      vertex's own; the larger of both sides;
+    - blotch: half of how far the anchor, and half of how far the vertex from the mean of its neighbours,
+      lies outward;
+    - end_stop: how short against the thickness, and how uneven, the unbroken cells along the tangent are.
+    A shape without cells has thickness 1, its vertices as anchors and no end stop."""
+    from rasterloom.sources.tables import materialise
+
+    key = ["shape_id", "ord"]
+    f = materialise(features)
+    n = f.groupBy("shape_id").agg(F.count("*").cast("int").alias("n"))
+    if ink:
+        near = nearest(points, f.select("shape_id", F.col("x").alias("qx"), F.col("y").alias("qy")).distinct())
+        at = f.select(*key, F.col("x").alias("qx"), F.col("y").alias("qy")).join(near.select("shape_id", "qx", "qy", "x", "y"), ["shape_id", "qx", "qy"]).select(*key, "x", "y")
+    else:
+        at = anchors(f, points)
+    at = at.select(*key, F.col("x").alias("anchor_x"), F.col("y").alias("anchor_y"))
+    # The drawing's own cell at each anchor, from which probes start.
+    asked = at.select("shape_id", F.col("anchor_x").alias("qx"), F.col("anchor_y").alias("qy")).distinct()
+    start = nearest(points, asked).select("shape_id", F.col("qx").alias("anchor_x"), F.col("qy").alias("anchor_y"), F.col("x").alias("sx"), F.col("y").alias("sy"))
+    at = materialise(at.join(start, ["shape_id", "anchor_x", "anchor_y"]))
+    f = f.join(at, key, "left").withColumns({"anchor_x": F.coalesce("anchor_x", "x"), "anchor_y": F.coalesce("anchor_y", "y")})
+    f = materialise(f.withColumns({"normal_axis": _axis(F.col("normal_x"), F.col("normal_y")), "tangent_axis": _axis(F.col("tx"), F.col("ty"))}))
+
+    radius = 0 if ink else r
+    taps = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(float(radius + 1 - abs(d))).alias("w")) for d in range(-radius, radius + 1)])
+    each = f.join(n, "shape_id").select(*key, "n", "normal_axis", "normal_x", "normal_y", F.explode(taps).alias("tap"))
+    each = each.withColumns({"to": F.pmod(F.col("ord") + F.col("tap.d"), F.col("n")).cast("int"), "w": F.col("tap.w")})
+    other = f.select("shape_id", F.col("ord").alias("to"), "anchor_x", "anchor_y", "sx", "sy")
+    each = materialise(each.join(other, ["shape_id", "to"]).drop("tap", "n"))
+    runs = materialise(extents(points))
+    steps = lambda name: F.get(F.array(*[F.lit(v) for v in _LENGTHS]), F.col("axis")) * F.col(name)
+    along = lambda rows, axis: rows.withColumn("axis", F.col(axis)).join(runs.withColumnsRenamed({"x": "sx", "y": "sy"}), ["shape_id", "sx", "sy", "axis"])
+    low, high, _ = OUTPUTS["thickness"]
+    thick = N.bound(0.5 + (steps("ahead") + steps("behind")) * PROBE_SHARE, low, high)
+    thickness = along(each, "normal_axis").groupBy(*key).agg(N.bound(F.sum(thick * F.col("w")) / F.sum("w"), low, high).alias("thickness"))
+
+    disk = [(dx, dy) for dx in range(-OPACITY_RADIUS, OPACITY_RADIUS + 1) for dy in range(-OPACITY_RADIUS, OPACITY_RADIUS + 1) if dx * dx + dy * dy <= OPACITY_RADIUS**2]
+    place = lambda dx, dy: F.struct(_whole(F.col("anchor_x") + dx).alias("x"), _whole(F.col("anchor_y") + dy).alias("y"))
+    cells = F.array(*[place(F.lit(dx), F.lit(dy)) for dx, dy in disk], *[place(F.col("normal_x") * i, F.col("normal_y") * i) for i in range(1, OPACITY_RADIUS + 1)])
+    spread = each.select(*key, "w", F.explode(cells).alias("c")).select(*key, "w", "c.x", "c.y")
+    opacity = _darkness(spread, scan).groupBy(*key).agg(N.clamp01(F.sum(F.col("dark") * F.col("w")) / F.sum("w")).alias("opacity"))
+
+    local = lambda c: loop_mean(f, n, c, BLOTCH_RADIUS).withColumnRenamed(c, f"mean_{c}")
+    full = f.join(thickness, key, "left").join(opacity, key, "left").join(local("x"), key).join(local("y"), key)
+    full = full.withColumns({"thickness": F.coalesce("thickness", F.lit(1.0)), "opacity": F.coalesce("opacity", F.lit(0.0))})
+    outward = lambda x, y: -(x * F.col("normal_x") + y * F.col("normal_y"))
+    blotch = outward(F.col("anchor_x") - F.col("x"), F.col("anchor_y") - F.col("y")) / 2 + outward(F.col("x") - F.col("mean_x"), F.col("y") - F.col("mean_y")) / 2
+    ends = along(f, "tangent_axis").select(*key, steps("ahead").alias("ahead"), steps("behind").alias("behind"))
+    full = full.withColumn("blotch", N.bound(blotch, -MOST_BLOTCH, MOST_BLOTCH)).join(ends, key, "left")
+    span = F.col("ahead") + F.col("behind")
+    compact = 1 - N.clamp01(span / F.greatest(F.lit(2.0), F.col("thickness") * COMPACT_THICKNESSES))
+    uneven = F.coalesce(F.try_divide(F.abs(F.col("ahead") - F.col("behind")), span), F.lit(0.0))
+    full = full.withColumn("end_stop", F.when(span.isNull(), 0.0).otherwise(N.clamp01(compact * COMPACT + uneven * UNEVEN)))
+    if ink:
+        blends = border_blends(full, scan)
+        full = full.join(blends, key, "left").withColumn("border_blend", F.when(F.col("opacity") > LEAST_OPACITY, F.coalesce("border_blend", F.lit(0.0))).otherwise(0.0))
+    else:
+        full = full.withColumn("border_blend", F.lit(0.0))
+    return full.drop("normal_axis", "tangent_axis", "sx", "sy", "ahead", "behind", "mean_x", "mean_y")
+
+
+def border_blends(features: DataFrame, scan: DataFrame) -> DataFrame:
+    """(shape_id, ord, border_blend) of the vertices that are dark themselves."""
+    edge = _darkness(features.select("shape_id", "ord", "x", "y", "normal_x", "normal_y"), scan).where(F.col("dark") > LEAST_EDGE)
+    # Steps on the vertex's two sides, with their weights.
+    way = F.array(*[F.struct(F.lit(side).alias("side"), F.lit(i).alias("i"), F.lit(1 - (i - 1) / BORDER_SCAN).alias("w")) for side in (-1, 1) for i in range(1, BORDER_SCAN + 1)])
+    each = edge.select("shape_id", "ord", F.col("dark").alias("edge"), "x", "y", "normal_x", "normal_y", F.explode(way).alias("s"))
+    step = F.col("s.side") * F.col("s.i")
+    each = each.select("shape_id", "ord", "edge", "s.side", "s.w", _whole(F.col("x") + F.col("normal_x") * step).alias("x"), _whole(F.col("y") + F.col("normal_y") * step).alias("y"))
+    side = _darkness(each, scan).groupBy("shape_id", "ord", "edge", "side").agg((F.sum(F.col("dark") * F.col("w")) / F.sum("w")).alias("mean"))
+    return side.groupBy("shape_id", "ord").agg(F.max(N.clamp01(F.col("mean") / F.col("edge"))).alias("border_blend"))
+
+
+def loop_mean(features: DataFrame, n: DataFrame, col: str, r: int) -> DataFrame:
+    """(shape_id, ord, col): plain mean of the r vertices either way along the loop, without the vertex."""
+    taps = F.array(*[F.lit(d) for d in range(-r, r + 1) if d])
+    at = features.join(n, "shape_id").select("shape_id", "n", "ord", F.col(col).alias("v"), F.explode(taps).alias("d"))
+    to = at.select("shape_id", F.pmod(F.col("ord") + F.col("d"), F.col("n")).cast("int").alias("ord"), "v")
+    return to.groupBy("shape_id", "ord").agg(F.avg("v").alias(col))
 
 
 #: Reach of the averages of contour points and of nearest members, and how far an anchor goes to the latter.
@@ -253,6 +377,25 @@ def predict(rows: DataFrame, inputs: tuple[str, ...], weights: np.ndarray, low:
     return vectorize(rows, inputs, cross).withColumn("predicted", N.bound(dot, low, high))
 
 
+def synthesise(rows: DataFrame, inputs: tuple[str, ...], weights: dict[str, np.ndarray], cross: bool = False) -> DataFrame:
+    """Rows with each weighted measure moved on: its own value and the predicted change times its strength,
+    within its bounds; what is no number becomes 0 first. Measures without weights stay."""
+    unknown = set(weights) - set(OUTPUTS)
+    if unknown:
+        raise ValueError(f"no such measure: {', '.join(sorted(unknown))}")
+    full = vectorize(rows, inputs, cross)
+
+    def moved(output: str, w: np.ndarray) -> Column:
+        low, high, strength = OUTPUTS[output]
+        given = F.array(*[F.lit(float(v)) for v in w])
+        delta = F.aggregate(F.zip_with("features", given, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+        value = F.col(output) + delta * strength
+        finite = F.when(F.isnan(value) | (F.abs(value) == float("inf")), 0.0).otherwise(value)
+        return N.bound(finite, low, high)
+
+    return full.withColumns({o: moved(o, w) for o, w in weights.items()}).drop("features")
+
+
 def rmse(rows: DataFrame, output: str) -> DataFrame:
     """Confidence-weighted root mean squared error of `predicted`."""
     d = F.pow(F.col("predicted") - F.col(output), F.lit(2))

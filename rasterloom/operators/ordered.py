@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterloom.operators.ranges import last_so_far, ranked
+
 MODES = ("floor", "ceiling", "lower", "higher")
 
 
-def asof(left: DataFrame, right: DataFrame, mode: str = "floor", by: str = "key", on: str = "pos", buckets: int = 1) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, mode: str = "floor", by: str = "key", on: str = "pos", ranges: int | None = None) -> DataFrame:
     """Each left row (by, on, ...) with the nearest right key and value: at or below (floor), at or
-    above (ceiling), strictly below or above (lower, higher). One union and one window per key; no
-    row meets more than its neighbour."""
+    above (ceiling), strictly below or above (lower, higher). One sorted pass over the union, in ranges of
+    key and place: no row meets more than its neighbour, and a frequent key spreads over many tasks."""
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")
     back = mode in ("floor", "lower")
@@ -20,10 +22,9 @@ def asof(left: DataFrame, right: DataFrame, mode: str = "floor", by: str = "key"
     r = right.select(F.col(by), F.col(on), tie.alias("__o"), F.struct(F.col(on).alias("at"), F.col("value")).alias("__hit"), F.lit(None).cast(left.select(F.struct("*").alias("s")).schema["s"].dataType).alias("__row"))
     own = F.lit(1 if mode in ("floor", "ceiling") else 0)
     l = left.select(F.col(by), F.col(on), own.alias("__o"), F.lit(None).cast(r.schema["__hit"].dataType).alias("__hit"), F.struct(*[F.col(c) for c in left.columns]).alias("__row"))
-    order = Window.partitionBy(by).orderBy(F.col(on) if back else F.col(on).desc(), "__o")
-    hit = F.last("__hit", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    both = l.unionAll(r).withColumn("__found", hit).where(F.col("__row").isNotNull())
-    return both.select("__row.*", F.col("__found.at").alias("found_at"), F.col("__found.value").alias("found"))
+    place = F.col(on) if back else F.col(on).desc()
+    both = last_so_far(l.unionAll(r), by, "__hit", "__found", place, F.col("__o"), ranges=ranges)
+    return both.where(F.col("__row").isNotNull()).select("__row.*", F.col("__found.at").alias("found_at"), F.col("__found.value").alias("found"))
 
 
 def first_meeting(left: DataFrame, right: DataFrame, pred: Column, after: bool = True) -> DataFrame:
@@ -34,7 +35,7 @@ def first_meeting(left: DataFrame, right: DataFrame, pred: Column, after: bool =
 
 def rank_of(series: DataFrame) -> DataFrame:
     """Adds `rank` from 0 in the key's order."""
-    return series.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("pos")) - 1)
+    return ranked(series, "key", "rank", F.col("pos")).withColumn("rank", F.col("rank").cast("int"))
 
 
 def nth(series: DataFrame, n: int) -> DataFrame:

@@ -176,14 +176,15 @@ def open_(points: DataFrame, r: int) -> DataFrame:
     return dilate(erode(points, r), r)
 
 
-def _near(points: DataFrame, to: DataFrame, d: int, key: str = "shape_id") -> DataFrame:
-    """Pairs of points of one shape in the same or neighbouring grid cells of side d: the right side is
-    copied to nine cells, so the join is an equi-join on cells of bounded content."""
+def _near(points: DataFrame, to: DataFrame, d: int | Column, key: str = "shape_id") -> DataFrame:
+    """Pairs of points of one shape in the same or neighbouring grid cells of side d, a number or a column of
+    both sides that is one for a shape: the right side is copied to nine cells, so the join is an equi-join
+    on cells of bounded content."""
     cell = lambda c: F.floor(F.col(c) / d).cast("int")
     a = points.withColumns({"cx": cell("x"), "cy": cell("y")})
     shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = to.select(key, F.col("x").alias("tx"), F.col("y").alias("ty"), F.explode(shifts).alias("s"))
-    b = b.select(key, "tx", "ty", (F.floor(F.col("tx") / d).cast("int") + F.col("s.i")).alias("cx"), (F.floor(F.col("ty") / d).cast("int") + F.col("s.j")).alias("cy"))
+    b = to.select(key, F.col("x").alias("tx"), F.col("y").alias("ty"), cell("x").alias("qx"), cell("y").alias("qy"), F.explode(shifts).alias("s"))
+    b = b.select(key, "tx", "ty", (F.col("qx") + F.col("s.i")).alias("cx"), (F.col("qy") + F.col("s.j")).alias("cy"))
     return a.join(b, [key, "cx", "cy"]).drop("cx", "cy")
 
 
@@ -312,6 +313,22 @@ def probe(points: DataFrame, starts: DataFrame, dx: int, dy: int) -> DataFrame:
     return hit.select(*POINT, F.col("e.x").alias("end_x"), F.col("e.y").alias("end_y"))
 
 
+#: The four lines through a cell, each as the direction that counts as ahead.
+AXES = ((1, 0), (0, 1), (1, 1), (1, -1))
+
+
+def extents(points: DataFrame) -> DataFrame:
+    """(shape_id, x, y, axis, ahead, behind): how many members follow one another from each member on, both
+    ways along each of the four lines."""
+    rows = points.select(POINT).distinct().withColumn("axis", F.explode(F.sequence(F.lit(0), F.lit(len(AXES) - 1))))
+    pick = lambda values: F.get(F.array(*[v for v in values]), F.col("axis"))
+    rows = rows.withColumns({"line": pick([F.col("x") * dy - F.col("y") * dx for dx, dy in AXES]), "at": pick([F.col("x") if dx else F.col("y") for dx, _ in AXES])})
+    w = Window.partitionBy("shape_id", "axis", "line").orderBy("at")
+    rows = rows.withColumn("run", F.col("at") - F.row_number().over(w))
+    run = Window.partitionBy("shape_id", "axis", "line", "run")
+    return rows.select(*POINT, "axis", (F.max("at").over(run) - F.col("at")).alias("ahead"), (F.col("at") - F.min("at").over(run)).alias("behind"))
+
+
 def sizes(points: DataFrame) -> DataFrame:
     return points.groupBy("shape_id").agg(F.count("*").alias("n"), F.countDistinct("x").alias("n_x"), F.countDistinct("y").alias("n_y"))
 
@@ -334,81 +351,66 @@ def shape_summary(points: DataFrame) -> DataFrame:
     return g.drop("mid_x", "mid_y").join(row, "shape_id", "left")
 
 
-def _lagrange(nodes: list[tuple[float, float]], at: float, degree: int = 3) -> float:
-    """Value at `at` of the polynomial through the nearest nodes, in turn from both sides, itself excluded."""
-    sides = [sorted((abs(x - at), x, y) for x, y in nodes if x != at and (x < at) == left) for left in (True, False)]
-    ranked = sorted((k, d, x, y) for side in sides for k, (d, x, y) in enumerate(side))[: degree + 1]
-    total = 0.0
-    for _, _, x, y in ranked:
-        term = y
-        for _, _, other, _ in ranked:
-            if other != x:
-                term *= (at - other) / (x - other)
-        total += term
-    return total
-
-
-def _strands(columns: dict[float, list[float]]) -> list[dict[float, float]]:
-    """Rows of a border dealt to strands, column by column: each goes on with the strand whose last row is
-    nearest. A second strand opens within ten columns of the first one where a column has two rows."""
-    first, strands = min(columns), {}
-    for x in sorted(columns):
-        for y in columns[x]:
-            if abs(first - x) <= 10 and len(strands) == 1 and len(columns[x]) >= 2:
-                strands[columns[x][0]] = {x: y}
-            if strands:
-                key = min(sorted(strands), key=lambda k: abs(strands[k][max(strands[k])] - y))
-            else:
-                key = y
-            strands.setdefault(key, {})[x] = y
-    return [strands[k] for k in sorted(strands)]
+#: Rows of a column farther apart than this belong to different groups; a group this near to the last
+#: interpolated value keeps its nearest row, a column with a row this near is not interpolated, and a strand
+#: of fewer steps is left alone (fixed values).
+ROW_GAP, NEAR_GROUP, LEFT_ALONE, LEAST_STEPS = 3, 3, 5, 4
+
+
+def border_strands(rows: DataFrame) -> DataFrame:
+    """Adds `strand`, 0 or 1, to a border's rows (shape_id, x, y). Columns with several rows tell where the
+    lower and the upper strand run; between such columns both run straight, beyond them level. A row belongs
+    to the nearer one, the lower where they are as near; a border without such a column is one strand."""
+    column = rows.groupBy("shape_id", "x").agg(F.min("y").alias("low"), F.max("y").alias("high"))
+    split = F.col("low") < F.col("high")
+    w = Window.partitionBy("shape_id").orderBy("x")
+    hit = F.when(split, F.struct("x", "low", "high"))
+    column = column.withColumns({"before": F.last(hit, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "after": F.first(hit, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    share = F.coalesce(F.try_divide(F.col("x") - F.col("before.x"), F.col("after.x") - F.col("before.x")), F.lit(0.0))
+    runs = lambda c: F.coalesce(F.col(f"before.{c}") + share * (F.col(f"after.{c}") - F.col(f"before.{c}")), f"before.{c}", f"after.{c}")
+    column = column.select("shape_id", "x", runs("low").alias("low"), runs("high").alias("high"))
+    upper = F.abs(F.col("y") - F.col("high")) < F.abs(F.col("y") - F.col("low"))
+    return rows.join(column, ["shape_id", "x"]).select("shape_id", "x", "y", F.when(upper, 1).otherwise(0).alias("strand"))
 
 
 def interpolate_border(points: DataFrame, precision: float = 1.0) -> DataFrame:
     """(shape_id, x, y) in doubles: the border's points and, at every `precision` between the ends of a
-    strand, interpolated ones where the column misses or has no row within 5 of the last interpolated
-    value. Where a whole column has a group of rows (gaps up to 3) within 3 of that value, only the group's
-    nearest row stays. Strands under four steps are left alone. The order of columns decides, so a shape
-    is one pandas group: a border holds a few rows per column."""
-    import numpy as np
-    import pandas as pd
-
-    def fill(part: pd.DataFrame) -> pd.DataFrame:
-        columns: dict[float, list[float]] = {}
-        digits = max(0, round(-np.log10(precision))) if precision < 1 else 0
-        for x, y in sorted(zip(part["x"].tolist(), part["y"].tolist())):
-            at = round(round(x / precision) * precision, digits + 6)
-            if y not in columns.setdefault(at, []):
-                columns[at].append(y)
-        added = []
-        for strand in _strands(columns):
-            low, high = min(strand), max(strand)
-            if len(strand) <= 1 or (high - low) / precision < 4:
-                continue
-            nodes, last = sorted(strand.items()), None
-            for i in range(int(np.ceil((high - low) / precision - 1e-9))):
-                x = round(low + i * precision, digits + 6)
-                if x in columns:
-                    if last is None:
-                        continue
-                    rows = sorted(columns[x])
-                    if x == int(x):
-                        cuts = [0, *[k for k in range(1, len(rows)) if rows[k] - rows[k - 1] > 3], len(rows)]
-                        groups = [rows[a:b] for a, b in zip(cuts, cuts[1:])]
-                        near = next((g for g in groups if any(abs(v - last) <= 3 for v in g)), None)
-                        if near:
-                            best = min(near, key=lambda v: abs(v - last))
-                            columns[x] = [v for v in columns[x] if v not in near or v == best]
-                            continue
-                    if any(abs(v - last) <= 5 for v in rows):
-                        continue
-                last = _lagrange(nodes, x)
-                added.append((x, last))
-        rows = [(x, y) for x, ys in columns.items() for y in ys] + added
-        return pd.DataFrame({"shape_id": part["shape_id"].iat[0], "x": [float(x) for x, _ in rows], "y": [float(y) for _, y in rows]})
-
-    cast = points.select("shape_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    return cast.groupBy("shape_id").applyInPandas(fill, "shape_id long, x double, y double")
+    strand, interpolated ones where the column misses or has no row within 5 of the last value that a missing
+    column of the strand was given. Where a whole column has a group of rows (gaps up to 3) within 3 of that
+    value, only the group's nearest row stays. Strands under four steps are left alone."""
+    from rasterloom.operators.stats import lagrange
+    from rasterloom.sources.tables import materialise
+
+    at = lambda c: F.round(F.round(c / F.lit(float(precision))) * F.lit(float(precision)), 9)
+    cast = points.select("shape_id", at(F.col("x").cast("double")).alias("x"), F.col("y").cast("double").alias("y")).distinct()
+    rows = materialise(border_strands(cast))
+    # A strand has one row a column to be interpolated through.
+    nodes = rows.groupBy("shape_id", "strand", "x").agg(F.min("y").alias("y"))
+    key = F.struct("shape_id", "strand").alias("key")
+    ends = nodes.groupBy("shape_id", "strand").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    steps = F.ceil((F.col("high") - F.col("low")) / F.lit(float(precision)) - F.lit(1e-9))
+    wanted = ends.withColumn("steps", steps).where((F.col("high") - F.col("low")) / F.lit(float(precision)) >= LEAST_STEPS - 1e-9)
+    each = wanted.select("shape_id", "strand", "low", F.explode(F.sequence(F.lit(0), F.col("steps").cast("int") - 1)).alias("i"))
+    columns = each.select("shape_id", "strand", at(F.col("low") + F.col("i") * F.lit(float(precision))).alias("x"))
+    present = rows.groupBy("shape_id", "x").agg(F.array_sort(F.collect_list("y")).alias("ys"))
+    columns = columns.join(present, ["shape_id", "x"], "left")
+    values = lagrange(nodes.select(key, "x", "y"), columns.select(key, "x")).select("key.shape_id", "key.strand", "x", F.col("y").alias("value"))
+    columns = columns.join(values, ["shape_id", "strand", "x"])
+    # The value carried on from the last missing column.
+    w = Window.partitionBy("shape_id", "strand").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    columns = materialise(columns.withColumn("last", F.last(F.when(F.col("ys").isNull(), F.col("value")), True).over(w)))
+    far = F.col("last").isNotNull() & (F.array_min(F.transform("ys", lambda y: F.abs(y - F.col("last")))) > LEFT_ALONE)
+    added = columns.where(F.col("ys").isNull() | far).select("shape_id", "x", F.col("value").alias("y"))
+
+    column = Window.partitionBy("shape_id", "strand", "x").orderBy("y")
+    seen = columns.where("ys is not null and last is not null and x = floor(x)").select("shape_id", "strand", "x", "last", F.explode("ys").alias("y"))
+    seen = seen.withColumn("cut", (F.coalesce(F.col("y") - F.lag("y").over(column), F.lit(0.0)) > ROW_GAP).cast("int"))
+    seen = seen.withColumns({"grp": F.sum("cut").over(column), "off": F.abs(F.col("y") - F.col("last"))})
+    one = Window.partitionBy("shape_id", "strand", "x")
+    seen = seen.withColumn("near", F.min(F.when(F.col("off") <= NEAR_GROUP, F.col("grp"))).over(one)).where("grp = near")
+    best = F.row_number().over(one.orderBy("off", "y"))
+    crowd = seen.withColumn("place", best).where("place > 1").select("shape_id", "x", "y").distinct()
+    return cast.join(crowd, ["shape_id", "x", "y"], "left_anti").unionAll(added)
 
 
 def fill_border(points: DataFrame) -> DataFrame:
@@ -461,26 +463,44 @@ def clamp_to(points: DataFrame, bounds: DataFrame) -> DataFrame:
 
 
 def thin(points: DataFrame, rounds: int = 128) -> DataFrame:
-    """Zhang-Suen skeleton: half-passes of a neighbour aggregate until a whole round removes nothing.
-    Every half-pass is written to the shared folder, so lineage stays short."""
+    """Zhang-Suen skeleton: half-passes until a whole round removes nothing.
+
+    After the first round a half-pass looks only at cells beside those removed in the last two half-passes,
+    as no other cell's neighbours have changed since it was looked at, and shapes in which a round removes
+    nothing are done. A round writes what it removes, and the cells of the shapes that are left."""
     from rasterloom.sources.tables import materialise
 
     ring = [(0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1)]  # p2 .. p9, clockwise
     offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(1 << i).alias("bit")) for i, (dx, dy) in enumerate(ring)])
-    image = materialise(points.select(POINT).distinct())
     bit = lambda i: F.shiftright("code", i - 2).bitwiseAND(F.lit(1))
     n = sum((bit(i) for i in range(3, 10)), bit(2))
     turns = sum(((1 - bit(i)) * bit(i + 1 if i < 9 else 2) for i in range(3, 10)), (1 - bit(2)) * bit(3))
+    beside = lambda rows: rows.withColumn("o", F.explode(offsets)).select("shape_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"))
+
+    live = materialise(points.select(POINT).distinct())
+    done, before, last = live.limit(0), None, None
     for _ in range(rounds):
-        before = image.count()
+        removed = []
         for first in (True, False):
-            lit_ = image.select("shape_id", F.col("x"), F.col("y"), F.explode(offsets).alias("o"))
-            seen = lit_.select("shape_id", (F.col("x") - F.col("o.dx")).alias("x"), (F.col("y") - F.col("o.dy")).alias("y"), F.col("o.bit").alias("bit"))
-            codes = image.join(seen.groupBy(*POINT).agg(F.sum("bit").cast("int").alias("code")), POINT, "left").fillna(0, ["code"])
+            now = live if not removed else live.join(removed[0], POINT, "left_anti")
+            asked = now if before is None else now.join(beside(before if last is None else before.unionAll(last)).distinct(), POINT, "left_semi")
+            around = asked.withColumn("o", F.explode(offsets)).select(*[F.col(c).alias(f"a{c}") for c in POINT], "shape_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), "o.bit")
+            seen = around.join(now, POINT, "left_semi").groupBy(*[F.col(f"a{c}").alias(c) for c in POINT]).agg(F.sum("bit").cast("int").alias("code"))
             a = bit(2) * bit(4) * bit(6) if first else bit(2) * bit(4) * bit(8)
             b = bit(4) * bit(6) * bit(8) if first else bit(2) * bit(6) * bit(8)
-            drop = n.between(2, 6) & (turns == 1) & (a == 0) & (b == 0)
-            image = materialise(codes.where(~drop).select(POINT))
-        if image.count() == before:
+            gone = materialise(seen.where(n.between(2, 6) & (turns == 1) & (a == 0) & (b == 0)).select(POINT))
+            removed.append(gone)
+            # Before the second half-pass has run once, it has looked at no cell.
+            before, last = (None, None) if first and before is None else (gone, before)
+        both = removed[0].unionAll(removed[1])
+        active = materialise(both.select("shape_id").distinct())
+        left = live.join(both, POINT, "left_anti")
+        done = done.unionAll(left.join(active, "shape_id", "left_anti"))
+        if active.isEmpty():
             break
-    return image
+        if last is None:
+            last = removed[0]
+        live = materialise(left.join(active, "shape_id", "left_semi"))
+    else:
+        done = done.unionAll(live)
+    return done

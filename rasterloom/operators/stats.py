@@ -30,11 +30,27 @@ def variances(series: DataFrame) -> DataFrame:
     return series.groupBy("key").agg(F.var_pop("value").alias("var_pop"), F.var_samp("value").alias("var_samp"))
 
 
+def quantiles(series: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """(key, n, one column a share): exact quantiles of each key's values, between neighbours by share. Values
+    are ranked in ranges, so that no task holds a key's values together."""
+    from rasterloom.operators.ranges import ranked
+
+    values = ranked(series.where("value is not null").select("key", F.col("value").cast("double").alias("value")), "key", "rank", F.col("value"))
+    n = series.groupBy("key").agg(F.count("value").alias("n"))
+    wanted = n.withColumn("share", F.explode(F.array(*[F.lit(float(p)) for p in shares.values()])))
+    wanted = wanted.withColumn("at", F.col("share") * (F.col("n") - 1)).withColumn("k", F.explode(F.array(F.floor("at"), F.floor("at") + 1)))
+    # The neighbour above the last value has no share.
+    weight = 1 - F.abs(F.col("at") - F.col("k"))
+    found = wanted.withColumn("w", weight).where("w > 0").join(values.select("key", F.col("rank").alias("k"), "value"), ["key", "k"])
+    pick = [F.sum(F.when(F.col("share") == p, F.col("value") * F.col("w"))).alias(name) for name, p in shares.items()]
+    return n.join(found.groupBy("key").agg(*pick), "key", "left")
+
+
 def iqr_fences(series: DataFrame) -> DataFrame:
     """Whole-number fences 1.5 interquartile ranges outside the quartiles; 0, 0 for fewer than four
     values or equal quartiles."""
-    q = series.groupBy("key").agg(F.count("value").alias("n"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    q1, q3 = F.get("q", 0), F.get("q", 1)
+    q = quantiles(series, {"q1": 0.25, "q3": 0.75})
+    q1, q3 = F.col("q1"), F.col("q3")
     usable = (F.col("n") >= 4) & (q3 - q1 > 0)
     return q.select(
         "key",
@@ -76,14 +92,18 @@ def lagrange(nodes: DataFrame, at: DataFrame, degree: int = 3, exclude_self: boo
     """Interpolated value at every `at` (key, x): Lagrange polynomial through the nearest nodes
     (key, x, y) on both sides, (degree + 1) / 2 a side and more from the side that has them."""
     n = degree + 1
-    q = at.select("key", F.col("x").alias("q"))
-    side = F.col("x") < F.col("q") if exclude_self else F.col("x") <= F.col("q")
-    near = q.join(nodes.select("key", "x", "y"), "key")
-    if exclude_self:
-        near = near.where(F.col("x") != F.col("q"))
-    near = near.withColumn("left", side)
-    order = Window.partitionBy("key", "q", "left").orderBy(F.abs(F.col("x") - F.col("q")))
-    near = near.withColumn("k", F.row_number().over(order))
+    # A node's number, and how many nodes lie up to each query: no query meets more than its neighbours.
+    order = Window.partitionBy("key").orderBy("x")
+    numbered = nodes.select("key", "x", "y", F.row_number().over(order).alias("i"))
+    node = F.struct("x", "i").alias("node")
+    both = numbered.select("key", "x", node).unionAll(at.select("key", "x", F.lit(None).cast(numbered.select(node).schema["node"].dataType)).distinct())
+    upto = Window.partitionBy("key").orderBy("x", F.asc_nulls_last("node")).rowsBetween(Window.unboundedPreceding, 0)
+    q = both.withColumn("below", F.last("node", True).over(upto)).where("node is null").select("key", F.col("x").alias("q"), "below")
+    number = F.coalesce("below.i", F.lit(0))
+    left = F.when(F.col("below.x") == F.col("q"), number - 1).otherwise(number) if exclude_self else number
+    places = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.struct(k.alias("k"), (left - k + 1).alias("left"), (number + k).alias("right")))
+    near = q.withColumn("p", F.explode(places))
+    near = near.select("key", "q", "p.k", F.explode(F.array("p.left", "p.right")).alias("i")).join(numbered, ["key", "i"])
     pick = Window.partitionBy("key", "q").orderBy("k", F.abs(F.col("x") - F.col("q")))
     chosen = near.withColumn("o", F.row_number().over(pick)).where(F.col("o") <= n).select("key", "q", "x", "y")
     other = chosen.select("key", "q", F.col("x").alias("x2"))

@@ -236,6 +236,20 @@ def _(spark, sf):
     return CO.generate(*_halves(spark, sf))
 
 
+@query("cmpr11_warp_halo")
+def _(spark, sf):
+    """Halo of the even frames' cores read from the odd frames."""
+    def image(scan):
+        core = CO.core_of(scan, CO.otsu(scan, 0.05)).select(c("shape_id").alias("frame_id"), "x", "y", F.lit(True).alias("in"))
+        cells = scan.join(core, ["frame_id", "x", "y"], "left").withColumn("core", F.coalesce("in", F.lit(False)))
+        far = T.chamfer_distance(scan.select(c("frame_id").alias("shape_id"), "x", "y"), core.select(c("frame_id").alias("shape_id"), "x", "y"))
+        far = far.select(c("shape_id").alias("frame_id"), "x", "y", (c("distance") / 3).alias("far"))
+        return tables.materialise(cells.join(far, ["frame_id", "x", "y"]).select("frame_id", "x", "y", "core", "far", "value"))
+
+    a, b = _halves(spark, sf)
+    return CO.warp_halo(image(a), image(b), 1.0, 3.0)
+
+
 # -- features and model
 @query("mod1_local_frame", f"WITH {views.POLY} SELECT shape_id, ord, x - CAST(floor((x0 + x1) / 2.0) AS INT) + 128 AS x, y - CAST(floor((y0 + y1) / 2.0) AS INT) + 128 AS y FROM poly JOIN (SELECT shape_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM poly GROUP BY 1) USING (shape_id)")
 def _(spark, sf):
@@ -247,11 +261,26 @@ def _(spark, sf):
     return M.build_features(views.poly(spark, sf))
 
 
-@query("mod3_measure")
+@query("mod2_build_features_sampled")
 def _(spark, sf):
+    """As many samples of equal arcs as half of the vertices of a usual outline."""
+    return M.build_features(views.poly(spark, sf), n=60)
+
+
+def _measured(spark, sf, ink):
     p = views.poly(spark, sf)
-    scan = views.px(spark, sf).select("frame_id", "x", "y", ((c("r") + c("g") + c("b")) / 765.0).alias("value"))
-    return M.measure(M.build_features(p), K.rasterize(p), scan)
+    scan = views.px(spark, sf).select("frame_id", "x", "y", (1 - (c("r") + c("g") + c("b")) / 765.0).alias("value"))
+    return M.measure(M.build_features(p), K.rasterize(p), scan, ink=ink)
+
+
+@query("mod3_measure")
+def _(spark, sf):
+    return _measured(spark, sf, False)
+
+
+@query("mod3_measure_ink")
+def _(spark, sf):
+    return _measured(spark, sf, True)
 
 
 @query("mod4_anchors")
@@ -331,6 +360,17 @@ def _(spark, sf):
     return M.predict(s, ("r1", "g1", "b1"), [0.25, -0.5, 1.0, 2.0], 0.5, 3.5).select("frame_id", "x", "y", F.round("predicted", 9).alias("predicted"))
 
 
+@query("mod13_synthesise", f"""{_SAMPLES_SQL} SELECT frame_id, x, y,
+  round(least(greatest(target + 1.1 * (0.25 * r1 - 0.5 * g1 + 1.0 * b1 + 2.0), 0.5), 64.0), 9) AS thickness,
+  round(least(greatest(confidence + 1.2 * (0.1 * r1 - 0.2), 0.0), 1.0), 9) AS opacity, 0.5::DOUBLE AS border_blend FROM z""")
+def _(spark, sf):
+    """Two measures moved on, a third left as it is."""
+    s, _ = M.standardize(_samples(spark, sf), ("r1", "g1", "b1"))
+    s = s.withColumns({"thickness": c("target"), "opacity": c("confidence"), "border_blend": F.lit(0.5)})
+    done = M.synthesise(s, ("r1", "g1", "b1"), {"thickness": [0.25, -0.5, 1.0, 2.0], "opacity": [0.1, 0.0, 0.0, -0.2]})
+    return done.select("frame_id", "x", "y", F.round("thickness", 9).alias("thickness"), F.round("opacity", 9).alias("opacity"), "border_blend")
+
+
 def _fit_sql() -> str:
     """Weighted ridge regression by the normal equations in the steps' recurrence: 1400 steps over moments."""
     names = ("r1", "g1", "b1", "one")
@@ -380,26 +420,51 @@ def _(spark, sf):
     return J.paint_crop(p, _plain(p), (4, 4, 50, 40), 3.0)
 
 
+@query("job3_paint_crop_border")
+def _(spark, sf):
+    """The dark points, grown, as the given border."""
+    p = _frames(spark, sf)
+    return J.paint_crop(p, _plain(p), (4, 4, 50, 40), border=T.dilate(views.dark(spark, sf), 3))
+
+
+def _sizes(p):
+    return p.select("frame_id").distinct().select("frame_id", F.lit(64).alias("width"), F.lit(48).alias("height"))
+
+
 @query("job4_part_overlay")
 def _(spark, sf):
     p = _frames(spark, sf)
-    return J.part_overlay(p, _plain(p, -4144960), 3.0)
+    return J.part_overlay(p, _plain(p, -4144960), _sizes(p), 3.0)
 
 
 @query("job5_ink_xerox")
 def _(spark, sf):
-    return J.ink_xerox(_frames(spark, sf), -16777216, 3.0)
+    p = _frames(spark, sf)
+    return J.ink_xerox(p, _sizes(p), -16777216, 1.0)
+
+
+def _specimens(spark, sf):
+    """Two specimens from the first frame: one to be tiled, one to be centred."""
+    first = lambda w, h: views.px(spark, sf).where(f"frame_id = 0 AND x < {w} AND y < {h}").select("x", "y", "r", "g", "b")
+    return [J.Specimen((204, 51, 51), first(6, 6), (6, 6)), J.Specimen((51, 102, 255), first(64, 48), (64, 48))]
 
 
 @query("job6_paint_fill")
 def _(spark, sf):
+    """The painted frames carry two colours on top of the drawn ones."""
     p = _frames(spark, sf)
-    first = views.px(spark, sf).where("frame_id = 0 AND x < 6 AND y < 6").select("x", "y", "r", "g", "b")
-    frames = p.select("frame_id").distinct().select("frame_id", F.lit(64).alias("width"), F.lit(48).alias("height"))
-    # The painted frames carry two colours on top of the drawn ones.
     spot = lambda x0, color: F.when(c("x").between(x0, x0 + 9) & c("y").between(10, 30), color)
     painted = p.withColumn("argb", F.coalesce(spot(8, -3394765), spot(40, -13408513), c("argb")))
-    return J.paint_fill(p, painted, frames, [(0.0, 75.0, 80.0), (225.0, 80.0, 100.0)], first, (6, 6))
+    return J.paint_fill(p, _sizes(p), _specimens(spark, sf), 2.0, painted=painted)
+
+
+@query("job6_paint_fill_seeds")
+def _(spark, sf):
+    """Without painted frames: the first cell of each frame that is no ink is the seed of both specimens."""
+    p = _frames(spark, sf)
+    bare = J.with_hsv(p).where(~J._is_ink()).groupBy("frame_id").agg(F.min(F.struct("x", "y")).alias("s"))
+    seeds = bare.select("frame_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("which"), "s.x", "s.y")
+    return J.paint_fill(p, _sizes(p), _specimens(spark, sf), 2.0, seeds=seeds)
 
 
 @query("job7_paint_merge_fill")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.functions.color import pack_argb
 from rasterloom.sources.text import natural_order
 
 
@@ -23,18 +24,26 @@ def read_frames(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return frames, decode(framed)
 
 
+@F.pandas_udf("array<int>")
+def _line_colors(line: pd.Series, channels: pd.Series) -> pd.Series:
+    """Packed colours of lines of blue-green-red(-alpha) or gray bytes."""
+
+    def one(data: bytes, n: int) -> np.ndarray:
+        v = np.frombuffer(data, np.uint8).reshape(-1, n).astype(np.uint32)
+        b, g, r = (v[:, 0], v[:, 0], v[:, 0]) if n == 1 else (v[:, 0], v[:, 1], v[:, 2])
+        a = v[:, 3] if n == 4 else np.uint32(255)
+        return (a << np.uint32(24) | r << np.uint32(16) | g << np.uint32(8) | b).view(np.int32)
+
+    return pd.Series([one(d, n) for d, n in zip(line, channels)])
+
+
 def decode(framed: DataFrame) -> DataFrame:
     """Rows (frame_id, x, y, argb) of packed blue-green-red(-alpha) bytes. The buffer is cut into lines first,
     so that a pixel row refers to its own line and not to the whole image."""
     step = F.col("width") * F.col("nChannels")
-    lines = framed.select("frame_id", "width", "nChannels", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda y: F.substring("data", y * step + 1, step))).alias("y", "line"))
-    one = lines.select("*", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
-    pixel = one.withColumn("v", F.conv(F.hex(F.substring("line", F.col("x") * F.col("nChannels") + 1, F.col("nChannels"))), 16, 10).cast("long"))
-    n = F.col("nChannels")
-    byte = lambda k: F.expr(f"cast(shiftright(v, 8 * greatest(nChannels - 1 - {k}, 0)) & 255 as int)")
-    a = F.when(n == 4, byte(3)).otherwise(255)
-    g, r = F.when(n == 1, byte(0)).otherwise(byte(1)), F.when(n == 1, byte(0)).otherwise(byte(2))
-    return pixel.select("frame_id", "x", "y", pack_argb(a, r, g, byte(0)).alias("argb"))
+    lines = framed.select("frame_id", "nChannels", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda y: F.substring("data", y * step + 1, step))).alias("y", "line"))
+    colors = lines.select("frame_id", "y", _line_colors("line", "nChannels").alias("colors"))
+    return colors.select("frame_id", "y", F.posexplode("colors").alias("x", "argb")).select("frame_id", "x", "y", "argb")
 
 
 def frames_from_pixels(packed: DataFrame, column_major: bool = False) -> DataFrame:
@@ -56,8 +65,6 @@ def match_frames(left: DataFrame, right: DataFrame, col: str = "name") -> DataFr
 def write_bitmaps(pixels: DataFrame, path: str, width: int, height: int) -> None:
     """One 24-bit bitmap file per frame, `frame <id>.bmp`, black where a pixel is missing. Frames are encoded
     in the tasks and streamed one by one to the file system by the driver: for samples, not for corpora."""
-    import numpy as np
-    import pandas as pd
 
     def encode(part: pd.DataFrame) -> pd.DataFrame:
         line = -(-width * 3 // 4) * 4

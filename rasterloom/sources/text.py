@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Longest digit run that natural order compares by value.
-DIGITS = 40
+#: Digits in which the length of a digit run is told.
+LENGTH_DIGITS = 10
 
 
 def natural_key(name: Column) -> Column:
     """Sort key under which digit runs compare as numbers and letters without case: every digit run is
-    preceded by its length without leading zeros, in two digits, and followed by the number of zeros."""
+    preceded by its length without leading zeros and followed by that with them, in ten digits each."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D)"), F.lit(1))
     bare = lambda p: F.ltrim(p, F.lit("0"))
 
     def key(p: Column) -> Column:
-        digits = F.concat(F.lit("0"), F.lpad(F.length(bare(p)).cast("string"), 2, "0"), bare(p), F.lpad(F.length(p).cast("string"), 2, "0"))
+        told = lambda c: F.lpad(F.length(c).cast("string"), LENGTH_DIGITS, "0")
+        digits = F.concat(F.lit("0"), told(bare(p)), bare(p), told(p))
         return F.when(p.rlike(r"^\d"), digits).otherwise(p)
 
     return F.array_join(F.transform(parts, key), "")
