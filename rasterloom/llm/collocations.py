@@ -1,12 +1,13 @@
 """Phrase collocation mining with double-array tries.
 
 Texts become arrays of word identities (64-bit hashes of language and word), 0 standing between pieces, and
-are written once. Words with enough occurrences, then windows of two, three and four of them, are counted by
-a 64-bit key of the window; the frequent keys form bit filters, which let keys pass by mistake at times but
-never lose one. Observed windows of two to five words all of whose shorter windows pass are the candidates:
+are written once, in short rows, so that batches stay small. Words with enough occurrences, then windows of
+two, three and four of them, are counted by a 32-bit key of the window; the frequent keys form bit filters,
+which let windows pass by mistake at times but never lose one. Observed windows of two to five words all of whose shorter windows pass are the candidates:
 no other phrase can be frequent. They are dealt to double-array tries of bounded size, which are broadcast;
 numpy moves the states of all places of a text on together, one word a level, and adds up the accepting
-states. The sums of all tasks are the numbers of occurrences, overlaps included.
+states. The sums of all tasks are the numbers of occurrences, overlaps included. What tasks have counted goes
+to the sums as packed arrays, cut into a fixed number of slices, not as a row for each key.
 
 Every phrase with at least `least` occurrences is cut after each of its words; the lowest cut counts. All
 arithmetic is in whole numbers, decimals of 38 digits where 64 bits would not do.
@@ -19,6 +20,7 @@ ever meet in one, all is done again with another hash.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,9 +35,12 @@ from rasterloom.llm.base import materialise, mixed, word_hashes
 from rasterloom.llm.recurring import bit_filter, passes
 
 LEAST, LONGEST, SHARE, TOP = 100, 5, 100, 2000
-#: Bytes of text laid out together, windows gathered before they are counted, phrases in a trie, bytes of
-#: tries that one pass over the corpus carries, and slices in which a language is ranked first.
-PORTION, WINDOWS, PHRASES, CARRIED, SLICES = 1 << 22, 1 << 21, 1 << 18, 1 << 26, 64
+#: Bytes of text laid out together, words in a written row (and those up to the end of a piece), windows
+#: gathered before they are counted, phrases in a trie, bytes of tries that one pass over the corpus carries,
+#: and slices in which a language is ranked first.
+PORTION, ROW, WINDOWS, PHRASES, CARRIED, SLICES = 1 << 21, 128, 1 << 19, 1 << 18, 1 << 26, 64
+#: Bits of a key that name its slice, and bits of a state within its slice.
+KEY_SLICE, STATE_SLICE = 8, 14
 
 _ENDS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: A-Z lower-cased, ends of pieces as line feeds, blanks as spaces.
@@ -46,7 +51,8 @@ TOKENS = "ids binary, lang string, heads array<long>, words array<string>, times
 
 
 def _laid(texts: list[bytes], lang: str, seed: int) -> tuple:
-    """A row of the written table: identities of all words of some texts of a language, and its words."""
+    """Identities of all words of some texts of a language, 0 before each piece, and the distinct ones with
+    their words and numbers."""
     blob = b"\n".join(texts).translate(_CLEAN)
     data = np.frombuffer(blob, np.uint8)
     inside = np.concatenate([[False], (data != 10) & (data != 32), [False]])
@@ -54,15 +60,45 @@ def _laid(texts: list[bytes], lang: str, seed: int) -> tuple:
     salt = np.uint64(xxhash.xxh64_intdigest(lang.encode(), seed))
     ids = np.maximum(mixed(word_hashes(blob.translate(_JOINED), starts, seed) ^ salt), np.uint64(1))
     piece = np.searchsorted(np.flatnonzero(data == 10), starts)
-    out = np.zeros(len(ids) + 1 + (0 if not len(ids) else int((np.diff(piece) > 0).sum())), np.uint64)
-    out[1 + np.arange(len(ids)) + np.concatenate([[0], np.cumsum(np.diff(piece) > 0)])[: len(ids)]] = ids
-    heads, first, times = np.unique(ids, return_index=True, return_counts=True)
-    words = [blob[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-    return out.tobytes(), lang, heads.view(np.int64), words, times
+    new = np.diff(piece, prepend=-1) > 0
+    out = np.zeros(len(ids) + int(new.sum()), np.uint64)
+    out[np.arange(len(ids)) + np.cumsum(new)] = ids
+    heads, first, at, times = np.unique(ids, return_index=True, return_inverse=True, return_counts=True)
+    lengths, lead = ends - starts, first[at]
+    if (lengths == lengths[lead]).all():
+        bytes_ = np.flatnonzero(inside[1:-1])
+        if (data[bytes_] == data[bytes_ + np.repeat(starts[lead] - starts, lengths)]).all():
+            words = [blob[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+            return out, heads.view(np.int64), words, times
+    # Different words in one identity: all of them are told.
+    told = Counter((i, blob[a:b].decode()) for i, a, b in zip(ids.view(np.int64).tolist(), starts.tolist(), ends.tolist()))
+    return out, np.array([i for i, _ in told], np.int64), [w for _, w in told], np.array(list(told.values()))
+
+
+def _rows(x: np.ndarray) -> list[bytes]:
+    """Identities cut before the first 0 from every `ROW` words on; each part begins with 0."""
+    gaps = np.flatnonzero(x == 0)
+    cuts = np.searchsorted(gaps, np.arange(ROW, len(x), ROW))
+    at = [0, *gaps[np.unique(cuts[cuts < len(gaps)])].tolist(), len(x)]
+    return [x[a:b].tobytes() for a, b in zip(at, at[1:]) if b > a]
+
+
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+    """The written rows laid together, up to a portion at a time."""
+    for batch in batches:
+        held, size = [], 0
+        for ids in batch["ids"]:
+            held.append(ids)
+            size += len(ids)
+            if size >= PORTION:
+                yield np.frombuffer(b"".join(held), np.uint64)
+                held, size = [], 0
+        if held:
+            yield np.frombuffer(b"".join(held), np.uint64)
 
 
 def tokens(docs: DataFrame, seed: int) -> DataFrame:
-    """The texts as arrays of word identities, 0 between pieces."""
+    """Rows of word identities, 0 between pieces, and rows of the words of a portion of texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -73,7 +109,11 @@ def tokens(docs: DataFrame, seed: int) -> DataFrame:
                         held.append(text)
                         size += len(text)
                     if held and (text is None or size >= PORTION):
-                        yield pd.DataFrame([_laid(held, lang, seed)], columns=["ids", "lang", "heads", "words", "times"])
+                        x, heads, words, times = _laid(held, lang, seed)
+                        rows = _rows(x)
+                        yield pd.DataFrame({"ids": rows, "lang": None, "heads": None, "words": None, "times": None})
+                        if len(heads):
+                            yield pd.DataFrame([(None, lang, heads, words, times)], columns=["ids", "lang", "heads", "words", "times"])
                         held, size = [], 0
 
     lang, text = F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text")
@@ -82,7 +122,7 @@ def tokens(docs: DataFrame, seed: int) -> DataFrame:
 
 def vocabulary(table: DataFrame) -> DataFrame:
     """id, lang, word and n of every word."""
-    each = table.select("lang", F.explode(F.arrays_zip("heads", "words", "times")).alias("w"))
+    each = table.where("ids is null").select("lang", F.explode(F.arrays_zip("heads", "words", "times")).alias("w"))
     return each.select(F.col("w.heads").alias("id"), "lang", F.col("w.words").alias("word"), F.col("w.times").alias("n")).groupBy("id", "lang", "word").agg(F.sum("n").alias("n"))
 
 
@@ -97,8 +137,50 @@ def identified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         seed += 1
 
 
+def _short(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(32)).astype(np.uint32)
+
+
+def _spread(short: np.ndarray) -> np.ndarray:
+    """Short keys as well mixed 64-bit keys, for bit filters."""
+    return mixed(short.astype(np.uint64)).view(np.int64)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """An array's bytes, first those of lowest value, so that sorted and small numbers compress."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _flat(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _slices(of: np.ndarray, *arrays: np.ndarray) -> pd.DataFrame:
+    """Rows (slice, packed arrays): arrays cut where the sorted slice numbers change."""
+    cuts = np.flatnonzero(np.diff(of, prepend=-1))
+    rows = [(int(of[a]), *[_planes(x[a:b]) for x in arrays]) for a, b in zip(cuts, [*cuts[1:], len(of)])]
+    return pd.DataFrame(rows, columns=["slice", *"abc"[: len(arrays)]])
+
+
+def _folded(packed: DataFrame, add, finish, schema: str) -> DataFrame:
+    """All rows of a slice meet in one task, where `add` folds them one by one into what is held, and `finish`
+    makes rows of it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                held[row[0]] = add(held.get(row[0]), *row[1:])
+        for of, state in held.items():
+            yield from finish(of, state)
+
+    n = min(1 << KEY_SLICE, int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return packed.repartition(n, "slice").mapInPandas(run, schema)
+
+
 def _windows(x: np.ndarray, filters: list[np.ndarray], longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(starts, keys) of the windows of 2, 3, ... `longest` words all of whose shorter windows pass; the
+    """(starts, 64-bit keys) of the windows of 2, 3, ... `longest` words all of whose shorter windows pass; the
     filters are those of 1, 2, ... words, and the last windows may have none of their own."""
     at = np.flatnonzero(x)
     at = at[passes(x[at].view(np.int64), filters[0])]
@@ -108,52 +190,81 @@ def _windows(x: np.ndarray, filters: list[np.ndarray], longest: int) -> Iterator
         at = at[both]
         keys = mixed((keys[both] + np.uint64(size)) * _ODD + x[at + size - 1])
         if size <= len(filters):
-            ok = passes(keys.view(np.int64), filters[size - 1])
+            ok = passes(_spread(_short(keys)), filters[size - 1])
             at, keys = at[ok], keys[ok]
         yield at, keys
 
 
-def key_counts(table: DataFrame, filters: list[Broadcast]) -> DataFrame:
-    """key and n of the windows one word longer than the filters."""
+def frequent_keys(table: DataFrame, filters: list[Broadcast], least: int) -> DataFrame:
+    """key, spread, of the windows one word longer than the filters that occur often enough. Short keys bound
+    what a slice can hold: 2^24 numbers."""
 
     def counted(held: list[np.ndarray]) -> pd.DataFrame:
-        keys, n = np.unique(np.concatenate(held), return_counts=True)
-        return pd.DataFrame({"key": keys.view(np.int64), "n": n})
+        keys, n = np.unique(_short(np.concatenate(held)), return_counts=True)
+        return _slices((keys >> np.uint32(32 - KEY_SLICE)).astype(np.int64), keys, n.astype(np.uint32))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, held, size = [f.value for f in filters], [], 0
-        for batch in batches:
-            for ids in batch["ids"]:
-                *_, (_, keys) = _windows(np.frombuffer(ids, np.uint64), known, len(known) + 1)
-                held.append(keys)
-                size += len(keys)
-                if size >= WINDOWS:
-                    yield counted(held)
-                    held, size = [], 0
-        if held:
+        for x in _joined(batches):
+            *_, (_, keys) = _windows(x, known, len(known) + 1)
+            held.append(keys)
+            size += len(keys)
+            if size >= WINDOWS:
+                yield counted(held)
+                held, size = [], 0
+        if size:
             yield counted(held)
 
-    return table.select("ids").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        return [(keys, np.minimum(np.bincount(at, np.concatenate([n for _, n in parts])), least).astype(np.uint32))]
+
+    def add(parts, keys: bytes, n: bytes):
+        parts = [*(parts or []), (_flat(keys, np.uint32), _flat(n, np.uint32))]
+        return added(parts) if sum(len(k) for k, _ in parts[1:]) > len(parts[0][0]) + (1 << 16) else parts
+
+    def finish(_, parts) -> Iterator[pd.DataFrame]:
+        keys, n = added(parts)[0]
+        yield pd.DataFrame({"key": _spread(keys[n >= least])})
+
+    packed = table.where("ids is not null").select("ids").mapInPandas(run, "slice long, a binary, b binary")
+    return _folded(packed, add, finish, "key long")
 
 
 def candidates(table: DataFrame, filters: list[Broadcast], longest: int) -> DataFrame:
     """ids of the distinct windows of 2 up to `longest` words all of whose shorter windows pass."""
 
+    def distinct(rows: np.ndarray) -> np.ndarray:
+        """Distinct rows of `longest` identities, 0 behind the last."""
+        whole = np.ascontiguousarray(rows).view(f"V{8 * longest}").ravel()
+        return np.unique(whole).view(np.uint64).reshape(-1, longest)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, seen = [f.value for f in filters], [np.empty(0, np.uint64) for _ in range(longest - 1)]
-        for batch in batches:
-            for ids in batch["ids"]:
-                x = np.frombuffer(ids, np.uint64)
-                for depth, (at, keys) in enumerate(_windows(x, known, longest)):
-                    # What this task has passed on lately need not be passed on again.
-                    new, first = np.unique(keys, return_index=True)
-                    fresh = ~np.isin(new, seen[depth], assume_unique=True)
-                    seen[depth] = new[fresh] if len(seen[depth]) > WINDOWS else np.concatenate([seen[depth], new[fresh]])
-                    rows = x[at[first[fresh]][:, None] + np.arange(depth + 2)].view(np.int64)
-                    if len(rows):
-                        yield pd.DataFrame({"ids": list(rows)})
-
-    return table.select("ids").mapInPandas(run, "ids array<long>").distinct()
+        for x in _joined(batches):
+            for depth, (at, keys) in enumerate(_windows(x, known, longest)):
+                # What this task has passed on lately need not be passed on again.
+                new, first = np.unique(keys, return_index=True)
+                fresh = ~np.isin(new, seen[depth], assume_unique=True)
+                new, first = new[fresh], first[fresh]
+                seen[depth] = new if len(seen[depth]) > WINDOWS else np.concatenate([seen[depth], new])
+                if len(new):
+                    rows = np.zeros((len(new), longest), np.uint64)
+                    rows[:, : depth + 2] = x[at[first][:, None] + np.arange(depth + 2)]
+                    yield _slices((new >> np.uint64(64 - KEY_SLICE)).astype(np.int64), rows)
+
+    def add(parts, rows: bytes):
+        parts = [*(parts or []), _flat(rows, f"V{8 * longest}").view(np.uint64).reshape(-1, longest)]
+        return [distinct(np.concatenate(parts))] if sum(map(len, parts[1:])) > len(parts[0]) + (1 << 14) else parts
+
+    def finish(_, parts) -> Iterator[pd.DataFrame]:
+        rows = distinct(np.concatenate(parts))
+        sizes = (rows != 0).sum(1)
+        for a in range(0, len(rows), 20_000):
+            yield pd.DataFrame({"ids": [r[:n] for r, n in zip(rows[a : a + 20_000].view(np.int64), sizes[a : a + 20_000])]})
+
+    packed = table.where("ids is not null").select("ids").mapInPandas(run, "slice long, a binary")
+    return _folded(packed, add, finish, "ids array<long>")
 
 
 @dataclass
@@ -167,6 +278,8 @@ class Trie:
     accept: np.ndarray
 
     def codes(self, x: np.ndarray) -> np.ndarray:
+        if not len(self.symbols):
+            return np.zeros(len(x), np.int32)
         at = np.minimum(np.searchsorted(self.symbols, x), len(self.symbols) - 1)
         return np.where(self.symbols[at] == x, at + 1, 0).astype(np.int32)
 
@@ -205,11 +318,11 @@ def build(phrases: list[np.ndarray]) -> Trie:
     table, sizes = table[order], sizes[order]
     # Nodes of a level are the distinct beginnings of that length; a node's number grows by level.
     above, parent, code, ends, n = np.zeros(len(table), np.int64), [np.empty(0, np.int64)], [np.empty(0, np.int64)], [], 1
-    changed = np.zeros(len(table), bool)
+    changed = np.arange(len(table)) == 0
     for depth in range(table.shape[1]):
         changed[1:] |= table[1:, depth] != table[:-1, depth]
         live = sizes > depth
-        new = live & (changed | (np.arange(len(table)) == np.argmax(live)) | np.concatenate([[True], ~live[:-1]]))
+        new = live & changed
         node = np.where(live, n - 1 + np.cumsum(new), 0)
         parent.append(above[new])
         code.append(table[new, depth])
@@ -219,8 +332,7 @@ def build(phrases: list[np.ndarray]) -> Trie:
     slot, base = np.zeros(n, np.int64), np.zeros(n, np.int64)
     used = np.zeros(4 * n + 2 * len(symbols) + 256, bool)
     used[0] = True
-    first = np.searchsorted(parent, np.arange(n + 1)) if (np.diff(parent) >= 0).all() else None
-    by = np.arange(n - 1) if first is not None else np.argsort(parent, kind="stable")
+    by = np.argsort(parent, kind="stable")
     first = np.searchsorted(parent[by], np.arange(n + 1))
     degree, from_ = np.diff(first), 0
     many = np.flatnonzero(degree > 1)
@@ -250,7 +362,7 @@ def build(phrases: list[np.ndarray]) -> Trie:
     bases, check, accept = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.zeros(size, bool)
     bases[slot] = base
     check[slot[1:]] = slot[parent]
-    if ends:
+    if len(phrases):
         accept[slot[np.concatenate(ends)]] = True
     return Trie(symbols, bases, check, accept)
 
@@ -277,20 +389,32 @@ def occurrences(table: DataFrame, written: DataFrame, longest: int) -> DataFrame
     def counted() -> None:
         shared = table.sparkSession.sparkContext.broadcast(held.copy())
 
+        def tries_() -> list[Trie]:
+            return [Trie(*(np.frombuffer(b, k) for b, k in zip(arrays, (np.uint64, np.int32, np.int32, bool)))) for arrays in shared.value]
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known = [Trie(*(np.frombuffer(b, k) for b, k in zip(arrays, (np.uint64, np.int32, np.int32, bool)))) for arrays in shared.value]
+            known = tries_()
             sums = [np.zeros(len(t.base), np.int64) for t in known]
-            for batch in batches:
-                for ids in batch["ids"]:
-                    for t, total in zip(known, sums):
-                        total += t.counts(np.frombuffer(ids, np.uint64), longest)
-            for t, total in zip(known, sums):
+            for x in _joined(batches):
+                for t, total in zip(known, sums):
+                    total += t.counts(x, longest)
+            for i, total in enumerate(sums):
                 at = np.flatnonzero(total)
-                for a in range(0, len(at), 50_000):
-                    part = at[a : a + 50_000]
-                    yield pd.DataFrame({"ids": [t.phrase(s) for s in part.tolist()], "f": total[part]})
+                if len(at):
+                    yield _slices((i << 32) + (at >> STATE_SLICE), at & ((1 << STATE_SLICE) - 1), total[at])
+
+        def add(total, at: bytes, n: bytes):
+            total = np.zeros(1 << STATE_SLICE, np.int64) if total is None else total
+            total[_flat(at, np.int64)] += _flat(n, np.int64)
+            return total
+
+        def finish(of: int, total: np.ndarray) -> Iterator[pd.DataFrame]:
+            trie, at = tries_()[of >> 32], np.flatnonzero(total)
+            first = (of & ((1 << 32) - 1)) << STATE_SLICE
+            yield pd.DataFrame({"ids": [trie.phrase(first + s) for s in at.tolist()], "f": total[at]})
 
-        found.append(materialise(table.select("ids").mapInPandas(run, "ids array<long>, f long").groupBy("ids").agg(F.sum("f").alias("f"))))
+        packed = table.where("ids is not null").select("ids").mapInPandas(run, "slice long, a binary, b binary")
+        found.append(materialise(_folded(packed, add, finish, "ids array<long>, f long")))
 
     for row in written.toLocalIterator():
         if held and sum(map(len, [b for r in held for b in r])) + sum(map(len, row)) > CARRIED:
@@ -310,7 +434,7 @@ def frequent_phrases(table: DataFrame, words: DataFrame, least: int = LEAST, lon
     frequent = materialise(words.where(F.col("n") >= least).select(F.col("id").alias("key"), "n"))
     filters = [bit_filter(frequent.select("key"))[0]]
     while len(filters) < longest - 1:
-        filters.append(bit_filter(materialise(key_counts(table, filters).where(F.col("n") >= least).select("key")))[0])
+        filters.append(bit_filter(materialise(frequent_keys(table, filters, least)))[0])
     phrases = materialise(candidates(table, filters, longest))
     counted = occurrences(table, tries(phrases, phrases.count(), PHRASES), longest).where(F.col("f") >= least)
     return frequent.select(F.array("key").alias("ids"), F.col("n").alias("f")).unionByName(counted)
