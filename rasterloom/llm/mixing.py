@@ -2,31 +2,35 @@
 
 Each source's documents, shuffled by a hash, are laid end to end and cut into blocks of equal token
 count: `BLOCK` words, or fewer where that is more than a small part of the source or of its target. Slot
-n of the mix takes the golden-ratio point frac(n * phi); where it falls in the cumulative numbers of slots
-that the sources need names the source, and the slot's rank among that source's slots names the block,
-starting over when the blocks are used up. Ranks that the schedule leaves out are added, and those past
-a source's need are not taken, so that every source meets its target within one block. Token counts are
-numbers of words.
+n of the mix takes the n-th van der Corput point, the bits of n in reverse; where it falls in the
+cumulative numbers of slots that the sources need names the source, and the slot's rank among that source's
+slots names the block, starting over when the blocks are used up. The schedule runs on until every source
+has the slots that it needs; slots that fall to a source past its need stay empty, so that every source meets
+its target within one block. `first_slot` tells where a document first comes up, and the mixed corpus is
+written in the order of the slots. Token counts are numbers of words.
 
 A null text has size 0; the null source is a source of its own, after all others; documents of size 0
-take part with nothing to take; rows without an id, repeated rows and rows that share an id are documents
-of their own, laid by their hash of id and text; an empty table gives an empty result; other columns are
-ignored. The driver holds one row per source.
+take part with nothing to take and no slot; rows without an id, repeated rows and rows that share an id are
+documents of their own, laid by their hash of id and text (equal ones one after another, numbered by the part
+of the table that they lie in); an empty table gives an empty result; other columns are ignored. The driver
+holds one row per source.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm.base import materialise, word_count
 
-GOLDEN = 0.6180339887498949
-#: Most words in a block, least blocks in a source and in its target, slots ranked together, and cells
-#: of the unit interval in which a point looks for its source.
-BLOCK, PARTS, CHUNK, CELLS = 512, 1000, 1 << 15, 4096
+#: Bits of a point, and so of the numbers of slots.
+BITS = 48
+#: Most words in a block, least blocks in a source and in its target, slots ranked together, and bits
+#: of the cells in which a point looks for its source.
+BLOCK, PARTS, CHUNK, CELL_BITS = 512, 1000, 1 << 15, 12
 #: Documents of a source laid together, about.
 SLICE = 1024
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -74,40 +78,72 @@ def lay_out(sized: DataFrame, n_docs: int) -> DataFrame:
     """Adds `at`, the words of the source laid before a row in the order of `mixed`.
 
     Sources are cut into slices by the first digits of the hash, some hundred documents each, so that
-    neither a large source nor the corpus passes through one task: sums per slice, then sums inside it."""
+    neither a large source nor the corpus passes through one task: sums per slice, then sums inside it. Equal
+    rows of one part of the table are laid as one, and counted in their part."""
     digits = max(0, math.ceil(math.log(max(n_docs / SLICE, 1), 16)))
-    sliced = sized.withColumn("slice", F.substring("mixed", 1, digits))
-    keys = ["source_no", "slice"]
-    bases = _prefix(sliced.groupBy(*keys).agg(F.sum("size").alias("sum")), ["source_no"], "slice", "sum", "base")
-    inside = Window.partitionBy(*keys).orderBy("mixed", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sliced.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return placed.join(bases.drop("sum"), keys).withColumn("at", F.col("base") + F.col("before")).drop("slice", "base", "before")
+    keys, same = ["source_no", "slice"], ["source_no", "mixed", "size", "part"]
+    folded = sized.groupBy(*same).agg(F.count("*").alias("n")).withColumn("slice", F.substring("mixed", 1, digits))
+    words = F.col("size") * F.col("n")
+    bases = _prefix(folded.groupBy(*keys).agg(F.sum(words).alias("sum")), ["source_no"], "slice", "sum", "base")
+    inside = Window.partitionBy(*keys).orderBy("mixed", "size", "part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = folded.withColumn("before", F.coalesce(F.sum(words).over(inside), F.lit(0))).join(bases.drop("sum"), keys)
+    placed = placed.select(*same, (F.col("base") + F.col("before")).alias("first"))
+    turn = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0))) - 1
+    return sized.withColumn("turn", turn).join(placed, same).withColumn("at", F.col("first") + F.col("turn") * F.col("size")).drop("turn", "first", "part")
 
 
-def schedule(facts: DataFrame, n_slots: int) -> DataFrame:
-    """slot, source_no and rank (from 0) of every slot of the mix. `facts` has source_no and need.
+_REVERSED = [int(f"{b:08b}"[::-1], 2) for b in range(256)]
+
+
+def point(slot: Column) -> Column:
+    """Van der Corput point of a slot, in units of 2^-BITS: the bits of its number in reverse."""
+    byte = lambda i: F.get(F.lit(_REVERSED), F.shiftright(slot, 8 * i).bitwiseAND(F.lit(255)).cast("int")).cast("long")
+    return sum((F.shiftleft(byte(i), BITS - 8 - 8 * i) for i in range(1, BITS // 8)), F.shiftleft(byte(0), BITS - 8))
+
+
+def schedule(spark: SparkSession, needs: list[int]) -> DataFrame:
+    """slot, source_no and rank (from 0) of the slots that sources with the given needs take.
 
     The sources' ends in the unit interval are listed under the cells they reach into, so that a point
-    meets the few sources of its cell, however many there are."""
-    upto = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, 0)
-    ends = facts.where("need > 0").select("source_no", "need", F.sum("need").over(upto).alias("stop"))
-    ends = ends.select("source_no", ((F.col("stop") - F.col("need")) / F.lit(n_slots)).alias("low"), (F.col("stop") / F.lit(n_slots)).alias("high"))
-    cell = lambda x: F.floor(x * CELLS).cast("int")
-    reach = F.sequence(cell(F.col("low")), F.least(cell(F.col("high")), F.lit(CELLS - 1)))
-    listed = ends.withColumn("cell", F.explode(reach))
-    turn = F.col("slot") * F.lit(GOLDEN)
-    slots = facts.sparkSession.range(1, n_slots + 1).withColumnRenamed("id", "slot").withColumn("point", turn - F.floor(turn))
-    drawn = slots.withColumn("cell", cell(F.col("point"))).join(F.broadcast(listed), "cell").where("low <= point and point < high")
-    drawn = drawn.select("slot", F.expr(f"slot div {CHUNK}").alias("chunk"), "source_no")
+    meets the few sources of its cell, however many there are. Every stretch of the interval as long as
+    1 / sum(needs) holds a point of any 4 sum(needs) in a row, so the rounds end."""
+    total = sum(needs)
+    if total == 0:
+        return spark.createDataFrame([], "slot long, source_no int, rank long")
+    ends = [(stop << BITS) // total for stop in itertools.accumulate(needs, initial=0)]
+    shift = BITS - CELL_BITS
+
+    def drawn(first: int, stop: int, wanted: list[int]) -> DataFrame:
+        rows = [(cell, i, ends[i], ends[i + 1]) for i in wanted for cell in range(ends[i] >> shift, ((ends[i + 1] - 1) >> shift) + 1)]
+        listed = spark.createDataFrame(rows, "cell long, source_no int, low long, high long")
+        slots = spark.range(first, stop).select(F.col("id").alias("slot"), point(F.col("id")).alias("point"))
+        hit = slots.withColumn("cell", F.shiftright("point", shift)).join(F.broadcast(listed), "cell")
+        return hit.where("low <= point and point < high").select("slot", "source_no")
+
+    have, first, stop = [0] * len(needs), 0, total + total // 16 + 64
+    found: DataFrame | None = None
+    while wanted := [i for i, n in enumerate(needs) if have[i] < n]:
+        if first > 16 * total + 1024:
+            raise ValueError("the points leave out a source")
+        part = drawn(first, stop, wanted)
+        found = part if found is None else found.unionAll(part)
+        for r in part.groupBy("source_no").count().collect():
+            have[r["source_no"]] += r["count"]
+        first, stop = stop, stop + stop // 2
     keys = ["chunk", "source_no"]
-    bases = _prefix(drawn.groupBy(*keys).agg(F.count("*").alias("n")), ["source_no"], "chunk", "n", "base")
-    ranked = drawn.withColumn("inside", F.row_number().over(Window.partitionBy(*keys).orderBy("slot")) - 1)
-    return ranked.join(bases.drop("n"), keys).select("slot", "source_no", (F.col("base") + F.col("inside")).alias("rank"))
+    cut_up = found.withColumn("chunk", F.expr(f"slot div {CHUNK}"))
+    bases = _prefix(cut_up.groupBy(*keys).agg(F.count("*").alias("n")), ["source_no"], "chunk", "n", "base")
+    ranked = cut_up.withColumn("inside", F.row_number().over(Window.partitionBy(*keys).orderBy("slot")) - 1)
+    ranked = ranked.join(bases.drop("n"), keys).select("slot", "source_no", (F.col("base") + F.col("inside")).alias("rank"))
+    most = spark.createDataFrame(list(enumerate(needs)), "source_no int, need long")
+    return ranked.join(F.broadcast(most), "source_no").where("rank < need").select("slot", "source_no", "rank")
 
 
-def taken_words(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK) -> DataFrame:
-    """The columns of `sized` (a written table: row, source, size, mixed) with source_size, target, `taken`
-    and `rest`, what goes beyond whole copies of the row: it is taken from the row's beginning."""
+def taken_words(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(rows, schedule): the columns of `sized` (a written table: row, source, size, mixed, part) with
+    source_size, target, `taken`, `first_slot`, and `rest`, what goes beyond whole copies of the row: it is
+    taken from the row's beginning; `first` and `n_blocks` are the row's first block and its source's blocks.
+    The schedule (slot, source_no, rank) is a written table."""
     spark = sized.sparkSession
     found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
@@ -119,57 +155,60 @@ def taken_words(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: i
     numbered = sized.join(F.broadcast(table), sized["source"].eqNullSafe(table["source"])).drop("source", "target", "words", "n_blocks", "need", "source_size")
     laid = lay_out(numbered, sum(r["n"] for r in found))
 
-    # How often each block is used: rank r of a source takes block r mod its number of blocks.
+    # How often each block is used, and where first: rank r of a source takes block r mod its number of blocks.
     facts = table.drop("source")
-    n_slots = sum(need for _, _, need in cuts)
-    ranks = schedule(facts, n_slots).select("source_no", "rank") if n_slots else spark.createDataFrame([], "source_no int, rank long")
-    drawn = F.coalesce("drawn", F.lit(0).cast("long"))
-    counts = facts.join(ranks.groupBy("source_no").agg(F.count("*").alias("drawn")), "source_no", "left").where(drawn < F.col("need"))
-    added = counts.select("source_no", F.explode(F.sequence(drawn, F.col("need") - 1)).alias("rank"))
-    uses = (
-        ranks.unionByName(added)
-        .join(F.broadcast(facts), "source_no")
-        .where("rank < need")
-        .groupBy("source_no", F.pmod("rank", "n_blocks").alias("block"))
-        .agg(F.count("*").alias("times"))
-    )
+    ranks = materialise(schedule(spark, [need for _, _, need in cuts]))
+    block_of = F.pmod("rank", "n_blocks").alias("block")
+    uses = ranks.join(F.broadcast(facts), "source_no").groupBy("source_no", block_of).agg(F.count("*").alias("times"), F.min("slot").alias("slot"))
     first, last = F.expr("at div words"), F.expr("(at + size - 1) div words")
     cut_up = laid.where("size > 0").join(F.broadcast(facts.select("source_no", "words")), "source_no")
     pieces = cut_up.select("source_no", "at", "size", "words", F.explode(F.sequence(first, last)).alias("block"))
     begin = F.col("block") * F.col("words")
     overlap = F.least(F.col("at") + F.col("size"), begin + F.col("words")) - F.greatest("at", begin)
     # Rows that hold a word are told apart by their place.
-    got = pieces.join(uses, ["source_no", "block"]).groupBy("source_no", "at", "size").agg(F.sum(overlap * F.col("times")).alias("taken"))
+    got = pieces.join(uses, ["source_no", "block"]).groupBy("source_no", "at", "size").agg(F.sum(overlap * F.col("times")).alias("taken"), F.min("slot").alias("first_slot"))
     taken = F.coalesce("taken", F.lit(0).cast("long"))
     rest = F.when(F.col("size") > 0, taken % F.col("size")).otherwise(0)
-    return laid.join(got, ["source_no", "at", "size"], "left").join(F.broadcast(facts), "source_no").withColumns({"taken": taken, "rest": rest})
+    # Rows without a word share places with others.
+    slot = F.when(F.col("size") > 0, F.col("first_slot"))
+    full = laid.join(got, ["source_no", "at", "size"], "left").join(F.broadcast(facts), "source_no")
+    return full.withColumns({"taken": taken, "rest": rest, "first_slot": slot, "first": first}), ranks
+
+
+def _sized(rows: DataFrame, *keep: str, prefix: str = "") -> DataFrame:
+    """The written table that the mix is made of."""
+    text = F.col(f"{prefix}text")
+    return materialise(rows.select(*keep, F.col(f"{prefix}source").alias("source"), word_count(text).alias("size"), _shuffled(prefix).alias("mixed"), F.spark_partition_id().alias("part")))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every row."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _shuffled().alias("mixed"))
-    return taken_words(materialise(sized), weights, block).select("doc_id", "size", "source_size", "target", "taken")
+    """doc_id, size, source_size, target, taken and first_slot of every row."""
+    rows, _ = taken_words(_sized(docs, "doc_id"), weights, block)
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def materialise_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """The mixed corpus: every row as often as the mix takes it whole, and the first words of a row that
-    is taken in part; n_chars, where there is one, follows the new text. Rows are numbered and written, so
-    that rows without an id and repeated rows find their own share again."""
+    """The mixed corpus, sorted by slot: every row as often as the mix takes it whole, and the first words of
+    a row that is taken in part; n_chars, where there is one, follows the new text. A copy stands at the slot
+    in which its first block comes up once more. Rows are numbered and written, so that rows without an id
+    and repeated rows find their own share again."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     numbered = materialise(docs.select(row, F.monotonically_increasing_id().alias("n")))
-    sized = numbered.select("n", "row.source", word_count(F.col("row.text")).alias("size"), _shuffled("row.").alias("mixed"))
-    taken = taken_words(materialise(sized), weights).where("taken > 0").select("n", "size", "taken", "rest")
-    drawn = numbered.join(taken.hint("merge"), "n")
+    found, ranks = taken_words(_sized(numbered, "n", prefix="row."), weights)
     copies = F.expr("array_repeat(false, int(taken div size))")
-    each = drawn.withColumn("part", F.explode(F.when(F.col("rest") > 0, F.concat(copies, F.array(F.lit(True)))).otherwise(copies)))
+    parts = F.when(F.col("rest") > 0, F.concat(copies, F.array(F.lit(True)))).otherwise(copies)
+    each = found.where("taken > 0").select("n", "source_no", "first", "n_blocks", "rest", F.posexplode(parts).alias("turn", "part"))
+    placed = each.withColumn("rank", F.col("first") + F.col("turn") * F.col("n_blocks")).join(ranks, ["source_no", "rank"]).select("n", "slot", "part", "rest")
+    drawn = numbered.join(placed.hint("merge"), "n")
     words = F.array_remove(F.split("row.text", r"[\x20\x09-\x0D]+"), "")
     text = F.when(F.col("part"), F.array_join(F.slice(words, F.lit(1), F.col("rest").cast("int")), " ")).otherwise(F.col("row.text"))
-    done = each.select("row", "part", text.alias("text"))
+    done = drawn.select("row", "part", "slot", text.alias("text"))
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         new["n_chars"] = F.when(F.col("part"), F.length("text").cast(kind)).otherwise(F.col("row.n_chars"))
-    return done.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    sorted_ = done.repartitionByRange("slot").sortWithinPartitions("slot")
+    return sorted_.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 #: The same rows in DuckDB: a source's need is met by whole passes over its blocks and by its first blocks.
@@ -202,12 +241,23 @@ WITH sized AS (
   SELECT *, greatest(1, (source_size + words - 1) // words) AS n_blocks FROM blocks
 ), cuts AS (
   SELECT *, passes * n_blocks + least(n_blocks, CAST(floor((target - passes * source_size) / words + 0.5) AS BIGINT)) AS need FROM needs
+), ends AS (
+  SELECT source, need, sum(need) OVER () AS total, sum(need) OVER (ORDER BY source NULLS LAST) AS stop FROM cuts WHERE need > 0
+), stretches AS (
+  SELECT source, need, ((stop - need)::HUGEINT << {BITS}) // total AS low, (stop::HUGEINT << {BITS}) // total AS high FROM ends
+), points AS (
+  SELECT slot, list_sum(list_transform(range({BITS}), lambda i: ((slot >> i) & 1) << ({BITS} - 1 - i))) AS point
+  FROM (SELECT unnest(range(0, 17 * (SELECT sum(need)::BIGINT FROM cuts) + 1024)) AS slot)
+), slots AS (
+  SELECT source, need, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank
+  FROM points JOIN stretches ON low <= point AND point < high
 ), laid AS (
   SELECT s.*, c.* EXCLUDE (source),
          coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY mixed ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
   FROM sized s JOIN cuts c ON s.source IS NOT DISTINCT FROM c.source
 )
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(size * (need // n_blocks) + greatest(0, least(size, (need % n_blocks) * words - place)) AS BIGINT) AS taken
-FROM laid
+SELECT l.doc_id, CAST(l.size AS BIGINT) AS size, l.source_size, l.target,
+       CAST(l.size * (l.need // l.n_blocks) + greatest(0, least(l.size, (l.need % l.n_blocks) * l.words - l.place)) AS BIGINT) AS taken,
+       CASE WHEN l.size > 0 THEN s.slot END AS first_slot
+FROM laid l LEFT JOIN slots s ON l.source IS NOT DISTINCT FROM s.source AND s.rank = l.place // l.words AND s.rank < s.need
 """

@@ -39,7 +39,7 @@ def test_stages_agree_with_their_operators(spark):
 
 def test_entry_lists_every_query():
     names = set(__spark_entry__.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
 
 
 def odd_rows(spark, folder):

@@ -587,7 +587,7 @@ def test_mixing_reaches_targets_of_tiny_sources(spark):
 
 
 def plain_mix(rows):
-    """taken of every row (doc_id, text, source), by the schedule, slot by slot."""
+    """size, taken and first slot of every row (doc_id, text, source), by the schedule, slot by slot."""
     sizes, order = defaultdict(int), lambda s: (s is None, s or "")
     for _, t, s in rows:
         sizes[s] += len(words(t))
@@ -595,23 +595,26 @@ def plain_mix(rows):
     aims = mixing.targets([sizes[s] for s in names], [(5.0, 2.0, 1.0)[i % 3] for i in range(len(names))])
     cuts = [mixing.cut(sizes[s], t) for s, t in zip(names, aims)]
     needs, total = [c[2] for c in cuts], sum(c[2] for c in cuts)
-    ranks = [0] * len(names)
-    used = [Counter() for _ in names]
-    for slot in range(1, total + 1):
-        point = slot * mixing.GOLDEN - int(slot * mixing.GOLDEN)
-        i = next(i for i in range(len(names)) if sum(needs[: i]) / total <= point < sum(needs[: i + 1]) / total)
-        if ranks[i] < needs[i]:
-            used[i][ranks[i] % cuts[i][1]] += 1
-        ranks[i] += 1
-    for i, need in enumerate(needs):
-        used[i].update(r % cuts[i][1] for r in range(min(ranks[i], need), need))
+    ends = [sum(needs[:i]) * 2**48 // total for i in range(len(names) + 1)]
+    slots = [[] for _ in names]
+    slot = 0
+    while any(len(s) < n for s, n in zip(slots, needs)):
+        at = int(f"{slot:048b}"[::-1], 2)
+        i = next(i for i in range(len(names)) if ends[i] <= at < ends[i + 1])
+        if len(slots[i]) < needs[i]:
+            slots[i].append(slot)
+        slot += 1
     out = []
     for i, name in enumerate(names):
-        at = 0
+        at, (block, n_blocks, _) = 0, cuts[i]
+        uses = defaultdict(list)
+        for rank, slot in enumerate(slots[i]):
+            uses[rank % n_blocks].append(slot)
         mine = [(d, t) for d, t, s in rows if s == name]
         for d, t in sorted(mine, key=lambda r: hashlib.md5(f"{'' if r[0] is None else r[0]}|{r[1] or ''}".encode()).hexdigest()):
-            n, block = len(words(t)), cuts[i][0]
-            out.append((d, n, sum(used[i][j // block] for j in range(at, at + n))))
+            n = len(words(t))
+            own = [slot for j in {j // block for j in range(at, at + n)} for slot in uses[j]]
+            out.append((d, n, sum(len(uses[j // block]) for j in range(at, at + n)), min(own, default=None)))
             at += n
     return sorted(out, key=repr)
 
@@ -626,11 +629,54 @@ def test_mixing_matches_the_schedule_in_plain_python(spark):
     rows = mixed_rows()
     docs = spark.createDataFrame([(d, t, "en", s, 0, *"rbktsz") for d, t, s in rows], SCHEMA)
     got = mixing.mix(docs).collect()
-    assert sorted(((r.doc_id, r.size, r.taken) for r in got), key=repr) == plain_mix(rows)
+    assert sorted(((r.doc_id, r.size, r.taken, r.first_slot) for r in got), key=repr) == plain_mix(rows)
     near = {r.source_size: r.target for r in got}
     assert near and sum(r.taken for r in got) == pytest.approx(sum(len(words(t)) for _, t, _ in rows), rel=0.01)
 
 
+def test_another_point_sequence_gives_another_mix(spark, monkeypatch):
+    docs = spark.createDataFrame([(d, t, "en", s, 0, *"rbktsz") for d, t, s in mixed_rows()], SCHEMA)
+    slots = lambda: sorted(((r.doc_id, r.first_slot) for r in mixing.mix(docs).collect()), key=repr)
+    texts = lambda: [(r.doc_id, r.text) for r in mixing.materialise_mix(docs).collect()]
+    first, corpus = slots(), texts()
+    real = mixing.point
+    monkeypatch.setattr(mixing, "point", lambda slot: real(slot * 5 + 3))
+    assert slots() != first and texts() != corpus and sorted(texts(), key=repr) == sorted(corpus, key=repr)
+    monkeypatch.setattr(mixing, "point", lambda slot: slot * 0)
+    with pytest.raises(ValueError, match="leave out"):
+        mixing.mix(docs)
+
+
+def test_points_are_reversed_bits(spark):
+    numbers = [0, 1, 2, 3, 255, 256, 12345678901234, (1 << 48) - 1]
+    df = spark.createDataFrame([(n,) for n in numbers], "n long").select(mixing.point(F.col("n")).alias("p"))
+    assert [r.p for r in df.collect()] == [int(f"{n:048b}"[::-1], 2) for n in numbers]
+
+
+def test_the_mixed_corpus_lies_in_the_order_of_the_slots(spark):
+    rows = mixed_rows()
+    docs = spark.createDataFrame([(d, t, "en", s, 0, *"rbktsz") for d, t, s in rows if d is not None], SCHEMA).dropDuplicates(["doc_id"])
+    slot = {r.doc_id: r.first_slot for r in mixing.mix(docs).collect()}
+    seen = list(dict.fromkeys(r.doc_id for r in mixing.materialise_mix(docs).collect()))
+    at = [slot[d] for d in seen]
+    assert at == sorted(at) and set(seen) == {d for d, s in slot.items() if s is not None}
+
+
+def test_mixing_oracle_splits_words_as_the_operator_does(spark):
+    """Carriage returns, vertical tabs and form feeds part words in SQL too; a third of the rows is one row."""
+    import duckdb
+
+    rows = [(i, f"a{i}\rb\x0bc\x0cd\te f\ng", ["x", "y", None][i % 3]) for i in range(30)] + [(99, "r\rs t", "x")] * 15 + [(None, "q " * 700, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar, source varchar)")
+    con.executemany("insert into documents values (?, ?, ?)", rows)
+    cur = con.execute(mixing.ORACLE_SQL)
+    names = [d[0] for d in cur.description]
+    want = sorted((tuple(dict(zip(names, r))[c] for c in ("doc_id", "size", "source_size", "taken", "first_slot")) for r in cur.fetchall()), key=repr)
+    assert sorted(((r.doc_id, r.size, r.source_size, r.taken, r.first_slot) for r in mixing.mix(docs).collect()), key=repr) == want
+
+
 def test_mixed_corpus_has_the_words_that_the_mix_takes(spark):
     rows = [(d, t, "en", s, len(t or ""), "r", "b", "k", "t", "s", "z") for d, t, s in mixed_rows()]
     docs = spark.createDataFrame(rows, SCHEMA).withColumn("n", F.lit(1)).withColumn("part", F.lit("p"))
