@@ -165,13 +165,14 @@ def places(planned: list[tuple[int, tuple[int, ...]]]) -> np.ndarray:
 
 def ranked(found: DataFrame, n: int) -> DataFrame:
     """Adds `rank` among the pieces of equal length: a running count over hash slices of a few thousand
-    rows plus a rank inside the slice, so that a common length never meets in one task."""
+    rows plus a rank inside the slice, so that a common length never meets in one task. Slices go by the
+    number of the row: repeated documents, and those without an id, spread as well."""
     slices = max(1, n // 4096)
-    cut = found.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)))
+    cut = found.withColumn("slice", F.pmod(F.xxhash64("row"), F.lit(slices)))
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     bases = cut.groupBy("length", "slice").agg(F.count("*").alias("n"))
     bases = bases.select("length", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("length", "slice").orderBy("doc_id", "piece", "ids_crc32")
+    inside = Window.partitionBy("length", "slice").orderBy("row")
     return (
         cut.withColumn("inside", F.row_number().over(inside) - 1)
         .join(bases, ["length", "slice"])
@@ -182,7 +183,7 @@ def ranked(found: DataFrame, n: int) -> DataFrame:
 
 def pack(docs: DataFrame, length: int = LENGTH, vocab: tuple[str, str] | None = None) -> DataFrame:
     """Every piece with its sequence_id and offset."""
-    found = materialise(pieces(docs, length, vocab))
+    found = materialise(pieces(docs, length, vocab).withColumn("row", F.monotonically_increasing_id()))
     counts = np.zeros(length + 1, np.int64)
     for r in found.groupBy("length").count().collect():
         counts[r["length"]] = r["count"]
