@@ -361,14 +361,14 @@ def _(spark, sf):
 
 
 @query("mod13_synthesise", f"""{_SAMPLES_SQL} SELECT frame_id, x, y,
-  round(least(greatest(target + 1.1 * (0.25 * r1 - 0.5 * g1 + 1.0 * b1 + 2.0), 0.5), 64.0), 9) AS thickness,
-  round(least(greatest(confidence + 1.2 * (0.1 * r1 - 0.2), 0.0), 1.0), 9) AS opacity, 0.5::DOUBLE AS border_blend FROM z""")
+  round(least(greatest(target + 1.1 * (0.25 * r1 - 0.5 * g1 + 1.0 * b1 + 2.0), 0.5), 64.0), 6) AS thickness,
+  round(least(greatest(confidence + 1.2 * (0.1 * r1 - 0.2), 0.0), 1.0), 6) AS opacity, 0.5::DOUBLE AS border_blend FROM z""")
 def _(spark, sf):
     """Two measures moved on, a third left as it is."""
     s, _ = M.standardize(_samples(spark, sf), ("r1", "g1", "b1"))
     s = s.withColumns({"thickness": c("target"), "opacity": c("confidence"), "border_blend": F.lit(0.5)})
     done = M.synthesise(s, ("r1", "g1", "b1"), {"thickness": [0.25, -0.5, 1.0, 2.0], "opacity": [0.1, 0.0, 0.0, -0.2]})
-    return done.select("frame_id", "x", "y", F.round("thickness", 9).alias("thickness"), F.round("opacity", 9).alias("opacity"), "border_blend")
+    return done.select("frame_id", "x", "y", F.round("thickness", 6).alias("thickness"), F.round("opacity", 6).alias("opacity"), "border_blend")
 
 
 def _fit_sql() -> str:
