@@ -129,7 +129,9 @@ def _comp_sql(mode):
     return pack_sql(a, ch("r"), ch("g"), ch("b"))
 
 
-_PAIR = ", pr AS (SELECT h.doc_id, h.x, h.y, l.a AS ba, l.r AS br, l.g AS bg, l.b AS bb, h.a AS sa, h.r AS sr, h.g AS sg, h.b AS sb FROM lay h JOIN lay l ON h.z = 1 AND l.z = 0 AND h.doc_id = l.doc_id AND h.x = l.x AND h.y = l.y)"
+#: Both layers of a cell side by side, without a join.
+_BOTH = ", both_ AS (SELECT doc_id, x, y, " + ", ".join(f"max({k}) FILTER (z = {z}) AS {n}{k}" for z, n in ((0, "b"), (1, "s")) for k in "argb") + " FROM lay GROUP BY doc_id, x, y)"
+_PAIR = f"{_BOTH}, pr AS (SELECT * FROM both_ WHERE ba IS NOT NULL AND sa IS NOT NULL)"
 
 
 def _pairs(spark, sf):
@@ -151,21 +153,20 @@ def _layer_table(p, opacity=1.0, clipped=False, blend="MULTIPLY", visible=True):
     return p.select("doc_id").distinct().select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*")
 
 
-_FLAT = ", fl AS (SELECT coalesce(l.doc_id, h.doc_id) AS doc_id, coalesce(l.x, h.x) AS x, coalesce(l.y, h.y) AS y, coalesce(l.a, 0) AS ba, coalesce(l.r, 0) AS br, coalesce(l.g, 0) AS bg, coalesce(l.b, 0) AS bb, coalesce({0}, 0) AS sa, coalesce(h.r, 0) AS sr, coalesce(h.g, 0) AS sg, coalesce(h.b, 0) AS sb FROM (SELECT * FROM lay WHERE z = 0) l FULL JOIN (SELECT * FROM lay WHERE z = 1 AND x < 64 AND y < 48) h ON h.doc_id = l.doc_id AND h.x = l.x AND h.y = l.y)"
+_FLAT = f"{_BOTH}, fl AS (SELECT doc_id, x, y, " + ", ".join(f"coalesce({n}{k}, 0) AS {n}{k}" for n in "bs" for k in "argb") + " FROM both_ WHERE x < 64 AND y < 48)"
 
 
-def _flat_sql(alpha, mode):
-    return f"{Y}{_FLAT.format(alpha)} SELECT doc_id, x, y, CASE WHEN sa = 0 AND ba = 0 THEN 0 WHEN ba = 0 THEN {pack_sql('sa', 'sr', 'sg', 'sb')} ELSE {_comp_sql(mode)} END AS argb FROM fl"
+def _flat_sql(mode):
+    return f"{Y}{_FLAT} SELECT doc_id, x, y, CASE WHEN sa = 0 AND ba = 0 THEN 0 WHEN ba = 0 THEN {pack_sql('sa', 'sr', 'sg', 'sb')} ELSE {_comp_sql(mode)} END AS argb FROM fl"
 
 
-@query("cmp2_flatten", _flat_sql("h.a", "MULTIPLY"))
+@query("cmp2_flatten", _flat_sql("MULTIPLY"))
 def _(spark, sf):
     p = views.layers(spark, sf)
     return L.flatten(L.place(p, _layer_table(p), 64, 48))
 
 
 _D255 = "(({0}) // 255)"
-_FADE = _D255.format("h.a * 102 + 127")
 
 
 @query("cmp3_place", f"{Y} SELECT doc_id, z, x, y, CASE WHEN z = 0 THEN {pack_sql('a', 'r', 'g', 'b')} ELSE {pack_sql(_D255.format('a * 102 + 127'), 'r', 'g', 'b')} END AS argb FROM lay WHERE x < 64 AND y < 48")
@@ -182,7 +183,7 @@ def _(spark, sf):
     return L.apply_masks(L.place(p, _layer_table(p), 64, 48), masks).select("doc_id", "z", "x", "y", "argb")
 
 
-@query("cmp5_clip", f"{Y} SELECT h.doc_id, h.z, h.x, h.y, CASE WHEN h.z = 0 THEN {pack_sql('h.a', 'h.r', 'h.g', 'h.b')} ELSE {pack_sql(_D255.format('h.a * coalesce(l.a, 0)'), 'h.r', 'h.g', 'h.b')} END AS argb FROM lay h LEFT JOIN lay l ON l.z = 0 AND h.doc_id = l.doc_id AND h.x = l.x AND h.y = l.y WHERE h.x < 64 AND h.y < 48")
+@query("cmp5_clip", f"{Y} SELECT doc_id, z, x, y, CASE WHEN z = 0 THEN {pack_sql('a', 'r', 'g', 'b')} ELSE {pack_sql(_D255.format('a * coalesce(base, 0)'), 'r', 'g', 'b')} END AS argb FROM (SELECT *, max(a) FILTER (z = 0) OVER (PARTITION BY doc_id, x, y) AS base FROM lay WHERE x < 64 AND y < 48)")
 def _(spark, sf):
     p = views.layers(spark, sf)
     t = _layer_table(p, clipped=True)
@@ -210,7 +211,7 @@ def _(spark, sf):
     return L.renumber(L.move_layer(t, 2, 0)).select("doc_id", "z", "blend")
 
 
-@query("cmp8_merge_range", _flat_sql("h.a", "SCREEN"))
+@query("cmp8_merge_range", _flat_sql("SCREEN"))
 def _(spark, sf):
     p = views.layers(spark, sf)
     return L.merge_range(L.place(p, _layer_table(p, blend="SCREEN"), 64, 48), 0, 1).select("doc_id", "x", "y", "argb")
