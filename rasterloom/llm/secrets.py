@@ -40,7 +40,8 @@ def labelled_samples(docs: DataFrame, bound: int = SAMPLE_DOCS) -> DataFrame:
     """(sample, label): 1 random, 0 ordinary, from about `bound` documents chosen by a hash of the id.
 
     Random: what the fixed patterns find there, and digests of the texts in the alphabets of keys.
-    Ordinary: the texts' words, plain and joined as identifiers, paths and file names are."""
+    Ordinary: the texts' words, plain and joined as identifiers, paths and file names are, and numbers as
+    dates, order and telephone numbers, book numbers, versions, dated paths and UUIDs are written."""
     n = docs.count()
     part = min(1.0, bound / max(n, 1))
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 40)) < max(1, int(part * (1 << 40))))
@@ -66,9 +67,31 @@ def labelled_samples(docs: DataFrame, bound: int = SAMPLE_DOCS) -> DataFrame:
     )
     joined = F.when(F.size("words") >= 3, F.flatten(joined)).otherwise(F.array().cast("array<string>"))
     ordinary = words.select(F.explode(F.concat("words", joined)).alias("sample"), F.lit(0).alias("label"))
+    ordinary = ordinary.unionAll(texts.select(F.explode(_numbers(digest)).alias("sample"), F.lit(0).alias("label")))
     return random.unionAll(ordinary)
 
 
+#: Ordinary numbers: `d` stands for a digit, `x` for a hexadecimal one, months and days are near enough.
+NUMBERS = (
+    "20dd-0d-1d", "20dd-1d-2d-0ddddd", "20dd/0d/1d", "20dd0d1ddddddd", "dddddddddddddddd", "ddd-ddddddd-ddddddd", "+dd-dd-dddddddd",
+    "0dd-dddddddd", "978-d-dd-dddddd-d-ddddddd", "978ddddddddddd", "d.dd.dd-20dd0d1d", "v1.d.d-rc.d.20dd1d2d", "archive/20dd/0d/ddddddd.html",
+    "dd.dd.20dd-dd.dd.20dd", "ORD-20dd-dddddddd", "INV-ddddddd-dd", "dddd-dddd-dddd-dddd", "xxxxxxxx-xxxx-4xxx-axxx-xxxxxxxxxxxx",
+    *["xxxxxxxx-xxxx-xxxx-xxxx-xxxxxxxxxxxx"] * 5,
+)
+
+
+def _numbers(digest: Column) -> Column:
+    """One sample of every form, filled with the digits of a digest, each form from another place on."""
+    hexes = F.concat(digest, digest)
+    digits = F.translate(hexes, "abcdef", "314159")
+
+    def written(form: str, at: int) -> Column:
+        parts = [F.substring(digits if c == "d" else hexes, 1 + (at + i) % 64, 1) if c in "dx" else F.lit(c) for i, c in enumerate(form)]
+        return F.concat(*parts)
+
+    return F.array(*[written(form, 3 * k) for k, form in enumerate(NUMBERS)])
+
+
 def fit(samples: DataFrame, smoothing: float = SMOOTHING) -> list[float]:
     """log p(next | char, random) - log p(next | char, ordinary) for every pair of characters. The driver
     receives one count per pair and label. Equal samples are counted before they fall into pairs."""
