@@ -302,3 +302,27 @@ def test_paint_merge_fill_moves_joined_paint_to_the_base(spark, given):
                 want[(x + dx, y + dy)] = f[(x, y)]
         assert out[i] == want
         assert (i == 9) == (want == base[i])
+
+
+def test_auto_ink_compares_and_renders_the_largest_drawings(spark):
+    """Specks beside the drawings count neither for the comparison nor for the rendering."""
+    from rasterloom.operators import compare as CO
+
+    def scan(shapes):
+        rows = []
+        for i, (strokes, specks) in shapes.items():
+            rows += [(i, x, y, 0.9 if (x, y) in strokes else 0.8 if (x, y) in specks else 0.003 * ((x + y) % 3)) for x in range(WIDE) for y in range(HIGH)]
+        return spark.createDataFrame(rows, "frame_id long, x int, y int, value double").cache()
+
+    pencil = {0: (ring(20, 16, 9, 2), {(1, 1), (2, 1)}), 3: (ring(22, 15, 11, 3), {(42, 32)})}
+    inked = {0: (ring(20, 16, 9, 4), {(40, 2)}), 3: (ring(20, 17, 10, 5), set())}
+    a, b = scan(pencil), scan(inked)
+    drawings = [points(spark, {i: s for i, (s, _) in shapes.items()}) for shapes in (pencil, inked)]
+    compared, rendered = J.auto_ink(a, b, 2.0, least=None)
+    looks = [CO.appearances(CO.register_rasters(s, drawing=d)) for s, d in zip((a, b), drawings)]
+    plain = lambda df: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect()), key=repr)
+    assert plain(compared) == plain(CO.compare_appearances(*looks, None)) and compared.count() == 2
+    want = plain(CO.generate(a, b, looks=tuple(looks), drawings=tuple(drawings)))
+    gray = {r[:3]: r[3] for r in plain(rendered)}
+    assert gray == {r[:3]: r[3] for r in want} and len(gray) == 2 * WIDE * HIGH
+    assert gray[(0, 1, 1)] == 255 and gray[(0, 28, 16)] < 128
