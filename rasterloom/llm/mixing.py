@@ -202,13 +202,14 @@ def materialise_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> Da
     drawn = numbered.join(placed.hint("merge"), "n")
     words = F.array_remove(F.split("row.text", r"[\x20\x09-\x0D]+"), "")
     text = F.when(F.col("part"), F.array_join(F.slice(words, F.lit(1), F.col("rest").cast("int")), " ")).otherwise(F.col("row.text"))
-    done = drawn.select("row", "part", "slot", text.alias("text"))
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         new["n_chars"] = F.when(F.col("part"), F.length("text").cast(kind)).otherwise(F.col("row.n_chars"))
-    sorted_ = done.repartitionByRange("slot").sortWithinPartitions("slot")
-    return sorted_.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    done = drawn.withColumn("text", text)
+    made = F.struct(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns]).alias("made")
+    # Only what is returned goes to the ranges of slots.
+    return done.select("slot", made).repartitionByRange("slot").sortWithinPartitions("slot").select("made.*")
 
 
 #: The same rows in DuckDB: a source's need is met by whole passes over its blocks and by its first blocks.
