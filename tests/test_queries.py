@@ -1,5 +1,6 @@
 """Every registered query with an oracle agrees with DuckDB at the smallest scale."""
 
+import decimal
 import math
 import os
 
@@ -18,7 +19,8 @@ FAMILIES = (
 
 
 def plain(v):
-    if isinstance(v, float):
+    if isinstance(v, (float, decimal.Decimal)):
+        v = float(v)
         return "nan" if math.isnan(v) else float(f"{v:.9g}") + 0.0
     return tuple(map(plain, v)) if isinstance(v, (list, tuple)) else v
 
