@@ -54,21 +54,56 @@ def visible_bounds(scan: DataFrame, threshold: float) -> DataFrame:
     return seen.groupBy("frame_id").agg(*[f(c).alias(f"{c}_{n}") for c in "xy" for n, f in (("min", F.min), ("max", F.max))])
 
 
+def _gathered(scan: DataFrame) -> DataFrame:
+    """(frame_id, width, height, at, cells): one row per frame with its cells' places, row by row from (0, 0), and
+    darkness."""
+    every = scan.groupBy("frame_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), F.collect_list(F.struct("x", "y", "value")).alias("c"))
+    at = F.transform("c", lambda c: c["y"].cast("long") * F.col("width") + c["x"])
+    return every.select("frame_id", "width", "height", at.alias("at"), F.transform("c", lambda c: c["value"].cast("double")).alias("cells"))
+
+
+def _laid(at: np.ndarray, cells: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Row-major image of a frame's cells, 0 where it has none."""
+    out = np.zeros(width * height)
+    out[np.asarray(at, np.int64)] = cells
+    return out
+
+
 def raster(scan: DataFrame) -> DataFrame:
     """(frame_id, width, height, values): one row per frame with its darkness from (0, 0), row by row; cells
     that the scan leaves out are 0. A row is as large as its image."""
-    size = scan.groupBy("frame_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
-    lines = scan.groupBy("frame_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", "value"))).alias("cells"))
-    every = size.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).join(lines, ["frame_id", "y"], "left")
-    # The zeros before a line's first cell and after each of its cells.
-    xs = F.transform("cells", lambda c: c["x"])
-    nexts = F.concat(F.slice(xs, F.lit(2), F.size("cells")), F.array("width"))
-    filled = F.zip_with("cells", nexts, lambda c, x: F.concat(F.array(c["value"]), F.array_repeat(F.lit(0.0), x - c["x"] - 1)))
-    line = F.concat(F.array_repeat(F.lit(0.0), F.get(xs, F.lit(0))), F.flatten(filled))
-    full = F.when(F.col("cells").isNull(), F.array_repeat(F.lit(0.0), F.col("width"))).otherwise(line)
-    stacked = every.select("frame_id", "width", "height", "y", full.alias("line")).groupBy("frame_id", "width", "height")
-    ordered = stacked.agg(F.array_sort(F.collect_list(F.struct("y", "line"))).alias("lines"))
-    return ordered.select("frame_id", "width", "height", F.flatten(F.transform("lines", lambda r: r["line"])).alias("values"))
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        values = [_laid(*r) for r in zip(rows["at"], rows["cells"], rows["width"], rows["height"])]
+        return rows[["frame_id", "width", "height"]].assign(values=values)
+
+    return _in_blocks(_gathered(scan), work, _schema(scan, "width int, height int, values array<double>"), lambda r: int(r["width"]) * int(r["height"]))
+
+
+#: Cells of a block of images that a task holds as arrays and hands on at once.
+BLOCK = 1 << 20
+
+
+def _schema(scan: DataFrame, rest: str) -> str:
+    return f"frame_id {scan.schema['frame_id'].dataType.simpleString()}, {rest}"
+
+
+def _in_blocks(rows: DataFrame, work, schema: str, cells) -> DataFrame:
+    """The rows as `work` turns them, taken in blocks of BLOCK `cells` (a function of a row), or of one row where it
+    has more. Batches are limited by rows and by bytes that come in, not by what comes of them."""
+
+    def run(batches):
+        for batch in batches:
+            n = np.cumsum([cells(r) for r in batch.to_dict("records")], dtype=np.int64)
+            start = 0
+            while start < len(batch):
+                end = max(start + 1, int(np.searchsorted(n, (n[start - 1] if start else 0) + BLOCK, "right")))
+                yield work(batch.iloc[start:end])
+                start = end
+
+    # A frame is much work and few bytes: tasks are as many as the session's, not as few as bytes would make them.
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "frame_id").mapInPandas(run, schema)
 
 
 def _bounds(scan: DataFrame) -> DataFrame:
@@ -79,12 +114,16 @@ def _bounds(scan: DataFrame) -> DataFrame:
     return b.withColumns({"b_width": F.col("x_max") - F.col("x_min") + 1, "b_height": F.col("y_max") - F.col("y_min") + 1})
 
 
-def _with_mask(rasters: DataFrame, drawing: DataFrame) -> DataFrame:
-    """Adds `mask`, row-major booleans of a drawing's points (shape_id, x, y) inside the image."""
+def _marks(rasters: DataFrame, drawing: DataFrame) -> DataFrame:
+    """(frame_id, at): places of a drawing's points (shape_id, x, y) inside the image, row by row."""
     inside = drawing.select(F.col("shape_id").alias("frame_id"), "x", "y").join(rasters.select("frame_id", "width", "height"), "frame_id")
     inside = inside.where((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < F.col("width")) & (F.col("y") < F.col("height")))
-    at = inside.groupBy("frame_id").agg(F.collect_set(F.col("y") * F.col("width") + F.col("x")).alias("at"))
-    return rasters.join(at, "frame_id").withColumn("mask", _marked("at", F.size("values"))).drop("at")
+    return inside.groupBy("frame_id").agg(F.collect_set(F.col("y") * F.col("width") + F.col("x")).alias("at"))
+
+
+def _with_mask(rasters: DataFrame, drawing: DataFrame) -> DataFrame:
+    """Adds `mask`, row-major booleans of a drawing's points (shape_id, x, y) inside the image."""
+    return rasters.join(_marks(rasters, drawing), "frame_id").withColumn("mask", _marked("at", F.size("values"))).drop("at")
 
 
 def register_rasters(scan: DataFrame, size: int = GRID, margin: int = MARGIN, drawing: DataFrame | None = None) -> DataFrame:
@@ -92,19 +131,40 @@ def register_rasters(scan: DataFrame, size: int = GRID, margin: int = MARGIN, dr
     uniformly and centred, bilinear between pixel centres, 0 outside the image. Frames without anything
     visible are left out. With a drawing (points), its bounds count, and `core` marks the cells that have
     one of its points among their four corners."""
-    r = raster(scan)
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        drawn = [_drawn(r, size) for r in rows.to_dict("records")]
+        out = pd.DataFrame({"frame_id": rows["frame_id"].to_numpy(), "width": size, "height": size, "values": [v for v, _ in drawn], "scale": rows["scale"].to_numpy()})
+        return out if drawing is None else out.assign(core=[c for _, c in drawn])
+
+    core = "" if drawing is None else ", core array<boolean>"
+    return _in_blocks(_placed(scan, size, margin, drawing), work, _schema(scan, f"width int, height int, values array<double>, scale double{core}"), lambda _: size * size)
+
+
+def _placed(scan: DataFrame, size: int, margin: int, drawing: DataFrame | None) -> DataFrame:
+    """The gathered scans with the scale and the start (u0, v0) of the grid they are drawn to, and with the places
+    `marked` of a drawing's points inside the image."""
+    r = _gathered(scan)
     if drawing is None:
-        r = r.join(_bounds(scan), "frame_id")
+        b = _bounds(scan)
     else:
         b = drawing.groupBy(F.col("shape_id").alias("frame_id")).agg(*[f(c).alias(f"{c}_{n}") for c in "xy" for n, f in (("min", F.min), ("max", F.max))])
-        r = _with_mask(r, drawing).join(b.withColumns({"b_width": F.col("x_max") - F.col("x_min") + 1, "b_height": F.col("y_max") - F.col("y_min") + 1}), "frame_id")
-    r = r.withColumn("scale", F.lit(float(size - 2 * margin)) / F.greatest("b_width", "b_height"))
+        b = b.withColumns({"b_width": F.col("x_max") - F.col("x_min") + 1, "b_height": F.col("y_max") - F.col("y_min") + 1})
+        r = r.join(_marks(r, drawing).withColumnRenamed("at", "marked"), "frame_id")
+    r = r.join(b, "frame_id").withColumn("scale", F.lit(float(size - 2 * margin)) / F.greatest("b_width", "b_height"))
     start = lambda low, extent: F.col(low) - 0.5 + (0.5 - (F.lit(float(size)) - F.col(extent) * F.col("scale")) * 0.5) / F.col("scale")
     r = r.withColumns({"u0": start("x_min", "b_width"), "v0": start("y_min", "b_height")})
-    n = F.lit(size)
-    drawn = _resampled("values", "width", "u0", "v0", "scale", n)
-    core = [] if drawing is None else [_resampled_mask("mask", "width", "u0", "v0", "scale", n).alias("core")]
-    return r.select("frame_id", n.alias("width"), n.alias("height"), drawn.alias("values"), "scale", *core)
+    return r.select("frame_id", "width", "height", "at", "cells", "scale", "u0", "v0", *([] if drawing is None else ["marked"]))
+
+
+def _drawn(row: dict, size: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """A placed scan on its grid, and the cells of its core if a drawing marks it."""
+    place = (int(row["width"]), row["u0"], row["v0"], row["scale"], size)
+    values = _resampled(_laid(row["at"], row["cells"], int(row["width"]), int(row["height"])), *place)
+    if "marked" not in row:
+        return values, None
+    mask = np.zeros(int(row["width"]) * int(row["height"]), bool)
+    mask[np.asarray(row["marked"], np.int64)] = True
+    return values, _resampled_mask(mask, *place)
 
 
 def register(scan: DataFrame, size: int = GRID, margin: int = MARGIN) -> DataFrame:
@@ -112,31 +172,26 @@ def register(scan: DataFrame, size: int = GRID, margin: int = MARGIN) -> DataFra
     return cells_of(register_rasters(scan, size, margin))
 
 
-def cells_of(rasters: DataFrame, col: str = "values") -> DataFrame:
-    each = rasters.select("frame_id", "width", F.posexplode(col).alias("i", "value"))
-    return each.select("frame_id", (F.col("i") % F.col("width")).alias("x"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), "value")
-
+def cells_of(rasters: DataFrame, col: str = "values", *carry: str) -> DataFrame:
+    each = rasters.select("frame_id", "width", *carry, F.posexplode(col).alias("i", "value"))
+    return each.select("frame_id", *carry, (F.col("i") % F.col("width")).alias("x"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), "value")
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _resampled(values: pd.Series, width: pd.Series, u0: pd.Series, v0: pd.Series, scale: pd.Series, size: pd.Series) -> pd.Series:
-    """Row-major images drawn to size x size cells, cell (i, j) at (u0 + i / scale, v0 + j / scale): bilinear
-    between neighbours, 0 outside."""
 
-    def one(flat: np.ndarray, w: int, u: float, v: float, step: float, n: int) -> np.ndarray:
-        image, along = np.asarray(flat, np.float64).reshape(-1, w), np.arange(n) / step
+def _resampled(flat: np.ndarray, w: int, u: float, v: float, step: float, n: int) -> np.ndarray:
+    """A row-major image drawn to n x n cells, cell (i, j) at (u + i / step, v + j / step): bilinear between
+    neighbours, 0 outside."""
+    image, along = np.asarray(flat, np.float64).reshape(-1, w), np.arange(n) / step
 
-        def axis(at: np.ndarray, extent: int):
-            inside = (at >= 0) & (at <= extent - 1)
-            low = np.clip(np.floor(at), 0, extent - 1).astype(int)
-            return inside, low, np.minimum(low + 1, extent - 1), at - low
+    def axis(at: np.ndarray, extent: int):
+        inside = (at >= 0) & (at <= extent - 1)
+        low = np.clip(np.floor(at), 0, extent - 1).astype(int)
+        return inside, low, np.minimum(low + 1, extent - 1), at - low
 
-        in_x, x0, x1, tx = axis(u + along, w)
-        in_y, y0, y1, ty = axis(v + along, len(image))
-        rows = image[:, x0] + (image[:, x1] - image[:, x0]) * tx
-        drawn = rows[y0] + (rows[y1] - rows[y0]) * ty[:, None]
-        return np.where(in_y[:, None] & in_x, drawn, 0.0).ravel()
-
-    return pd.Series([one(*r) for r in zip(values, width, u0, v0, scale, size)])
+    in_x, x0, x1, tx = axis(u + along, w)
+    in_y, y0, y1, ty = axis(v + along, len(image))
+    rows = image[:, x0] + (image[:, x1] - image[:, x0]) * tx
+    drawn = rows[y0] + (rows[y1] - rows[y0]) * ty[:, None]
+    return np.where(in_y[:, None] & in_x, drawn, 0.0).ravel()
 
 
 @F.pandas_udf(T.ArrayType(T.BooleanType()))
@@ -151,38 +206,33 @@ def _marked(at: pd.Series, size: pd.Series) -> pd.Series:
     return pd.Series([one(a, n) for a, n in zip(at, size)])
 
 
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def _resampled_mask(mask: pd.Series, width: pd.Series, u0: pd.Series, v0: pd.Series, scale: pd.Series, size: pd.Series) -> pd.Series:
+def _resampled_mask(flat: np.ndarray, w: int, u: float, v: float, step: float, n: int) -> np.ndarray:
     """Cells of the grid with a true corner among the four image cells around them."""
-
-    def one(flat: np.ndarray, w: int, u: float, v: float, step: float, n: int) -> np.ndarray:
-        image = np.pad(np.asarray(flat, bool).reshape(-1, w), 1)
-        near = image[:-1, :-1] | image[1:, :-1] | image[:-1, 1:] | image[1:, 1:]
-        x, y = (np.floor(a + np.arange(n) / step).astype(int) + 1 for a in (u, v))
-        inside = lambda at, extent: (at >= 0) & (at < extent)
-        ok = inside(y, len(near))[:, None] & inside(x, near.shape[1])
-        return (near[np.clip(y, 0, len(near) - 1)][:, np.clip(x, 0, near.shape[1] - 1)] & ok).ravel()
-
-    return pd.Series([one(*r) for r in zip(mask, width, u0, v0, scale, size)])
+    image = np.pad(np.asarray(flat, bool).reshape(-1, w), 1)
+    near = image[:-1, :-1] | image[1:, :-1] | image[:-1, 1:] | image[1:, 1:]
+    x, y = (np.floor(a + np.arange(n) / step).astype(int) + 1 for a in (u, v))
+    inside = lambda at, extent: (at >= 0) & (at < extent)
+    ok = inside(y, len(near))[:, None] & inside(x, near.shape[1])
+    return (near[np.clip(y, 0, len(near) - 1)][:, np.clip(x, 0, near.shape[1] - 1)] & ok).ravel()
 
 
 def _field(mask: np.ndarray) -> np.ndarray:
-    """Chamfer distance (3 a step, 4 a diagonal) of every cell of a mask to the nearest true cell: a pass
-    down and a pass up; along a row, steps are a running minimum."""
-    far, w = 1_000_000, mask.shape[1]
-    d = np.where(mask, 0, far).astype(np.int64)
-    slope = 3 * np.arange(w)
-    for rows, step in ((range(len(d)), -1), (range(len(d) - 1, -1, -1), 1)):
+    """Chamfer distance (3 a step, 4 a diagonal) of every cell of a mask, or of a stack of masks, to the nearest
+    true cell: a pass down and a pass up; along a row, steps are a running minimum."""
+    far, (high, w) = 1_000_000, mask.shape[-2:]
+    d = np.where(mask, np.int32(0), np.int32(far))
+    slope = 3 * np.arange(w, dtype=np.int32)
+    for rows, step in ((range(high), -1), (range(high - 1, -1, -1), 1)):
         for y in rows:
-            row = d[y]
-            if 0 <= y + step < len(d):
-                near = d[y + step]
+            row = d[..., y, :]
+            if 0 <= y + step < high:
+                near = d[..., y + step, :]
                 row = np.minimum(row, near + 3)
-                row[1:] = np.minimum(row[1:], near[:-1] + 4)
-                row[:-1] = np.minimum(row[:-1], near[1:] + 4)
-            row = np.minimum.accumulate(row - slope) + slope
-            d[y] = (np.minimum.accumulate((row + slope)[::-1])[::-1]) - slope
-    return np.minimum(d, far).astype(np.int32)
+                row[..., 1:] = np.minimum(row[..., 1:], near[..., :-1] + 4)
+                row[..., :-1] = np.minimum(row[..., :-1], near[..., 1:] + 4)
+            row = np.minimum.accumulate(row - slope, -1) + slope
+            d[..., y, :] = np.minimum.accumulate((row + slope)[..., ::-1], -1)[..., ::-1] - slope
+    return np.minimum(d, far)
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -192,9 +242,20 @@ def _chamfer_field(mask: pd.Series, width: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.DoubleType())
-def _mean_distance(core: pd.Series, distance: pd.Series) -> pd.Series:
-    """Mean, in steps, of the distances at the core's cells."""
-    return pd.Series([np.asarray(d)[np.asarray(c, bool)].mean() / 3 for c, d in zip(core, distance)])
+def _apart(a: pd.Series, b: pd.Series, size: pd.Series) -> pd.Series:
+    """Mean distance, in steps, of each of two packed square cores from the other, both ways."""
+
+    def one(a: bytes, b: bytes, n: int) -> float:
+        cores = np.stack([np.unpackbits(np.frombuffer(c, np.uint8), count=n * n).astype(bool).reshape(n, n) for c in (a, b)])
+        far = _field(cores)
+        return (far[1][cores[0]].mean() / 3 + far[0][cores[1]].mean() / 3) / 2
+
+    return pd.Series([one(*r) for r in zip(a, b, size)])
+
+
+@F.pandas_udf(T.BinaryType())
+def _packed(core: pd.Series) -> pd.Series:
+    return pd.Series([np.packbits(np.asarray(c, bool)).tobytes() for c in core])
 
 
 _MEASURES = T.StructType([
@@ -203,20 +264,26 @@ _MEASURES = T.StructType([
 ])
 
 
+def _measure(values: np.ndarray, mask: np.ndarray, far: np.ndarray, reach: int) -> tuple:
+    """Of an image, its core and the distance from there: the core's area, outer edges, mean and deviation of
+    darkness, and the mean darkness of each ring 1..reach around it (NaN: no cell)."""
+    inside = values[mask]
+    shared = (mask[:, 1:] & mask[:, :-1]).sum() + (mask[1:] & mask[:-1]).sum()
+    ring = np.where(mask, 0, np.minimum(np.floor(far / 3 + 0.5), reach + 1)).astype(np.int64).ravel()
+    n, dark = np.bincount(ring, minlength=reach + 2), np.bincount(ring, values.ravel(), reach + 2)
+    with np.errstate(invalid="ignore"):
+        means = (dark / n)[1 : reach + 1]
+    some = len(inside) > 0
+    return int(mask.sum()), int(4 * mask.sum() - 2 * shared), float(inside.mean()) if some else None, float(inside.std()) if some else None, means
+
+
 def _measured(reach: int):
-    """Function of (values, core, width): distance from the core, its area, outer edges, mean and deviation
-    of darkness, and the mean darkness of each ring 1..reach around it (NaN: no cell)."""
+    """Function of (values, core, width): distance from the core, and its measures."""
 
     def one(values: np.ndarray, core: np.ndarray, w: int):
         v, mask = np.asarray(values, np.float64).reshape(-1, w), np.asarray(core, bool).reshape(-1, w)
-        inside, far = v[mask], _field(mask)
-        shared = (mask[:, 1:] & mask[:, :-1]).sum() + (mask[1:] & mask[:-1]).sum()
-        ring = np.where(mask, 0, np.minimum(np.floor(far / 3 + 0.5), reach + 1)).astype(np.int64).ravel()
-        n, dark = np.bincount(ring, minlength=reach + 2), np.bincount(ring, v.ravel(), reach + 2)
-        with np.errstate(invalid="ignore"):
-            means = (dark / n)[1 : reach + 1]
-        some = len(inside) > 0
-        return far.ravel(), int(mask.sum()), int(4 * mask.sum() - 2 * shared), float(inside.mean()) if some else None, float(inside.std()) if some else None, means
+        far = _field(mask)
+        return far.ravel(), *_measure(v, mask, far, reach)
 
     @F.pandas_udf(_MEASURES)
     def run(values: pd.Series, core: pd.Series, width: pd.Series) -> pd.DataFrame:
@@ -226,10 +293,26 @@ def _measured(reach: int):
     return run
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _bins(values: pd.Series) -> pd.Series:
-    """Numbers of values from the noise on in 256 bins."""
-    return pd.Series([np.bincount(np.floor(np.clip(v[v >= NOISE], 0, 1) * 255 + 0.5).astype(np.int64), minlength=256) for v in map(np.asarray, values)])
+def _limit(values: np.ndarray) -> float:
+    """Threshold of an image's core, from the noise on: `otsu` of one image."""
+    h = np.bincount(np.floor(np.clip(values[values >= NOISE], 0, 1) * 255 + 0.5).astype(np.int64), minlength=256)
+    low, bins = max(1, math.ceil(NOISE * 255)), np.arange(256)
+    count, moment = int(h.sum()), int((h * bins).sum())
+    bn, bm = np.cumsum(h[low:]), np.cumsum((h * bins)[low:])
+    some = np.flatnonzero((h[low:] > 0) & (bn < count))
+    if not len(some):
+        return max(NOISE, low / 255 if count else NOISE)
+    bn, bm, fn = bn[some], bm[some], count - bn[some]
+    d = bm / bn - (moment - bm) / fn
+    v = bn.astype(np.float64) * fn * d * d
+    # Larger ones have no seventh decimal that tells.
+    v = np.where(v < 1e9, np.round(v, 6), v)
+    return max(NOISE, (low + int(some[v.argmax()])) / 255)
+
+
+@F.pandas_udf(T.DoubleType())
+def _limits(values: pd.Series) -> pd.Series:
+    return pd.Series([_limit(np.asarray(v)) for v in values])
 
 
 def appearances(rasters: DataFrame, reach: int = PROBE) -> DataFrame:
@@ -237,10 +320,29 @@ def appearances(rasters: DataFrame, reach: int = PROBE) -> DataFrame:
     area, thickness, opacity, pressure, profile (relative darkness by ring 0..reach around the core, made
     monotone from outside) and border (its score). Frames with under four core cells are left out."""
     if "core" not in rasters.columns:
-        binned = rasters.select("frame_id", F.posexplode(_bins(F.col("values"))).alias("bin", "n")).where("n > 0")
-        limits = _otsu_of(binned, rasters.select("frame_id"), NOISE).select("frame_id", F.greatest("threshold", F.lit(NOISE)).alias("threshold"))
-        rasters = rasters.join(limits, "frame_id").withColumn("core", F.transform("values", lambda v: v >= F.col("threshold"))).drop("threshold")
-    g = rasters.withColumn("m", _measured(reach)("values", "core", "width")).select("*", "m.*").drop("m").where("area >= 4")
+        rasters = rasters.withColumn("limit", _limits("values")).withColumn("core", F.transform("values", lambda v: v >= F.col("limit"))).drop("limit")
+    g = rasters.withColumn("m", _measured(reach)("values", "core", "width")).select("*", "m.*").drop("m")
+    return _described(g, reach)
+
+
+def registered_looks(scan: DataFrame, size: int = GRID, margin: int = MARGIN, drawing: DataFrame | None = None, reach: int = PROBE) -> DataFrame:
+    """The appearances of a scan's registered rasters, without rasters: only `bits`, the core's cells packed eight to
+    a byte, tells its shape. A frame is drawn, measured and dropped in one task, a block at a time."""
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        drawn = [_drawn(r, size) for r in rows.to_dict("records")]
+        cores = np.stack([v >= _limit(v) if c is None else c for v, c in drawn])
+        images, masks = np.stack([v for v, _ in drawn]).reshape(-1, size, size), cores.reshape(-1, size, size)
+        measures = [_measure(v, m, f, reach) for v, m, f in zip(images, masks, _field(masks))]
+        out = pd.DataFrame(measures, columns=["area", "edges", "opacity", "deviation", "rings"])
+        return out.assign(frame_id=rows["frame_id"].to_numpy(), width=size, scale=rows["scale"].to_numpy(), bits=[np.packbits(c).tobytes() for c in cores])
+
+    schema = _schema(scan, "area long, edges long, opacity double, deviation double, rings array<double>, width int, scale double, bits binary")
+    return _described(_in_blocks(_placed(scan, size, margin, drawing), work, schema, lambda _: size * size), reach)
+
+
+def _described(measured: DataFrame, reach: int) -> DataFrame:
+    g = measured.where("area >= 4")
     relative = F.transform("rings", lambda r: F.when(~F.isnan(r), N.clamp01(r / F.col("opacity"))))
     g = g.withColumn("relative", relative)
     weight = F.array(*[F.lit(1.0 - k / reach) for k in range(reach)])
@@ -278,14 +380,22 @@ def _pairs(a: DataFrame, b: DataFrame, *more: str) -> DataFrame:
     return named(a, "a").join(named(b, "b"), "frame_id")
 
 
+def _paired_cores(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The pairs with their cores, packed, and the side of their grid."""
+    packed = lambda d: d if "bits" in d.columns else d.withColumn("bits", _packed("core"))
+    return _pairs(packed(a), packed(b), "bits", "width")
+
+
+def _with_shape(pairs: DataFrame, out: str) -> DataFrame:
+    tolerance = F.greatest(F.lit(1.5), (F.col("a_thickness") + F.col("b_thickness")) * 0.75)
+    far = pairs.withColumn("far", _apart("a_bits", "b_bits", "a_width")).drop("a_bits", "b_bits")
+    return far.withColumn(out, N.clamp01(F.exp(-F.col("far") / tolerance)))
+
+
 def shape_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
     """(frame_id, similarity) of two tables of appearances on one grid: exp of minus the mean distance of
     each core from the other, both ways, over a tolerance that grows with the strokes' thickness."""
-    p = _pairs(a, b, "core", "distance")
-    far = (_mean_distance("a_core", "b_distance") + _mean_distance("b_core", "a_distance")) / 2
-    tolerance = F.greatest(F.lit(1.5), (F.col("a_thickness") + F.col("b_thickness")) * 0.75)
-    measured = p.select("frame_id", far.alias("far"), tolerance.alias("tolerance"))
-    return measured.select("frame_id", N.clamp01(F.exp(-F.col("far") / F.col("tolerance"))).alias("similarity"))
+    return _with_shape(_paired_cores(a, b), "similarity").select("frame_id", "similarity")
 
 
 #: Shares of thickness, border and darkness in the likeness of two drawings; darkness is opacity and pressure.
@@ -293,27 +403,34 @@ LOOK_WEIGHTS = {"thickness": 1.0, "border": 1.5, "opacity": 1.0}
 OPACITY_SHARE, LEAST_SIMILARITY = 0.65, 0.18
 
 
-def appearance_similarity(a: DataFrame, b: DataFrame, weights: dict[str, float] = LOOK_WEIGHTS) -> DataFrame:
-    """(frame_id, similarity): weighted mean of the ratio similarities of thickness, border and darkness."""
+def _likeness(weights: dict[str, float]) -> Column:
     if not sum(weights.values()) > 0:
         raise ValueError("one weight must be positive")
     like = {k: ratio_similarity(F.col(f"a_{k}"), F.col(f"b_{k}")) for k in _LOOKS}
     like["opacity"] = like["opacity"] * OPACITY_SHARE + like["pressure"] * (1 - OPACITY_SHARE)
     score = sum((like[k] * w for k, w in weights.items()), F.lit(0.0)) / sum(weights.values())
-    return _pairs(a, b).select("frame_id", N.clamp01(score).alias("similarity"))
+    return N.clamp01(score)
+
+
+def _transfer() -> list[Column]:
+    scale = lambda k: N.safe_ratio(F.col(f"b_{k}"), F.col(f"a_{k}")).alias(f"{k}_scale")
+    return [*map(scale, _LOOKS), (F.col("b_border") - F.col("a_border")).alias("border_delta")]
+
+
+def appearance_similarity(a: DataFrame, b: DataFrame, weights: dict[str, float] = LOOK_WEIGHTS) -> DataFrame:
+    """(frame_id, similarity): weighted mean of the ratio similarities of thickness, border and darkness."""
+    return _pairs(a, b).select("frame_id", _likeness(weights).alias("similarity"))
 
 
 def transfer_profile(a: DataFrame, b: DataFrame) -> DataFrame:
     """What turns the looks of a into those of b: bounded ratios, and the difference of the borders."""
-    scale = lambda k: N.safe_ratio(F.col(f"b_{k}"), F.col(f"a_{k}")).alias(f"{k}_scale")
-    return _pairs(a, b).select("frame_id", *map(scale, _LOOKS), (F.col("b_border") - F.col("a_border")).alias("border_delta"))
+    return _pairs(a, b).select("frame_id", *_transfer())
 
 
 def compare_appearances(a: DataFrame, b: DataFrame, least: float | None = LEAST_SIMILARITY) -> DataFrame:
     """frame_id, shape, appearance, overall and the transfer profile of two tables of appearances; an
     error where the shapes are less alike than `least` (None: never)."""
-    shape, look = shape_similarity(a, b).withColumnRenamed("similarity", "shape"), appearance_similarity(a, b).withColumnRenamed("similarity", "appearance")
-    both = shape.join(look, "frame_id").join(transfer_profile(a, b), "frame_id")
+    both = _with_shape(_paired_cores(a, b), "shape").select("frame_id", "shape", _likeness(LOOK_WEIGHTS).alias("appearance"), *_transfer())
     if least is not None:
         checked = F.when(F.col("shape") >= least, F.col("shape")).otherwise(F.raise_error(F.lit("the scans do not show the same drawing")))
         both = both.withColumn("shape", checked)
@@ -322,7 +439,7 @@ def compare_appearances(a: DataFrame, b: DataFrame, least: float | None = LEAST_
 
 def compare(a: DataFrame, b: DataFrame, least: float | None = LEAST_SIMILARITY, size: int = GRID, margin: int = MARGIN) -> DataFrame:
     """Registers two scans per frame and compares their shapes and looks."""
-    return compare_appearances(appearances(register_rasters(a, size, margin)), appearances(register_rasters(b, size, margin)), least)
+    return compare_appearances(registered_looks(a, size, margin), registered_looks(b, size, margin), least)
 
 
 def source_stats(scan: DataFrame, core: DataFrame) -> DataFrame:
@@ -518,7 +635,7 @@ def generate(pencil: DataFrame, ink: DataFrame, settings: RenderSettings = Rende
     from rasterloom.sources.tables import materialise
 
     own, other = drawings or (None, None)
-    a, b = looks or tuple(appearances(register_rasters(s, drawing=d)) for s, d in ((pencil, own), (ink, other)))
+    a, b = looks or tuple(materialise(registered_looks(s, drawing=d).drop("bits")) for s, d in ((pencil, own), (ink, other)))
     looks_ = _pairs(a, b).join(b.select("frame_id", "profile"), "frame_id").select("frame_id", "a_thickness", "b_thickness", "profile")
     s = _source(pencil, a, own)
     whole_ink = _source(ink, b, other)

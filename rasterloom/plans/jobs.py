@@ -353,7 +353,7 @@ def auto_ink(pencil: DataFrame, inked: DataFrame, dist: float = 2.0, least: floa
     """Compares the largest groups of dark cells of two scans per frame, and renders the pencil's in the
     ink's manner: (comparison, rendered grays). Each scan is registered once."""
     drawings = [_largest_dark(s, dist) for s in (pencil, inked)]
-    looks = [materialise(CO.appearances(CO.register_rasters(s, drawing=d))) for s, d in zip((pencil, inked), drawings)]
+    looks = [materialise(CO.registered_looks(s, drawing=d)) for s, d in zip((pencil, inked), drawings)]
     return CO.compare_appearances(*looks, least), CO.generate(pencil, inked, settings, looks=tuple(looks), drawings=tuple(drawings))
 
 

@@ -178,10 +178,9 @@ SELECT frame_id, round(any_value(scale), 6) AS scale, round(sum(value), 3) AS to
 @query("cmpr3_register", _REG)
 def _(spark, sf):
     """All frames on the full grid; per frame the scale, the darkness and its moments."""
-    r = CO.register_rasters(views.gray(spark, sf))
     moment = lambda f: F.round(F.sum(c("value") * f), 2)
-    sums = CO.cells_of(r).groupBy("frame_id").agg(F.round(F.sum("value"), 3).alias("total"), moment(c("x")).alias("by_x"), moment(c("y")).alias("by_y"))
-    return r.select("frame_id", F.round("scale", 6).alias("scale")).join(sums, "frame_id")
+    cells = CO.cells_of(CO.register_rasters(views.gray(spark, sf)), "values", "scale")
+    return cells.groupBy("frame_id").agg(F.round(F.max("scale"), 6).alias("scale"), F.round(F.sum("value"), 3).alias("total"), moment(c("x")).alias("by_x"), moment(c("y")).alias("by_y"))
 
 
 @query("cmpr4_measure", f"{G}, {_OTSU}, co AS (SELECT gray.* FROM gray JOIN ot USING (frame_id) WHERE value >= threshold), nb AS (SELECT a.frame_id, count(*) AS inner_ FROM co a JOIN co b ON a.frame_id = b.frame_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1 GROUP BY 1) SELECT frame_id AS shape_id, count(*) AS area, 4 * count(*) - coalesce(any_value(inner_), 0) AS edges, round(2.0 * count(*) / (4 * count(*) - coalesce(any_value(inner_), 0)), 6) AS thickness, round(avg(value), 6) AS opacity, round(stddev_pop(value), 6) AS pressure FROM co LEFT JOIN nb USING (frame_id) GROUP BY 1")
@@ -196,13 +195,13 @@ def _halves(spark, sf):
 
 
 def _looks(spark, sf):
-    return tuple(tables.materialise(CO.appearances(CO.register_rasters(h))) for h in _halves(spark, sf))
+    return tuple(tables.materialise(CO.registered_looks(h)) for h in _halves(spark, sf))
 
 
 @query("cmpr5_border_profile")
 def _(spark, sf):
     rounded = F.transform("profile", lambda v: F.round(v, 9))
-    return CO.appearances(CO.register_rasters(views.gray(spark, sf))).select("frame_id", F.round("border", 9).alias("border"), rounded.alias("profile"))
+    return CO.registered_looks(views.gray(spark, sf)).select("frame_id", F.round("border", 9).alias("border"), rounded.alias("profile"))
 
 
 @query("cmpr6_shape_similarity")

@@ -71,3 +71,44 @@ def test_convolution_sends_pixels_to_their_targets(spark, width, height, kernel)
         if taken:
             want[x, y] = int(min(max(round(sum(v * w for v, w in taken), 9), 0), 255) + 0.5)
     assert {(r.x, r.y): r.argb & 255 for r in got.select("x", "y", F.col("argb")).collect()} == want
+
+
+def test_registered_scans_leave_in_small_blocks(spark, monkeypatch):
+    """The grid is far larger than these scans: what a task hands on at once is bounded by the grid's cells."""
+    from rasterloom.operators import compare as CO
+
+    rows = [(i, x, y, ((i + 3 * x + 5 * y) % 11) / 10) for i in range(90) for x in range(4) for y in range(4)]
+    scan = spark.createDataFrame(rows, "frame_id long, x int, y int, value double").coalesce(1)
+    blocks = CO.register_rasters(scan).mapInArrow(lambda batches: (b.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+    assert sum(r.n for r in blocks) == 90
+    seen = spark.sparkContext.accumulator(0)
+    largest = []
+    work = CO._in_blocks
+
+    def watched(rows, fn, schema, cells):
+        def counted(part):
+            seen.add(1)
+            assert len(part) * CO.GRID * CO.GRID <= CO.BLOCK
+            return fn(part)
+
+        largest.append(fn)
+        return work(rows, counted, schema, cells)
+
+    monkeypatch.setattr(CO, "_in_blocks", watched)
+    looks = {r.frame_id: r for r in CO.registered_looks(scan).drop("bits").collect()}
+    assert len(largest) == 1 and seen.value >= 90 // (CO.BLOCK // CO.GRID**2)
+    # The same as from rasters, column by column.
+    for r in CO.appearances(CO.register_rasters(scan.where("frame_id < 5"))).drop("values", "core", "distance").collect():
+        assert all(looks[r.frame_id][k] == r[k] for k in r.asDict() if k != "height")
+
+
+def test_threshold_of_an_image_is_otsu(spark):
+    import numpy as np
+
+    from rasterloom.operators import compare as CO
+
+    rng = np.random.default_rng(5)
+    images = {0: np.zeros(16), 1: np.full(16, 0.4), 2: np.array([0.3] * 8 + [0.7] * 8)} | {i: rng.integers(0, 6, 16) / 5 for i in range(3, 40)} | {i: rng.random(16) for i in range(40, 60)}
+    scan = spark.createDataFrame([(i, k % 4, k // 4, float(v)) for i, im in images.items() for k, v in enumerate(im)], "frame_id long, x int, y int, value double")
+    want = {r.frame_id: max(r.threshold, CO.NOISE) for r in CO.otsu(scan, CO.NOISE).collect()}
+    assert {i: CO._limit(im) for i, im in images.items()} == want
