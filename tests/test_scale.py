@@ -112,3 +112,22 @@ def test_threshold_of_an_image_is_otsu(spark):
     scan = spark.createDataFrame([(i, k % 4, k // 4, float(v)) for i, im in images.items() for k, v in enumerate(im)], "frame_id long, x int, y int, value double")
     want = {r.frame_id: max(r.threshold, CO.NOISE) for r in CO.otsu(scan, CO.NOISE).collect()}
     assert {i: CO._limit(im) for i, im in images.items()} == want
+
+
+def test_tables_of_points_are_not_broadcast(spark):
+    """Neither steps read back, whose files are small, nor copies to neighbouring cells go through the driver."""
+    from rasterloom.operators import groups as G
+    from rasterloom.operators import points as T
+    from rasterloom.operators import sets as S
+    from rasterloom.sources.tables import materialise
+
+    rows = [(i, x, y) for i in range(3) for x, y in ((0, 0), (1, 1), (5, 5), (6, 5), (20, 3))]
+    p = spark.createDataFrame(rows, "shape_id long, x int, y int")
+    step = materialise(p)
+    grouped = G.group_points(p, 2.0)
+    joins = [p.join(step.where("x > 0"), S.POINT), T._near(p, p, 2), S.subtract_points(p, p.where("x > 1")), S.intersect_points(p, p), grouped]
+    for df in joins:
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "Join" in plan and "Broadcast" not in plan
+    code = lambda x, y: grouped.where(f"shape_id = 1 and x = {x} and y = {y}").first().label
+    assert code(0, 0) == code(1, 1) != code(5, 5) == code(6, 5) != code(20, 3)
