@@ -131,10 +131,12 @@ def register_rasters(scan: DataFrame, size: int = GRID, margin: int = MARGIN, dr
     uniformly and centred, bilinear between pixel centres, 0 outside the image. Frames without anything
     visible are left out. With a drawing (points), its bounds count, and `core` marks the cells that have
     one of its points among their four corners."""
+    marked = drawing is not None
+
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         drawn = [_drawn(r, size) for r in rows.to_dict("records")]
         out = pd.DataFrame({"frame_id": rows["frame_id"].to_numpy(), "width": size, "height": size, "values": [v for v, _ in drawn], "scale": rows["scale"].to_numpy()})
-        return out if drawing is None else out.assign(core=[c for _, c in drawn])
+        return out.assign(core=[c for _, c in drawn]) if marked else out
 
     core = "" if drawing is None else ", core array<boolean>"
     return _in_blocks(_placed(scan, size, margin, drawing), work, _schema(scan, f"width int, height int, values array<double>, scale double{core}"), lambda _: size * size)
