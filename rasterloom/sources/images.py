@@ -65,7 +65,8 @@ def match_frames(left: DataFrame, right: DataFrame, col: str = "name") -> DataFr
 
 def write_bitmaps(pixels: DataFrame, path: str, width: int, height: int) -> None:
     """One 24-bit bitmap file per frame, `frame <id>.bmp`, black where a pixel is missing. Frames are encoded
-    in the tasks and streamed one by one to the file system by the driver: for samples, not for corpora."""
+    in the tasks, all at once, and streamed one by one to the file system by the driver: for samples, not for corpora."""
+    from rasterloom.sources.tables import materialise
 
     def encode(part: pd.DataFrame) -> pd.DataFrame:
         line = -(-width * 3 // 4) * 4
@@ -82,7 +83,9 @@ def write_bitmaps(pixels: DataFrame, path: str, width: int, height: int) -> None
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for r in pixels.groupBy("frame_id").applyInPandas(encode, "name string, data binary").toLocalIterator():
+    # Written first: read by the driver as they come, partitions would be encoded one after another.
+    files = materialise(pixels.groupBy("frame_id").applyInPandas(encode, "name string, data binary"))
+    for r in files.toLocalIterator(prefetchPartitions=True):
         out = system.create(jvm.org.apache.hadoop.fs.Path(folder, r["name"]))
         out.write(r["data"])
         out.close()
