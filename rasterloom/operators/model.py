@@ -54,6 +54,10 @@ def sample_vertices(contour: DataFrame, n: int | None = None, stride: int = 1) -
 def build_features(contour: DataFrame, n: int | None = None, stride: int = 1) -> DataFrame:
     """Location, tangent, inward normal, orientation, curvature and radius at every vertex, at every stride-th
     or at n of equal arcs; of these, `sample` tells the order."""
+    from rasterloom.sources.tables import materialise
+
+    # Read by every measure below.
+    contour = materialise(contour)
     p = K.with_previous(contour)
     tx, ty = (F.col("nx") - F.col("px")).cast("double"), (F.col("ny") - F.col("py")).cast("double")
     unit = N.vec_normalize(N.point(tx, ty))
@@ -123,7 +127,7 @@ def measure(features: DataFrame, points: DataFrame, scan: DataFrame, ink: bool =
     from rasterloom.sources.tables import materialise
 
     key = ["shape_id", "ord"]
-    f = materialise(features)
+    f, points, scan = materialise(features), materialise(points), materialise(scan)
     n = f.groupBy("shape_id").agg(F.count("*").cast("int").alias("n"))
     if ink:
         near = nearest(points, f.select("shape_id", F.col("x").alias("qx"), F.col("y").alias("qy")).distinct())
@@ -293,7 +297,9 @@ def best_match(a: DataFrame, b: DataFrame) -> DataFrame:
     """(shape_id, ord, other, score, location, confidence): least score among the samples of b within 12
     places of the nearest by location and 0.025 of the perimeter; among all of them where none is so near.
     Location is the mean of both. Confidence falls with the score, and where the match back is another."""
-    a, b = comparable(a), comparable(b)
+    from rasterloom.sources.tables import materialise
+
+    a, b = materialise(comparable(materialise(a))), materialise(comparable(materialise(b)))
     there = _one_way(a, b)
     back = _one_way(b, a).select("shape_id", F.col("ord").alias("other"), F.col("other").alias("returned"))
     at = lambda d, key, name: d.select("shape_id", F.col("ord").alias(key), F.col("location").alias(name))
@@ -405,7 +411,9 @@ def rmse(rows: DataFrame, output: str) -> DataFrame:
 def session(a: DataFrame, b: DataFrame, inputs: tuple[str, ...] = INPUTS) -> tuple[DataFrame, DataFrame]:
     """Two contours of each shape, framed, described and matched, and the first weights by which the
     inputs of a tell how far b's radius lies from a's: (matches, weights)."""
-    fa, fb = build_features(local_frame(a)), build_features(local_frame(b))
+    from rasterloom.sources.tables import materialise
+
+    fa, fb = (materialise(build_features(local_frame(d))) for d in (a, b))
     matches = best_match(fa, fb)
     there = fb.select("shape_id", F.col("ord").alias("other"), F.col("radius").alias("other_radius"))
     pairs = fa.join(matches.select("shape_id", "ord", "other", "confidence"), ["shape_id", "ord"]).join(there, ["shape_id", "other"])
