@@ -32,12 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write `df` once to the shared folder and read it back: later reads neither recompute it nor
-    depend on shuffle files of an executor that may be lost."""
+    depend on shuffle files of an executor that may be lost. The session names the codec, unless it is given."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -193,7 +193,8 @@ def materialise_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> Da
     in which its first block comes up once more. Rows are numbered and written, so that rows without an id
     and repeated rows find their own share again."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    numbered = materialise(docs.select(row, F.monotonically_increasing_id().alias("n")))
+    # The texts lie on disk three times here, once as this table and in two shuffles.
+    numbered = materialise(docs.select(row, F.monotonically_increasing_id().alias("n")), "zstd")
     found, ranks = taken_words(_sized(numbered, "n", prefix="row."), weights)
     copies = F.expr("array_repeat(false, int(taken div size))")
     parts = F.when(F.col("rest") > 0, F.concat(copies, F.array(F.lit(True)))).otherwise(copies)
