@@ -3,13 +3,17 @@
 A vector is coded as a sum of full-dimensional codewords, one from each residual codebook, found by beam
 search; its norm and that of what the code leaves over are stored beside it. Codes, without the vectors,
 are kept in cells named by their first codewords; a query visits the cells whose codewords promise the
-largest inner products, as many as a sample of queries, searched exactly, needs for the wanted recall. It
-scores the codes there by table look-up of its inner products with all codewords. What may, with a margin
-for the stored remainder, be among the query's best is scored again from the original vectors, in
-double precision.
+largest inner products, as many as a sample of queries, searched exactly, needs for the wanted recall, and
+more where these hold too few vectors. It scores the codes there by table look-up of its inner products with
+all codewords. What may, with a margin for the stored remainder, be among the query's best is scored again
+from the original vectors, in double precision, by the task that looked it up.
 
 Codebooks are learnt in numpy from a bounded sample. Equal vectors are searched once, under their smallest
-ids, of which k + 1 are kept; every other vector is coded and every cell is searched whole, in blocks.
+ids, of which k + 1 are kept; every other vector is coded and every cell is searched whole, in blocks of
+several cells. A block gives no more than k + 1 vectors a query. Many blocks are searched in rounds, each of
+GROWTH times the vectors of all before it: as what a round has found bounds the next one, each gives a
+query some (k + 1) * GROWTH vectors, whatever the size of the table. Equal vectors' ids are listed at the end.
+
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part. Rows that share an id count once, by their smallest vector; ties in the score go to the smaller
 id; an empty table gives an empty result; other columns are ignored.
@@ -21,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +40,12 @@ RECALL = 0.98
 CELL_ROWS, CELL_BOOKS = 64, 2
 #: Margin of the exact second look, in standard deviations of what the code leaves over.
 MARGIN = 2.5
-#: Rows and queries of a block.
-ROW_BLOCK, QUERY_BLOCK = 8192, 8192
+#: Rows and queries of a block, and the fewest queries of one where there are fewer blocks than cores.
+ROW_BLOCK, QUERY_BLOCK, LEAST_QUERIES = 8192, 8192, 256
+#: Blocks of the first round; how much more vectors than all rounds before it a round ends with.
+GROWTH = 8
+#: What single precision may lose of a look-up score, as a share of the vectors' norms.
+ROUNDING = 1e-5
 
 
 def usable(v: Column) -> Column:
@@ -107,27 +116,79 @@ def cell_order(queries: np.ndarray, books: np.ndarray, cells: np.ndarray) -> np.
     return np.argsort(-score, 1, kind="stable")
 
 
+def cells_seen(order: np.ndarray, sizes: np.ndarray, n_probes: int, least: int) -> np.ndarray:
+    """(queries, cells): whether a query visits a cell. It goes through its `n_probes` first cells, and on until
+    they hold `least` vectors."""
+    enough = (np.cumsum(sizes[order], 1) < least).sum(1) + 1
+    out = np.zeros(order.shape, bool)
+    np.put_along_axis(out, order, np.arange(order.shape[1]) < np.maximum(n_probes, enough)[:, None], 1)
+    return out
+
+
+def blocks(sizes: list[float]) -> list[tuple[int, int, int]]:
+    """(first cell, cell after the last, parts): neighbouring cells together up to ROW_BLOCK rows; a larger cell
+    stands alone, in as many parts as it needs."""
+    out, first, held = [], 0, 0.0
+    for i, n in enumerate([*sizes, float("inf")]):
+        if held + n > ROW_BLOCK and i > first:
+            out.append((first, i, max(1, -int(-held // ROW_BLOCK))))
+            first, held = i, 0.0
+        held += n
+    return out
+
+
 def search_block(queries: pd.DataFrame, rows: pd.DataFrame, books: np.ndarray, k: int) -> pd.DataFrame:
-    """Per query of this block, the codes of this block that may be among the k best here: approximate
-    score and how high the true one may be."""
-    q = np.stack(queries["vector"]).astype(np.float32)
-    ids, qids = rows["vec"].to_numpy(), queries["query"].to_numpy()
+    """Per query, the k best rows of those in the cells it sees, by their exact score, ties to the smaller `vec`:
+    of what the look-up scores, and how high the true ones may be, leave possible. Rows whose exact score is
+    under the query's `floor` are left out."""
+    none = pd.DataFrame({"query": [], "vec": [], "approx": [], "score": []}).astype({"query": "int64", "vec": "int64"})
+    if not len(queries) or not len(rows):
+        return none
+    rows = rows.sort_values("vec")
+    ids, at = rows["vec"].to_numpy(), rows["place"].to_numpy()
+    x = np.ascontiguousarray(np.stack(rows["vector"]).astype(np.float64).T)
     codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
-    scale = (rows["norm"].to_numpy() / np.maximum(rows["coded"].to_numpy(), 1e-12)).astype(np.float32)
-    spread = (MARGIN * rows["left"].to_numpy() / np.sqrt(q.shape[1])).astype(np.float32)
+    norm = rows["norm"].to_numpy()
+    scale = (norm / np.maximum(rows["coded"].to_numpy(), 1e-12)).astype(np.float32)
+    spread = (MARGIN * rows["left"].to_numpy() / np.sqrt(len(x)) + ROUNDING * norm).astype(np.float32)
+    queries = queries.sort_values("seen")  # alike queries go together, past the cells that none of them sees
     out = []
-    for a in range(0, len(q), 128):
-        part = q[a : a + 128]
-        tables = np.einsum("qd,mwd->mwq", part, books, optimize=True)
-        approx = np.zeros((len(ids), len(part)), np.float32)
+    for a in range(0, len(queries), 128):
+        part = queries.iloc[a : a + 128]
+        q = np.stack(part["vector"]).astype(np.float64)
+        q32, qt = q.astype(np.float32), np.ascontiguousarray(q.T)
+        seen = np.unpackbits(np.frombuffer(b"".join(part["seen"]), np.uint8).reshape(len(part), -1), axis=1).astype(bool)
+        use = np.flatnonzero(seen.any(0)[at])
+        if not len(use):
+            continue
+        tables = np.einsum("qd,mwd->mwq", q32, books, optimize=True)
+        approx = np.zeros((len(use), len(part)), np.float32)
         for m in range(len(books)):
-            approx += tables[m][codes[:, m]]
-        approx *= scale[:, None]
-        high = approx + spread[:, None] * np.sqrt((part**2).sum(1))
-        limit = -np.partition(-approx, min(k, len(ids)) - 1, 0)[min(k, len(ids)) - 1]
-        r, c = np.nonzero(high >= limit)
-        out.append(pd.DataFrame({"query": qids[a : a + 128][c], "vec": ids[r], "approx": approx[r, c], "high": high[r, c]}))
-    return pd.concat(out)
+            approx += tables[m][codes[use, m]]
+        approx = np.ascontiguousarray((approx * scale[use, None]).T)
+        mine = seen[:, at[use]]
+        approx[~mine] = -np.inf
+        limit = part["limit"].to_numpy()
+        if len(use) >= k:
+            limit = np.maximum(limit, np.partition(approx, len(use) - k, 1)[:, len(use) - k])
+        high = approx + spread[use] * np.sqrt((q32**2).sum(1))[:, None]
+        c, r = np.nonzero((high >= limit[:, None]) & mine)
+        found = use[r]
+        # One fixed order of addition, so equal vectors tie exactly.
+        score = np.zeros(len(c))
+        for d in range(len(x)):
+            score += qt[d][c] * x[d][found]
+        ends = np.searchsorted(c, np.arange(len(part) + 1))
+        least = part["floor"].to_numpy().copy()
+        for i, (lo, hi) in enumerate(zip(ends[:-1], ends[1:])):
+            if hi - lo > k:
+                least[i] = max(least[i], np.partition(score[lo:hi], hi - lo - k)[hi - lo - k])
+        keep = np.flatnonzero(score >= least[c])
+        keep = keep[np.lexsort((found[keep], -score[keep], c[keep]))]
+        turn = np.arange(len(keep)) - np.searchsorted(c[keep], c[keep])
+        keep = keep[turn < k]
+        out.append(pd.DataFrame({"query": part["query"].to_numpy()[c[keep]], "vec": ids[found[keep]], "approx": approx[c[keep], r[keep]], "score": score[keep]}))
+    return pd.concat(out) if out else none
 
 
 def _folded(rows: DataFrame, is_query: Column, k: int, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame, int] | None:
@@ -183,6 +244,45 @@ def probes(coded: DataFrame, asking: DataFrame, books: np.ndarray, cells: np.nda
     return needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)] + 1 if needed else 1
 
 
+def _round(asked: DataFrame, rows: DataFrame, books: Broadcast, names: list[bytes], cells: np.ndarray, sizes: np.ndarray, share: float, n_probes: int, n_queries: int, k: int) -> DataFrame:
+    """(query, vec, approx, score): of every block of the coded `rows`, which are a `share` of all, the k best of
+    what the queries (vec, vector, limit, floor) see there."""
+    spark, vector = rows.sparkSession, rows.schema["vector"].dataType.simpleString()
+    made = blocks((sizes * share).tolist())
+    starts = np.cumsum([0] + [parts for *_, parts in made]).tolist()
+    plan = spark.sparkContext.broadcast((cells, sizes, made, starts))
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells, sizes, made, starts = plan.value
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                part = batch.iloc[i : i + 256].rename(columns={"vec": "query"}).reset_index(drop=True)
+                seen = cells_seen(cell_order(np.stack(part["vector"]).astype(np.float32), books.value, cells), sizes, n_probes, k)
+                for (first, last, parts), start in zip(made, starts):
+                    some = np.flatnonzero(seen[:, first:last].any(1))
+                    if len(some):
+                        bits = np.packbits(seen[some, first:last], axis=1)
+                        at = part.iloc[some].assign(seen=[b.tobytes() for b in bits])
+                        for block in range(start, start + parts):
+                            yield at.assign(block=block)
+
+    # Queries are dealt in blocks, and a block's rows copied to each.
+    cores = spark.sparkContext.defaultParallelism
+    q_blocks = max(-(-n_queries // QUERY_BLOCK), min(n_queries // LEAST_QUERIES, 2 * cores // starts[-1]), 1)
+    slot = lambda c, n, seed: F.pmod(F.xxhash64(c, F.lit(seed)), n).cast("int")
+    left = asked.mapInPandas(visit, f"query long, vector {vector}, limit double, floor double, seen binary, block int").withColumn("qb", slot("query", F.lit(q_blocks), 1))
+    numbers = [(bytearray(names[i]), i - first, start, parts) for (first, last, parts), start in zip(made, starts) for i in range(first, last)]
+    facts = F.broadcast(spark.createDataFrame(numbers, "cell binary, place int, start int, parts int"))
+    right = rows.join(facts, "cell").withColumn("block", F.col("start") + slot("vec", F.col("parts"), 2))
+    right = right.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))).select("vec", "vector", "code", "norm", "left", "coded", "place", "block", "qb")
+
+    def meet(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        return search_block(queries, rows, books.value, k)
+
+    both = left.groupBy("block", "qb").cogroup(right.groupBy("block", "qb"))
+    return both.applyInPandas(meet, "query long, vec long, approx float, score double")
+
+
 def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows by inner product to each row that `is_query`
     marks, other than itself."""
@@ -218,49 +318,28 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     coded = materialise(vectors.select("vec", "vector").mapInPandas(code, f"vec long, vector {kind}, code binary, norm float, left float, coded float"))
     named = coded.withColumn("cell", F.substring("code", 1, width))
     # One row per cell, at most WORDS ** CELL_BOOKS.
-    sizes = {bytes(r["cell"]): r["count"] for r in named.groupBy("cell").count().collect()}
-    names = sorted(sizes)
+    counted = {bytes(r["cell"]): r["count"] for r in named.groupBy("cell").count().collect()}
+    names = sorted(counted)
     cells = np.array([list(c) for c in names], np.int64).reshape(len(names), width)
+    sizes = np.array([counted[c] for c in names], np.int64)
     asking = materialise(queries.select("vec").distinct().join(coded.select("vec", "vector"), "vec"))
-    n_probes = probes(coded, asking, books, cells, k, recall)
-    row_blocks = [-(-sizes[c] // ROW_BLOCK) for c in names]
-    plan = spark.sparkContext.broadcast((cells, np.array(row_blocks)))
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells, blocks = plan.value
-        for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.iloc[i : i + 256]
-                at = cell_order(np.stack(part["vector"]).astype(np.float32), shared.value, cells)[:, :n_probes]
-                pairs = [(q, int(c), b) for q, row in zip(part["vec"], at) for c in row for b in range(blocks[c])]
-                yield pd.DataFrame(pairs, columns=["query", "cell_no", "rb"])
-
-    visits = materialise(asking.mapInPandas(visit, "query long, cell_no int, rb int"))
-    # Queries of a much visited cell are dealt in blocks, and its codes copied to each.
-    crowds = visits.where("rb = 0").groupBy("cell_no").agg(F.ceil(F.count("*") / F.lit(QUERY_BLOCK)).cast("int").alias("q_blocks"))
-    numbers = spark.createDataFrame([(bytearray(c), i, row_blocks[i]) for i, c in enumerate(names)], "cell binary, cell_no int, r_blocks int")
-    facts = F.broadcast(numbers.join(crowds, "cell_no"))
-    block = lambda c, n, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.col(n)).cast("int")
-    left = visits.join(facts.select("cell_no", "q_blocks"), "cell_no").withColumn("qb", block("query", "q_blocks", 1))
-    left = left.join(asking.select(F.col("vec").alias("query"), "vector"), "query").select("query", "vector", "cell_no", "rb", "qb")
-    right = named.drop("vector").join(facts, "cell").withColumn("rb", block("vec", "r_blocks", 2))
-    right = right.withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1))).select("vec", "code", "norm", "left", "coded", "cell_no", "rb", "qb")
-    keys = ["cell_no", "rb", "qb"]
-
-    def meet(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(rows):
-            return pd.DataFrame({"query": [], "vec": [], "approx": [], "high": []}).astype({"query": "int64", "vec": "int64"})
-        return search_block(queries, rows, shared.value, k + 1)
-
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query long, vec long, approx float, high float")
-    best = Window.partitionBy("query").orderBy(F.desc("approx"))
-    found = materialise(found)
-    limits = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).groupBy("query").agg(F.min("approx").alias("limit"))
-    again = found.join(limits, "query").where("high >= limit").select("query", "vec")
-    again = again.join(coded.select("vec", F.col("vector").alias("x")), "vec").join(asking.select(F.col("vec").alias("query"), F.col("vector").alias("q")), "query")
-    # One fixed order of addition, so equal vectors tie exactly.
-    product = F.zip_with("q", "x", lambda a, b: a.cast("double") * b.cast("double"))
-    scored = again.select("query", "vec", F.aggregate(product, F.lit(0.0), lambda acc, v: acc + v).alias("score"))
+    n_probes, n_queries = probes(coded, asking, books, cells, k, recall), asking.count()
+    found, done = None, 0.0
+    while done < 1:
+        share = min(1.0, GROWTH * (done or ROW_BLOCK / total))
+        if found is None:
+            asked = asking.withColumns({"limit": F.lit(float("-inf")), "floor": F.lit(float("-inf"))})
+        else:
+            kth = lambda c: F.coalesce(F.get(F.sort_array(F.collect_list(c), False), F.lit(k)).cast("double"), F.lit(float("-inf")))
+            known = found.groupBy(F.col("query").alias("vec")).agg(kth("approx").alias("limit"), kth("score").alias("floor"))
+            asked = asking.join(known.hint("merge"), "vec", "left").fillna(float("-inf"), ["limit", "floor"])
+        place = F.pmod(F.xxhash64("vec", F.lit(5)), F.lit(wide))
+        part = named if done == 0 and share == 1 else named.where((place >= int(done * wide)) & (place < int(share * wide)))
+        now = materialise(_round(asked, part, shared, names, cells, sizes, share - done, n_probes, n_queries, k + 1))
+        found, done = now if found is None else found.unionAll(now), share
+    # A vector behind k + 1 others is behind their smallest ids with all of its own.
+    near = Window.partitionBy("query").orderBy(F.desc("score"), "vec")
+    scored = found.withColumn("n", F.row_number().over(near)).where(F.col("n") <= k + 1).select("query", "vec", "score")
     ids = scored.join(vectors.select("vec", "ids"), "vec").select("query", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     top = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)

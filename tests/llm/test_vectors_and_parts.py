@@ -70,6 +70,44 @@ def test_recall_on_the_test_table(spark, cell_rows, monkeypatch):
     assert len(got) == (ids % 20 == 0).sum() and hits >= 0.93 * total, hits / total
 
 
+@pytest.mark.parametrize("cell_rows", [64, 1])
+def test_rows_found_for_a_query_are_bounded(spark, vectors, cell_rows, monkeypatch):
+    """Blocks and rounds of few vectors: each gives a query k + 1 rows at most, equal vectors are listed once, and
+    what is found is what one block finds."""
+    table = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>")
+    n_queries, k, written = len(vectors) // 20, 4, []
+    monkeypatch.setattr(additive, "CELL_ROWS", cell_rows)
+    run = lambda: [tuple(r) for r in additive.nearest(table, F.col("vec_id") % 20 == 0, k).orderBy("query_id", "rank").collect()]
+    whole = run()
+
+    def watched(df):
+        out = base.materialise(df)
+        if "query" in out.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(additive, "materialise", watched)
+    monkeypatch.setattr(additive, "ROW_BLOCK", 80)
+    monkeypatch.setattr(additive, "GROWTH", 3, raising=False)
+    found = run()
+    assert 2 <= len(written) and max(written) <= n_queries * (k + 1) * 6, written
+    want = {q: {j for j, _ in near} for q, near in brute(vectors, k).items()}
+    for result in (whole, found):
+        assert len(result) == n_queries * k
+        assert sum(j in want[q] for q, _, j, _ in result) >= 0.9 * n_queries * k
+    assert sum(a in set(whole) for a in found) >= 0.9 * len(found)
+
+
+def test_few_vectors_in_the_first_cells(spark, monkeypatch):
+    """A query goes on to further cells until they hold enough vectors."""
+    monkeypatch.setattr(additive, "CELL_ROWS", 0)
+    monkeypatch.setattr(additive, "probes", lambda *_: 1)
+    x = np.random.default_rng(5).normal(size=(90, 6))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    counts = additive.nearest(table, F.col("vec_id") % 20 == 0, 7).groupBy("query_id").count().collect()
+    assert sorted((r.query_id, r["count"]) for r in counts) == [(q, 7) for q in range(0, 90, 20)]
+
+
 def test_doubles_are_scored_as_doubles(spark):
     rows = [(i, [1.0 + i * 1e-12, 1e300 if i == 7 else 0.5]) for i in range(45)]
     docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
