@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.functions.color import pack_argb, rgb_to_hsv, unpack_argb
+from rasterloom.functions.color import pack_argb, unpack_argb, with_hsv_of
 from rasterloom.functions.predicates import is_black, is_default_ink
 from rasterloom.operators import colormodel as CM
 from rasterloom.operators import compare as CO
@@ -27,8 +27,8 @@ KEY = ["frame_id", "x", "y"]
 
 
 def with_hsv(pixels: DataFrame) -> DataFrame:
-    c = pixels.withColumn("u", unpack_argb(F.col("argb")))
-    return c.withColumn("c", rgb_to_hsv(F.col("u.r"), F.col("u.g"), F.col("u.b"))).select(*KEY, "argb", "u.r", "u.g", "u.b", "c.h", "c.s", "c.v")
+    parts = pixels.withColumn("u", unpack_argb(F.col("argb"))).select(*KEY, "argb", "u.r", "u.g", "u.b")
+    return with_hsv_of(parts, *KEY, "argb")
 
 
 def _framed(points: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def _hsv_points(pixels: DataFrame, pred: Column) -> DataFrame:
 
 def object_outline(points: DataFrame, dist: float) -> DataFrame:
     """Contour of drawings (shape_id, x, y), with gaps up to dist bridged by growing."""
-    return K.trace(T.dilate(points, max(1, round(dist))))
+    return K.trace_runs(T.dilate_runs(T.to_runs(points), max(1, round(dist))))
 
 
 def _largest_part(pixels: DataFrame, frames: DataFrame, dist: float, pred: Column) -> DataFrame:
@@ -319,6 +319,8 @@ def paint_merge_fill(base: DataFrame, pixels: DataFrame, sample: DataFrame, dist
     object's outline and inside the selection (frame_id, x, y, width, height) if there is one, are the paint;
     its holes are filled and its outline is joined to the object. Paint and joins keep the frame's colours
     and move so that the objects' first column and row fall together. Frames without paint change nothing."""
+    # Both are read several times, and colours of what a query has just aggregated make code too large to compile.
+    base, pixels = (materialise(p.select(*KEY, "argb")) for p in (base, pixels))
     black = lambda p: _hsv_points(p, is_black(F.col("s"), F.col("v")))
     ground = black(base)
     root = materialise(G.largest_group(G.group_points(ground, OBJECT_GAP)) if border is None else G.derive_group(ground, border, OBJECT_GAP))
