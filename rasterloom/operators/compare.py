@@ -218,12 +218,18 @@ def _resampled_mask(flat: np.ndarray, w: int, u: float, v: float, step: float, n
     return (near[np.clip(y, 0, len(near) - 1)][:, np.clip(x, 0, near.shape[1] - 1)] & ok).ravel()
 
 
+#: Distance where a mask has no true cell.
+FAR = 1_000_000
+
+
 def _field(mask: np.ndarray) -> np.ndarray:
     """Chamfer distance (3 a step, 4 a diagonal) of every cell of a mask, or of a stack of masks, to the nearest
     true cell: a pass down and a pass up; along a row, steps are a running minimum."""
-    far, (high, w) = 1_000_000, mask.shape[-2:]
-    d = np.where(mask, np.int32(0), np.int32(far))
-    slope = 3 * np.arange(w, dtype=np.int32)
+    high, w = mask.shape[-2:]
+    # Where every distance fits in 16 bits, they take half of the time.
+    kind, far = (np.int16, 16_000) if 4 * (high + w) < 16_000 else (np.int32, FAR)
+    d = np.where(mask, kind(0), kind(far))
+    slope = 3 * np.arange(w, dtype=kind)
     for rows, step in ((range(high), -1), (range(high - 1, -1, -1), 1)):
         for y in rows:
             row = d[..., y, :]
@@ -234,7 +240,7 @@ def _field(mask: np.ndarray) -> np.ndarray:
                 row[..., :-1] = np.minimum(row[..., :-1], near[..., 1:] + 4)
             row = np.minimum.accumulate(row - slope, -1) + slope
             d[..., y, :] = np.minimum.accumulate((row + slope)[..., ::-1], -1)[..., ::-1] - slope
-    return np.minimum(d, far)
+    return np.where(d < far, d.astype(np.int32), np.int32(FAR))
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -245,14 +251,23 @@ def _chamfer_field(mask: pd.Series, width: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def _apart(a: pd.Series, b: pd.Series, size: pd.Series) -> pd.Series:
-    """Mean distance, in steps, of each of two packed square cores from the other, both ways."""
+    """Mean distance, in steps, of each of two packed square cores from the other, both ways. Pairs on one grid are taken
+    together, about BLOCK cells at a time."""
 
-    def one(a: bytes, b: bytes, n: int) -> float:
-        cores = np.stack([np.unpackbits(np.frombuffer(c, np.uint8), count=n * n).astype(bool).reshape(n, n) for c in (a, b)])
+    def several(packed: list[bytes], n: int) -> list[float]:
+        cells = np.unpackbits(np.stack([np.frombuffer(c, np.uint8) for c in packed]), axis=1, count=n * n)
+        cores = cells.astype(bool).reshape(-1, n, n)
         far = _field(cores)
-        return (far[1][cores[0]].mean() / 3 + far[0][cores[1]].mean() / 3) / 2
+        return [(far[k + 1][cores[k]].mean() / 3 + far[k][cores[k + 1]].mean() / 3) / 2 for k in range(0, len(cores), 2)]
 
-    return pd.Series([one(*r) for r in zip(a, b, size)])
+    out, sizes, start = [], size.tolist(), 0
+    while start < len(sizes):
+        n, end = int(sizes[start]), start + 1
+        while end < len(sizes) and sizes[end] == n and (end + 1 - start) * 2 * n * n <= BLOCK:
+            end += 1
+        out += several([c for k in range(start, end) for c in (a.iat[k], b.iat[k])], n)
+        start = end
+    return pd.Series(out, dtype=float)
 
 
 @F.pandas_udf(T.BinaryType())
@@ -390,7 +405,9 @@ def _paired_cores(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def _with_shape(pairs: DataFrame, out: str) -> DataFrame:
     tolerance = F.greatest(F.lit(1.5), (F.col("a_thickness") + F.col("b_thickness")) * 0.75)
-    far = pairs.withColumn("far", _apart("a_bits", "b_bits", "a_width")).drop("a_bits", "b_bits")
+    # A pair is much work and few bytes, as a frame is in `_in_blocks`.
+    dealt = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "frame_id")
+    far = dealt.withColumn("far", _apart("a_bits", "b_bits", "a_width")).drop("a_bits", "b_bits")
     return far.withColumn(out, N.clamp01(F.exp(-F.col("far") / tolerance)))
 
 

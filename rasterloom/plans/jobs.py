@@ -354,9 +354,19 @@ def _chosen(cells: DataFrame, selection: DataFrame | None) -> DataFrame:
 def auto_ink(pencil: DataFrame, inked: DataFrame, dist: float = 2.0, least: float | None = CO.LEAST_SIMILARITY, settings: CO.RenderSettings = CO.RenderSettings()) -> tuple[DataFrame, DataFrame]:
     """Compares the largest groups of dark cells of two scans per frame, and renders the pencil's in the
     ink's manner: (comparison, rendered grays). Each scan is registered once."""
-    drawings = [_largest_dark(s, dist) for s in (pencil, inked)]
-    looks = [materialise(CO.registered_looks(s, drawing=d)) for s, d in zip((pencil, inked), drawings)]
-    return CO.compare_appearances(*looks, least), CO.generate(pencil, inked, settings, looks=tuple(looks), drawings=tuple(drawings))
+    drawings, looks = _drawn_looks(pencil, inked, dist)
+    return CO.compare_appearances(*looks, least), CO.generate(pencil, inked, settings, looks=looks, drawings=drawings)
+
+
+def compare_drawings(pencil: DataFrame, inked: DataFrame, dist: float = 2.0, least: float | None = CO.LEAST_SIMILARITY) -> DataFrame:
+    """The comparison of `auto_ink` by itself; nothing is rendered for it."""
+    return CO.compare_appearances(*_drawn_looks(pencil, inked, dist)[1], least)
+
+
+def _drawn_looks(pencil: DataFrame, inked: DataFrame, dist: float) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
+    """The largest groups of dark cells of two scans, and the looks of the scans registered by them."""
+    drawings = tuple(_largest_dark(s, dist) for s in (pencil, inked))
+    return drawings, tuple(materialise(CO.registered_looks(s, drawing=d)) for s, d in zip((pencil, inked), drawings))
 
 
 def _largest_dark(scan: DataFrame, dist: float) -> DataFrame:

@@ -482,7 +482,7 @@ def _(spark, sf):
 
 @query("job8_auto_ink_comparison")
 def _(spark, sf):
-    return J.auto_ink(*_halves(spark, sf), least=None)[0]
+    return J.compare_drawings(*_halves(spark, sf), least=None)
 
 
 @query("job8_auto_ink")
