@@ -152,24 +152,30 @@ def paint_fill(pixels: DataFrame, frames: DataFrame, specimens: list[Specimen],
     n = len(specimens)
     if (painted is None) == (seeds is None):
         raise ValueError("either painted frames or seeds are wanted")
-    hsv = with_hsv(pixels).withColumn("dark", _is_ink())
+    # Read several times, and the ink rule right behind an aggregation makes code too large to compile.
+    pixels, frames = materialise(pixels.select(*KEY, "argb")), materialise(frames.select("frame_id", "width", "height"))
+    hsv = materialise(with_hsv(pixels).select(*KEY, _is_ink().alias("dark")))
+    points = lambda d: d.select(F.col("frame_id").alias("shape_id"), "x", "y")
     if seeds is None:
         colors = [_hsv_of(s.color) for s in specimens]
         seeds = G.mini_anchors(painted, frames, 1.0, lambda mini: (with_hsv(mini), [_near_color(c) for c in colors]), n, accept_empty=False)
-    seeds = materialise(seeds)
-    keyed = lambda d: d.select((F.col("frame_id") * n + F.col("which")).alias("shape_id"), "x", "y")
+    seeds = materialise(seeds.select(F.col("frame_id").alias("shape_id"), "x", "y", "which"))
     split = lambda d: d.select(F.expr(f"shape_id div {n}").alias("frame_id"), (F.col("shape_id") % n).cast("int").alias("which"), *[c for c in d.columns if c != "shape_id"])
-    every = hsv.where("not dark").withColumn("which", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    part = materialise(G.local_group(keyed(every).withColumnRenamed("shape_id", "frame_id"), keyed(seeds), 1.0, F.lit(True)))
+    # One grouping for all specimens; a group may hold the seeds of several.
+    groups = materialise(G.group_points(points(hsv.where("not dark")), 1.0))
+    wanted = groups.join(seeds, POINT).select("shape_id", "label", "which").distinct()
+    part = materialise(groups.join(wanted.hint("merge"), ["shape_id", "label"]).select((F.col("shape_id") * n + F.col("which")).alias("shape_id"), "x", "y"))
 
     # How far from the drawing's outline, at its vertex nearest to the drawing's anchor, the nearest part lies.
-    ink_anchor = materialise(G.mini_anchors(pixels, frames, dist, lambda mini: (with_hsv(mini), [_is_ink()])))
-    drawing = G.local_group(hsv.where("dark"), ink_anchor.select(F.col("frame_id").alias("shape_id"), "x", "y"), dist, F.lit(True))
+    ink_anchor = materialise(points(G.mini_anchors(pixels, frames, dist, lambda mini: (with_hsv(mini), [_is_ink()]))))
+    drawing = G.derive_group(points(hsv.where("dark")), ink_anchor, dist)
     outline = materialise(object_outline(materialise(drawing), dist))
-    vertex = K.nearest_vertex(outline, ink_anchor.select(F.col("frame_id").alias("shape_id"), F.col("x").alias("qx"), F.col("y").alias("qy")))
-    vertex = vertex.select("shape_id", "ord").join(outline, ["shape_id", "ord"]).select("shape_id", F.col("x").alias("qx"), F.col("y").alias("qy"))
-    inner = split(part).select(F.col("frame_id").alias("shape_id"), "x", "y").distinct()
-    reach = T.nearest(inner, vertex).groupBy("shape_id").agg(F.min("distance").alias("distance"))
+    vertex = K.nearest_vertex(outline, ink_anchor.select("shape_id", F.col("x").alias("qx"), F.col("y").alias("qy")))
+    vertex = materialise(vertex.select("shape_id", "ord").join(outline, ["shape_id", "ord"]).select("shape_id", F.col("x").alias("qx"), F.col("y").alias("qy")))
+    # A frame has one such vertex, so that its cells are looked at once.
+    far = F.pow((F.col("x") - F.col("qx")).cast("double"), F.lit(2.0)) + F.pow((F.col("y") - F.col("qy")).cast("double"), F.lit(2.0))
+    inner = split(part).select(F.col("frame_id").alias("shape_id"), "x", "y")
+    reach = inner.join(vertex, "shape_id").groupBy("shape_id").agg(F.sqrt(F.min(far)).alias("distance"))
     third = F.greatest(F.lit(1), F.floor(F.col("distance") / 3).cast("int")).alias("r")
     steps = reach.select(F.col("shape_id").alias("frame_id"), third)
     radii = materialise(split(part.select("shape_id").distinct()).join(steps, "frame_id", "left").select((F.col("frame_id") * n + F.col("which")).alias("shape_id"), F.coalesce("r", F.lit(1)).alias("r")))
@@ -217,7 +223,8 @@ def _textures(specimens: list[Specimen], part: DataFrame, grown: DataFrame, n: i
         column = starts.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
         each = column.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("h") - 1)))
         back = lambda c, size: F.least((F.col(c) * 100 / F.col("percent")).cast("int"), F.lit(size - 1))
-        each = each.withColumns({"tx": back("i", w), "ty": back("j", h)}).join(cells, ["tx", "ty"])
+        # The cells are the specimen's, however many frames there are; by key all frames would meet in a few tasks.
+        each = each.withColumns({"tx": back("i", w), "ty": back("j", h)}).join(F.broadcast(cells), ["tx", "ty"])
         laid = each.groupBy("shape_id", (F.col("x") + F.col("i")).alias("x"), (F.col("y") + F.col("j")).alias("y")).agg(F.max("noise").alias("noise"))
         out = laid if out is None else out.unionByName(laid)
     return out
