@@ -100,6 +100,8 @@ def part_overlay(pixels: DataFrame, background: DataFrame, frames: DataFrame, di
     """The frame multiplied on the background, and the inside of its largest ink part laid over it plainly.
     The part is the ink around the anchor of the largest ink group on the mini image, contracted by a third
     of its outline's width. `frames` has frame_id, width and height."""
+    # Read several times: each time what makes the frames would be shuffled anew.
+    pixels = materialise(pixels.select(*KEY, "argb"))
     part = _largest_part(pixels, frames, dist, _is_ink())
     contour = materialise(object_outline(part, dist))
     inside = _framed(contracted(part, contour)).withColumn("inside", F.lit(True))
